@@ -65,29 +65,16 @@ def dedup_payload(df: DataFrame, payload_col: str | None = None) -> DataFrame:
     return df.dropDuplicates([payload_col]) if payload_col else df.dropDuplicates()
 
 
-def bloom_semi_filter(big: DataFrame, small: DataFrame, key: str, expected_items: int = 1_000_000, fpp: float = 0.01) -> DataFrame:
-    """DED-5: keep rows of ``big`` whose key is in ``small``, with a bloom pre-filter.
-
-    The bloom filter is built by the ``bloom_filter_agg`` aggregate (size set
-    by ``expected_items`` / ``fpp``, hence bounded) and probed with
-    ``might_contain`` inside the scan stage; the exact ``left_semi`` join
-    after it removes false positives, so the result is exact. When the SQL
-    functions are not available the plain semi join is used (Spark then adds
-    its own runtime bloom filter).
+def bloom_semi_filter(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """DED-5: keep rows of ``big`` whose key is in ``small`` (membership test), exactly.
+
+    Expressed as a ``left_semi`` join on the distinct key set. Spark's
+    runtime filter (``spark.sql.optimizer.runtime.bloomFilter.enabled``)
+    builds a bloom filter from the small side -- sized by its row count, so
+    bounded -- and probes it in the big side's scan stage before the
+    shuffle; the join itself removes the filter's false positives.
     """
-    spark = big.sparkSession
-    try:
-        bloom = small.select(
-            F.expr(f"bloom_filter_agg(xxhash64(`{key}`), {int(expected_items)}L, "
-                   f"{max(64, int(-expected_items * __import__('math').log(fpp) / (__import__('math').log(2) ** 2)))}L)").alias("bf")
-        )
-        bloom.createOrReplaceTempView("_tp_bloom")
-        pre = big.filter(F.expr(f"might_contain((SELECT bf FROM _tp_bloom), xxhash64(`{key}`))"))
-        pre.schema  # analysis check
-    except Exception:
-        pre = big
-    del spark
-    return pre.join(small.select(key).distinct(), key, "left_semi")
+    return big.join(small.select(key).distinct(), key, "left_semi")
 
 
 def unique_key_count(df: DataFrame, keys: list[str], exact: bool = True, rsd: float = 0.01) -> DataFrame:

@@ -434,7 +434,7 @@ WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
 def _ded05(spark, sf):
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     small = load(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
-    return D.bloom_semi_filter(li, small, "l_orderkey", expected_items=1_000_000)
+    return D.bloom_semi_filter(li, small, "l_orderkey")
 
 
 @query("ded06_unique_keys", "SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS unique_keys FROM events")

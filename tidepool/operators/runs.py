@@ -207,25 +207,30 @@ def utilisation(active: Column, pool: Column) -> Column:
     return active / F.greatest(pool, F.lit(1)) * 100.0
 
 
-def minute_series_alerts(df: DataFrame, ts: str, failed: Column, threshold: float, hold_minutes: int = 10, keys: list[str] | None = None) -> DataFrame:
-    """AGG-11: alert windows where the per-minute failure rate stays above ``threshold``
-    for at least ``hold_minutes`` consecutive minutes (gaps and islands).
+GRAIN_SECONDS = {"minute": 60, "hour": 3600, "day": 86400}
 
-    Minutes are aggregated first; islands come from ``minute - row_number``
-    per series, so each window holds only one series' minutes.
+
+def alert_windows(df: DataFrame, ts: str, failed: Column, threshold: float, hold: int = 10, grain: str = "minute",
+                  keys: list[str] | None = None) -> DataFrame:
+    """AGG-11: alert windows where the failure rate per ``grain`` stays above
+    ``threshold`` for at least ``hold`` consecutive periods (gaps and islands).
+
+    Periods are aggregated first (one row per series and period); islands
+    come from ``period_number - row_number`` per series, so each window holds
+    only one series' periods, never raw rows.
     """
     keys = keys or []
-    m = F.date_trunc("minute", F.col(ts).cast("timestamp"))
-    per_min = df.groupBy(*keys, m.alias("minute")).agg(
-        (F.count_if(failed) / F.count(F.lit(1))).alias("failure_rate"))
-    hot = per_min.filter(F.col("failure_rate") > F.lit(threshold))
-    minute_no = (F.unix_seconds("minute") / 60).cast("bigint")
-    w = Window.partitionBy(*keys).orderBy("minute") if keys else Window.orderBy("minute")
-    isl = hot.withColumn("_island", minute_no - F.row_number().over(w))
+    unit = GRAIN_SECONDS[grain]
+    p = F.date_trunc(grain, F.col(ts).cast("timestamp"))
+    per = df.groupBy(*keys, p.alias("period")).agg((F.count_if(failed) / F.count(F.lit(1))).alias("failure_rate"))
+    hot = per.filter(F.col("failure_rate") > F.lit(threshold))
+    num = (F.unix_seconds("period") / unit).cast("bigint")
+    w = Window.partitionBy(*keys).orderBy("period") if keys else Window.orderBy("period")
+    isl = hot.withColumn("_island", num - F.row_number().over(w))
     return isl.groupBy(*keys, "_island").agg(
-        F.min("minute").alias("alert_start"), F.max("minute").alias("alert_end"),
-        F.count(F.lit(1)).cast("bigint").alias("minutes"), F.max("failure_rate").alias("peak_rate"),
-    ).filter(F.col("minutes") >= hold_minutes).drop("_island")
+        F.min("period").alias("alert_start"), F.max("period").alias("alert_end"),
+        F.count(F.lit(1)).cast("bigint").alias("periods"), F.max("failure_rate").alias("peak_rate"),
+    ).filter(F.col("periods") >= hold).drop("_island")
 
 
 # Alert type -> severity.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_core, q_files, q_runs, q_schema, q_sources, q_writes  # noqa: F401
+from . import q_core, q_files, q_runs, q_schema, q_sources, q_stream, q_writes  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

@@ -75,3 +75,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def local_path(path: str) -> str:
+    """POSIX form of a ``file:`` URI (for pyarrow / os code on a shared mount)."""
+    if path.startswith("file://"):
+        return path[len("file://"):]
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    return path
+
+
+def fs_list(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """``(name, is_dir)`` of the entries of a folder on any Hadoop file system
+    (local, HDFS, object stores); empty when the folder does not exist."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(p)]
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

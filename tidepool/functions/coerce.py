@@ -26,7 +26,7 @@ from .text import (
     col_of,
     parse_float_text,
     parse_int_text,
-    plain_number_text,
+    plain_number,
     to_text,
     trim_unicode,
 )
@@ -103,7 +103,7 @@ def _builtin(frm: str, to: str) -> Callable[[Column], Column] | None:
         "string->int": s2i,
         "int->string": lambda c: c.cast("string"),
         "string->float": lambda c: parse_float_text(trim_unicode(c)),
-        "float->string": lambda c: plain_number_text(c.cast("double").cast("string")),
+        "float->string": lambda c: plain_number(c.cast("double")),
         "string->bool": s2b,
         "bool->string": lambda c: c.cast("string"),
         "string->time": lambda c: parse_time(trim_unicode(c), STRICT_LAYOUTS, epoch_seconds=True),
@@ -133,9 +133,10 @@ def coerce(c, frm: str, to: str, on_error: str = "raise") -> Column:
         raise ValueError(f"no converter registered for {f} -> {t}")
     out = fn(c)
     if on_error == "null":
-        return F.when(c.isNotNull(), out)
+        return out  # every converter maps null to null
     msg = F.concat(F.lit(f"cannot convert value to {t}: "), c.cast("string"))
-    return F.when(c.isNull(), F.lit(None)).when(out.isNull(), F.raise_error(msg)).otherwise(out)
+    # ``out`` is written once and evaluated first, so it is computed once per row
+    return F.coalesce(out, F.when(c.isNotNull(), F.raise_error(msg)))
 
 
 def coerce_columns(df: DataFrame, spec: dict[str, str], on_error: str = "raise") -> DataFrame:
@@ -223,8 +224,9 @@ def coerce_lenient(df: DataFrame, spec: dict[str, str], error_col: str = "_coerc
             continue
         v, failed = lenient_value(F.col(name), types[name], spec[name])
         # every failing conversion changes the column type (text -> number /
-        # boolean, float -> long overflow), so the old value lives on in the error text
-        cols.append(F.when(failed, F.lit(None)).otherwise(v).alias(name))
+        # boolean, float -> long overflow) and yields null, so the old value
+        # lives on in the error text; ``v`` is projected as is
+        cols.append(v.alias(name))
         errs.append(F.when(failed, F.concat(F.lit(f"field {name}: cannot coerce "), to_text(F.col(name)),
                                             F.lit(f" to {spec[name]}"))))
     err = F.array_compact(F.array(*errs)) if errs else F.array().cast("array<string>")

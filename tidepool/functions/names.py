@@ -43,6 +43,18 @@ def name_similarity(a, b) -> Column:
     )
 
 
+def similarity_of_normalized(na, nb, la=None, lb=None) -> Column:
+    """FUZ-2 on names already normalised (``la`` / ``lb``: their byte lengths, optional)."""
+    na, nb = col_of(na), col_of(nb)
+    la = F.octet_length(na) if la is None else col_of(la)
+    lb = F.octet_length(nb) if lb is None else col_of(lb)
+    return (
+        F.when(na == nb, F.lit(1.0))
+        .when((la == 0) | (lb == 0), F.lit(0.0))
+        .otherwise(F.lit(1.0) - F.levenshtein(na, nb) / F.greatest(la, lb))
+    )
+
+
 def type_compat(a, b) -> Column:
     """FUZ-3: compatibility score of two JSON schema type names."""
     a, b = col_of(a), col_of(b)

@@ -23,39 +23,43 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def plain_number_text(s: Column) -> Column:
-    """Rewrite the JVM text of a double into shortest digits without exponent.
+def _strip_fraction_zeros(t: Column) -> Column:
+    return F.regexp_replace(t, r"\.?0+$", "")
+
 
-    ``1.0E7`` -> ``10000000``, ``100.0`` -> ``100``, ``1.5E-7`` ->
-    ``0.00000015``, ``2.5`` stays. NaN -> ``NaN``, infinities -> ``+Inf`` /
-    ``-Inf``.
+def plain_number(x: Column) -> Column:
+    """Shortest digits of a double without exponent (the source system's float text).
+
+    ``1e7`` -> ``10000000``, ``100.0`` -> ``100``, ``1.5e-7`` ->
+    ``0.00000015``, ``2.5`` stays; NaN -> ``NaN``, infinities -> ``+Inf`` /
+    ``-Inf``. Built from casts by magnitude band -- integral values through
+    ``bigint``, ``[1e-3, 1e7)`` through the JVM text (never an exponent
+    there), larger and smaller values through a decimal cast (which keeps
+    the shortest digits and prints plainly) -- so no regex runs except one
+    trailing-zero strip. Magnitudes outside ``[1e-20, 1e38)`` keep the JVM
+    exponent text (documented difference).
     """
-    sci = s.rlike(r"^-?[0-9]+(\.[0-9]+)?E-?[0-9]+$")
-    sign = F.regexp_extract(s, r"^(-?)", 1)
-    ip = F.regexp_extract(s, r"^-?([0-9]+)", 1)
-    fp = F.regexp_extract(s, r"^-?[0-9]+\.([0-9]+)E", 1)
-    e = F.regexp_extract(s, r"E(-?[0-9]+)$", 1)
-    fp2 = F.when(fp == F.lit("0"), F.lit("")).otherwise(fp)
-    digits = F.concat(ip, fp2)
-    exp = F.when(sci, e.cast("int")).otherwise(F.lit(0))
-    p = F.length(ip) + exp
-    nd = F.length(digits)
-    zeros_before = F.repeat(F.lit("0"), F.greatest(-p, F.lit(0)))
-    zeros_after = F.repeat(F.lit("0"), F.greatest(p - nd, F.lit(0)))
-    body = (
-        F.when(p <= 0, F.concat(F.lit("0."), zeros_before, digits))
-        .when(nd <= p, F.concat(digits, zeros_after))
-        .otherwise(F.concat(F.substr(digits, F.lit(1), p), F.lit("."), F.substr(digits, p + 1, nd)))
-    )
+    ax = F.abs(x)
+    integral = F.rint(x) == x
     return (
-        F.when(s.isNull(), F.lit(None).cast("string"))
-        .when(s == F.lit("Infinity"), F.lit("+Inf"))
-        .when(s == F.lit("-Infinity"), F.lit("-Inf"))
-        .when(sci, F.concat(sign, body))
-        .otherwise(F.regexp_replace(s, r"\.0$", ""))
+        F.when(x.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(x), F.lit("NaN"))
+        .when(x == F.lit(float("inf")), F.lit("+Inf"))
+        .when(x == F.lit(float("-inf")), F.lit("-Inf"))
+        .when(x == F.lit(0.0), F.lit("0"))
+        .when((ax >= 1e-3) & (ax < 1e7), F.when(integral, x.cast("bigint").cast("string")).otherwise(x.cast("string")))
+        .when((ax >= 1e7) & (ax < 1e18), _strip_fraction_zeros(x.try_cast("decimal(38,10)").cast("string")))
+        .when((ax >= 1e18) & (ax < 1e38), x.try_cast("decimal(38,0)").cast("string"))
+        .when((ax >= 1e-20) & (ax < 1e-3), _strip_fraction_zeros(x.try_cast("decimal(38,37)").cast("string")))
+        .otherwise(x.cast("string"))
     )
 
 
+def plain_number_text(s: Column) -> Column:
+    """:func:`plain_number` for the JVM text of a double."""
+    return plain_number(s.cast("double"))
+
+
 def to_text(c) -> Column:
     """Value as text with the source system's rules, null stays null.
 
@@ -67,7 +71,8 @@ def to_text(c) -> Column:
     c = col_of(c)
     t = F.typeof(c)
     return (
-        F.when(t.isin(*FLOATING_TYPES), plain_number_text(c.cast("string")))
+        # every branch must type-check for any input type, so the float branch goes through text
+        F.when(t.isin(*FLOATING_TYPES), plain_number(c.cast("string").cast("double")))
         .when(t.isin("timestamp", "timestamp_ntz"), F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX"))
         .otherwise(c.cast("string"))
     )
@@ -88,13 +93,12 @@ def is_float_text(s: Column) -> Column:
 
 def parse_float_text(s: Column) -> Column:
     """Double from text accepted by the source parser, else null."""
-    special = F.lower(F.regexp_replace(s, r"^[+-]", ""))
-    neg = s.startswith("-")
-    inf = F.when(neg, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    lo = F.lower(s)
     return (
         F.when(s.rlike(FLOAT_TEXT_RE), s.try_cast("double"))
-        .when(special.isin("inf", "infinity"), inf)
-        .when(special == F.lit("nan"), F.lit(float("nan")))
+        .when(lo.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
+        .when(lo.isin("-inf", "-infinity"), F.lit(float("-inf")))
+        .when(lo.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
     )
 
 

@@ -3,8 +3,8 @@
 Inputs are field tables ``(stream, path, name, type)``. Candidate pairs are
 formed only inside one stream pair -- an equi-join on the stream key -- so
 the pair count is bounded by schema width squared per stream, never by the
-number of streams or records. :func:`check_width` enforces that bound
-before pairing.
+number of streams or records. :func:`score_pairs` asserts that bound
+inside the plan.
 """
 
 from __future__ import annotations
@@ -12,32 +12,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import name_similarity, normalize_field_name, suggested_transform, type_compat
+from ..functions.names import (
+    name_similarity,
+    normalize_field_name,
+    normalize_name,
+    similarity_of_normalized,
+    suggested_transform,
+    type_compat,
+)
 
 MAX_SCHEMA_WIDTH = 5000  # fields per stream before pairing is refused
 
 
-def check_width(fields: DataFrame, key: str, limit: int = MAX_SCHEMA_WIDTH) -> None:
-    """Refuse to pair schemas wider than ``limit`` fields (one small aggregate)."""
-    widest = fields.groupBy(key).count().agg(F.max("count")).first()[0]
-    if widest is not None and widest > limit:
-        raise ValueError(f"schema with {widest} fields exceeds the pairing bound {limit}")
-
-
 def score_pairs(src: DataFrame, dst: DataFrame, key: str = "stream", w_name: float = 0.7, w_type: float = 0.3,
-                min_score: float = 0.3, checked: bool = True) -> DataFrame:
+                min_score: float = 0.3, checked: bool = True, max_width: int = MAX_SCHEMA_WIDTH) -> DataFrame:
     """FUZ-4: ``w_name * name_similarity + w_type * type_compat`` for field pairs
     of the same stream, kept when >= ``min_score``.
 
+    Names are normalised once per field (not once per pair). With
+    ``checked`` the schema-width bound is asserted inside the plan: a count
+    per stream over a window partitioned by the stream -- the same
+    partitioning the join needs, so no extra shuffle or job -- and the job
+    fails if a stream is wider than ``max_width``.
     Output: ``key, src_path, dst_path, src_type, dst_type, score``.
     """
+    def side(df, p):
+        out = df.select(key, F.col("path").alias(f"{p}_path"), F.col("type").alias(f"{p}_type"),
+                        normalize_name(F.col("name")).alias(f"_{p}n"))
+        out = out.withColumn(f"_{p}l", F.octet_length(f"_{p}n"))
+        if checked:
+            out = out.withColumn(f"_{p}w", F.count(F.lit(1)).over(Window.partitionBy(key)))
+        return out
+
+    s, d = side(src, "src"), side(dst, "dst")
+    j = s.join(d, key, "inner")
     if checked:
-        check_width(src, key)
-        check_width(dst, key)
-    s = src.select(key, F.col("path").alias("src_path"), F.col("name").alias("src_name"), F.col("type").alias("src_type"))
-    d = dst.select(key, F.col("path").alias("dst_path"), F.col("name").alias("dst_name"), F.col("type").alias("dst_type"))
-    score = F.lit(w_name) * name_similarity("src_name", "dst_name") + F.lit(w_type) * type_compat("src_type", "dst_type")
-    return s.join(d, key, "inner").select(key, "src_path", "dst_path", "src_type", "dst_type", score.alias("score")) \
+        j = j.filter(F.assert_true((F.col("_srcw") <= max_width) & (F.col("_dstw") <= max_width),
+                                   f"schema wider than {max_width} fields").isNull())
+    score = F.lit(w_name) * similarity_of_normalized("_srcn", "_dstn", "_srcl", "_dstl") + \
+        F.lit(w_type) * type_compat("src_type", "dst_type")
+    return j.select(key, "src_path", "dst_path", "src_type", "dst_type", score.alias("score")) \
         .filter(F.col("score") >= F.lit(min_score))
 
 
@@ -101,7 +115,7 @@ def assign_greedy(pairs: DataFrame, key: str = "stream") -> DataFrame:
 
     Pairs are hash-partitioned by stream and sorted, then ``mapInPandas``
     assigns whole streams inside each partition (see :func:`greedy_frame`);
-    a stream's pair table is bounded by schema width squared (checked in
+    a stream's pair table is bounded by schema width squared (asserted in
     :func:`score_pairs`).
     """
     p = pairs.withColumnRenamed(key, "stream") if key != "stream" else pairs

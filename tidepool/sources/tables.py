@@ -19,9 +19,24 @@ TABLES = (
 )
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table (``{sf_dir}/{name}.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read one driver table (``{sf_dir}/{name}.parquet``).
+
+    A parquet file is split at row-group boundaries; a table stored as one
+    row group scans in a single task however many cores there are. When the
+    scan yields fewer partitions than the default parallelism the rows are
+    spread round-robin first, so per-row work (mapping, coercion, partial
+    aggregation) uses the whole cluster. Round-robin names no column, so
+    column pruning and filter pushdown still reach the scan (a hash spread
+    would pin every column). On large tables the scan already has more
+    splits than cores and nothing is added.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par)
+    return df
 
 
 def read_full(spark: SparkSession, source: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -48,7 +48,9 @@ def decode_messages(df: DataFrame, text_col: str = "value", keep: list[str] | No
     return good, rejects
 
 
-def payload_present(t=F.col("type")):
+def payload_present(t=None):
+    """True when a message carries the payload its type names."""
+    t = F.col("type") if t is None else t
     expr = F.when(F.lit(False), F.lit(False))
     for name, field in MESSAGE_TYPES.items():
         expr = expr.when(t == F.lit(name), F.col(field).isNotNull())

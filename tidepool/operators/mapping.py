@@ -62,7 +62,7 @@ def mapping_column(df: DataFrame, m: FieldMapping, on_error: str = "raise") -> C
     """Value of one strict mapping; null when the source path does not resolve."""
     dtype = type_at(df, m.source_field)
     if dtype is None:
-        val = F.lit(None)
+        val = F.lit(None).cast("string")  # an absent source is a null text value
         dtype = T.NullType()
     else:
         val = get_path(m.source_field)
@@ -131,37 +131,53 @@ def map_by_stream(df: DataFrame, stream_col: str, per_stream: dict[str, list[Fie
 
 # ------------------------------------------------------------- templates
 
-# Built-in mapping templates. The CRM contact template renames
-# twelve fields (one nested); the warehouse template pairs eight type names.
-CRM_CONTACT_TEMPLATE = [
-    ("FirstName", "first_name"), ("LastName", "last_name"), ("Email", "email"), ("Phone", "phone"),
-    ("Title", "title"), ("Account.Name", "company"), ("MailingStreet", "address_street"),
-    ("MailingCity", "address_city"), ("MailingState", "address_state"), ("MailingPostalCode", "address_zip"),
-    ("MailingCountry", "address_country"), ("CreatedDate", "created_at"),
+# Built-in mapping templates of the source system, as
+# (source field, destination field, transform, confidence).
+SALESFORCE_TO_HUBSPOT_CONTACTS = [
+    ("FirstName", "firstname", "", 1.0),
+    ("LastName", "lastname", "", 1.0),
+    ("Email", "email", "", 1.0),
+    ("Phone", "phone", "", 1.0),
+    ("MobilePhone", "mobilephone", "", 0.95),
+    ("Title", "jobtitle", "", 0.85),
+    ("Account.Name", "company", "", 0.9),
+    ("MailingStreet", "address", "", 0.85),
+    ("MailingCity", "city", "", 0.95),
+    ("MailingState", "state", "", 0.95),
+    ("MailingPostalCode", "zip", "", 0.8),
+    ("MailingCountry", "country", "", 0.95),
 ]
-WAREHOUSE_TYPE_TEMPLATE = [
-    ("string", "VARCHAR"), ("integer", "BIGINT"), ("number", "DOUBLE"), ("boolean", "BOOLEAN"),
-    ("date", "DATE"), ("datetime", "TIMESTAMP"), ("object", "VARIANT"), ("array", "ARRAY"),
+BIGQUERY_TO_SNOWFLAKE = [
+    ("STRING", "VARCHAR", "to_string", 1.0),
+    ("INT64", "NUMBER", "to_int", 0.95),
+    ("FLOAT64", "FLOAT", "to_float", 0.95),
+    ("BOOL", "BOOLEAN", "", 1.0),
+    ("TIMESTAMP", "TIMESTAMP_NTZ", "format_date", 0.9),
+    ("DATE", "DATE", "", 1.0),
+    ("BYTES", "BINARY", "", 0.9),
+    ("JSON", "VARIANT", "", 0.85),
 ]
+TEMPLATES = {"salesforce_to_hubspot_contacts": SALESFORCE_TO_HUBSPOT_CONTACTS, "bigquery_to_snowflake": BIGQUERY_TO_SNOWFLAKE}
 
 
 def template_table(spark, name: str) -> DataFrame:
-    """MAP-11: a built-in template as a table ``(template, source_field, dest_field)``."""
-    rows = {"crm_contact": CRM_CONTACT_TEMPLATE, "warehouse_types": WAREHOUSE_TYPE_TEMPLATE}[name]
-    return spark.createDataFrame([(name, s, d) for s, d in rows], "template string, source_field string, dest_field string")
+    """MAP-11: a built-in template as a table ``(template, source_field, dest_field, transform, confidence)``."""
+    return spark.createDataFrame([(name, *row) for row in TEMPLATES[name]],
+                                 "template string, source_field string, dest_field string, transform string, confidence double")
 
 
 def template_mappings(name: str) -> list[FieldMapping]:
-    rows = {"crm_contact": CRM_CONTACT_TEMPLATE}[name]
-    return [FieldMapping(s, d, "rename") for s, d in rows]
+    """MAP-11: a field template as strict mappings (renames; nested sources allowed)."""
+    return [FieldMapping(s, d, "rename") for s, d, _, _ in TEMPLATES[name]]
 
 
 def apply_type_template(df: DataFrame, types_col: str, template: DataFrame) -> DataFrame:
-    """MAP-11 (type template): join a field table's JSON type to the warehouse type.
+    """MAP-11 (type template): destination type and transform for each source type.
 
     The template holds eight rows, so it is broadcast (size fixed by construction).
     """
-    t = template.select(F.col("source_field").alias("_tt_src"), F.col("dest_field").alias("warehouse_type"))
+    t = template.select(F.col("source_field").alias("_tt_src"), F.col("dest_field").alias("dest_type"),
+                        F.col("transform").alias("type_transform"))
     return df.join(F.broadcast(t), F.col(types_col) == F.col("_tt_src"), "left").drop("_tt_src")
 
 

@@ -440,3 +440,48 @@ def _ded05(spark, sf):
 @query("ded06_unique_keys", "SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS unique_keys FROM events")
 def _ded06(spark, sf):
     return D.unique_key_count(load(spark, sf, "events"), ["user_id"])
+
+
+# ----------------------------------------------------------- more MAP / FN
+
+@query("map04_rename", "SELECT o_orderkey AS order_id, o_custkey AS customer_id FROM orders")
+def _map04(spark, sf):
+    maps = [FieldMapping("o_orderkey", "order_id", "rename"), FieldMapping("o_custkey", "customer_id", "rename")]
+    return M.map_strict(load(spark, sf, "orders"), maps)
+
+
+@query("map05_cast", """SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS price_int,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS date_text, CAST(o_custkey AS DOUBLE) AS customer_float FROM orders""")
+def _map05(spark, sf):
+    maps = [FieldMapping("o_orderkey", "o_orderkey"),
+            FieldMapping("o_totalprice", "price_int", "cast", cast_type="integer"),
+            FieldMapping("o_orderdate", "date_text", "cast", cast_type="varchar"),
+            FieldMapping("o_custkey", "customer_float", "cast", cast_type="number")]
+    return M.map_strict(load(spark, sf, "orders"), maps)
+
+
+@query("map11_crm_template", """SELECT split_part(c_name, '#', 1) AS firstname, split_part(c_name, '#', 2) AS lastname,
+  lower(replace(c_name, '#', '.')) || '@example.com' AS email, CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS VARCHAR) AS mobilephone,
+  c_mktsegment AS jobtitle, 'Nation ' || CAST(c_nationkey AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS address,
+  CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS zip, CAST(NULL AS VARCHAR) AS country
+FROM customer""")
+def _map11b(spark, sf):
+    """Salesforce-shaped contacts derived from customer, mapped by the contact template
+    (fields the records lack come out null)."""
+    c = _cust(spark, sf)
+    contacts = c.select(F.split("c_name", "#").getItem(0).alias("FirstName"), F.split("c_name", "#").getItem(1).alias("LastName"),
+                        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")).alias("Email"),
+                        F.col("c_mktsegment").alias("Title"),
+                        F.struct(F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("Name")).alias("Account"))
+    return M.map_strict(contacts, M.template_mappings("salesforce_to_hubspot_contacts"))
+
+
+@query("fn17_now", "SELECT event_id, true AS is_rfc3339 FROM events")
+def _fn17(spark, sf):
+    return load(spark, sf, "events").select("event_id", X.now().rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$").alias("is_rfc3339"))
+
+
+@query("fn23_user_function", "SELECT c_custkey, c_acctbal * 2 AS doubled, upper(c_name) AS shout FROM customer")
+def _fn23(spark, sf):
+    X.register_function("double_it", lambda c: X.mul(c, F.lit(2)))
+    return _cust(spark, sf).select("c_custkey", X.call("double_it", "c_acctbal").alias("doubled"), X.call("upper", "c_name").alias("shout"))

@@ -234,11 +234,21 @@ def _sch14(spark, sf):
 
 # ------------------------------------------------------------ MAP / SET
 
-@query("map11_type_template", CAT_SQL + """SELECT stream, path, CASE type WHEN 'string' THEN 'VARCHAR' WHEN 'integer' THEN 'BIGINT'
-  WHEN 'number' THEN 'DOUBLE' WHEN 'boolean' THEN 'BOOLEAN' WHEN 'object' THEN 'VARIANT' WHEN 'array' THEN 'ARRAY' END AS warehouse_type FROM v1""")
+@query("map11_type_template", CAT_SQL + """SELECT stream, path, CASE bq WHEN 'STRING' THEN 'VARCHAR' WHEN 'INT64' THEN 'NUMBER'
+  WHEN 'FLOAT64' THEN 'FLOAT' WHEN 'BOOL' THEN 'BOOLEAN' WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' WHEN 'DATE' THEN 'DATE'
+  WHEN 'BYTES' THEN 'BINARY' WHEN 'JSON' THEN 'VARIANT' END AS dest_type,
+  CASE bq WHEN 'STRING' THEN 'to_string' WHEN 'INT64' THEN 'to_int' WHEN 'FLOAT64' THEN 'to_float' WHEN 'TIMESTAMP' THEN 'format_date'
+  WHEN 'BOOL' THEN '' WHEN 'DATE' THEN '' WHEN 'BYTES' THEN '' WHEN 'JSON' THEN '' END AS type_transform
+FROM (SELECT stream, path, CASE type WHEN 'string' THEN 'STRING' WHEN 'integer' THEN 'INT64' WHEN 'number' THEN 'FLOAT64'
+  WHEN 'boolean' THEN 'BOOL' WHEN 'object' THEN 'JSON' ELSE 'RECORD' END AS bq FROM v1)""")
 def _map11(spark, sf):
-    t = M.template_table(spark, "warehouse_types")
-    return M.apply_type_template(catalog_v1(spark, sf), "type", t).select("stream", "path", "warehouse_type")
+    """BigQuery column types of each field (RECORD has no template row) -> Snowflake types."""
+    v = catalog_v1(spark, sf)
+    bq = (F.when(F.col("type") == "string", "STRING").when(F.col("type") == "integer", "INT64")
+          .when(F.col("type") == "number", "FLOAT64").when(F.col("type") == "boolean", "BOOL")
+          .when(F.col("type") == "object", "JSON").otherwise("RECORD"))
+    t = M.template_table(spark, "bigquery_to_snowflake")
+    return M.apply_type_template(v.withColumn("bq", bq), "bq", t).select("stream", "path", "dest_type", "type_transform")
 
 
 def connections(spark, sf):

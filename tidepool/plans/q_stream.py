@@ -243,3 +243,16 @@ def _dq04(spark, sf):
     observed = infer_fields(ev.withColumn("props", props), "props", "event_type")
     declared = ev.select("event_type", F.lit("k").alias("field")).distinct()
     return Q.undeclared_fields(observed, declared, ["event_type", "field"]).select("event_type", "field")
+
+
+@query("str07_stream_soft_delete", "SELECT c_custkey, c_custkey % 7 = 0 AS _deleted FROM customer")
+def _str07b(spark, sf):
+    """Two full snapshots arrive as micro-batches; keys missing from the second are flagged."""
+    inp = _dir(spark, "str07sd-in")
+    c = load(spark, sf, "customer").select("c_custkey", "c_name")
+    c.repartition(2).write.mode("append").parquet(inp)
+    c.filter(F.col("c_custkey") % 7 != 0).repartition(2).write.mode("append").parquet(inp)
+    src = ST.read_stream(spark, inp, "parquet", "c_custkey BIGINT, c_name STRING", max_files_per_trigger=2)
+    target = _dir(spark, "str07sd-table")
+    ST.run_stream(src, ST.soft_delete_sink(target, ["c_custkey"], dt.datetime(2024, 2, 1)), _dir(spark, "str07sd-ckpt"))
+    return ST.latest_version(spark, target).select("c_custkey", "_deleted")

@@ -43,9 +43,12 @@ def _src01(spark, sf):
 @query("src01_json_arrays", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
 WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
 def _src01b(spark, sf):
-    li = load(spark, sf, "lineitem")
+    from ..sources.pages import pack_pages
+
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    per = li.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), ",").alias("els"))
+    pages = pack_pages(li, "l_orderkey", 100, ["l_orderkey", "l_linenumber", "l_quantity"])
+    per = pages.select("l_orderkey", F.array_join(F.transform("records", lambda r: F.to_json(r)), ",").alias("els"))
     per = per.join(o, "l_orderkey")
     line = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("["), F.col("els"), F.lit(',{"l_orderkey":]'))) \
         .otherwise(F.concat(F.lit("["), F.col("els"), F.lit("]")))

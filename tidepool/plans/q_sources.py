@@ -133,22 +133,22 @@ def _src17(spark, sf):
 
 
 @query("src18_extract_parallel", ID_BOUNDS_SQL + """SELECT CAST(least(floor((o_orderkey - mn) / per), cnt - 1) AS INTEGER) AS partition_id,
-  CAST(count(*) AS BIGINT) AS rows, sum(o_totalprice) AS total_price
+  CAST(count(*) AS BIGINT) AS rows, round(sum(o_totalprice), 2) AS total_price
 FROM orders, r GROUP BY 1""")
 def _src18(spark, sf):
     mn, mx, total = _order_bounds(spark, sf)
     parts = P.extract_parallel(load(spark, sf, "orders"), "o_orderkey", mn, mx, total, 1000)
     return parts.groupBy("partition_id").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                                             F.sum("o_totalprice").alias("total_price"))
+                                             F.round(F.sum("o_totalprice"), 2).alias("total_price"))
 
 
 # --------------------------------------------------------------- pages
 
 def saved_pages(spark, sf):
-    """One JSON page per order holding its line items; pending orders' pages lack the result array."""
-    li = load(spark, sf, "lineitem")
+    """JSON pages (at most ~100 line items each) per order; pending orders' pages lack the result array."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    packed = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("records"))
+    packed = PG.pack_pages(li, "l_orderkey", 100, ["l_linenumber", "l_quantity"])
     j = packed.join(o, "l_orderkey")
     body = F.when(F.col("o_orderstatus") == "P", F.to_json(F.struct(F.struct(F.lit(1).alias("other")).alias("result")))) \
         .otherwise(F.to_json(F.struct(F.struct(F.col("records").alias("records")).alias("result"))))
@@ -178,8 +178,8 @@ def _src21(spark, sf):
 @query("src22_expand_children", """SELECT l.l_orderkey AS _parent_id, l_linenumber, l_quantity FROM lineitem l
 JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o_orderpriority <> '5-LOW'""")
 def _src22(spark, sf):
-    li = load(spark, sf, "lineitem")
-    packed = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("children"))
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    packed = PG.pack_pages(li, "l_orderkey", 100, ["l_linenumber", "l_quantity"]).withColumnRenamed("records", "children")
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     parents = packed.join(o, packed.l_orderkey == o.o_orderkey).select(
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey")).alias("id"), "children")

@@ -61,3 +61,20 @@ def page_audit(pages: DataFrame, stream: str, page_no: str, n_records: str, curs
         reason = reason.when(F.col(n_records) < F.lit(page_size), F.lit("short_page"))
     reason = reason.when(F.col(page_no) == F.col("_last_page"), F.lit("end_of_stream")).otherwise(F.lit("continue"))
     return pages.join(last, stream, "inner").withColumn("stop_reason", reason).drop("_last_page")
+
+
+def pack_pages(df: DataFrame, key: str, page_size: int = 100, cols: list[str] | None = None) -> DataFrame:
+    """Group rows into API-style pages of about ``page_size`` records per key.
+
+    Output: ``key, page_no, records`` (array of structs). The number of
+    pages of a key is ``ceil(rows / page_size)`` from a per-key count, and
+    rows are spread over them by a hash of the row, so even a key holding a
+    third of all rows is split into bounded pages instead of one giant
+    array. (Inverse of :func:`explode_results` / :func:`expand_children`.)
+    """
+    cols = cols or [c for c in df.columns if c != key]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    pages = F.greatest(F.ceil(F.col("_n") / F.lit(page_size)), F.lit(1))
+    tagged = df.join(counts, key, "inner").withColumn(
+        "page_no", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), pages).cast("int"))
+    return tagged.groupBy(key, "page_no").agg(F.collect_list(F.struct(*cols)).alias("records"))

@@ -140,3 +140,19 @@ def test_histogram_quantile_interpolates(spark):
     # rank 2.5 falls in (1, 2] holding ranks 2..3 -> 1 + (2.5 - 1) / 2
     assert abs(p50 - 1.75) < 1e-9
     assert R.histogram_quantile(h, 0.99, [1, 2, 3]).first()[0] == 3.0
+
+
+def test_hot_key_operators_combine_map_side(spark):
+    """A key holding a third of the rows: dedup / upsert / latest aggregate partially before the shuffle."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("o"))
+    for out in (D.dedup_by_key(df, ["k"], ["o"]), R.latest_per_key(df, ["k"], ["o"]),
+                W.upsert(df.limit(0), df, ["k"], ["o"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "partial_min_by" in plan or "partial_max_by" in plan
+    assert D.dedup_by_key(df, ["k"], ["o"]).filter("k = 0").first()["o"] == 0
+
+
+def test_global_rank_with_checkpoint(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("a"))
+    got = sorted(r["_rank"] for r in P.global_rank(df, ["a"], cut_lineage=True).collect())
+    assert got == list(range(1, 501))

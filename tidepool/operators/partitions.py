@@ -127,7 +127,8 @@ def extract_parallel(df: DataFrame, id_col: str, min_id: int, max_id: int, total
 
 # ------------------------------------------------------------ global rank
 
-def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitions: int | None = None,
+                cut_lineage: bool = False) -> DataFrame:
     """1-based rank of every row in a total order, without a partition-less window.
 
     Range-partition on the order (skew-safe when ``order_by`` ends in a unique
@@ -137,6 +138,12 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     per partition), turn counts into offsets and add. The offsets table has
     one row per partition, so broadcasting it is bounded by the partition
     count, not the data.
+
+    Both branches read the same range-partitioned rows; the shuffle is
+    deterministic, so a recomputed partition gets the same ids. For very long
+    jobs ``cut_lineage=True`` materialises the id'd rows with a reliable
+    ``checkpoint()`` (in ``spark.checkpoint.dir``) so both branches and any
+    retry read the same files.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -145,6 +152,11 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     ided = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ided = ided.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
         "_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    if cut_lineage:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        ided = ided.checkpoint(eager=True)
     counts = ided.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

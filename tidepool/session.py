@@ -66,6 +66,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is useless (and unsafe) when executors come and go
+            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="tidepool-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d

@@ -156,3 +156,21 @@ def test_global_rank_with_checkpoint(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("a"))
     got = sorted(r["_rank"] for r in P.global_rank(df, ["a"], cut_lineage=True).collect())
     assert got == list(range(1, 501))
+
+
+def test_template_store(spark, tmpdir_path):
+    root = tmpdir_path + "/templates"
+    t = spark.createDataFrame([("a", "b", "", 1.0)], "source_field string, dest_field string, transform string, confidence double")
+    M.save_template(t, root, "mine")
+    assert M.list_templates(spark, root) == ["bigquery_to_snowflake", "mine", "salesforce_to_hubspot_contacts"]
+    assert M.load_template(spark, root, "mine").count() == 1
+    assert M.load_template(spark, root, "salesforce_to_hubspot_contacts").count() == 12
+    assert M.delete_template(spark, root, "mine") and "mine" not in M.list_templates(spark, root)
+
+
+def test_append_to_table_by_name(spark, tmpdir_path):
+    spark.sql("DROP TABLE IF EXISTS tp_append_t")
+    spark.createDataFrame([(1, "a", 1.0)], "id int, name string, v double").write.saveAsTable("tp_append_t")
+    W.append_to_table(spark.createDataFrame([(2.5, 2)], "v double, id int"), "tp_append_t")
+    assert sorted(tuple(r) for r in spark.table("tp_append_t").collect()) == [(1, "a", 1.0), (2, None, 2.5)]
+    spark.sql("DROP TABLE IF EXISTS tp_append_t")

@@ -171,6 +171,36 @@ def template_mappings(name: str) -> list[FieldMapping]:
     return [FieldMapping(s, d, "rename") for s, d, _, _ in TEMPLATES[name]]
 
 
+def save_template(mappings: DataFrame, root: str, name: str) -> None:
+    """MAP-11 store: save a mapping table ``(source_field, dest_field, transform, confidence)``
+    under ``root/template=<name>`` (replacing an earlier version of that template only)."""
+    mappings.write.mode("overwrite").parquet(f"{root.rstrip('/')}/template={name}")
+
+
+def load_template(spark, root: str, name: str) -> DataFrame:
+    """MAP-11 store: a saved template (built-in names are served from the fixed tables)."""
+    if name in TEMPLATES:
+        return template_table(spark, name)
+    return spark.read.parquet(f"{root.rstrip('/')}/template={name}").withColumn("template", F.lit(name))
+
+
+def list_templates(spark, root: str) -> list[str]:
+    """MAP-11 store: built-in and saved template names."""
+    from ..session import fs_list
+
+    saved = [n.split("=", 1)[1] for n, is_dir in fs_list(spark, root) if is_dir and n.startswith("template=")]
+    return sorted(set(TEMPLATES) | set(saved))
+
+
+def delete_template(spark, root: str, name: str) -> bool:
+    """MAP-11 store: remove a saved template (built-ins cannot be removed)."""
+    if name in TEMPLATES:
+        raise ValueError(f"built-in template {name!r} cannot be deleted")
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/template={name}")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def apply_type_template(df: DataFrame, types_col: str, template: DataFrame) -> DataFrame:
     """MAP-11 (type template): destination type and transform for each source type.
 

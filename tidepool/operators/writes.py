@@ -20,8 +20,16 @@ def append(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def append_to_table(rows: DataFrame, table: str) -> None:
-    """SNK-2 for catalog tables (``writeTo(...).append()``); columns by name."""
-    rows.writeTo(table).option("mergeSchema", "true").append()
+    """SNK-2 for catalog tables: columns matched by name, target columns the rows
+    lack are written as null, extra row columns are refused (as the warehouse would)."""
+    spark = rows.sparkSession
+    target = spark.table(table).schema
+    extra = [c for c in rows.columns if c not in target.fieldNames()]
+    if extra:
+        raise ValueError(f"columns not in {table}: {extra}")
+    aligned = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in target.fields])
+    aligned.write.mode("append").insertInto(table)
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:

@@ -390,10 +390,11 @@ def _pairs(spark, sf):
     return MT.score_pairs(src, dst, "stream", checked=False)
 
 
-@query("fuz04_score_pairs", SIDES_SQL + "SELECT * FROM pairs WHERE score >= 0.3")
+@query("fuz04_score_pairs", SIDES_SQL + """SELECT stream, src_path, dst_path, src_type, dst_type, round(score, 9) AS score
+FROM pairs WHERE score >= 0.3""")
 def _fuz04(spark, sf):
     src, dst = match_sides(spark, sf)
-    return MT.score_pairs(src, dst, "stream")
+    return MT.score_pairs(src, dst, "stream").withColumn("score", F.round("score", 9))
 
 
 @query("fuz05_assign_greedy")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .text import col_of, is_float_text, parse_float_text, to_text, trim_unicode
+from .text import col_of, parse_float_text, to_text, trim_unicode
 from .timefmt import EXPRESSION_LAYOUTS, parse_time, rfc3339, translate_date_format
 
 _USER_FUNCS: dict[str, Callable[..., Column]] = {}
@@ -291,5 +291,3 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         names.append(name)
     return names
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["is_float_text"]

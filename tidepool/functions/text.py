@@ -55,11 +55,6 @@ def plain_number(x: Column) -> Column:
     )
 
 
-def plain_number_text(s: Column) -> Column:
-    """:func:`plain_number` for the JVM text of a double."""
-    return plain_number(s.cast("double"))
-
-
 def to_text(c) -> Column:
     """Value as text with the source system's rules, null stays null.
 

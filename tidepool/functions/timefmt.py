@@ -83,19 +83,15 @@ def _parse_one(s: Column, layout: str, wall_clock: bool) -> Column:
 def parse_time(s: Column, layouts=STRICT_LAYOUTS, epoch_seconds: bool = True, wall_clock: bool = False) -> Column:
     """First layout whose guard matches and which parses; optional integer epoch seconds last.
 
-    ``wall_clock=True`` drops any offset and keeps the written clock time,
-    which is what formatting in the written zone needs.
+    ``coalesce`` of guarded parses: each parse runs at most once per row and
+    only when its regex guard matches. ``wall_clock=True`` drops any offset
+    and keeps the written clock time, which is what formatting in the
+    written zone needs.
     """
-    expr = None
-    for name in layouts:
-        branch = _parse_one(s, name, wall_clock)
-        cond = s.rlike(LAYOUT_GUARDS[name])
-        expr = F.when(cond & branch.isNotNull(), branch) if expr is None else expr.when(cond & branch.isNotNull(), branch)
+    tries = [F.when(s.rlike(LAYOUT_GUARDS[name]), _parse_one(s, name, wall_clock)) for name in layouts]
     if epoch_seconds:
-        secs = F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint"))
-        branch = F.timestamp_seconds(secs)
-        expr = F.when(secs.isNotNull(), branch) if expr is None else expr.when(secs.isNotNull(), branch)
-    return expr
+        tries.append(F.timestamp_seconds(F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint"))))
+    return F.coalesce(*tries)
 
 
 def rfc3339(ts: Column) -> Column:

@@ -113,6 +113,19 @@ def test_global_rank_matches_row_number(spark):
     assert got == want
 
 
+def test_rank_in_group_matches_row_number_with_hot_group(spark):
+    random.seed(11)
+    # group "hot" holds a third of the rows; None is a group of its own
+    data = [(("hot" if i % 3 == 0 else random.choice(["a", "b", None])), random.randint(0, 9), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, k int, b int")
+    got = {r["b"]: r["_r"] for r in P.rank_in_group(df, ["g", "k"], ["b"], "_r", num_partitions=7).collect()}
+    want, seen = {}, {}
+    for g, k, b in sorted(data, key=lambda t: (t[0] is not None, t[0] or "", t[1], t[2])):
+        seen[(g, k)] = seen.get((g, k), 0) + 1
+        want[b] = seen[(g, k)]
+    assert got == want
+
+
 def test_batches_at_most_n(spark):
     df = spark.range(2500)
     sizes = [r["batch_rows"] for r in P.batch_sizes(P.assign_batches(df, ["id"], 1000)).collect()]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partitions import rank_in_group
 from ..functions.names import (
     name_similarity,
     normalize_field_name,
@@ -160,11 +161,17 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
     destination (name order) of its group, which is the same as pairing the
     i-th source with the i-th destination inside a group -- ``row_number``
     on both sides and an equi-join on (stream, group, rank). Groups are one
-    stream's fields with one name / type, so the windows are bounded by
-    schema width.
+    stream's fields with one name / type; ranks come from a range-partitioned
+    global order, so a group holding a third of all fields is still split
+    across tasks.
     """
-    s0 = src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type"))
-    d0 = dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type"))
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(src.sparkSession)
+    # the passes read both sides several times (joins, anti joins, two ranked
+    # zips that each cut lineage); materialise them once in spark.checkpoint.dir
+    s0 = src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type")).checkpoint(eager=True)
+    d0 = dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type")).checkpoint(eager=True)
     # pass 1: exact names (unique per schema, so a plain equi-join)
     p1 = s0.join(d0, (s0[key] == d0[key]) & (s0["s_name"] == d0["d_name"]), "inner").select(
         s0[key], "s_name", "d_name", F.when(F.col("s_type") == F.col("d_type"), 1.0).otherwise(0.9).alias("confidence"),
@@ -173,10 +180,10 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
     d1 = d0.join(p1.select(key, "d_name"), [key, "d_name"], "left_anti")
 
     def zip_by(s, d, s_group, d_group):
-        ws = Window.partitionBy(key, "_g").orderBy("s_name")
-        wd = Window.partitionBy(key, "_g").orderBy("d_name")
-        sr = s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()).withColumn("_r", F.row_number().over(ws))
-        dr = d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()).withColumn("_r", F.row_number().over(wd))
+        # rank inside (stream, group) without a keyed window: a hot group is
+        # range-partitioned over many tasks (operators.partitions.rank_in_group)
+        sr = rank_in_group(s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["s_name"], "_r")
+        dr = rank_in_group(d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["d_name"], "_r")
         return sr.join(dr, [key, "_g", "_r"], "inner")
 
     # pass 2: normalised names

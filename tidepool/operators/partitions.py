@@ -128,7 +128,7 @@ def extract_parallel(df: DataFrame, id_col: str, min_id: int, max_id: int, total
 # ------------------------------------------------------------ global rank
 
 def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitions: int | None = None,
-                cut_lineage: bool = False) -> DataFrame:
+                cut_lineage: bool = True) -> DataFrame:
     """1-based rank of every row in a total order, without a partition-less window.
 
     Range-partition on the order (skew-safe when ``order_by`` ends in a unique
@@ -139,11 +139,15 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     one row per partition, so broadcasting it is bounded by the partition
     count, not the data.
 
-    Both branches read the same range-partitioned rows; the shuffle is
-    deterministic, so a recomputed partition gets the same ids. For very long
-    jobs ``cut_lineage=True`` materialises the id'd rows with a reliable
-    ``checkpoint()`` (in ``spark.checkpoint.dir``) so both branches and any
-    retry read the same files.
+    The counts and the row ids must describe the same cut of the data. Range
+    bounds are sampled from the input, and the row order of a shuffled input
+    varies between runs, so two instances of the range exchange (column
+    pruning makes the count branch its own instance) or a recomputation after
+    a lost executor may cut differently. ``cut_lineage=True`` (the default)
+    therefore materialises the id'd rows once with a reliable
+    ``checkpoint()`` in ``spark.checkpoint.dir``; both branches and every
+    retry read those files. ``cut_lineage=False`` skips the write and is
+    only safe when the input's row order is fixed (a plain file scan).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -163,6 +167,30 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     return ided.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("bigint")).drop("_mid", "_pid", "_loc", "_off")
 
 
+def rank_in_group(df: DataFrame, group_by: list[str], order_by: list, name: str = "_rank",
+                  num_partitions: int | None = None) -> DataFrame:
+    """1-based rank of each row inside its group (``row_number`` over
+    ``partition by group_by order by order_by``) without a keyed window.
+
+    A window sends a whole group to one task; here the rows are ranked in
+    the total order ``group_by + order_by`` by :func:`global_rank` (range
+    partitioned, so a group holding a third of all rows spreads over many
+    tasks), and the group's first rank -- a ``min`` aggregate, combined
+    map-side to one row per group and partition -- is subtracted. The join
+    back to the group starts is on the group key; a hot group there is one
+    row on the start side, which AQE's skew-join split handles (enabled by
+    ``get_session``). ``order_by`` should end in a column unique within the
+    group so the rank is deterministic.
+    """
+    ranked = global_rank(df, [*group_by, *order_by], "_gr", num_partitions, cut_lineage=True)
+    starts = ranked.groupBy(*group_by).agg(F.min("_gr").alias("_g0"))
+    starts = starts.select(*[F.col(g).alias(f"_gk{i}") for i, g in enumerate(group_by)], "_g0")
+    cond = [F.col(g).eqNullSafe(F.col(f"_gk{i}")) for i, g in enumerate(group_by)]  # null groups rank like row_number
+    joined = ranked.join(starts, cond, "inner")
+    return joined.withColumn(name, (F.col("_gr") - F.col("_g0") + 1).cast("bigint")) \
+        .drop("_gr", "_g0", *[f"_gk{i}" for i in range(len(group_by))])
+
+
 def assign_batches(df: DataFrame, order_by: list, n: int = DEFAULT_BATCH_SIZE, name: str = "batch_id") -> DataFrame:
     """SNK-7: contiguous batches of at most ``n`` rows in ``order_by`` order."""
     r = global_rank(df, order_by, "_r")

@@ -86,3 +86,21 @@ def test_admission_matches_reference(spark):
     df = spark.createDataFrame(events, "k int, ts timestamp, i int")
     got = {r["i"]: r["admitted"] for r in ST.admit(df, "k", "ts", limit=3, window_seconds=600).collect()}
     assert got == admit_reference(events, 3, dt.timedelta(seconds=600))
+
+
+def test_admission_hot_keys_match_reference(spark):
+    """Keys over the hot-key threshold take the index-join (pointer doubling) plan."""
+    random.seed(5)
+    base = dt.datetime(2024, 1, 1)
+    # key 1 holds half of the rows; second-granular times give equal timestamps
+    events = [((1 if i % 2 == 0 else random.randint(2, 6)), base + dt.timedelta(seconds=random.randint(0, 4000)), i)
+              for i in range(700)]
+    df = spark.createDataFrame(events, "k int, ts timestamp, i int")
+    want = admit_reference(events, 4, dt.timedelta(seconds=300))
+    for threshold in (0, 150):  # every key hot; only key 1 hot
+        out = ST.admit(df, "k", "ts", limit=4, window_seconds=300, hot_key_rows=threshold)
+        got = {r["i"]: r["admitted"] for r in out.collect()}
+        assert got == want
+    starts = {r["i"]: r["window_start"] for r in ST.admit(df, "k", "ts", 4, 300, hot_key_rows=0).collect()}
+    scan = {r["i"]: r["window_start"] for r in ST.admit(df, "k", "ts", 4, 300).collect()}
+    assert starts == scan

@@ -210,21 +210,100 @@ def _admit_partition(key: str, ts: str, limit: int, window_s: float):
     return fn
 
 
-def admit(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float) -> DataFrame:
+HOT_KEY_ROWS = 1_000_000  # a key with more events than this is not scanned by one task
+MAX_BROADCAST_HOT_KEYS = 100_000  # hot-key list broadcast up to this many keys, else a shuffle join
+
+
+def _admit_scan(d: DataFrame, key: str, ts: str, limit: int, window_seconds: float, tie: list[str]) -> DataFrame:
+    schema = T.StructType(d.schema.fields + [T.StructField("admitted", T.BooleanType()), T.StructField("window_start", T.TimestampType())])
+    return d.repartition(key).sortWithinPartitions(key, ts, *tie).mapInPandas(_admit_partition(key, ts, limit, window_seconds), schema)
+
+
+def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds: float, tie: list[str]) -> DataFrame:
+    """Fixed-window admission with no per-key task: every join below is on a
+    unique row index, so a key holding a third of all rows spreads evenly.
+
+    1. ``_i``: rank of each event in (key, time, tie) order (range partitioned).
+    2. ``next(i)``: the first event of the same key at or after ``t_i + W`` --
+       the number of events ordered before the probe row ``(key, t_i + W)``
+       in the union of events and probes is its rank minus ``i`` (probes keep
+       the event order), so ``next = rank - i + 1``; kept when the key matches.
+    3. Window starts are the orbit of each key's first event under ``next``,
+       found by pointer doubling: ``R <- R + J(R)``, ``J <- J o J``, which
+       covers chain positions ``[0, 2^k)`` after ``k`` rounds; each round is
+       checkpointed, and rounds stop when ``J(R)`` is empty (log2 of the
+       longest chain).
+    4. An event's window is the number of starts at or before it (a rank in
+       the union of starts and events); its position in the window decides
+       admission.
+    """
+    from ..operators.partitions import global_rank
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(d.sparkSession)
+    w_us = int(window_seconds * 1_000_000)
+    ev = global_rank(d.withColumn("_t", F.unix_micros(F.col(ts))), [key, "_t", *tie], "_i")
+    kcol = F.col(key).alias("_k")
+    union = ev.select(kcol, "_t", F.lit(1).alias("_kind"), F.col("_i").alias("_j")).unionByName(
+        ev.select(kcol, (F.col("_t") + F.lit(w_us)).alias("_t"), F.lit(0).alias("_kind"), F.col("_i").alias("_j")))
+    u = global_rank(union, ["_k", "_t", "_kind", "_j"], "_u")
+    probe = u.filter(F.col("_kind") == 0).select(F.col("_j").alias("_i"), "_k", (F.col("_u") - F.col("_j") + 1).alias("_n"))
+    owner = ev.select(F.col("_i").alias("_n"), F.col(key).alias("_nk"))
+    jump = probe.join(owner, "_n").filter(F.col("_k").eqNullSafe(F.col("_nk"))).select("_i", "_n").checkpoint(eager=True)
+    reach = ev.groupBy(key).agg(F.min("_i").alias("_i")).select("_i").checkpoint(eager=True)
+    frontier = reach
+    while True:
+        step = frontier.join(jump, "_i").select(F.col("_n").alias("_i")).checkpoint(eager=True)
+        if step.isEmpty():
+            break
+        reach = reach.unionByName(step).checkpoint(eager=True)  # positions [0, 2^k) and [2^k, 2^(k+1)) are disjoint
+        frontier = reach
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = a.join(b, F.col("a._n") == F.col("b._i")).select(F.col("a._i").alias("_i"), F.col("b._n").alias("_n")) \
+            .checkpoint(eager=True)
+    starts = reach.join(ev.select("_i", "_t"), "_i")
+    marks = starts.select("_i", F.lit(0).alias("_kind"), "_t").unionByName(
+        ev.select("_i", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_t")))
+    v = global_rank(marks, ["_i", "_kind"], "_v")
+    s_rank = v.filter(F.col("_kind") == 0).select((F.col("_v") - F.col("_i") + 1).alias("_c"), F.col("_i").alias("_s"),
+                                                  F.col("_t").alias("_st"))
+    e_win = v.filter(F.col("_kind") == 1).select("_i", (F.col("_v") - F.col("_i")).alias("_c"))
+    win = e_win.join(s_rank, "_c").select("_i", "_s", "_st")
+    out = ev.join(win, "_i")
+    return out.select(*d.columns, ((F.col("_i") - F.col("_s") + 1) <= F.lit(limit)).alias("admitted"),
+                      F.timestamp_micros("_st").alias("window_start"))
+
+
+def admit(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float,
+          hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """STR-5 (batch): fixed-window admission per key -- a window opens at the
     first event of a key, lasts ``window_seconds``, and admits the first
-    ``limit`` events; the next event after it opens a new window.
-
-    Window starts depend on the previous window, so each key is one ordered
-    scan: rows are hash-partitioned by key, sorted by (key, time) and
-    scanned batch by batch with O(1) state in ``mapInPandas`` (a key's rows
-    are never gathered into one frame). For the streaming form see
+    ``limit`` events; the next event after it opens a new window. Ties in
+    time are broken by the remaining columns. ``ts`` must not be null.
+
+    Window starts depend on the previous window. Ordinary keys are one
+    ordered scan each: rows are hash-partitioned by key, sorted by (key,
+    time) and scanned batch by batch with O(1) state in ``mapInPandas``.
+    Keys with more than ``hot_key_rows`` events (counted by a map-side
+    combined aggregate) are not given to one task: they take the exact
+    index-join plan of :func:`_admit_doubling`. The hot-key list is at most
+    ``rows / hot_key_rows`` long; it is broadcast only when its checked
+    count is at most ``MAX_BROADCAST_HOT_KEYS``. For the streaming form see
     :func:`admit_stream`.
     """
     d = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    schema = T.StructType(d.schema.fields + [T.StructField("admitted", T.BooleanType()), T.StructField("window_start", T.TimestampType())])
     tie = [c for c in d.columns if c not in (key, ts)]
-    return d.repartition(key).sortWithinPartitions(key, ts, *tie).mapInPandas(_admit_partition(key, ts, limit, window_seconds), schema)
+    hot = d.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_key_rows) \
+        .select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _admit_scan(d, key, ts, limit, window_seconds, tie)
+    hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_KEYS else hot
+    tagged = d.join(hot, F.col(key).eqNullSafe(F.col("_hk")), "left")
+    cold = tagged.filter(F.col("_hot").isNull()).select(*d.columns)
+    heavy = tagged.filter(F.col("_hot")).select(*d.columns)
+    return _admit_scan(cold, key, ts, limit, window_seconds, tie).unionByName(
+        _admit_doubling(heavy, key, ts, limit, window_seconds, tie))
 
 
 def admit_stream(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float, id_col: str) -> DataFrame:

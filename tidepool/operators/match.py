@@ -165,13 +165,12 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
     global order, so a group holding a third of all fields is still split
     across tasks.
     """
-    from ..session import checkpoint_dir
+    from ..session import materialize
 
-    checkpoint_dir(src.sparkSession)
     # the passes read both sides several times (joins, anti joins, two ranked
     # zips that each cut lineage); materialise them once in spark.checkpoint.dir
-    s0 = src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type")).checkpoint(eager=True)
-    d0 = dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type")).checkpoint(eager=True)
+    s0 = materialize(src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type")), "match-src")
+    d0 = materialize(dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type")), "match-dst")
     # pass 1: exact names (unique per schema, so a plain equi-join)
     p1 = s0.join(d0, (s0[key] == d0[key]) & (s0["s_name"] == d0["d_name"]), "inner").select(
         s0[key], "s_name", "d_name", F.when(F.col("s_type") == F.col("d_type"), 1.0).otherwise(0.9).alias("confidence"),
@@ -182,8 +181,12 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
     def zip_by(s, d, s_group, d_group):
         # rank inside (stream, group) without a keyed window: a hot group is
         # range-partitioned over many tasks (operators.partitions.rank_in_group)
-        sr = rank_in_group(s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["s_name"], "_r")
-        dr = rank_in_group(d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["d_name"], "_r")
+        # (hot_group_rows=None: always the range-rank path -- a group-size count
+        # per zip would recompute the earlier passes' lineage)
+        sr = rank_in_group(s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["s_name"], "_r",
+                           hot_group_rows=None)
+        dr = rank_in_group(d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["d_name"], "_r",
+                           hot_group_rows=None)
         return sr.join(dr, [key, "_g", "_r"], "inner")
 
     # pass 2: normalised names

@@ -144,9 +144,9 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     varies between runs, so two instances of the range exchange (column
     pruning makes the count branch its own instance) or a recomputation after
     a lost executor may cut differently. ``cut_lineage=True`` (the default)
-    therefore materialises the id'd rows once with a reliable
-    ``checkpoint()`` in ``spark.checkpoint.dir``; both branches and every
-    retry read those files. ``cut_lineage=False`` skips the write and is
+    therefore materialises the id'd rows once as a parquet table under
+    ``spark.checkpoint.dir`` (``session.materialize``); both branches and
+    every retry read those files. ``cut_lineage=False`` skips the write and is
     only safe when the input's row order is fixed (a plain file scan).
     """
     spark = df.sparkSession
@@ -157,31 +157,20 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     ided = ided.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
         "_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
     if cut_lineage:
-        from ..session import checkpoint_dir
+        from ..session import materialize
 
-        checkpoint_dir(spark)
-        ided = ided.checkpoint(eager=True)
+        ided = materialize(ided, "rank")
     counts = ided.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return ided.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("bigint")).drop("_mid", "_pid", "_loc", "_off")
 
 
-def rank_in_group(df: DataFrame, group_by: list[str], order_by: list, name: str = "_rank",
-                  num_partitions: int | None = None) -> DataFrame:
-    """1-based rank of each row inside its group (``row_number`` over
-    ``partition by group_by order by order_by``) without a keyed window.
-
-    A window sends a whole group to one task; here the rows are ranked in
-    the total order ``group_by + order_by`` by :func:`global_rank` (range
-    partitioned, so a group holding a third of all rows spreads over many
-    tasks), and the group's first rank -- a ``min`` aggregate, combined
-    map-side to one row per group and partition -- is subtracted. The join
-    back to the group starts is on the group key; a hot group there is one
-    row on the start side, which AQE's skew-join split handles (enabled by
-    ``get_session``). ``order_by`` should end in a column unique within the
-    group so the rank is deterministic.
-    """
+HOT_GROUP_ROWS = 1_000_000  # a group with more rows than this is ranked without a keyed window
+MAX_BROADCAST_HOT_GROUPS = 100_000  # hot-group list broadcast up to this many groups, else a shuffle join
+
+
+def _rank_hot_groups(df: DataFrame, group_by: list[str], order_by: list, name: str, num_partitions: int | None) -> DataFrame:
     ranked = global_rank(df, [*group_by, *order_by], "_gr", num_partitions, cut_lineage=True)
     starts = ranked.groupBy(*group_by).agg(F.min("_gr").alias("_g0"))
     starts = starts.select(*[F.col(g).alias(f"_gk{i}") for i, g in enumerate(group_by)], "_g0")
@@ -191,6 +180,39 @@ def rank_in_group(df: DataFrame, group_by: list[str], order_by: list, name: str
         .drop("_gr", "_g0", *[f"_gk{i}" for i in range(len(group_by))])
 
 
+def rank_in_group(df: DataFrame, group_by: list[str], order_by: list, name: str = "_rank",
+                  num_partitions: int | None = None, hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+    """1-based rank of each row inside its group (``row_number`` over
+    ``partition by group_by order by order_by``) that never gives a hot group
+    to one task.
+
+    Group sizes come from a map-side combined count. Groups of at most
+    ``hot_group_rows`` rows use the window (a task then holds at most that
+    many rows of any group). Larger groups are ranked in the total order
+    ``group_by + order_by`` by :func:`global_rank` (range partitioned, so a
+    group holding a third of all rows spreads over many tasks) minus the
+    group's first rank (a ``min`` aggregate; the join back is on the group
+    key with one row per group on the start side, which AQE's skew-join split
+    handles). The hot-group list is at most ``rows / hot_group_rows`` long and
+    is broadcast only under a checked count; ``hot_group_rows=None`` sends
+    every group down the range-rank path. ``order_by`` should end in a
+    column unique within the group so the rank is deterministic.
+    """
+    if hot_group_rows is None:  # every group by the range-rank path (no size count)
+        return _rank_hot_groups(df, group_by, order_by, name, num_partitions)
+    w = Window.partitionBy(*group_by).orderBy(*order_by)
+    hot = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_gn")).filter(F.col("_gn") > hot_group_rows) \
+        .select(*[F.col(g).alias(f"_hk{i}") for i, g in enumerate(group_by)], F.lit(True).alias("_hot"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_GROUPS else hot
+    tagged = df.join(hot, [F.col(g).eqNullSafe(F.col(f"_hk{i}")) for i, g in enumerate(group_by)], "left")
+    cold = tagged.filter(F.col("_hot").isNull()).select(*df.columns).withColumn(name, F.row_number().over(w).cast("bigint"))
+    heavy = tagged.filter(F.col("_hot")).select(*df.columns)
+    return cold.unionByName(_rank_hot_groups(heavy, group_by, order_by, name, num_partitions))
+
+
 def assign_batches(df: DataFrame, order_by: list, n: int = DEFAULT_BATCH_SIZE, name: str = "batch_id") -> DataFrame:
     """SNK-7: contiguous batches of at most ``n`` rows in ``order_by`` order."""
     r = global_rank(df, order_by, "_r")

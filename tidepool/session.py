@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -80,6 +81,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` as a parquet table in a fresh folder under the
+    shared checkpoint folder and read it back. Later stages and retried tasks
+    read these files, never a recomputation (columnar and compressed, so
+    cheaper than a row checkpoint)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_path(path: str) -> str:
     """POSIX form of a ``file:`` URI (for pyarrow / os code on a shared mount)."""
     if path.startswith("file://"):

@@ -231,16 +231,15 @@ def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds:
     3. Window starts are the orbit of each key's first event under ``next``,
        found by pointer doubling: ``R <- R + J(R)``, ``J <- J o J``, which
        covers chain positions ``[0, 2^k)`` after ``k`` rounds; each round is
-       checkpointed, and rounds stop when ``J(R)`` is empty (log2 of the
+       written as a table (``session.materialize``), and rounds stop when ``J(R)`` is empty (log2 of the
        longest chain).
     4. An event's window is the number of starts at or before it (a rank in
        the union of starts and events); its position in the window decides
        admission.
     """
     from ..operators.partitions import global_rank
-    from ..session import checkpoint_dir
+    from ..session import materialize
 
-    checkpoint_dir(d.sparkSession)
     w_us = int(window_seconds * 1_000_000)
     ev = global_rank(d.withColumn("_t", F.unix_micros(F.col(ts))), [key, "_t", *tie], "_i")
     kcol = F.col(key).alias("_k")
@@ -249,18 +248,18 @@ def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds:
     u = global_rank(union, ["_k", "_t", "_kind", "_j"], "_u")
     probe = u.filter(F.col("_kind") == 0).select(F.col("_j").alias("_i"), "_k", (F.col("_u") - F.col("_j") + 1).alias("_n"))
     owner = ev.select(F.col("_i").alias("_n"), F.col(key).alias("_nk"))
-    jump = probe.join(owner, "_n").filter(F.col("_k").eqNullSafe(F.col("_nk"))).select("_i", "_n").checkpoint(eager=True)
-    reach = ev.groupBy(key).agg(F.min("_i").alias("_i")).select("_i").checkpoint(eager=True)
+    jump = materialize(probe.join(owner, "_n").filter(F.col("_k").eqNullSafe(F.col("_nk"))).select("_i", "_n"), "admit-jump")
+    reach = materialize(ev.groupBy(key).agg(F.min("_i").alias("_i")).select("_i"), "admit-reach")
     frontier = reach
     while True:
-        step = frontier.join(jump, "_i").select(F.col("_n").alias("_i")).checkpoint(eager=True)
+        step = materialize(frontier.join(jump, "_i").select(F.col("_n").alias("_i")), "admit-step")
         if step.isEmpty():
             break
-        reach = reach.unionByName(step).checkpoint(eager=True)  # positions [0, 2^k) and [2^k, 2^(k+1)) are disjoint
+        reach = materialize(reach.unionByName(step), "admit-reach")  # positions [0, 2^k) and [2^k, 2^(k+1)) are disjoint
         frontier = reach
         a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, F.col("a._n") == F.col("b._i")).select(F.col("a._i").alias("_i"), F.col("b._n").alias("_n")) \
-            .checkpoint(eager=True)
+        jump = materialize(a.join(b, F.col("a._n") == F.col("b._i")).select(F.col("a._i").alias("_i"), F.col("b._n").alias("_n")),
+                           "admit-jump")
     starts = reach.join(ev.select("_i", "_t"), "_i")
     marks = starts.select("_i", F.lit(0).alias("_kind"), "_t").unionByName(
         ev.select("_i", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_t")))

@@ -180,13 +180,17 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
 
     def zip_by(s, d, s_group, d_group):
         # rank inside (stream, group) without a keyed window: a hot group is
-        # range-partitioned over many tasks (operators.partitions.rank_in_group)
-        # (hot_group_rows=None: always the range-rank path -- a group-size count
-        # per zip would recompute the earlier passes' lineage)
-        sr = rank_in_group(s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["s_name"], "_r",
-                           hot_group_rows=None)
-        dr = rank_in_group(d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["d_name"], "_r",
-                           hot_group_rows=None)
+        # range-partitioned over many tasks (operators.partitions.rank_in_group).
+        # Both sides are ranked in one call (the side is part of the group), and
+        # hot_group_rows=None takes the range-rank path directly -- a group-size
+        # count per zip would recompute the earlier passes' lineage.
+        both = s.select(key, s_group.alias("_g"), F.lit(0).alias("_side"), F.col("s_name").alias("_name"),
+                        F.col("s_type").alias("_type")).unionByName(
+            d.select(key, d_group.alias("_g"), F.lit(1).alias("_side"), F.col("d_name").alias("_name"),
+                     F.col("d_type").alias("_type"))).filter(F.col("_g").isNotNull())
+        r = rank_in_group(both, [key, "_g", "_side"], ["_name"], "_r", hot_group_rows=None)
+        sr = r.filter(F.col("_side") == 0).select(key, "_g", "_r", F.col("_name").alias("s_name"), F.col("_type").alias("s_type"))
+        dr = r.filter(F.col("_side") == 1).select(key, "_g", "_r", F.col("_name").alias("d_name"), F.col("_type").alias("d_type"))
         return sr.join(dr, [key, "_g", "_r"], "inner")
 
     # pass 2: normalised names

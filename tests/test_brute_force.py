@@ -104,3 +104,22 @@ def test_admission_hot_keys_match_reference(spark):
     starts = {r["i"]: r["window_start"] for r in ST.admit(df, "k", "ts", 4, 300, hot_key_rows=0).collect()}
     scan = {r["i"]: r["window_start"] for r in ST.admit(df, "k", "ts", 4, 300).collect()}
     assert starts == scan
+
+
+def test_admission_scan_carries_windows_across_batches(spark):
+    """Tiny Arrow batches: windows and keys run across batch boundaries; null keys form one key."""
+    random.seed(9)
+    base = dt.datetime(2024, 1, 1)
+    events = [(random.choice([1, 2, None]), base + dt.timedelta(seconds=random.randint(0, 3000)), i) for i in range(400)]
+    df = spark.createDataFrame(events, "k int, ts timestamp, i int")
+    keyed = [(-1 if k is None else k, t, i) for k, t, i in events]
+    want = admit_reference(keyed, 3, dt.timedelta(seconds=200))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["i"]: r["admitted"] for r in ST.admit(df, "k", "ts", limit=3, window_seconds=200).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want
+    hot = {r["i"]: r["admitted"] for r in ST.admit(df, "k", "ts", limit=3, window_seconds=200, hot_key_rows=0).collect()}
+    assert hot == want

@@ -187,25 +187,51 @@ ADMIT_DDL_EXTRA = "admitted boolean, window_start timestamp"
 
 
 def _admit_partition(key: str, ts: str, limit: int, window_s: float):
+    """Ordered scan of (key, time)-sorted batches, one Python step per window
+    (not per row): ``searchsorted`` finds where each window ends inside a key's
+    run of rows. The open window of the batch's last key is carried to the
+    next batch (O(1) state). Null keys form one key, as in ``groupBy``."""
     def fn(batches):
         import numpy as np
+        import pandas as pd
+
+        w = int(window_s * 1_000_000)
+        cur_key, start, used, have = None, 0, 0, False
+
+        def same(a, b):
+            return (pd.isna(a) and pd.isna(b)) or (not pd.isna(a) and not pd.isna(b) and a == b)
 
-        cur_key, start, used = object(), None, 0
         for pdf in batches:
-            keys = pdf[key].to_numpy()
-            t = pdf[ts].to_numpy()
-            out_ok = np.zeros(len(pdf), dtype=bool)
-            out_start = np.empty(len(pdf), dtype="datetime64[us]")
-            w = np.timedelta64(int(window_s * 1_000_000), "us")
-            for i in range(len(pdf)):
-                if keys[i] != cur_key or start is None or t[i] >= start + w:
-                    if keys[i] != cur_key:
-                        cur_key = keys[i]
-                    start, used = t[i], 0
-                used += 1
-                out_ok[i] = used <= limit
-                out_start[i] = start
-            yield pdf.assign(admitted=out_ok, window_start=out_start)
+            n = len(pdf)
+            if n == 0:
+                continue
+            keys = pdf[key]
+            t = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+            kna = keys.isna().to_numpy()
+            kv = keys.to_numpy()
+            change = np.ones(n, dtype=bool)
+            if n > 1:
+                change[1:] = ~((kna[1:] & kna[:-1]) | (~kna[1:] & ~kna[:-1] & (kv[1:] == kv[:-1])))
+            seg = np.flatnonzero(change)
+            seg_end = np.append(seg[1:], n)
+            starts = np.empty(n, dtype=np.int64)
+            pos = np.empty(n, dtype=np.int64)
+            for j, (a, b) in enumerate(zip(seg, seg_end)):
+                i = a
+                if j == 0 and have and same(kv[a], cur_key):  # the window left open by the last batch
+                    e = a + int(np.searchsorted(t[a:b], start + w, side="left"))
+                    starts[a:e] = start
+                    pos[a:e] = used + np.arange(1, e - a + 1)
+                    used += e - a
+                    i = e
+                while i < b:
+                    s0 = t[i]
+                    e = max(i + int(np.searchsorted(t[i:b], s0 + w, side="left")), i + 1)
+                    starts[i:e] = s0
+                    pos[i:e] = np.arange(1, e - i + 1)
+                    start, used, i = s0, e - i, e
+            cur_key, have = kv[n - 1], True
+            yield pdf.assign(admitted=pos <= limit, window_start=starts.astype("datetime64[us]"))
 
     return fn
 

@@ -100,25 +100,29 @@ def json_type_of(system: str, source_type: Column, mode: Column | None = None) -
 
 # ----------------------------------------------------------- flattening
 
-PROPS_DDL = "struct<type: string, properties: map<string, string>, required: array<string>, items: string>"
+# one JSON-Schema node parsed once: ``type`` / ``nullable`` / ``items`` keep their
+# JSON text when not a plain string (a union type arrives as '["T","null"]')
+NODE_DDL = "struct<type: string, nullable: string, properties: map<string, string>, required: array<string>, items: string>"
+ITEMS_DDL = "struct<properties: map<string, string>, required: array<string>>"
 
 
-def _level(df: DataFrame, schema_col: str, keys: list[str], prefix: Column, depth: int) -> DataFrame:
-    p = F.from_json(F.col(schema_col), PROPS_DDL)
-    return df.select(*keys, prefix.alias("_prefix"), F.coalesce(p["required"], F.array().cast("array<string>")).alias("_req"),
-                     F.explode(p["properties"]).alias("name", "_sub")).select(
+def _children(df: DataFrame, keys: list[str], prefix: Column, props: Column, required: Column, depth: int) -> DataFrame:
+    """One row per property of a parsed node: path, name, depth, required flag and the child's parsed node."""
+    req = F.coalesce(required, F.array().cast("array<string>"))
+    return df.select(*keys, prefix.alias("_prefix"), req.alias("_req"), F.explode(props).alias("name", "_sub")).select(
         *keys,
         F.when(F.col("_prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "_prefix", "name")).alias("path"),
-        "name", F.lit(depth).alias("depth"), F.array_contains("_req", F.col("name")).alias("required"), "_sub")
+        "name", F.lit(depth).alias("depth"), F.array_contains("_req", F.col("name")).alias("required"),
+        F.from_json(F.col("_sub"), NODE_DDL).alias("_n"))
 
 
-def _type_info(sub: Column) -> tuple[Column, Column]:
-    t_txt = F.get_json_object(sub, "$.type")
+def _type_info(node: Column) -> tuple[Column, Column]:
+    t_txt = node["type"]
     as_arr = F.from_json(t_txt, "array<string>")
     is_arr = t_txt.startswith("[")
     typ = F.when(is_arr, F.array_join(F.filter(as_arr, lambda x: x != "null"), " | ")).otherwise(F.coalesce(t_txt, F.lit("any")))
     nullable = F.when(is_arr, F.array_contains(as_arr, "null")).otherwise(F.lit(False)) | \
-        F.coalesce(F.get_json_object(sub, "$.nullable") == "true", F.lit(False))
+        F.coalesce(node["nullable"] == "true", F.lit(False))
     return typ, nullable
 
 
@@ -126,21 +130,23 @@ def field_tree(schemas: DataFrame, schema_col: str, keys: list[str], max_depth:
     """SCH-6: every field of JSON-Schema documents with ``path, name, depth, type,
     required, nullable``; union types are joined by `` | ``; objects with
     properties and arrays of objects are descended (up to ``max_depth`` levels,
-    one ``explode`` per level)."""
+    one ``explode`` per level). Each node's JSON is parsed once."""
     out = []
-    cur = _level(schemas, schema_col, keys, F.lit(""), 0)
+    root = F.from_json(F.col(schema_col), NODE_DDL)
+    cur = _children(schemas, keys, F.lit(""), root["properties"], root["required"], 0)
     for depth in range(max_depth):
-        typ, nullable = _type_info(F.col("_sub"))
+        typ, nullable = _type_info(F.col("_n"))
         cur = cur.withColumn("type", typ).withColumn("nullable", nullable)
         out.append(cur.select(*keys, "path", "name", "depth", "type", "required", "nullable"))
-        props = F.get_json_object(F.col("_sub"), "$.properties")
-        items_props = F.get_json_object(F.col("_sub"), "$.items.properties")
-        child_doc = F.when(props.isNotNull() & (props != "{}"), F.col("_sub")).when(
-            (F.col("type") == "array") & items_props.isNotNull(), F.get_json_object(F.col("_sub"), "$.items"))
-        nxt = cur.select(*keys, "path", child_doc.alias("_doc")).filter(F.col("_doc").isNotNull())
         if depth == max_depth - 1:
             break
-        cur = _level(nxt, "_doc", keys, F.col("path"), depth + 1)
+        # descend into an object with properties, else into the items of an array of objects
+        items = F.from_json(F.col("_n.items"), ITEMS_DDL)
+        has_props = F.col("_n.properties").isNotNull() & (F.size("_n.properties") > 0)
+        use_items = ~has_props & (F.col("type") == "array")
+        props = F.when(has_props, F.col("_n.properties")).when(use_items, items["properties"])
+        required = F.when(has_props, F.col("_n.required")).when(use_items, items["required"])
+        cur = _children(cur, keys, F.col("path"), props, required, depth + 1)
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

@@ -113,6 +113,22 @@ def test_global_rank_matches_row_number(spark):
     assert got == want
 
 
+def test_global_rank_consistent_on_shuffled_input_used_twice(spark):
+    """Input whose row order varies between runs (after shuffles), ranks read by
+    two branches of one plan: both must see the same cut of the data."""
+    random.seed(13)
+    data = [(random.randint(0, 30), i) for i in range(4000)]
+    df = spark.createDataFrame(data, "a int, b int").repartition(6, "a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    r = P.global_rank(df, ["a", "b"], "_r", num_partitions=5)
+    firsts = r.groupBy("a").agg(F.min("_r").alias("_f"))
+    got = {row["b"]: (row["_r"], row["_f"]) for row in r.join(firsts, "a").collect()}
+    order = sorted(data)
+    first = {}
+    for i, (a, _) in enumerate(order):
+        first.setdefault(a, i + 1)
+    assert got == {b: (i + 1, first[a]) for i, (a, b) in enumerate(order)}
+
+
 def test_rank_in_group_matches_row_number_with_hot_group(spark):
     random.seed(11)
     # group "hot" holds a third of the rows; None is a group of its own

@@ -25,6 +25,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op6_warc_index", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),
+f AS (SELECT d, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, q.d AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q LEFT JOIN f ON q.d = f.d AND n >= 100
+""")
+def warc_index(spark, sf_dir):
+    from .warc import archive
+
+    return archive(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_substring_dedup")
 def substring_dedup(spark, sf_dir):
     from .superkmer import remove_repeats

@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    from .quality import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op6_warc_index", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),
@@ -40,6 +47,33 @@ def warc_index(spark, sf_dir):
     return archive(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_line_frequency", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, t FROM d),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+raw AS (SELECT doc_id, host, hash(t) AS th, unnest(string_split(t, chr(10))) AS l FROM d),
+lines AS (SELECT * FROM (SELECT *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM raw) WHERE len(lw) > 0),
+dups AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, l, count(*) AS c FROM lines GROUP BY doc_id, l) GROUP BY doc_id),
+norm AS (SELECT doc_id, host, th, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS nl, len(lw) AS c FROM lines),
+sizes AS (SELECT host, count(DISTINCT hash(t)) AS a FROM d GROUP BY host),
+boiler AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT th) AS n FROM norm GROUP BY host, nl) JOIN sizes USING (host) WHERE n > 20 AND n > a * 0.01),
+gone AS (SELECT doc_id, sum(c) AS n FROM norm SEMI JOIN boiler USING (host, nl) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS boilerplate_words
+      FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND boilerplate_words < 0.8 * n_words AS kept
+FROM f
+""")
+def line_frequency(spark, sf_dir):
+    from .lines import judge
+
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_substring_dedup")
 def substring_dedup(spark, sf_dir):
     from .superkmer import remove_repeats

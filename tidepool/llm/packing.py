@@ -19,6 +19,7 @@ packing can join), a level has more groups, so no task grows with the input.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ CAPACITY = 4096
 END_ID = 1
 #: A sequence with at most this many free tokens is emitted at once.
 NEARLY_FULL = 8
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 1 << 21
+_BREAK = "\x00"
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 
@@ -69,15 +71,27 @@ class WordIds:
         self.at = np.zeros(1, np.int64)
 
     def learn(self) -> None:
-        """Encode the words looked up since the last call."""
+        """Encode the words looked up since the last call, many in one text:
+        ``_BREAK`` between spaces is always one id of its own. A word that
+        holds it goes alone."""
         fresh, self.index.fresh = [w.decode() for w in self.index.fresh], []
-        for i in range(0, len(fresh), 8192):
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh[i:i + 8192], add_special_tokens=False)]
-            ends = self.at[-1] + np.cumsum([len(x) for x in found])
-            if ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1])), np.uint32)])
-            self.ids[self.at[-1]:ends[-1]] = [x for ids in found for x in ids]
-            self.at = np.append(self.at, ends)
+        encode = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        (mark,) = encode(_BREAK)
+        found = []
+        for alone, group in itertools.groupby(fresh, lambda w: _BREAK in w):
+            words = list(group)
+            for i in range(0, len(words), n := 1 if alone else 512):
+                ids = encode(f" {_BREAK} ".join(words[i:i + n]))
+                marks = np.flatnonzero(ids == mark) if not alone else np.zeros(0, np.int64)
+                if not alone and len(marks) != len(words[i:i + n]) - 1:
+                    raise ValueError("the tokenizer's break id is not its own")
+                found.append((np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1))
+        ids, lens = (np.concatenate(x) for x in zip(*found))
+        ends = self.at[-1] + np.cumsum(lens)
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1])), np.uint32)])
+        self.ids[self.at[-1]:ends[-1]] = ids
+        self.at = np.append(self.at, ends)
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.index) > _CACHE_WORDS:

@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_minhash_near_dedup")
+def minhash_near_dedup(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 @query("op4_quality_classifier")
 def quality_classifier(spark, sf_dir):
     from .quality import classify

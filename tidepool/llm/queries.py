@@ -88,6 +88,13 @@ def substring_dedup(spark, sf_dir):
     return remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
+@query("op9_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    from .decontam import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     from .packing import pack_documents

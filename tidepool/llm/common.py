@@ -27,6 +27,7 @@ BATCH_ROWS = 1000
 NULL_ID = -(1 << 63)
 
 _BYTE_BASE, _WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,8 +120,16 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        runs = Runs(self.data.astype(np.uint64) + np.uint64(1), _BYTE_BASE)
-        return mix(runs.of(self.start, self.end))
+        """A hash of each word, worked out over about ``_SLICE`` bytes at a time."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + _SLICE, side="right")))
+            at = self.start[i]
+            runs = Runs(self.data[at: self.end[j - 1]].astype(np.uint64) + np.uint64(1), _BYTE_BASE)
+            out[i:j] = mix(runs.of(self.start[i:j] - at, self.end[i:j] - at))
+            i = j
+        return out
 
     def packed(self) -> tuple[np.ndarray, np.ndarray]:
         """All words with one space behind each, and where each word begins (one more entry ends the last)."""

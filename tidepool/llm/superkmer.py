@@ -36,7 +36,7 @@ GRAM = 4
 HEAVY_SHARE = 1e-5
 #: Longest super-k-mer, in windows; longer runs (periodic text) are cut.
 RUN_WINDOWS = 512
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 6
 _SEND_BYTES = 8 << 20
 _SEEN = 1 << 20
 _HIGH = np.uint64(1 << 63)

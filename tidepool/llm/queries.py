@@ -25,6 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_contextual_pii")
+def contextual_pii(spark, sf_dir):
+    from .pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @query("op2_minhash_near_dedup")
 def minhash_near_dedup(spark, sf_dir):
     from .minhash import near_duplicates

@@ -46,6 +46,13 @@ def quality_classifier(spark, sf_dir):
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op5_html_extraction")
+def html_extraction(spark, sf_dir):
+    from .html import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op6_warc_index", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),

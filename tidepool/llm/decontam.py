@@ -14,6 +14,7 @@ scanned for each block. Documents are never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,7 +116,7 @@ def align(passages: list[np.ndarray], regions: list[np.ndarray], width: int) ->
 def scan(index: Index, words: Words, q: int) -> list[tuple[int, int, int, int]]:
     """(document, passage, end in the document's normalised text, edits) of the best match in each band that holds one."""
     text, at = words.packed()
-    if not len(text):
+    if not len(text) or not len(index.keys):
         return []
     starts = at[words.first]  # of documents, in text
     h = grams(text, q)
@@ -168,6 +169,19 @@ def scan(index: Index, words: Words, q: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def blocks(benchmark: DataFrame, item: str = "item_id", item_text: str = "text", size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
+    """Distinct passages (id, text) in blocks of at most ``size`` bytes, or one passage; always one block at least."""
+    held, total = [], 0
+    rows = benchmark.select(F.coalesce(F.col(item).cast("long"), F.lit(NULL_ID)).alias("i"), F.encode(text_of(item_text), "UTF-8").alias("t")).distinct()
+    for r in rows.toLocalIterator():
+        if held and total + len(r["t"]) > size:
+            yield held
+            held, total = [], 0
+        held.append((r["i"], bytes(r["t"])))
+        total += len(r["t"])
+    yield held
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, end): documents that hold a passage, with its
     best match: fewest edits, then the first end (in bytes of the normalised text).
@@ -178,34 +192,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("end", pa.int64())])
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text).alias("text"))
-    spark = docs.sparkSession
 
     def block(items: list[tuple[int, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(items, q, rate))  # at most block_bytes of passages, or one passage
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(items, q, rate))
 
         def run(batches):
             index = shared.value
             for batch, data, offsets in chunks(batches):
-                found = scan(index, Words(data, offsets, lower=True), q) if len(index.keys) else []
+                found = scan(index, Words(data, offsets, lower=True), q)
                 ids = batch.column("doc_id").to_pylist()
                 columns = list(zip(*[(ids[d], int(index.ids[t]), e, end) for d, t, end, e in found])) or [[]] * 4
                 yield record(schema, *columns)
 
         return rows.mapInArrow(run, "doc_id long, item_id long, edits long, end long")
 
-    found, held, size = None, [], 0
-
-    def add(done: DataFrame | None, items, last: bool) -> DataFrame:
+    found = None
+    for items in blocks(benchmark, item, item_text, block_bytes):
         part = block(items)
-        part = part if last and done is None else cut(part, "leaks")  # one block's index at a time
-        return part if done is None else done.unionByName(part)
-
-    for r in benchmark.select(F.coalesce(F.col(item).cast("long"), F.lit(NULL_ID)).alias("i"), F.encode(text_of(item_text), "UTF-8").alias("t")).distinct().toLocalIterator():
-        if held and size + len(r["t"]) > block_bytes:
-            found, held, size = add(found, held, False), [], 0
-        held.append((r["i"], bytes(r["t"])))
-        size += len(r["t"])
-    found = add(found, held, True)
+        found = part if found is None else cut(found, "leaks").unionByName(cut(part, "leaks"))  # one block's index at a time
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "end")).alias("m"))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return best.select(shown("doc_id"), shown("item_id"), "m.edits", "m.end")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs``, all columns, that hold no passage; decided where a row is read, without a shuffle."""
+    names, spark = docs.columns, docs.sparkSession
+
+    def block(rows: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(build_index(items, q, rate))
+
+        def run(batches):
+            index = shared.value
+            for batch, data, offsets in chunks(batches, "_normal"):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, *_ in scan(index, Words(data, offsets, lower=True), q)]] = False
+                yield batch.filter(pa.array(keep)).select(names)
+
+        return rows.withColumn("_normal", text_of(text)).mapInArrow(run, docs.schema)
+
+    rows = None
+    for items in blocks(benchmark, item, item_text, block_bytes):
+        rows = block(docs if rows is None else cut(rows, "clean"), items)
+    return rows

@@ -28,17 +28,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     prepare(spark)
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # a null id is the greatest long here, so that both steps below are dealt by one plain key
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_number")
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(number)
+    return docs.select("*", number).join(kept, "_number", "left_semi").dropDuplicates(["_number"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    from .decontam import find_leaks
+    from .decontam import without_leaks
 
     prepare(spark)
-    leaked = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; one column per key in the result."""
+    other = {k: f"_other_{k}" for k in keys}
+    b = b.select(*[F.col(f"`{k}`").alias(other[k]) for k in keys], *[F.col(f"`{c}`") for c in b.columns if c not in keys])
+    cond = [a[f"`{k}`"].eqNullSafe(b[f"`{other[k]}`"]) for k in keys]
+    j = a.join(b, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return j
+    first = [F.coalesce(F.col(f"`{k}`"), F.col(f"`{other[k]}`")).alias(k) for k in keys]
+    return j.select(*first, *[F.col(f"`{c}`") for c in j.columns if c not in keys and c not in other.values()])
+
+
 STRATEGIES = ("source_wins", "dest_wins", "last_write_wins", "merge", "skip")
 
 
@@ -26,7 +38,7 @@ def find_conflicts(source: DataFrame, dest: DataFrame, keys: list[str], ts: str)
     cols = _payload_cols(source, keys, ts)
     s = source.select(*keys, F.struct(*cols).alias("source"), F.col(ts).alias("source_ts"))
     d = dest.select(*keys, F.struct(*cols).alias("dest"), F.col(ts).alias("dest_ts"))
-    return s.join(d, keys, "inner").filter(~F.col("source").eqNullSafe(F.col("dest")))
+    return null_safe_join(s, d, keys).filter(~F.col("source").eqNullSafe(F.col("dest")))
 
 
 def _merge_struct(newer: Column, older: Column, cols: list[str]) -> Column:
@@ -74,7 +86,7 @@ def sync_two_way(source: DataFrame, dest: DataFrame, keys: list[str], ts: str, s
     cols = _payload_cols(source, keys, ts)
     s = source.select(*keys, F.struct(*cols).alias("source"), F.col(ts).alias("source_ts"), F.lit(True).alias("_in_s"))
     d = dest.select(*keys, F.struct(*cols).alias("dest"), F.col(ts).alias("dest_ts"), F.lit(True).alias("_in_d"))
-    j = s.join(d, keys, "full_outer")
+    j = null_safe_join(s, d, keys, "full_outer")
     in_s, in_d = F.col("_in_s").isNotNull(), F.col("_in_d").isNotNull()
     equal = F.col("source").eqNullSafe(F.col("dest"))
     src_newer = F.coalesce(F.col("source_ts") >= F.col("dest_ts"), F.col("dest_ts").isNull())
@@ -111,9 +123,9 @@ def two_way_summary(result: DataFrame) -> DataFrame:
 
 def matched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """CON-8: rows of ``a`` with a partner in ``b``."""
-    return a.join(b.select(*keys), keys, "left_semi")
+    return null_safe_join(a, b.select(*keys), keys, "left_semi")
 
 
 def unmatched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """CON-8: rows of ``a`` without a partner in ``b``."""
-    return a.join(b.select(*keys), keys, "left_anti")
+    return null_safe_join(a, b.select(*keys), keys, "left_anti")

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .conflict import null_safe_join
+
 
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:
     """SNK-2: append rows; columns missing on either side become null."""
@@ -76,21 +78,21 @@ def soft_delete(target: DataFrame, snapshot: DataFrame, keys: list[str], deleted
     if not snapshot_is_full:
         raise ValueError("soft delete needs a full snapshot, not an incremental read")
     present = snapshot.select(*keys).distinct().withColumn("_present", F.lit(True))
-    j = target.join(present, keys, "left")
+    j = null_safe_join(target, present, keys, "left")
     gone = F.col("_present").isNull()
     return j.withColumn(flag, gone).withColumn(at_col, F.when(gone, F.lit(deleted_at).cast("timestamp"))).drop("_present")
 
 
 def route_writes(df: DataFrame, id_col: str, stream_col: str | None = None, writable: list[str] | None = None) -> dict[str, DataFrame]:
     """SNK-6: ``create`` (no id), ``update`` (id present; id split from ``properties``),
-    and ``rejected`` (stream without a write path)."""
-    ok = F.lit(True) if (stream_col is None or writable is None) else F.col(stream_col).isin(writable)
+    and ``rejected`` (stream without a write path; a null stream has none)."""
+    ok = F.lit(True) if (stream_col is None or writable is None) else F.coalesce(F.col(stream_col).isin(writable), F.lit(False))
     props = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (id_col, stream_col)]).alias("properties")
     keep = [stream_col] if stream_col else []
     return {
         "create": df.filter(ok & F.col(id_col).isNull()).select(*keep, props),
         "update": df.filter(ok & F.col(id_col).isNotNull()).select(*keep, F.col(id_col).alias("id"), props),
-        "rejected": df.filter(~ok).withColumn("error", F.concat(F.lit("no write path for stream "), F.col(stream_col).cast("string")))
+        "rejected": df.filter(~ok).withColumn("error", F.concat(F.lit("no write path for stream "), F.coalesce(F.col(stream_col).cast("string"), F.lit("null"))))
         if stream_col and writable is not None else df.filter(F.lit(False)).withColumn("error", F.lit(None).cast("string")),
     }
 
@@ -125,13 +127,14 @@ def reconcile(expected: DataFrame, actual: DataFrame, stream_col: str, errors: D
     """SNK-9: per stream, confirmed only if counts are equal and no errors; discrepancy text otherwise."""
     e = expected.groupBy(stream_col).agg(F.count(F.lit(1)).cast("bigint").alias("expected"))
     a = actual.groupBy(stream_col).agg(F.count(F.lit(1)).cast("bigint").alias("actual"))
-    j = e.join(a, stream_col, "full_outer").fillna(0, ["expected", "actual"])
+    j = null_safe_join(e, a, [stream_col], "full_outer").fillna(0, ["expected", "actual"])
     if errors is not None:
         er = errors.groupBy(stream_col).agg(F.count(F.lit(1)).cast("bigint").alias("errors"))
-        j = j.join(er, stream_col, "left").fillna(0, ["errors"])
+        j = null_safe_join(j, er, [stream_col], "left").fillna(0, ["errors"])
     else:
         j = j.withColumn("errors", F.lit(0).cast("bigint"))
     mismatch = F.col("expected") != F.col("actual")
+    # fixed value: the discrepancy text
     msg = F.when(mismatch, F.format_string("record count mismatch: expected %d, got %d (delta: %d)",
                                            F.col("expected"), F.col("actual"), F.col("expected") - F.col("actual")))
     return j.select(stream_col, "expected", "actual", "errors", (~mismatch & (F.col("errors") == 0)).alias("confirmed"),

@@ -286,3 +286,66 @@ def _snk12(spark, sf):
     ev = load(spark, sf, "events").select(F.when(F.col("event_type") == "signup", F.lit("")).otherwise(F.col("event_type")).alias("stream"),
                                           F.col("props").alias("data"), F.col("event_id").alias("seq"))
     return W.merge_states(ev, "stream", "data", "seq")
+
+
+# ------------------------------------------------------- null keys and streams
+
+def _keyed(df):
+    """Composite key (c_custkey, part) whose second column is null for every fourth key."""
+    return df.withColumn("part", F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 3))
+
+
+NULL_KEYS = ["c_custkey", "part"]
+NULL_KEY_SQL = COPIES_SQL.split("j AS (")[0].rstrip().rstrip(",") + """,
+s2 AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 3 END AS part FROM src),
+d2 AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 3 END AS part FROM dst),
+f AS (SELECT coalesce(s.c_custkey, d.c_custkey) AS c_custkey, coalesce(s.part, d.part) AS part, s.c_custkey IS NOT NULL AS in_s, d.c_custkey IS NOT NULL AS in_d,
+    s.c_acctbal AS s_bal, d.c_acctbal AS d_bal,
+    (s.c_name IS NOT DISTINCT FROM d.c_name AND s.c_acctbal IS NOT DISTINCT FROM d.c_acctbal AND s.c_mktsegment IS NOT DISTINCT FROM d.c_mktsegment) AS equal
+  FROM s2 s FULL OUTER JOIN d2 d ON s.c_custkey = d.c_custkey AND s.part IS NOT DISTINCT FROM d.part)
+"""
+
+
+@query("con01_null_keys", NULL_KEY_SQL + "SELECT c_custkey, part, s_bal AS source_balance, d_bal AS dest_balance FROM f WHERE in_s AND in_d AND NOT equal")
+def _con01_null(spark, sf):
+    r = CF.find_conflicts(_keyed(source_copy(spark, sf)), _keyed(dest_copy(spark, sf)), NULL_KEYS, "updated_at")
+    return r.select("c_custkey", "part", F.col("source.c_acctbal").alias("source_balance"), F.col("dest.c_acctbal").alias("dest_balance"))
+
+
+@query("con07_null_keys", NULL_KEY_SQL + """SELECT c_custkey, part,
+  CASE WHEN in_s AND NOT in_d THEN 'to_dest' WHEN in_d AND NOT in_s THEN 'to_source' WHEN equal THEN 'none' ELSE 'resolved' END AS action FROM f""")
+def _con07_null(spark, sf):
+    return CF.sync_two_way(_keyed(source_copy(spark, sf)), _keyed(dest_copy(spark, sf)), NULL_KEYS, "updated_at").select("c_custkey", "part", "action")
+
+
+@query("con08_null_keys", NULL_KEY_SQL + "SELECT c_custkey, part FROM f WHERE in_s AND NOT in_d")
+def _con08_null(spark, sf):
+    return CF.unmatched(_keyed(source_copy(spark, sf)), _keyed(dest_copy(spark, sf)), NULL_KEYS).select("c_custkey", "part")
+
+
+@query("snk05_null_keys", NULL_KEY_SQL + "SELECT c_custkey, part, NOT in_d AS _deleted FROM f WHERE in_s")
+def _snk05_null(spark, sf):
+    out = W.soft_delete(_keyed(source_copy(spark, sf)), _keyed(dest_copy(spark, sf)), NULL_KEYS, dt.datetime(2024, 2, 1))
+    return out.select("c_custkey", "part", "_deleted")
+
+
+@query("snk06_null_stream", """SELECT CASE WHEN stream IS NULL OR stream = 'AUTOMOBILE' THEN 'rejected' WHEN c_custkey % 2 = 0 THEN 'update' ELSE 'create' END AS route,
+  CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS stream FROM customer) GROUP BY 1""")
+def _snk06_null(spark, sf):
+    c = load(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("id"),
+                                           F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("stream"), "c_name")
+    routes = W.route_writes(c, "id", "stream", ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    parts = [v.select(F.lit(name).alias("route")) for name, v in routes.items()]
+    return W.union_all(parts).groupBy("route").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("snk09_null_stream", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS stream FROM customer),
+e AS (SELECT stream, count(*) AS expected FROM c GROUP BY 1), a AS (SELECT stream, count(*) AS actual FROM c WHERE c_custkey % 7 <> 0 OR stream IS NULL GROUP BY 1),
+er AS (SELECT stream, count(*) AS errors FROM c WHERE c_custkey % 30 = 0 GROUP BY 1)
+SELECT e.stream, CAST(expected AS BIGINT) AS expected, CAST(coalesce(actual, 0) AS BIGINT) AS actual, CAST(coalesce(errors, 0) AS BIGINT) AS errors,
+  expected = coalesce(actual, 0) AND coalesce(errors, 0) = 0 AS confirmed
+FROM e LEFT JOIN a ON e.stream IS NOT DISTINCT FROM a.stream LEFT JOIN er ON e.stream IS NOT DISTINCT FROM er.stream""")
+def _snk09_null(spark, sf):
+    c = load(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("stream"))
+    loaded = c.filter((F.col("c_custkey") % 7 != 0) | F.col("stream").isNull())
+    return W.reconcile(c, loaded, "stream", c.filter(F.col("c_custkey") % 30 == 0)).drop("discrepancy")

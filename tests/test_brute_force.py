@@ -88,38 +88,13 @@ def test_admission_matches_reference(spark):
     assert got == admit_reference(events, 3, dt.timedelta(seconds=600))
 
 
-def test_admission_hot_keys_match_reference(spark):
-    """Keys over the hot-key threshold take the index-join (pointer doubling) plan."""
+def test_admission_hot_and_null_keys_and_null_times(spark):
     random.seed(5)
     base = dt.datetime(2024, 1, 1)
     # key 1 holds half of the rows; second-granular times give equal timestamps
-    events = [((1 if i % 2 == 0 else random.randint(2, 6)), base + dt.timedelta(seconds=random.randint(0, 4000)), i)
-              for i in range(700)]
-    df = spark.createDataFrame(events, "k int, ts timestamp, i int")
-    want = admit_reference(events, 4, dt.timedelta(seconds=300))
-    for threshold in (0, 150):  # every key hot; only key 1 hot
-        out = ST.admit(df, "k", "ts", limit=4, window_seconds=300, hot_key_rows=threshold)
-        got = {r["i"]: r["admitted"] for r in out.collect()}
-        assert got == want
-    starts = {r["i"]: r["window_start"] for r in ST.admit(df, "k", "ts", 4, 300, hot_key_rows=0).collect()}
-    scan = {r["i"]: r["window_start"] for r in ST.admit(df, "k", "ts", 4, 300).collect()}
-    assert starts == scan
-
-
-def test_admission_scan_carries_windows_across_batches(spark):
-    """Tiny Arrow batches: windows and keys run across batch boundaries; null keys form one key."""
-    random.seed(9)
-    base = dt.datetime(2024, 1, 1)
-    events = [(random.choice([1, 2, None]), base + dt.timedelta(seconds=random.randint(0, 3000)), i) for i in range(400)]
-    df = spark.createDataFrame(events, "k int, ts timestamp, i int")
-    keyed = [(-1 if k is None else k, t, i) for k, t, i in events]
-    want = admit_reference(keyed, 3, dt.timedelta(seconds=200))
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = {r["i"]: r["admitted"] for r in ST.admit(df, "k", "ts", limit=3, window_seconds=200).collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert got == want
-    hot = {r["i"]: r["admitted"] for r in ST.admit(df, "k", "ts", limit=3, window_seconds=200, hot_key_rows=0).collect()}
-    assert hot == want
+    events = [((1 if i % 2 == 0 else random.choice([2, 3, None])), base + dt.timedelta(seconds=random.randint(0, 4000)), i) for i in range(500)]
+    timeless = [(1, None, 900), (None, None, 901)]
+    df = spark.createDataFrame(events + timeless, "k int, ts timestamp, i int")
+    got = {r["i"]: r["admitted"] for r in ST.admit(df, "k", "ts", limit=4, window_seconds=300).collect()}
+    assert got == admit_reference([(-1 if k is None else k, t, i) for k, t, i in events], 4, dt.timedelta(seconds=300))
+    assert sorted(r["i"] for r in ST.admission_rejects(df, "ts").collect()) == [900, 901]

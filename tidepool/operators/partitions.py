@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BATCH_SIZE = 1000  # records per batch of the source system
-MAX_EXTRACT_PARTITIONS = 8  # concurrent extract partitions of the source system
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -101,8 +100,9 @@ def offset_partition_of(rank0: Column, total: int, size: int) -> Column:
         F.lit(rem) + F.floor((rank0 - head) / max(q, 1))).cast("int")
 
 
-def plan_partitions(spark: SparkSession, total: int, batch: int = DEFAULT_BATCH_SIZE, cap: int = MAX_EXTRACT_PARTITIONS) -> DataFrame:
-    """SRC-17: ``total/batch`` clamped to 1..cap partitions; the last takes the remainder."""
+def plan_partitions(spark: SparkSession, total: int, cap: int, batch: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+    """SRC-17: ``total/batch`` clamped to 1..cap partitions (cap: how many extracts may
+    run at once, the caller's choice); the last takes the remainder."""
     n = min(max(total // batch, 1), cap)
     per = total // n
     i = F.col("id")
@@ -166,51 +166,13 @@ def global_rank(df: DataFrame, order_by: list, name: str = "_rank", num_partitio
     return ided.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("bigint")).drop("_mid", "_pid", "_loc", "_off")
 
 
-HOT_GROUP_ROWS = 1_000_000  # a group with more rows than this is ranked without a keyed window
-MAX_BROADCAST_HOT_GROUPS = 100_000  # hot-group list broadcast up to this many groups, else a shuffle join
-
-
-def _rank_hot_groups(df: DataFrame, group_by: list[str], order_by: list, name: str, num_partitions: int | None) -> DataFrame:
-    ranked = global_rank(df, [*group_by, *order_by], "_gr", num_partitions, cut_lineage=True)
-    starts = ranked.groupBy(*group_by).agg(F.min("_gr").alias("_g0"))
-    starts = starts.select(*[F.col(g).alias(f"_gk{i}") for i, g in enumerate(group_by)], "_g0")
-    cond = [F.col(g).eqNullSafe(F.col(f"_gk{i}")) for i, g in enumerate(group_by)]  # null groups rank like row_number
-    joined = ranked.join(starts, cond, "inner")
-    return joined.withColumn(name, (F.col("_gr") - F.col("_g0") + 1).cast("bigint")) \
-        .drop("_gr", "_g0", *[f"_gk{i}" for i in range(len(group_by))])
-
-
-def rank_in_group(df: DataFrame, group_by: list[str], order_by: list, name: str = "_rank",
-                  num_partitions: int | None = None, hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """1-based rank of each row inside its group (``row_number`` over
-    ``partition by group_by order by order_by``) that never gives a hot group
-    to one task.
-
-    Group sizes come from a map-side combined count. Groups of at most
-    ``hot_group_rows`` rows use the window (a task then holds at most that
-    many rows of any group). Larger groups are ranked in the total order
-    ``group_by + order_by`` by :func:`global_rank` (range partitioned, so a
-    group holding a third of all rows spreads over many tasks) minus the
-    group's first rank (a ``min`` aggregate; the join back is on the group
-    key with one row per group on the start side, which AQE's skew-join split
-    handles). The hot-group list is at most ``rows / hot_group_rows`` long and
-    is broadcast only under a checked count; ``hot_group_rows=None`` sends
-    every group down the range-rank path. ``order_by`` should end in a
-    column unique within the group so the rank is deterministic.
-    """
-    if hot_group_rows is None:  # every group by the range-rank path (no size count)
-        return _rank_hot_groups(df, group_by, order_by, name, num_partitions)
+def rank_in_group(df: DataFrame, group_by: list[str], order_by: list, name: str = "_rank") -> DataFrame:
+    """1-based rank of each row inside its group, for groups that are small by
+    nature (the fields of one stream with one name or type). ``order_by``
+    should end in a column unique within the group. For groups that can be
+    hot use :func:`global_rank`, which spreads any group over many tasks."""
     w = Window.partitionBy(*group_by).orderBy(*order_by)
-    hot = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_gn")).filter(F.col("_gn") > hot_group_rows) \
-        .select(*[F.col(g).alias(f"_hk{i}") for i, g in enumerate(group_by)], F.lit(True).alias("_hot"))
-    n_hot = hot.count()
-    if n_hot == 0:
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_GROUPS else hot
-    tagged = df.join(hot, [F.col(g).eqNullSafe(F.col(f"_hk{i}")) for i, g in enumerate(group_by)], "left")
-    cold = tagged.filter(F.col("_hot").isNull()).select(*df.columns).withColumn(name, F.row_number().over(w).cast("bigint"))
-    heavy = tagged.filter(F.col("_hot")).select(*df.columns)
-    return cold.unionByName(_rank_hot_groups(heavy, group_by, order_by, name, num_partitions))
+    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
 
 
 def assign_batches(df: DataFrame, order_by: list, n: int = DEFAULT_BATCH_SIZE, name: str = "batch_id") -> DataFrame:

@@ -349,12 +349,12 @@ def _fuz01(spark, sf):
     return load(spark, sf, "part").select("p_partkey", NM.normalize_name("p_name").alias("normalized"))
 
 
-@query("fuz02_name_similarity", f"""SELECT c_custkey, {_sim_sql('c_name', 's_name')} AS similarity
-FROM customer JOIN supplier ON c_custkey = s_suppkey""")
+@query("fuz02_name_similarity", f"""SELECT c_custkey, n_nationkey, {_sim_sql('c_name', 'n_name')} AS similarity
+FROM customer JOIN nation ON n_nationkey IN (c_nationkey, (c_nationkey + 7) % 25)""")
 def _fuz02(spark, sf):
-    c = load(spark, sf, "customer")
-    s = load(spark, sf, "supplier")
-    return c.join(s, c.c_custkey == s.s_suppkey).select("c_custkey", NM.name_similarity("c_name", "s_name").alias("similarity"))
+    """Every customer against its nation's name and one other's."""
+    c = load(spark, sf, "customer").withColumn("n_nationkey", F.explode(F.array("c_nationkey", ((F.col("c_nationkey") + 7) % 25).cast("int"))))
+    return c.join(load(spark, sf, "nation"), "n_nationkey").select("c_custkey", "n_nationkey", NM.name_similarity("c_name", "n_name").alias("similarity"))
 
 
 @query("fuz03_type_compat", CAT_SQL + f"""SELECT v1.stream, v1.path, {TC_SQL.format(a='v1.type', b='v2.type')} AS compat
@@ -387,7 +387,7 @@ pairs AS (SELECT s.stream, s.name AS src_path, d.name AS dst_path, s.type AS src
 
 def _pairs(spark, sf):
     src, dst = match_sides(spark, sf)
-    return MT.score_pairs(src, dst, "stream", checked=False)
+    return MT.score_pairs(src, dst, "stream")
 
 
 @query("fuz04_score_pairs", SIDES_SQL + """SELECT stream, src_path, dst_path, src_type, dst_type, round(score, 9) AS score
@@ -397,7 +397,25 @@ def _fuz04(spark, sf):
     return MT.score_pairs(src, dst, "stream").withColumn("score", F.round("score", 9))
 
 
-@query("fuz05_assign_greedy")
+GREEDY_SQL = SIDES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (
+  SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, src_path, dst_path) AS k FROM pairs WHERE score >= 0.3),
+g AS (
+  SELECT stream, src_path, dst_path, src_type, dst_type, score, k, true AS pick, [src_path] AS us, [dst_path] AS ud FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.stream, o.src_path, o.dst_path, o.src_type, o.dst_type, o.score, o.k,
+    NOT list_contains(us, o.src_path) AND NOT list_contains(ud, o.dst_path),
+    CASE WHEN NOT list_contains(us, o.src_path) AND NOT list_contains(ud, o.dst_path) THEN list_append(us, o.src_path) ELSE us END,
+    CASE WHEN NOT list_contains(us, o.src_path) AND NOT list_contains(ud, o.dst_path) THEN list_append(ud, o.dst_path) ELSE ud END
+  FROM g JOIN o ON o.stream = g.stream AND o.k = g.k + 1),
+picked AS (SELECT stream, src_path, dst_path, src_type, dst_type, round(score, 2) AS confidence FROM g WHERE pick)
+"""
+
+
+@query("fuz05_assign_greedy", GREEDY_SQL + """SELECT stream, src_path, dst_path, confidence,
+  CASE WHEN src_type <> dst_type AND src_type <> '' AND dst_type <> '' THEN
+    CASE WHEN dst_type = 'string' THEN 'to_string' WHEN dst_type IN ('integer', 'number') AND src_type = 'string' THEN 'to_float'
+         WHEN dst_type = 'integer' THEN 'to_int' WHEN dst_type = 'number' THEN 'to_float' WHEN dst_type = 'boolean' THEN 'to_bool' END
+  END AS transform FROM picked""")
 def _fuz05(spark, sf):
     return MT.assign_greedy(_pairs(spark, sf)).select("stream", "src_path", "dst_path", "confidence", "transform")
 
@@ -415,9 +433,9 @@ def _fuz06(spark, sf):
   SELECT s_suppkey, n_name, n_nationkey, {_sim_sql('s_name', 'n_name')} AS sim FROM supplier, nation)
 GROUP BY s_suppkey HAVING max(sim) > 0""")
 def _fuz07(spark, sf):
-    names = [r[0] for r in load(spark, sf, "nation").orderBy("n_nationkey").select("n_name").limit(10_001).collect()]
     s = load(spark, sf, "supplier").select("s_suppkey", "s_name")
-    return MT.best_dest_stream(s, "s_name", names).filter(F.col("best_stream").isNotNull()).select("s_suppkey", "best_stream", "best_score")
+    out = MT.best_dest_stream(s, "s_name", load(spark, sf, "nation"), "n_name", "n_nationkey", block=10)
+    return out.filter(F.col("best_stream").isNotNull()).select("s_suppkey", "best_stream", "best_score")
 
 
 @query("fuz08_mean_pair_score", SIDES_SQL + """SELECT stream, round(avg(score), 9) AS mean_score, CAST(count(*) AS BIGINT) AS pairs
@@ -427,9 +445,11 @@ def _fuz08(spark, sf):
                                                    F.count(F.lit(1)).cast("bigint").alias("pairs"))
 
 
-@query("fuz08_overall_confidence")
+@query("fuz08_overall_confidence", GREEDY_SQL + """SELECT stream, round(avg(confidence), 9) AS overall_confidence, CAST(count(*) AS BIGINT) AS mappings
+FROM picked GROUP BY stream""")
 def _fuz08b(spark, sf):
-    return MT.overall_confidence(MT.assign_greedy(_pairs(spark, sf)), "stream")
+    out = MT.overall_confidence(MT.assign_greedy(_pairs(spark, sf)), "stream")
+    return out.withColumn("overall_confidence", F.round("overall_confidence", 9))
 
 
 FN_SQL = "trim(lower(replace(replace({x}, '-', ''), '_', '')))"

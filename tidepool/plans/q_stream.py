@@ -56,21 +56,17 @@ def _snk14(spark, sf):
 EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-SLICE_DAYS = 5  # events span January 2024; files land in six time slices, in order
+FILES = 8
 
 
 def _event_files(spark, sf, with_copies=False):
-    """Land events as files the way a feed would: one append per time slice,
-    slice after slice, two files each -- so file arrival order follows event time."""
+    """Events shuffled over many files, so that arrival order has nothing to do
+    with event time; queries read one file per trigger."""
     ev = load(spark, sf, "events")
     if with_copies:
         ev = ev.unionByName(ev.filter(F.col("event_type") == "purchase").withColumn("value", F.col("value") + 1.0))
     d = _dir(spark, "stream-in")
-    start = dt.datetime(2024, 1, 1)
-    for i in range(7):
-        lo, hi = start + dt.timedelta(days=SLICE_DAYS * i), start + dt.timedelta(days=SLICE_DAYS * (i + 1))
-        cond = (F.col("ts") >= lo) & (F.col("ts") < hi) if i < 6 else (F.col("ts") >= lo) | (F.col("ts") < start)
-        ev.filter(cond).repartition(2).write.mode("append").parquet(d)
+    ev.repartition(FILES, F.xxhash64("event_id", "value")).write.parquet(d)
     return d
 
 
@@ -82,25 +78,35 @@ def _drain(spark, df, name):
 
 @query("str01_stream_sync", "SELECT event_id, event_type FROM events")
 def _str01(spark, sf):
-    src = ST.read_stream(spark, _event_files(spark, sf), "parquet", EVENTS_DDL, max_files_per_trigger=2)
+    src = ST.read_stream(spark, _event_files(spark, sf), "parquet", EVENTS_DDL, max_files_per_trigger=1)
     return _drain(spark, src.select("event_id", "event_type"), "str01").select("event_id", "event_type")
 
 
+@query("str01_row_bound", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS within_bound FROM events")
+def _str01b(spark, sf):
+    """Load batches (files) hold at most DEFAULT_MAX_ROWS rows."""
+    src = ST.read_stream(spark, _event_files(spark, sf), "parquet", EVENTS_DDL, max_files_per_trigger=4)
+    out = _dir(spark, "str01b-out")
+    ST.run_stream(src.select("event_id"), ST.batch_parquet_sink(out, max_rows=ST.DEFAULT_MAX_ROWS), _dir(spark, "str01b-ckpt"))
+    per = spark.read.parquet(out).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum("n").cast("bigint").alias("rows"), (F.max("n") <= ST.DEFAULT_MAX_ROWS).alias("within_bound"))
+
+
 @query("ded07_stream_dedup", "SELECT event_id FROM events")
 def _ded07(spark, sf):
-    src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf, True), "parquet", EVENTS_DDL, max_files_per_trigger=2), "ts")
-    return _drain(spark, ST.stream_dedup(src.select("event_id", "ts"), ["event_id"], "ts", "1 hour"), "ded07").select("event_id")
+    src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf, True), "parquet", EVENTS_DDL, max_files_per_trigger=1), "ts")
+    return _drain(spark, ST.stream_dedup(src.select("event_id", "ts"), ["event_id"]), "ded07").select("event_id")
 
 
 @query("str02_stream_transform", """SELECT event_id, user_id AS user_ref, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   upper(event_type) AS stream FROM events""")
 def _str02(spark, sf):
-    src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf, True), "parquet", EVENTS_DDL, max_files_per_trigger=2), "ts")
+    src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf, True), "parquet", EVENTS_DDL, max_files_per_trigger=1), "ts")
     src = src.withColumn("payload", F.from_json("props", "k STRING"))
     maps = [FieldMapping("event_id", "event_id"), FieldMapping("user_id", "user_ref", "rename"),
             FieldMapping("payload.k", "k", "cast", cast_type="int"),
             FieldMapping("event_type", "stream", "expression", expression="upper"), FieldMapping("ts", "ts")]
-    mapped = ST.stream_dedup(map_strict(src, maps), ["event_id"], "ts", "1 hour")
+    mapped = ST.stream_dedup(map_strict(src, maps), ["event_id"])
     return _drain(spark, mapped, "str02").select("event_id", "user_ref", "k", "stream")
 
 
@@ -164,17 +170,37 @@ def _str04b(spark, sf):
     return rejects.select("event_id", "source", "error")
 
 
-@query("str05_admission")
+ADMIT_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts FROM events),
+starts AS (
+  SELECT user_id, min(ts) AS s FROM e GROUP BY user_id HAVING min(ts) IS NOT NULL
+  UNION ALL
+  SELECT st.user_id, min(e.ts) AS s FROM starts st JOIN e ON e.user_id = st.user_id AND e.ts >= st.s + INTERVAL 1 DAY GROUP BY st.user_id),
+w AS (SELECT e.event_id, e.user_id, e.ts, st.s FROM e ASOF JOIN starts st ON e.user_id = st.user_id AND e.ts >= st.s)
+"""
+
+
+def _timed_events(spark, sf):
+    """events, every fiftieth without a time"""
+    ev = load(spark, sf, "events")
+    return ev.select("event_id", "user_id", F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("ts"))
+
+
+@query("str05_admission", ADMIT_SQL + """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) <= 3 AS admitted, s AS window_start FROM w""")
 def _str05(spark, sf):
-    ev = load(spark, sf, "events").select("event_id", "user_id", "ts")
-    return ST.admit(ev, "user_id", "ts", limit=3, window_seconds=86_400).select("event_id", "user_id", "admitted", "window_start")
+    out = ST.admit(_timed_events(spark, sf), "user_id", "ts", limit=3, window_seconds=86_400)
+    return out.select("event_id", "user_id", "admitted", F.col("window_start").cast("timestamp_ntz").alias("window_start"))
+
+
+@query("str05_admission_rejects", "SELECT event_id, 'event has no time' AS error FROM events WHERE event_id % 50 = 0")
+def _str05b(spark, sf):
+    return ST.admission_rejects(_timed_events(spark, sf), "ts").select("event_id", "error")
 
 
 @query("str06_window_metrics", """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n,
   round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def _str06(spark, sf):
-    src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf), "parquet", EVENTS_DDL, max_files_per_trigger=2), "ts")
-    agg = ST.window_metrics(src, "ts", "1 hour", "5 minutes", ["event_type"],
+    src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf), "parquet", EVENTS_DDL, max_files_per_trigger=1), "ts")
+    agg = ST.window_metrics(src, "ts", "5 minutes", ["event_type"],
                             [F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("value").alias("total")])
     out = _dir(spark, "str06-out")
 
@@ -192,12 +218,9 @@ def _str06(spark, sf):
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
 def _str07(spark, sf):
     inp = _dir(spark, "str07-in")
-    o = load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    years = F.year("o_orderdate")
-    for i, y in enumerate(range(1995, 2002)):  # change feed lands year by year, in order
-        cond = (years == y) if 0 < i < 6 else ((years <= y) if i == 0 else (years >= y))
-        o.filter(cond).repartition(2).write.mode("append").parquet(inp)
-    src = ST.read_stream(spark, inp, "parquet", "o_custkey BIGINT, o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ", max_files_per_trigger=2)
+    # changes arrive in no order at all: any file may hold older ones
+    load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate").repartition(6, F.xxhash64("o_orderkey")).write.parquet(inp)
+    src = ST.read_stream(spark, inp, "parquet", "o_custkey BIGINT, o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ", max_files_per_trigger=1)
     target = _dir(spark, "str07-table")
     ST.run_stream(src, ST.upsert_sink(target, ["o_custkey"], ["o_orderdate", "o_orderkey"]), _dir(spark, "str07-ckpt"))
     return ST.latest_version(spark, target)
@@ -217,18 +240,19 @@ def _dq01(spark, sf):
     return Q.source_report(good)
 
 
-@query("dq02_assertions", """SELECT 'events_nonempty' AS check_name, CAST(count(*) AS BIGINT) AS rows_checked, count(*) > 0 AS passed FROM events
-UNION ALL SELECT 'strict_coercion_no_rejects', CAST(count(*) AS BIGINT), true FROM events""")
+@query("dq02_assertions", """SELECT 'events_nonempty' AS check_name, CAST(count(*) AS BIGINT) AS rows_checked, CAST(0 AS BIGINT) AS rejects, count(*) > 0 AS passed FROM events
+UNION ALL SELECT 'strict_coercion_no_rejects', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL) AS BIGINT),
+  count(*) FILTER (WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL) = 0 FROM events""")
 def _dq02(spark, sf):
-    """The assertions raise on failure; the result reports what they checked."""
+    """The assertions raise on failure; the result reports what they counted."""
     ev = load(spark, sf, "events")
     Q.assert_nonempty(ev, "events")
     coerced = ev.select(C.coerce(F.get_json_object("props", "$.k"), "string", "int", on_error="null").alias("k"))
     Q.assert_no_rejects(coerced.filter(F.col("k").isNull()), "coercion")
-    counts = ev.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    counts = coerced.agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.count_if(F.col("k").isNull()).cast("bigint").alias("bad"))
     return counts.select(F.explode(F.array(
-        F.struct(F.lit("events_nonempty").alias("check_name"), F.col("n").alias("rows_checked"), (F.col("n") > 0).alias("passed")),
-        F.struct(F.lit("strict_coercion_no_rejects").alias("check_name"), F.col("n").alias("rows_checked"), F.lit(True).alias("passed")),
+        F.struct(F.lit("events_nonempty").alias("check_name"), F.col("n").alias("rows_checked"), F.lit(0).cast("bigint").alias("rejects"), (F.col("n") > 0).alias("passed")),
+        F.struct(F.lit("strict_coercion_no_rejects").alias("check_name"), F.col("n").alias("rows_checked"), F.col("bad").alias("rejects"), (F.col("bad") == 0).alias("passed")),
     )).alias("c")).select("c.*")
 
 
@@ -250,14 +274,28 @@ def _dq04(spark, sf):
     return Q.undeclared_fields(observed, declared, ["event_type", "field"]).select("event_type", "field")
 
 
-@query("str07_stream_soft_delete", "SELECT c_custkey, c_custkey % 7 = 0 AS _deleted FROM customer")
+@query("str07_stream_soft_delete", """SELECT c_custkey, c_name || CASE WHEN c_custkey % 7 <> 0 THEN ' v2' ELSE '' END AS c_name, c_custkey % 7 = 0 AS _deleted FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT c_custkey, c_name || ' v2', false FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0""")
 def _str07b(spark, sf):
-    """Two full snapshots arrive as micro-batches; keys missing from the second are flagged."""
+    """Two full snapshots, each over several micro-batches: the second drops
+    some keys, adds others and changes the names; a third never completes."""
     inp = _dir(spark, "str07sd-in")
     c = load(spark, sf, "customer").select("c_custkey", "c_name")
-    c.repartition(2).write.mode("append").parquet(inp)
-    c.filter(F.col("c_custkey") % 7 != 0).repartition(2).write.mode("append").parquet(inp)
-    src = ST.read_stream(spark, inp, "parquet", "c_custkey BIGINT, c_name STRING", max_files_per_trigger=2)
+    k = F.col("c_custkey")
+    first, second = c.filter(k % 5 != 0), c.filter(k % 7 != 0).withColumn("c_name", F.concat("c_name", F.lit(" v2")))
+    for number, rows, extra in ((1, first, 0), (2, second, 0), (3, c.filter(k % 2 == 0), 1)):
+        size = rows.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") + extra).alias("snapshot_rows"))
+        rows.crossJoin(F.broadcast(size)).withColumn("snapshot_id", F.lit(number)).repartition(3).write.mode("append").parquet(inp)
+    src = ST.read_stream(spark, inp, "parquet", "c_custkey BIGINT, c_name STRING, snapshot_rows BIGINT, snapshot_id INT", max_files_per_trigger=2)
     target = _dir(spark, "str07sd-table")
     ST.run_stream(src, ST.soft_delete_sink(target, ["c_custkey"], dt.datetime(2024, 2, 1)), _dir(spark, "str07sd-ckpt"))
-    return ST.latest_version(spark, target).select("c_custkey", "_deleted")
+    return ST.latest_version(spark, target).select("c_custkey", "c_name", "_deleted")
+
+
+@query("str04_null_source", "SELECT CAST(count(*) FILTER (WHERE event_id % 9 <> 0) AS BIGINT) AS events, CAST(count(*) FILTER (WHERE event_id % 9 = 0) AS BIGINT) AS rejects FROM events")
+def _str04c(spark, sf):
+    ev = load(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.lit("zendesk")).alias("source"),
+                                          F.lit('{"event_type": "ticket.created", "id": "1"}').alias("body"))
+    events, rejects = ST.parse_webhooks(ev, keep=["event_id"])
+    both = events.select(F.lit(1).alias("e")).unionByName(rejects.select(F.lit(0).alias("e")))
+    return both.agg(F.sum("e").cast("bigint").alias("events"), F.sum(1 - F.col("e")).cast("bigint").alias("rejects"))

@@ -89,7 +89,16 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables made by :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(path: str) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Micro-batch size and interval of the loader.
-DEFAULT_MAX_ROWS = 1000
+DEFAULT_MAX_ROWS = 1000  # of one load batch, see batch_parquet_sink
 DEFAULT_INTERVAL = "5 seconds"
 
 
@@ -35,14 +35,25 @@ def read_stream(spark: SparkSession, path: str, fmt: str, schema: T.StructType |
     return r.load(path)
 
 
-def stream_dedup(df: DataFrame, keys: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
-    """DED-7: drop a key seen before within the watermark; state older than the watermark is dropped."""
+def stream_dedup(df: DataFrame, keys: list[str], ts: str | None = None, watermark: str | None = None) -> DataFrame:
+    """DED-7: drop a key seen before, however long ago: the keys stay in the
+    state store (use the RocksDB store where they outgrow memory).
+
+    With ``ts`` and ``watermark`` state older than the watermark is dropped,
+    and rows that arrive later than that are lost: a choice for feeds whose
+    lateness is known to be bounded.
+    """
+    if watermark is None:
+        return df.dropDuplicates(keys)
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def window_metrics(df: DataFrame, ts: str, watermark: str, duration: str, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """STR-6: tumbling-window aggregates with a watermark; rows later than the watermark are dropped."""
-    return df.withWatermark(ts, watermark).groupBy(F.window(ts, duration).alias("window"), *keys).agg(*aggs)
+def window_metrics(df: DataFrame, ts: str, duration: str, keys: list[str], aggs: list[Column], watermark: str | None = None) -> DataFrame:
+    """STR-6: tumbling-window aggregates; late rows change their window (update
+    mode). With a ``watermark`` closed windows leave the state, and rows later
+    than it are lost."""
+    rows = df if watermark is None else df.withWatermark(ts, watermark)
+    return rows.groupBy(F.window(ts, duration).alias("window"), *keys).agg(*aggs)
 
 
 def run_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
@@ -64,16 +75,21 @@ def run_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     return q
 
 
-def batch_parquet_sink(target: str, state_target: str | None = None, state_fn: Callable[[DataFrame], DataFrame] | None = None):
-    """STR-3 / SNK-11: idempotent foreachBatch sink.
+def batch_parquet_sink(target: str, state_target: str | None = None, state_fn: Callable[[DataFrame], DataFrame] | None = None,
+                       max_rows: int | None = None):
+    """STR-1 / STR-3 / SNK-11: idempotent foreachBatch sink.
 
-    Data of batch ``n`` goes to ``target/batch_id=n`` (overwritten on replay);
-    only after that write succeeds is the batch's state row written to
+    Data of batch ``n`` goes to ``target/batch_id=n`` (overwritten on replay)
+    in load batches (files) of at most ``max_rows`` rows; only after that
+    write succeeds is the batch's state row written to
     ``state_target/batch_id=n``.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(target, f"batch_id={batch_id}"))
+        w = batch.write.mode("overwrite")
+        if max_rows:
+            w = w.option("maxRecordsPerFile", max_rows)
+        w.parquet(os.path.join(target, f"batch_id={batch_id}"))
         if state_target and state_fn is not None:
             state_fn(batch).write.mode("overwrite").parquet(os.path.join(state_target, f"batch_id={batch_id}"))
 
@@ -91,46 +107,96 @@ def _versions(spark: SparkSession, target: str) -> list[int]:
     return sorted(out)
 
 
-def upsert_sink(target: str, keys: list[str], order_by: list[str]):
-    """STR-7: upsert each micro-batch into a versioned parquet table.
+def _bucket_paths(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """Newest committed folder of each key bucket (of versions below ``before``)."""
+    from ..session import fs_list
+
+    out = {}
+    for v in _versions(spark, target):
+        if before is None or v < before:
+            for name, is_dir in fs_list(spark, f"{target.rstrip('/')}/v={v}"):
+                if is_dir and name.startswith("_bucket="):
+                    out[int(name[len("_bucket="):])] = f"{target.rstrip('/')}/v={v}/{name}"
+    return out
 
-    Version ``n`` (``target/v=n``) = upsert of batch ``n`` into the newest
-    earlier committed version; a replayed batch rewrites the same version,
-    so the result does not depend on how often a batch ran. Versions are
-    listed through the Hadoop file system API, so ``target`` may be on any
-    shared store.
+
+def upsert_sink(target: str, keys: list[str], order_by: list[str], buckets: int = 16):
+    """STR-7: upsert each micro-batch into a parquet table of key buckets.
+
+    Target and changes compete by ``order_by`` (columns of the table), so an
+    older change that arrives later never replaces a newer row; on a tie the
+    change wins. Only buckets with changed keys are written, as version
+    ``v=<batch>``; the folders they replace are deleted once the version is
+    committed. A replayed batch that is committed already does nothing. All
+    listing and deleting goes through the Hadoop file system API.
     """
-    from ..operators.writes import upsert
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = [v for v in _versions(spark, target) if v < batch_id]
-        current = batch.limit(0) if not prev else spark.read.parquet(f"{target.rstrip('/')}/v={prev[-1]}")
-        out = upsert(current, batch, keys, order_by)
-        out.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={batch_id}")
+        if batch_id in _versions(spark, target):
+            return
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        changes = batch.withColumn("_bucket", bucket)
+        touched = [r[0] for r in changes.select("_bucket").distinct().collect()]  # at most `buckets`
+        held = _bucket_paths(spark, target, batch_id)
+        old = {k: held[k] for k in touched if k in held}
+        rows = changes.withColumn("_tag", F.lit(1))
+        if old:
+            current = spark.read.parquet(*old.values()).withColumn("_bucket", bucket).withColumn("_tag", F.lit(0))
+            rows = rows.unionByName(current, allowMissingColumns=True)
+        row = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_tag"])
+        newest = rows.groupBy(*keys).agg(F.max_by(row, F.struct(*order_by, "_tag")).alias("_r")).select("_r.*")
+        newest.write.mode("overwrite").partitionBy("_bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
+        for path in old.values():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     return sink
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """Newest committed version of a table written by :func:`upsert_sink`."""
+    """The table as of the newest committed version, for tables written by
+    :func:`upsert_sink` (key buckets) and :func:`soft_delete_sink`."""
+    paths = _bucket_paths(spark, target)
+    if paths:
+        return spark.read.parquet(*paths.values())
     return spark.read.parquet(f"{target.rstrip('/')}/v={_versions(spark, target)[-1]}")
 
 
-def soft_delete_sink(target: str, keys: list[str], deleted_at):
-    """STR-7: each micro-batch is a full snapshot; keys missing from it are
-    flagged deleted in a new version of the target table (replay-safe)."""
-    from ..operators.writes import soft_delete
+def soft_delete_sink(target: str, keys: list[str], deleted_at, snapshot_col: str = "snapshot_id", size_col: str = "snapshot_rows"):
+    """STR-7: full snapshots, each possibly spread over many micro-batches.
+
+    Every row names its snapshot (an ascending number) and how many rows that
+    has. Batches are staged; once all rows of a snapshot are there it is
+    applied as version ``v=<snapshot>``: its rows are inserted or replace
+    the target's, keys missing from it are flagged deleted (keeping an
+    earlier time), keys that come back are live again. A snapshot that never
+    completes changes nothing.
+    """
+    from ..operators.conflict import null_safe_join
+
+    staging = f"{target.rstrip('/')}/_staging"
+
+    def apply(spark, snapshot: DataFrame, version: int) -> None:
+        live = snapshot.drop(snapshot_col, size_col, "batch_id").withColumns({"_deleted": F.lit(False), "_deleted_at": F.lit(None).cast("timestamp")})
+        done = [v for v in _versions(spark, target) if v < version]
+        if done:
+            current = spark.read.parquet(f"{target.rstrip('/')}/v={done[-1]}")
+            gone = null_safe_join(current, live.select(*keys), keys, "left_anti")
+            gone = gone.withColumn("_deleted_at", F.coalesce("_deleted_at", F.lit(deleted_at).cast("timestamp"))).withColumn("_deleted", F.lit(True))
+            live = live.unionByName(gone, allowMissingColumns=True)
+        live.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={version}")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = [v for v in _versions(spark, target) if v < batch_id]
-        if not prev:
-            out = batch.withColumn("_deleted", F.lit(False)).withColumn("_deleted_at", F.lit(None).cast("timestamp"))
-        else:
-            cur = spark.read.parquet(f"{target.rstrip('/')}/v={prev[-1]}").drop("_deleted", "_deleted_at")
-            out = soft_delete(cur, batch, keys, deleted_at)
-        out.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
+        staged = spark.read.parquet(staging)
+        last = max(_versions(spark, target), default=None)
+        counts = staged.groupBy(snapshot_col).agg(F.count(F.lit(1)).alias("n"), F.max(size_col).alias("size")).where("n = size")
+        if last is not None:
+            counts = counts.where(F.col(snapshot_col) > last)
+        for (version,) in sorted(tuple(r) for r in counts.select(snapshot_col).collect()):  # complete and not applied yet
+            apply(spark, staged.where(F.col(snapshot_col) == version), version)
 
     return sink
 
@@ -162,7 +228,7 @@ def parse_webhooks(df: DataFrame, source_col: str = "source", body_col: str = "b
     zd = F.from_json(body, WEBHOOK_SCHEMAS["zendesk"])
     ic = F.from_json(body, WEBHOOK_SCHEMAS["intercom"])
     reason = (
-        F.when(~src.isin(*WEBHOOK_SCHEMAS), F.lit("unknown source"))
+        F.when(~F.coalesce(src.isin(*WEBHOOK_SCHEMAS), F.lit(False)), F.lit("unknown source"))
         .when((src == "hubspot") & (F.coalesce(F.size(hs), F.lit(-1)) <= 0), F.lit("hubspot: expected a non-empty array of events"))
         .when((src == "salesforce") & F.coalesce(sf["sobject_type"], F.lit("")).eqNullSafe(""), F.lit("salesforce: missing sobject_type"))
         .when((src == "zendesk") & F.coalesce(zd["event_type"], F.lit("")).eqNullSafe(""), F.lit("zendesk: missing event_type"))
@@ -183,71 +249,22 @@ def parse_webhooks(df: DataFrame, source_col: str = "source", body_col: str = "b
 
 # ------------------------------------------------------------ admission
 
-ADMIT_DDL_EXTRA = "admitted boolean, window_start timestamp"
+def admission_rejects(df: DataFrame, ts: str) -> DataFrame:
+    """STR-5: events without a time; they belong to no window and are not admitted."""
+    return df.where(F.col(ts).isNull()).withColumn("error", F.lit("event has no time"))
 
 
-def _admit_partition(key: str, ts: str, limit: int, window_s: float):
-    """Ordered scan of (key, time)-sorted batches, one Python step per window
-    (not per row): ``searchsorted`` finds where each window ends inside a key's
-    run of rows. The open window of the batch's last key is carried to the
-    next batch (O(1) state). Null keys form one key, as in ``groupBy``."""
-    def fn(batches):
-        import numpy as np
-        import pandas as pd
+def admit(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float) -> DataFrame:
+    """STR-5 (batch): fixed-window admission per key -- a window opens at the
+    first event of a key, lasts ``window_seconds``, and admits the first
+    ``limit`` events; the next event after it opens a new window. Ties in
+    time are broken by the remaining columns. Null keys are one key; events
+    without a time are left to :func:`admission_rejects`. For the streaming
+    form see :func:`admit_stream`.
 
-        w = int(window_s * 1_000_000)
-        cur_key, start, used, have = None, 0, 0, False
-
-        def same(a, b):
-            return (pd.isna(a) and pd.isna(b)) or (not pd.isna(a) and not pd.isna(b) and a == b)
-
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            keys = pdf[key]
-            t = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
-            kna = keys.isna().to_numpy()
-            kv = keys.to_numpy()
-            change = np.ones(n, dtype=bool)
-            if n > 1:
-                change[1:] = ~((kna[1:] & kna[:-1]) | (~kna[1:] & ~kna[:-1] & (kv[1:] == kv[:-1])))
-            seg = np.flatnonzero(change)
-            seg_end = np.append(seg[1:], n)
-            starts = np.empty(n, dtype=np.int64)
-            pos = np.empty(n, dtype=np.int64)
-            for j, (a, b) in enumerate(zip(seg, seg_end)):
-                i = a
-                if j == 0 and have and same(kv[a], cur_key):  # the window left open by the last batch
-                    e = a + int(np.searchsorted(t[a:b], start + w, side="left"))
-                    starts[a:e] = start
-                    pos[a:e] = used + np.arange(1, e - a + 1)
-                    used += e - a
-                    i = e
-                while i < b:
-                    s0 = t[i]
-                    e = max(i + int(np.searchsorted(t[i:b], s0 + w, side="left")), i + 1)
-                    starts[i:e] = s0
-                    pos[i:e] = np.arange(1, e - i + 1)
-                    start, used, i = s0, e - i, e
-            cur_key, have = kv[n - 1], True
-            yield pdf.assign(admitted=pos <= limit, window_start=starts.astype("datetime64[us]"))
-
-    return fn
-
-
-HOT_KEY_ROWS = 1_000_000  # a key with more events than this is not scanned by one task
-MAX_BROADCAST_HOT_KEYS = 100_000  # hot-key list broadcast up to this many keys, else a shuffle join
-
-
-def _admit_scan(d: DataFrame, key: str, ts: str, limit: int, window_seconds: float, tie: list[str]) -> DataFrame:
-    schema = T.StructType(d.schema.fields + [T.StructField("admitted", T.BooleanType()), T.StructField("window_start", T.TimestampType())])
-    return d.repartition(key).sortWithinPartitions(key, ts, *tie).mapInPandas(_admit_partition(key, ts, limit, window_seconds), schema)
-
-
-def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds: float, tie: list[str]) -> DataFrame:
-    """Fixed-window admission with no per-key task: every join below is on a
-    unique row index, so a key holding a third of all rows spreads evenly.
+    Window starts depend on the previous window, yet no key is given to one
+    task: every join below is on a unique row index, so a key holding a third
+    of all rows spreads evenly.
 
     1. ``_i``: rank of each event in (key, time, tie) order (range partitioned).
     2. ``next(i)``: the first event of the same key at or after ``t_i + W`` --
@@ -264,8 +281,10 @@ def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds:
        admission.
     """
     from ..operators.partitions import global_rank
-    from ..session import materialize
+    from ..session import discard, materialize
 
+    d = df.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull())
+    tie = [c for c in d.columns if c not in (key, ts)]
     w_us = int(window_seconds * 1_000_000)
     ev = global_rank(d.withColumn("_t", F.unix_micros(F.col(ts))), [key, "_t", *tie], "_i")
     kcol = F.col(key).alias("_k")
@@ -276,16 +295,16 @@ def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds:
     owner = ev.select(F.col("_i").alias("_n"), F.col(key).alias("_nk"))
     jump = materialize(probe.join(owner, "_n").filter(F.col("_k").eqNullSafe(F.col("_nk"))).select("_i", "_n"), "admit-jump")
     reach = materialize(ev.groupBy(key).agg(F.min("_i").alias("_i")).select("_i"), "admit-reach")
-    frontier = reach
     while True:
-        step = materialize(frontier.join(jump, "_i").select(F.col("_n").alias("_i")), "admit-step")
+        step = materialize(reach.join(jump, "_i").select(F.col("_n").alias("_i")), "admit-step")
         if step.isEmpty():
             break
-        reach = materialize(reach.unionByName(step), "admit-reach")  # positions [0, 2^k) and [2^k, 2^(k+1)) are disjoint
-        frontier = reach
+        longer = materialize(reach.unionByName(step), "admit-reach")  # positions [0, 2^k) and [2^k, 2^(k+1)) are disjoint
         a, b = jump.alias("a"), jump.alias("b")
-        jump = materialize(a.join(b, F.col("a._n") == F.col("b._i")).select(F.col("a._i").alias("_i"), F.col("b._n").alias("_n")),
-                           "admit-jump")
+        jump2 = materialize(a.join(b, F.col("a._n") == F.col("b._i")).select(F.col("a._i").alias("_i"), F.col("b._n").alias("_n")), "admit-jump")
+        discard(reach, step, jump)
+        reach, jump = longer, jump2
+    discard(step, jump)
     starts = reach.join(ev.select("_i", "_t"), "_i")
     marks = starts.select("_i", F.lit(0).alias("_kind"), "_t").unionByName(
         ev.select("_i", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_t")))
@@ -299,61 +318,45 @@ def _admit_doubling(d: DataFrame, key: str, ts: str, limit: int, window_seconds:
                       F.timestamp_micros("_st").alias("window_start"))
 
 
-def admit(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float,
-          hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """STR-5 (batch): fixed-window admission per key -- a window opens at the
-    first event of a key, lasts ``window_seconds``, and admits the first
-    ``limit`` events; the next event after it opens a new window. Ties in
-    time are broken by the remaining columns. ``ts`` must not be null.
-
-    Window starts depend on the previous window. Ordinary keys are one
-    ordered scan each: rows are hash-partitioned by key, sorted by (key,
-    time) and scanned batch by batch with O(1) state in ``mapInPandas``.
-    Keys with more than ``hot_key_rows`` events (counted by a map-side
-    combined aggregate) are not given to one task: they take the exact
-    index-join plan of :func:`_admit_doubling`. The hot-key list is at most
-    ``rows / hot_key_rows`` long; it is broadcast only when its checked
-    count is at most ``MAX_BROADCAST_HOT_KEYS``. For the streaming form see
-    :func:`admit_stream`.
-    """
-    d = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    tie = [c for c in d.columns if c not in (key, ts)]
-    hot = d.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_key_rows) \
-        .select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"))
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _admit_scan(d, key, ts, limit, window_seconds, tie)
-    hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_KEYS else hot
-    tagged = d.join(hot, F.col(key).eqNullSafe(F.col("_hk")), "left")
-    cold = tagged.filter(F.col("_hot").isNull()).select(*d.columns)
-    heavy = tagged.filter(F.col("_hot")).select(*d.columns)
-    return _admit_scan(cold, key, ts, limit, window_seconds, tie).unionByName(
-        _admit_doubling(heavy, key, ts, limit, window_seconds, tie))
-
-
-def admit_stream(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float, id_col: str) -> DataFrame:
+def admit_stream(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float, id_col: str, idle_seconds: float | None = None) -> DataFrame:
     """STR-5 (streaming): the same rule with per-key state ``(window_start, used)``
-    kept by ``applyInPandasWithState``; events of a key must arrive in time order."""
+    kept by ``applyInPandasWithState``; events of a key must arrive in time
+    order from batch to batch (inside a batch any order will do). The state of
+    a key that has been idle for ``idle_seconds`` (processing time) is dropped.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     out_schema = f"{key} {dict(df.dtypes)[key]}, {id_col} {dict(df.dtypes)[id_col]}, admitted boolean, window_start timestamp"
 
     def fn(k, pdfs, state):
+        import numpy as np
         import pandas as pd
 
-        start, used = (state.get if state.exists else (None, 0))
-        w = pd.Timedelta(seconds=window_seconds)
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, id_col])
-            ok, starts = [], []
-            for t in pdf[ts]:
-                if start is None or t >= start + w:
-                    start, used = t, 0
-                used += 1
-                ok.append(used <= limit)
-                starts.append(start)
-            yield pd.DataFrame({key: pdf[key].values, id_col: pdf[id_col].values, "admitted": ok, "window_start": starts})
-        state.update((start, used))
-
-    return df.groupBy(key).applyInPandasWithState(fn, out_schema, "start timestamp, used long", "append",
-                                                  GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        rows = rows[rows[ts].notna()].sort_values([ts, id_col], ignore_index=True)
+        t = rows[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+        w = int(window_seconds * 1_000_000)
+        start, used = (None, 0)
+        if state.exists:
+            s0, used = state.get
+            start = int(pd.Timestamp(s0).value // 1000)
+        starts, place = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+        i = 0
+        while i < len(t):  # one step per window
+            if start is None or t[i] >= start + w:
+                start, used = int(t[i]), 0
+            e = max(int(np.searchsorted(t, start + w, side="left")), i + 1)
+            starts[i:e], place[i:e] = start, used + np.arange(1, e - i + 1)
+            used += e - i
+            i = e
+        if start is not None:
+            state.update((pd.Timestamp(start, unit="us"), used))
+            if idle_seconds is not None:
+                state.setTimeoutDuration(int(idle_seconds * 1000))
+        yield pd.DataFrame({key: rows[key].values, id_col: rows[id_col].values, "admitted": place <= limit, "window_start": starts.astype("datetime64[us]")})
+
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(key).applyInPandasWithState(fn, out_schema, "start timestamp, used long", "append", timeout)

@@ -29,15 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Runs, Words, buffers, chunks, cut, ints, mix, partitions, record, text_of, word_runs
+from .common import NULL_ID, Words, chunks, cut, ints, mix, partitions, record, squeezed, text_of, unsqueezed, word_runs
 
 WINDOW = 20
 GRAM = 4
 HEAVY_SHARE = 1e-5
 #: Longest super-k-mer, in windows; longer runs (periodic text) are cut.
 RUN_WINDOWS = 512
-BUCKETS_PER_PARTITION = 6
-_SEND_BYTES = 8 << 20
+BUCKETS_PER_PARTITION = 8
+_SEND_BYTES = 6 << 20
 _SEEN = 1 << 20
 _HIGH = np.uint64(1 << 63)
 
@@ -82,7 +82,7 @@ def _send(docs: DataFrame, heavy: np.ndarray, k: int, m: int, buckets: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # sorted; at most 2 / share entries
 
     def run(batches):
-        heavy, seen, pack = shared.value, {}, zstandard.ZstdCompressor(level=3)
+        heavy, seen, pack = shared.value, {}, zstandard.ZstdCompressor(level=6)
         for batch, data, offsets in chunks(batches, size=_SEND_BYTES):
             words = Words(data, offsets)
             n = len(words) - k + 1
@@ -140,7 +140,7 @@ def _send(docs: DataFrame, heavy: np.ndarray, k: int, m: int, buckets: int) -> D
                         seen.clear()
                     seen[place] = at
             if len(sure):
-                yield record(schema, np.abs(tag[sure]) % buckets, pa.nulls(len(sure), pa.binary()), doc[sure], tag[sure], start[sure], (start + ends - heads)[sure])
+                yield record(schema, (mix(doc[sure].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), pa.nulls(len(sure), pa.binary()), doc[sure], tag[sure], start[sure], (start + ends - heads)[sure])
             chosen = np.flatnonzero(send)
             bucket = (minimiser[chosen] % np.uint64(buckets)).astype(np.int32)
             chosen, bucket = chosen[o := np.argsort(bucket, kind="stable")], np.sort(bucket, kind="stable")
@@ -249,11 +249,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            cuts = offsets.tolist()
             rows = []
-            for i, runs in enumerate(batch.column("runs").to_pylist()):
-                words = data[cuts[i]:cuts[i + 1]].tobytes().split()
+            for text, runs in zip(unsqueezed(batch.column("text").to_pylist()), batch.column("runs").to_pylist()):
+                words = text.split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 for r in runs or ():
                     gone[r["start"]] += 1
@@ -265,5 +263,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             yield record(schema, batch.column("id"), *columns)
 
     runs = repeated_windows(docs, key, text, k, m, heavy_share).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    both = _documents(docs, key, text).join(runs, ["doc", "tag"], "left").select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("id"), "text", "runs")
+    both = squeezed(_documents(docs, key, text)).join(runs, ["doc", "tag"], "left").select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("id"), "text", "runs")
     return both.mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text).withColumnRenamed("key", key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Runs, Words, chunks, cut, mix, record, text_of
+from .common import NULL_ID, Runs, Words, chunks, cut, mix, record, spare, text_of
 
 Q = 12
 RATE = 0.05
@@ -217,19 +217,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no passage; decided where a row is read, without a shuffle."""
-    names, spark = docs.columns, docs.sparkSession
+    names, spark, normal = docs.columns, docs.sparkSession, spare(docs, "_normal")
 
     def block(rows: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(build_index(items, q, rate))
 
         def run(batches):
             index = shared.value
-            for batch, data, offsets in chunks(batches, "_normal"):
+            for batch, data, offsets in chunks(batches, normal):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[d for d, *_ in scan(index, Words(data, offsets, lower=True), q)]] = False
                 yield batch.filter(pa.array(keep)).select(names)
 
-        return rows.withColumn("_normal", text_of(text)).mapInArrow(run, docs.schema)
+        return rows.withColumn(normal, text_of(text)).mapInArrow(run, docs.schema)
 
     rows = None
     for items in blocks(benchmark, item, item_text, block_bytes):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, Words, chunks, cut, mix, record, text_of, word_runs
+from .common import Runs, Words, chunks, cut, mix, record, spare, text_of, word_runs
 
 #: A line is boilerplate when more than this share of its host's texts, and more than this many, hold it.
 LINE_SHARE, LINE_TEXTS = 0.01, 20
@@ -74,8 +74,8 @@ def text_facts(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
     # lines: cut at \n and at documents' ends; those with a word
     heads = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     heads = heads[heads < len(data)]
-    stops = np.append(heads[1:], len(data))
-    stops = np.where((stops > 0) & (data[stops - 1] == 10) if len(stops) else False, stops - 1, stops)
+    stops = np.append(heads[1:], len(data))[: len(heads)]
+    stops = stops - (data[stops - 1] == 10)
     a, b = np.searchsorted(words.start, heads), np.searchsorted(words.start, stops)
     heads, stops, a, b = (x[some] for x in (heads, stops, a, b)) if (some := b > a).any() else (heads[:0],) * 4
     doc = words.doc[a]
@@ -142,8 +142,8 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", share: float = LINE_SHARE, texts: int = LINE_TEXTS) -> DataFrame:
     """All rows, with ``text`` rid of boilerplate lines (hashed again in the
     scan; the host's line list joins as an array, as long as ``1 / share`` lines of average length times the words of a text)."""
-    found = boilerplate(cut(line_facts(docs, key, host, text), "line-facts"), share, texts).groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("host", "_host")
-    joined = docs.join(found, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
+    found = boilerplate(cut(line_facts(docs, key, host, text), "line-facts"), share, texts).groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias(gone := spare(docs, "_gone"))).withColumnRenamed("host", name := spare(docs, "_host"))
+    joined = docs.join(found, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col(name), "left")
 
     @F.pandas_udf("string")
     def strip(texts, gone):
@@ -166,4 +166,4 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "sourc
             out.append("\n".join(keep))
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text, strip(F.col(text), F.col("_gone"))).drop("_host", "_gone")
+    return joined.withColumn(text, strip(F.col(text), F.col(gone))).select(docs.columns)

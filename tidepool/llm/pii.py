@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, record, text_of
+from .common import NULL_ID, cut, record, spare, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -202,8 +202,8 @@ def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     date; a null text stays null. Base spans are found in the text at hand,
     discovered ones join by document and text hash."""
     found = cut(facts(docs, key, text), "pii-facts")
-    more = _added(found, discover(found, **options), "doc_id", "tag").withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "added": "_added"})
-    joined = docs.withColumn("_hash", F.xxhash64(text_of(text))).join(more, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")), "left")
+    more = _added(found, discover(found, **options), "doc_id", "tag").select(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "tag").alias(place := spare(docs, "_place")), F.col("added").alias(added := spare(docs, "_added")))
+    joined = docs.withColumn(place, F.struct(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), F.xxhash64(text_of(text)))).join(more, place, "left")
 
     @F.pandas_udf("string")
     def clean(texts, added):
@@ -211,5 +211,5 @@ def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
         return pd.Series([None if t is None else redact(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in (() if a is None else a)]) for t, a in zip(texts, added)], dtype=object)
 
-    out = joined.withColumn(text, clean(F.col(text), F.col("_added"))).drop("_hash", "_id", "_tag", "_added")
+    out = joined.withColumn(text, clean(F.col(text), F.col(added))).select(docs.columns)
     return out.withColumn(length, F.coalesce(F.length(text), F.lit(0)).cast("long")) if length in docs.columns else out

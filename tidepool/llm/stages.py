@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table
+from .common import prepare, read_table, spare
 
 
 def default_tokenizer() -> str:
@@ -29,9 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     prepare(spark)
     # a null id is the greatest long here, so that both steps below are dealt by one plain key
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_number")
+    name = spare(docs, "_number")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(name)
     kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(number)
-    return docs.select("*", number).join(kept, "_number", "left_semi").dropDuplicates(["_number"]).select(docs.columns)
+    return docs.select("*", number).join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

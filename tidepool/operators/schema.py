@@ -3,23 +3,17 @@
 A schema is a set of rows ``(stream, path, type, nullable, required,
 ordinal)`` -- a *field table* -- so thousands of catalogs are compared,
 versioned and flattened with joins and aggregates instead of a driver loop
-per schema. JSON-Schema documents enter as text and are flattened level by
-level with ``from_json`` into that table.
+per schema. JSON-Schema documents enter as text and are flattened, one pass
+over the documents, into that table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ------------------------------------------------------------- inference
 
-# Inferred field types of dynamic JSON records.
-INFERRED_TYPES = ("bool", "float64", "string", "json")
-
-
 def infer_fields(df: DataFrame, json_col: str, stream_col: str | None = None) -> DataFrame:
     """SCH-1: fields of a JSON-object text column over all rows (not one sample).
 
@@ -100,63 +94,83 @@ def json_type_of(system: str, source_type: Column, mode: Column | None = None) -
 
 # ----------------------------------------------------------- flattening
 
-# one JSON-Schema node parsed once: ``type`` / ``nullable`` / ``items`` keep their
-# JSON text when not a plain string (a union type arrives as '["T","null"]')
-NODE_DDL = "struct<type: string, nullable: string, properties: map<string, string>, required: array<string>, items: string>"
-ITEMS_DDL = "struct<properties: map<string, string>, required: array<string>>"
-
-
-def _children(df: DataFrame, keys: list[str], prefix: Column, props: Column, required: Column, depth: int) -> DataFrame:
-    """One row per property of a parsed node: path, name, depth, required flag and the child's parsed node."""
-    req = F.coalesce(required, F.array().cast("array<string>"))
-    return df.select(*keys, prefix.alias("_prefix"), req.alias("_req"), F.explode(props).alias("name", "_sub")).select(
-        *keys,
-        F.when(F.col("_prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "_prefix", "name")).alias("path"),
-        "name", F.lit(depth).alias("depth"), F.array_contains("_req", F.col("name")).alias("required"),
-        F.from_json(F.col("_sub"), NODE_DDL).alias("_n"))
-
-
-def _type_info(node: Column) -> tuple[Column, Column]:
-    t_txt = node["type"]
-    as_arr = F.from_json(t_txt, "array<string>")
-    is_arr = t_txt.startswith("[")
-    typ = F.when(is_arr, F.array_join(F.filter(as_arr, lambda x: x != "null"), " | ")).otherwise(F.coalesce(t_txt, F.lit("any")))
-    nullable = F.when(is_arr, F.array_contains(as_arr, "null")).otherwise(F.lit(False)) | \
-        F.coalesce(node["nullable"] == "true", F.lit(False))
-    return typ, nullable
+def _names(node: dict) -> tuple[dict, list]:
+    """Properties and required names of a node, or of the items of an array node."""
+    props = node.get("properties")
+    if not (isinstance(props, dict) and props) and node.get("type") == "array" and isinstance(node.get("items"), dict):
+        node = node["items"]
+        props = node.get("properties")
+    required = node.get("required")
+    return (props if isinstance(props, dict) else {}), (required if isinstance(required, list) else [])
+
+
+def _tree_rows(doc: dict):
+    """Every field of one schema document, parents before children (a stack, so no depth limit)."""
+    props, required = _names(doc) if isinstance(doc, dict) else ({}, [])
+    stack = [("", 0, name, sub, name in required) for name, sub in reversed(props.items())]
+    while stack:
+        prefix, depth, name, node, needed = stack.pop()
+        node = node if isinstance(node, dict) else {}
+        declared, path = node.get("type"), f"{prefix}{name}"
+        union = isinstance(declared, list)
+        kinds = [str(k) for k in declared if k != "null"] if union else []
+        yield path, name, depth, " | ".join(kinds) if union else str(declared) if declared is not None else "any", needed, (union and "null" in declared) or node.get("nullable") is True, str(node.get("description") or "")
+        below, required = _names(node)
+        stack += [(f"{path}.", depth + 1, k, sub, k in required) for k, sub in reversed(below.items())]
+
+
+def _leaf_rows(doc: dict):
+    """Leaf paths by the mapping rule: a type that is no plain string is ``string``,
+    and only nodes of type object with properties are descended."""
+    props = doc.get("properties") if isinstance(doc, dict) else None
+    stack = [("", name, sub) for name, sub in reversed(props.items())] if isinstance(props, dict) else []
+    while stack:
+        prefix, name, node = stack.pop()
+        kind = node.get("type") if isinstance(node, dict) else None
+        kind = kind if isinstance(kind, str) else "string"
+        below = node.get("properties") if kind == "object" else None
+        if isinstance(below, dict) and below:
+            stack += [(f"{prefix}{name}.", k, sub) for k, sub in reversed(below.items())]
+        else:
+            yield f"{prefix}{name}", kind
+
+
+def _walk(schemas: DataFrame, schema_col: str, keys: list[str], rows, ddl: str) -> DataFrame:
+    """One row per field that ``rows`` finds in each document, in one pass over
+    the documents and without a shuffle. A text that is no JSON object has no fields."""
+    names = [f.split()[0] for f in ddl.split(", ")]
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for record in pdf.itertuples(index=False, name=None):
+                try:
+                    doc = json.loads(record[-1]) if record[-1] is not None else {}
+                except ValueError:
+                    doc = {}
+                out += [(*record[:-1], *r) for r in rows(doc)]
+            yield pd.DataFrame(out, columns=[*keys, *names])
+
+    types = dict(schemas.dtypes)
+    return schemas.select(*keys, schema_col).mapInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in keys] + [ddl]))
+
+
+def field_tree(schemas: DataFrame, schema_col: str, keys: list[str]) -> DataFrame:
+    """SCH-6: every field of JSON-Schema documents with ``path, name, depth, type,
+    required, nullable, description``; union types are joined by `` | ``; objects with
+    properties and arrays of objects are descended, however deep."""
+    return _walk(schemas, schema_col, keys, _tree_rows, "path string, name string, depth int, type string, required boolean, nullable boolean, description string")
 
 
-def field_tree(schemas: DataFrame, schema_col: str, keys: list[str], max_depth: int = 8) -> DataFrame:
-    """SCH-6: every field of JSON-Schema documents with ``path, name, depth, type,
-    required, nullable``; union types are joined by `` | ``; objects with
-    properties and arrays of objects are descended (up to ``max_depth`` levels,
-    one ``explode`` per level). Each node's JSON is parsed once."""
-    out = []
-    root = F.from_json(F.col(schema_col), NODE_DDL)
-    cur = _children(schemas, keys, F.lit(""), root["properties"], root["required"], 0)
-    for depth in range(max_depth):
-        typ, nullable = _type_info(F.col("_n"))
-        cur = cur.withColumn("type", typ).withColumn("nullable", nullable)
-        out.append(cur.select(*keys, "path", "name", "depth", "type", "required", "nullable"))
-        if depth == max_depth - 1:
-            break
-        # descend into an object with properties, else into the items of an array of objects
-        items = F.from_json(F.col("_n.items"), ITEMS_DDL)
-        has_props = F.col("_n.properties").isNotNull() & (F.size("_n.properties") > 0)
-        use_items = ~has_props & (F.col("type") == "array")
-        props = F.when(has_props, F.col("_n.properties")).when(use_items, items["properties"])
-        required = F.when(has_props, F.col("_n.required")).when(use_items, items["required"])
-        cur = _children(cur, keys, F.col("path"), props, required, depth + 1)
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
-def flatten_fields(schemas: DataFrame, schema_col: str, keys: list[str], max_depth: int = 8) -> DataFrame:
-    """SCH-5: leaf paths of JSON-Schema documents (objects with properties are
-    descended; an object without properties stays one field)."""
-    tree = field_tree(schemas, schema_col, keys, max_depth)
-    parents = tree.select(*keys, F.regexp_extract("path", r"^(.*)\.[^.]+$", 1).alias("path")).filter(F.col("path") != "").distinct()
-    leaves = tree.join(parents, keys + ["path"], "left_anti")
-    return leaves.select(*keys, "path", "type")
+def flatten_fields(schemas: DataFrame, schema_col: str, keys: list[str]) -> DataFrame:
+    """SCH-5: leaf paths of JSON-Schema documents; objects with properties are
+    descended, however deep, an object without and an array are leaves; a missing or
+    union type is ``string``."""
+    return _walk(schemas, schema_col, keys, _leaf_rows, "path string, type string")
 
 
 def field_count(tree: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,9 +192,6 @@ def parse_type_decl(type_json: Column) -> tuple[Column, Column]:
 
 # ------------------------------------------------------------------ diff
 
-CHANGE_KINDS = ("removed_field", "added_field", "type_change", "nullable_change")
-
-
 def schema_diff(old: DataFrame, new: DataFrame, keys: list[str], field: str = "path") -> DataFrame:
     """SCH-8: changes between two field tables, one row per change.
 
@@ -227,20 +238,42 @@ def change_events(diff: DataFrame, keys: list[str], field: str = "path") -> Data
 
 # ------------------------------------------------------------- versions
 
-def append_versions(history: DataFrame, discovered: DataFrame, keys: list[str], field: str = "path") -> DataFrame:
-    """SCH-11: new version rows for streams whose discovered schema differs from
-    their latest version; number = latest + 1 (1 for a new stream).
-
-    ``history(keys, version, field rows...)`` holds field rows per version.
-    Output: ``(keys, version, n_fields, n_changes)`` of the appended versions.
+def append_versions(versions: DataFrame, fields: DataFrame, discovered: DataFrame, streams: DataFrame, keys: list[str],
+                    field: str = "path") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SCH-11: (versions, fields, changes) to append for the ``streams`` of a discovery.
+
+    ``versions(keys, version)`` and ``fields(keys, version, field, type,
+    nullable, ...)`` are the history, ``discovered`` the field table found
+    now. A stream gets version latest + 1 when its fields differ from its
+    latest version, also when none are left, and version 1 when it is new; a
+    stream that was not discovered gets none. Appended versions carry
+    ``n_fields`` and ``n_changes``, appended fields and changes their version
+    (a first version has no changes).
     """
-    latest_v = history.groupBy(*keys).agg(F.max("version").alias("version"))
-    latest = history.join(latest_v, keys + ["version"], "left_semi")
-    diff = schema_diff(latest, discovered, keys, field)
+    last = versions.groupBy(*keys).agg(F.max("version").alias("version"))
+    latest = fields.join(last, keys + ["version"], "left_semi")
+    seen = streams.select(*keys).distinct()
+    diff = schema_diff(latest.join(seen, keys, "left_semi"), discovered, keys, field)
     changed = diff.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_changes"))
-    nf = discovered.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_fields"))
-    return changed.join(nf, keys, "inner").join(latest_v, keys, "left").select(
-        *keys, (F.coalesce(F.col("version"), F.lit(0)) + 1).alias("version"), "n_fields", "n_changes")
+    width = discovered.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_fields"))
+    j = seen.join(last, keys, "left").join(changed, keys, "left").join(width, keys, "left")
+    new = j.where(F.col("version").isNull() | F.col("n_changes").isNotNull()).select(
+        *keys, (F.coalesce("version", F.lit(0)) + 1).alias("version"), F.coalesce("n_fields", F.lit(0).cast("bigint")).alias("n_fields"),
+        F.when(F.col("version").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_changes")).alias("n_changes"))
+    numbered = new.select(*keys, "version")
+    changes = diff.join(numbered.where("version > 1"), keys)
+    return new, discovered.join(numbered, keys), changes
+
+
+def version_at(versions: DataFrame, keys: list[str], version: int) -> DataFrame:
+    """SCH-12: the version row with this number, per stream that has it."""
+    return versions.where(F.col("version") == version)
+
+
+def list_versions(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """SCH-12: all versions of every stream with their place ``newest`` (1 for the
+    newest); a stream's versions are few."""
+    return versions.withColumn("newest", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("version").desc())).cast("bigint"))
 
 
 def latest_version(versions: DataFrame, keys: list[str]) -> DataFrame:

@@ -142,26 +142,48 @@ def schema_docs(spark, sf):
                                                 F.array_join(F.collect_list(obj), ","), F.lit("}}")).alias("schema"))
 
 
-@query("sch05_flatten_fields", CAT_SQL + "SELECT stream, regexp_replace(path, '_', '.') AS path, type FROM v1")
+DEEP = [f"l{i}" for i in range(10)]  # ten levels of objects with one leaf
+
+
+def odd_schema_docs(spark, sf):
+    """The v1 documents, each with a union, an untyped field, an array of
+    objects and a field ten objects deep with a description."""
+    deep = '{"type":"integer","description":"a Ring of values"}'
+    for name in reversed(DEEP):
+        deep = '{"type":"object","properties":{"%s":%s}}' % (name, deep)
+    extra = ('"u":{"type":["integer","number","null"]},"x":{"title":"no type"},"list":{"type":"array","items":{"type":"object","properties":{"y":{"type":"integer"}},'
+             '"required":["y"]}},"deep":' + deep + ",")
+    start = '{"type":"object","properties":{'
+    return schema_docs(spark, sf).withColumn("schema", F.concat(F.lit(start + extra), F.expr(f"substring(schema, {len(start) + 1})")))
+
+
+DEEP_PATH = "deep." + ".".join(DEEP)
+
+
+@query("sch05_flatten_fields", CAT_SQL + f"""SELECT stream, regexp_replace(path, '_', '.') AS path, CASE WHEN nullable THEN 'string' ELSE type END AS type FROM v1
+UNION ALL SELECT stream, p, t FROM (SELECT DISTINCT stream FROM v1), (VALUES ('u', 'string'), ('x', 'string'), ('list', 'array'), ('{DEEP_PATH}', 'integer')) e(p, t)""")
 def _sch05(spark, sf):
-    return S.flatten_fields(schema_docs(spark, sf), "schema", ["stream"], max_depth=3)
+    return S.flatten_fields(odd_schema_docs(spark, sf), "schema", ["stream"])
 
 
-TREE_SQL = CAT_SQL + """, tree AS (
+_LEVELS = ", ".join(f"('{'.'.join(['deep', *DEEP[:i]])}', '{(['deep', *DEEP])[i]}', {i}, '{'object' if i < 10 else 'integer'}', false, false, '{'' if i < 10 else 'a Ring of values'}')" for i in range(11))
+TREE_SQL = CAT_SQL + f""", tree AS (
   SELECT stream, regexp_replace(path, '_', '.') AS path, regexp_extract(path, '^[^_]+_(.*)$', 1) AS name, 1 AS depth, type,
-    required, nullable FROM v1
-  UNION ALL SELECT DISTINCT stream, regexp_extract(path, '^([^_]+)_', 1), regexp_extract(path, '^([^_]+)_', 1), 0, 'object', false, false FROM v1)
+    required, nullable, '' AS description FROM v1
+  UNION ALL SELECT DISTINCT stream, regexp_extract(path, '^([^_]+)_', 1), regexp_extract(path, '^([^_]+)_', 1), 0, 'object', false, false, '' FROM v1
+  UNION ALL SELECT stream, e.* FROM (SELECT DISTINCT stream FROM v1), (VALUES ('u', 'u', 0, 'integer | number', false, true, ''), ('x', 'x', 0, 'any', false, false, ''),
+    ('list', 'list', 0, 'array', false, false, ''), ('list.y', 'y', 1, 'integer', true, false, ''), {_LEVELS}) e(p, n, d, t, r, nl, de))
 """
 
 
 @query("sch06_field_tree", TREE_SQL + "SELECT * FROM tree")
 def _sch06(spark, sf):
-    return S.field_tree(schema_docs(spark, sf), "schema", ["stream"], max_depth=3)
+    return S.field_tree(odd_schema_docs(spark, sf), "schema", ["stream"])
 
 
 @query("sch07_field_count", TREE_SQL + "SELECT stream, CAST(count(*) AS BIGINT) AS field_count FROM tree GROUP BY stream")
 def _sch07(spark, sf):
-    return S.field_count(S.field_tree(schema_docs(spark, sf), "schema", ["stream"], max_depth=3), ["stream"])
+    return S.field_count(S.field_tree(odd_schema_docs(spark, sf), "schema", ["stream"]), ["stream"])
 
 
 def _diff(spark, sf):
@@ -190,30 +212,71 @@ def _sch10(spark, sf):
     return v.select("stream", "path", t.alias("type"), n.alias("nullable"))
 
 
-VERS_SQL = CAT_SQL + """, appended AS (
-  SELECT d.stream, 2 AS version, CAST(nf.n AS BIGINT) AS n_fields, CAST(d.n AS BIGINT) AS n_changes
-  FROM (SELECT stream, count(*) AS n FROM diff GROUP BY stream) d JOIN (SELECT stream, count(*) AS n FROM v2 GROUP BY stream) nf
-    ON d.stream = nf.stream)
+# the second discovery finds every stream but those whose key is divisible by 11; of those divisible by 7 all
+# fields are gone; streams with a key divisible by 5 are new
+VERS_SQL = CAT_SQL.rstrip() + """, num AS (SELECT DISTINCT stream, CAST(substr(stream, 7) AS BIGINT) AS k FROM v1 UNION SELECT DISTINCT stream, CAST(substr(stream, 7) AS BIGINT) FROM v2),
+h1 AS (SELECT v1.* FROM v1 JOIN num USING (stream) WHERE k % 5 <> 0),
+d2 AS (SELECT v2.* FROM v2 JOIN num USING (stream) WHERE k % 11 <> 0 AND k % 7 <> 0),
+seen AS (SELECT stream FROM num WHERE k % 11 <> 0),
+hd AS (
+  SELECT coalesce(a.stream, b.stream) AS stream, coalesce(a.path, b.path) AS path,
+    CAST(a.path IS NULL OR b.path IS NULL OR a.type <> b.type AS INT) + CAST(a.path IS NOT NULL AND b.path IS NOT NULL AND a.nullable <> b.nullable AS INT) AS n
+  FROM (SELECT * FROM h1 WHERE stream IN (SELECT stream FROM seen)) a FULL OUTER JOIN d2 b ON a.stream = b.stream AND a.path = b.path),
+appended AS (
+  SELECT s.stream, CASE WHEN h.stream IS NULL THEN 1 ELSE 2 END AS version, CAST(coalesce(f.n, 0) AS BIGINT) AS n_fields,
+    CAST(CASE WHEN h.stream IS NULL THEN 0 ELSE d.n END AS BIGINT) AS n_changes
+  FROM seen s LEFT JOIN (SELECT DISTINCT stream FROM h1) h ON s.stream = h.stream
+  LEFT JOIN (SELECT stream, count(*) AS n FROM d2 GROUP BY 1) f ON s.stream = f.stream
+  LEFT JOIN (SELECT stream, sum(n) AS n FROM hd GROUP BY 1) d ON s.stream = d.stream
+  WHERE h.stream IS NULL OR coalesce(d.n, 0) > 0),
+versions AS (SELECT stream, 1 AS version, CAST(count(*) AS BIGINT) AS n_fields FROM h1 GROUP BY 1 UNION ALL SELECT stream, version, n_fields FROM appended)
 """
 
 
-def _appended(spark, sf):
-    hist = catalog_v1(spark, sf).withColumn("version", F.lit(1))
-    return S.append_versions(hist, catalog_v2(spark, sf), ["stream"])
+def _history(spark, sf):
+    """(versions, fields) before the second discovery, what it found and in which streams."""
+    v1, v2 = catalog_v1(spark, sf), catalog_v2(spark, sf)
+    k = F.substring("stream", 7, 20).cast("bigint")
+    held = v1.where(k % 5 != 0)
+    streams = v1.select("stream").union(v2.select("stream")).distinct().where(k % 11 != 0)
+    versions = held.groupBy("stream").agg(F.lit(1).alias("version"), F.count(F.lit(1)).cast("bigint").alias("n_fields"))
+    return versions, held.withColumn("version", F.lit(1)), v2.where((k % 11 != 0) & (k % 7 != 0)), streams
+
+
+def _versions(spark, sf):
+    versions, fields, found, streams = _history(spark, sf)
+    new, _, _ = S.append_versions(versions.select("stream", "version"), fields, found, streams, ["stream"])
+    return versions.unionByName(new.select("stream", "version", "n_fields"))
 
 
 @query("sch11_append_versions", VERS_SQL + "SELECT * FROM appended")
 def _sch11(spark, sf):
-    return _appended(spark, sf)
+    versions, fields, found, streams = _history(spark, sf)
+    return S.append_versions(versions, fields, found, streams, ["stream"])[0]
+
 
+@query("sch11_stored_rows", VERS_SQL + """SELECT 'fields' AS kind, a.stream, version, CAST(count(*) AS BIGINT) AS rows FROM d2 JOIN appended a USING (stream) GROUP BY ALL
+UNION ALL SELECT 'changes', stream, version, n_changes FROM appended WHERE version > 1""")
+def _sch11b(spark, sf):
+    versions, fields, found, streams = _history(spark, sf)
+    _, new_fields, changes = S.append_versions(versions, fields, found, streams, ["stream"])
+    count = lambda kind, df: df.groupBy("stream", "version").agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(F.lit(kind).alias("kind"), "stream", "version", "rows")
+    return count("fields", new_fields).unionByName(count("changes", changes))
 
-@query("sch12_latest_version", VERS_SQL + """SELECT stream, arg_max(version, version) AS version, arg_max(n_fields, version) AS n_fields FROM (
-  SELECT stream, 1 AS version, CAST(count(*) AS BIGINT) AS n_fields FROM v1 GROUP BY stream
-  UNION ALL SELECT stream, version, n_fields FROM appended) GROUP BY stream""")
+
+@query("sch12_latest_version", VERS_SQL + "SELECT stream, max(version) AS version, arg_max(n_fields, version) AS n_fields FROM versions GROUP BY stream")
 def _sch12(spark, sf):
-    v1 = catalog_v1(spark, sf).groupBy("stream").agg(F.lit(1).alias("version"), F.count(F.lit(1)).cast("bigint").alias("n_fields"))
-    versions = v1.unionByName(_appended(spark, sf).select("stream", "version", "n_fields"))
-    return S.latest_version(versions, ["stream"])
+    return S.latest_version(_versions(spark, sf), ["stream"])
+
+
+@query("sch12_version_by_number", VERS_SQL + "SELECT * FROM versions WHERE version = 2")
+def _sch12b(spark, sf):
+    return S.version_at(_versions(spark, sf), ["stream"], 2)
+
+
+@query("sch12_list_versions", VERS_SQL + "SELECT *, row_number() OVER (PARTITION BY stream ORDER BY version DESC) AS newest FROM versions")
+def _sch12c(spark, sf):
+    return S.list_versions(_versions(spark, sf), ["stream"])
 
 
 @query("sch13_stream_upsert", CAT_SQL + """SELECT coalesce(b.stream, a.stream) AS stream, coalesce(b.n_fields, a.n_fields) AS n_fields,
@@ -308,11 +371,11 @@ def _map14(spark, sf):
     return M.connections_from_mappings(maps, src, dst)
 
 
-@query("fil04_nested_field_search", TREE_SQL + """, hit AS (SELECT stream, path FROM tree WHERE contains(lower(name), 'ring'))
+@query("fil04_nested_field_search", TREE_SQL + """, hit AS (SELECT stream, path FROM tree WHERE contains(lower(name), 'ring') OR contains(lower(description), 'ring'))
 SELECT t.stream, t.path FROM tree t WHERE EXISTS (SELECT 1 FROM hit h WHERE h.stream = t.stream
   AND (h.path = t.path OR starts_with(h.path, t.path || '.')))""")
 def _fil04(spark, sf):
-    tree = S.field_tree(schema_docs(spark, sf), "schema", ["stream"], max_depth=3).withColumn("description", F.lit(""))
+    tree = S.field_tree(odd_schema_docs(spark, sf), "schema", ["stream"])
     return M.nested_field_search(tree, "ring", key="stream").select("stream", "path")
 
 

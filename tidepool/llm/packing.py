@@ -28,35 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, ints, text_of
+from .common import Words, chunks, cut, ints, text_of
 
 CAPACITY = 4096
 END_ID = 1
 #: A sequence with at most this many free tokens is emitted at once.
 NEARLY_FULL = 8
-_CACHE_WORDS = 1 << 21
+_CACHE_WORDS = 1 << 20
+_SLICE_BYTES = 2 << 20
 _BREAK = "\x00"
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 
-class _Index(dict):
-    """Numbers words as they are first looked up."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        self.fresh.append(word)
-        return k
-
-
 class WordIds:
     """Token ids by white-space word, kept for words seen before.
 
     The vocabulary's normaliser and splitter never join characters across
-    ASCII white space (where ``bytes.split`` cuts), so a text's ids are its
-    words' ids one after another.
+    ASCII white space (where ``Words`` cuts), so a text's ids are its words'
+    ids one after another. Words are known by two 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -66,44 +55,61 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def learn(self) -> None:
-        """Encode the words looked up since the last call, many in one text:
-        ``_BREAK`` between spaces is always one id of its own. A word that
-        holds it goes alone."""
-        fresh, self.index.fresh = [w.decode() for w in self.index.fresh], []
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # by key
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and how many each word has; many words go in one text:
+        ``_BREAK`` between spaces is always one id of its own. A word that holds it goes alone."""
         encode = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         (mark,) = encode(_BREAK)
-        found = []
-        for alone, group in itertools.groupby(fresh, lambda w: _BREAK in w):
-            words = list(group)
-            for i in range(0, len(words), n := 1 if alone else 512):
-                ids = encode(f" {_BREAK} ".join(words[i:i + n]))
-                marks = np.flatnonzero(ids == mark) if not alone else np.zeros(0, np.int64)
-                if not alone and len(marks) != len(words[i:i + n]) - 1:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for alone, group in itertools.groupby(words, lambda w: _BREAK in w):
+            part = list(group)
+            for i in range(0, len(part), n := 1 if alone else 512):
+                found = encode(f" {_BREAK} ".join(part[i:i + n]))
+                marks = np.flatnonzero(found == mark) if not alone else np.zeros(0, np.int64)
+                if not alone and len(marks) != len(part[i:i + n]) - 1:
                     raise ValueError("the tokenizer's break id is not its own")
-                found.append((np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1))
-        ids, lens = (np.concatenate(x) for x in zip(*found))
-        ends = self.at[-1] + np.cumsum(lens)
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1])), np.uint32)])
-        self.ids[self.at[-1]:ends[-1]] = ids
-        self.at = np.append(self.at, ends)
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.index) > _CACHE_WORDS:
+                ids.append(np.delete(found, marks))
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+        ids, size = self.ids_of(words)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys = np.concatenate([self.keys, keys])
+        by = np.argsort(self.keys, kind="stable")
+        self.keys, self.checks = self.keys[by], np.concatenate([self.checks, checks])[by]
+        self.at, self.size = np.concatenate([self.at, at])[by], np.concatenate([self.size, size])[by]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (one more entry ends the last)."""
+        words = Words(data, offsets)
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if len(self.keys) > _CACHE_WORDS:
             self.clear()
-        look = self.index.__getitem__
-        found = [np.fromiter(map(look, words), np.int64, len(words)) for words in map(bytes.split, texts)]
-        if self.index.fresh:
-            self.learn()
-        for k in found:
-            lens = self.at[k + 1] - self.at[k]
-            ends = np.cumsum(lens)
-            yield self.ids[np.repeat(self.at[k] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+        one, two = words.hashes(), words.hashes(1)
+        keys, first, back = np.unique(one, return_index=True, return_inverse=True)
+        checks = two[first]
+        if (checks[back] != two).any():
+            raise ValueError("two words of a chunk share a 64-bit hash")
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = (self.keys[place] == keys) & (self.checks[place] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            spans = zip(words.start[first[fresh]].tolist(), words.end[first[fresh]].tolist())
+            self.learn(keys[fresh], checks[fresh], [data[a:b].tobytes().decode() for a, b in spans])
+            place = np.searchsorted(self.keys, keys)
+            if (self.checks[place] != checks).any():
+                raise ValueError("two words share a 64-bit hash")
+        size = self.size[place][back]
+        ends = np.cumsum(size)
+        at = self.at[place][back] - (ends - size)
+        return self.ids[np.repeat(at, size) + np.arange(ends[-1])], np.append(0, ends)[words.first]
 
 
 def tokenizer_of(path: str) -> WordIds:
@@ -125,17 +131,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def run(batches):
         words = tokenizer_of(tokenizer)
-        for batch in batches:
-            doc_ids, (data, offsets) = batch.column(0).to_pylist(), buffers(batch.column(1))
+        for batch, data, offsets in chunks(batches, size=_SLICE_BYTES):
             rows: list[tuple] = []
-            for i in range(0, len(doc_ids), 256):
-                cuts = offsets[i:i + 257].tolist()
-                texts = [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-                for doc, ids in zip(doc_ids[i:i + 256], words.encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        raw = ids[start:start + capacity].tobytes()
-                        rows.append((doc, k, start, len(raw) // 4, zlib.crc32(raw), raw))
+            ids, at = words.encode(data, offsets)
+            at = at.tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
+                own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
+                for k, start in enumerate(range(0, len(own), capacity)):
+                    raw = own[start:start + capacity].tobytes()
+                    rows.append((doc, k, start, len(raw) // 4, zlib.crc32(raw), raw))
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

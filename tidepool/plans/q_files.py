@@ -54,7 +54,31 @@ def _src01b(spark, sf):
         .otherwise(F.concat(F.lit("["), F.col("els"), F.lit("]")))
     d = _dir(spark, "json-arrays")
     per.select(line.alias("value")).write.text(d)
-    return FL.read_json(spark, d, schema="l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE", by_extension=False)
+    return FL.read_json(spark, d, schema="l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE", by_extension=False).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("src01_mixed_types", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS value FROM events")
+def _src01c(spark, sf):
+    """A value that is no number for a number column leaves the record in place."""
+    ev = load(spark, sf, "events")
+    odd = F.concat(F.lit('{"event_id": '), F.col("event_id"), F.lit(', "value": "n/a", "more": [1, {"a": 2}]}'))
+    d = _dir(spark, "json-mixed")
+    ev.select(F.when(F.col("event_id") % 3 == 0, odd).otherwise(F.to_json(F.struct("event_id", "value"))).alias("value")).write.text(d)
+    return FL.read_json(spark, d, schema="event_id BIGINT, value DOUBLE", by_extension=False).select("event_id", "value")
+
+
+@query("src01_auto_layout", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def _src01d(spark, sf):
+    """A folder with one array over many lines, an array file that is cut short, and JSON lines."""
+    ev = load(spark, sf, "events").select("event_id", "event_type")
+    d = _dir(spark, "json-auto")
+    ev.filter(F.col("event_type") != "click").write.mode("append").json(d)
+    one = ev.filter(F.col("event_type") == "click").select(F.to_json(F.struct("event_id", "event_type")).alias("j"))
+    packed = one.groupBy(F.lit(0).alias("g")).agg(F.array_join(F.collect_list("j"), ",\n  ").alias("j"))
+    packed.select(F.concat(F.lit("\n [\n  "), "j", F.lit("\n]")).alias("value")).coalesce(1).write.mode("append").text(d)
+    packed.select(F.concat(F.lit("[ "), "j").alias("value")).coalesce(1).write.mode("append").text(d)
+    df = FL.read_json(spark, d, layout="auto", schema="event_id BIGINT, event_type STRING", by_extension=False)
+    return df.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("event_id").cast("bigint").alias("ids"))
 
 
 def _ragged_csv(spark, sf):
@@ -86,10 +110,51 @@ def _src02(spark, sf):
     return FL.read_csv(spark, _ragged_csv(spark, sf), ",", header=True, by_extension=False)
 
 
-@query("sch02_csv_schema", "SELECT * FROM (VALUES ('c_custkey', 'string'), ('c_name', 'string'), ('c_mktsegment', 'string')) t(name, type)")
+@query("src02_csv_quotes", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || ' "the|' || c_mktsegment || '"' AS title,
+  CASE WHEN c_custkey % 4 = 0 THEN 'two' || chr(10) || 'lines' ELSE 'plain' END AS note, CASE WHEN c_custkey % 10 = 0 THEN 'more' END AS _col3 FROM customer""")
+def _src02b(spark, sf):
+    """``|`` between cells, doubled quotes, delimiters and line ends inside quotes."""
+    c = load(spark, sf, "customer")
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, '"', '""'), F.lit('"'))
+    title = quoted(F.concat("c_name", F.lit(' "the|'), "c_mktsegment", F.lit('"')))
+    note = F.when(F.col("c_custkey") % 4 == 0, quoted(F.lit("two\nlines"))).otherwise(F.lit("plain"))
+    line = F.concat_ws("|", F.col("c_custkey").cast("string"), title, note, F.when(F.col("c_custkey") % 10 == 0, F.lit("more")))
+
+    def with_header(batches):
+        import pandas as pd
+
+        for i, pdf in enumerate(batches):
+            yield pd.concat([pd.DataFrame({"value": ["id| title |note"]}), pdf]) if i == 0 else pdf
+
+    d = _dir(spark, "csv-quotes")
+    c.select(line.alias("value")).mapInPandas(with_header, "value string").write.text(d)
+    return FL.read_csv(spark, d, "|", header=True, by_extension=False)
+
+
+@query("src02_csv_wide", "SELECT 'col_' || CAST(l_linenumber * 10 - 1 AS VARCHAR) AS name, CAST(count(*) AS BIGINT) AS cells FROM lineitem GROUP BY 1")
+def _src02c(spark, sf):
+    """Without a header; row widths follow the data and pass the first schema's size."""
+    li = load(spark, sf, "lineitem")
+    d = _dir(spark, "csv-wide")
+    li.select(F.concat(F.repeat(F.lit(","), (F.col("l_linenumber") * 10 - 1).cast("int")), F.col("l_orderkey").cast("string")).alias("value")).write.text(d)
+    df = FL.read_csv(spark, d, ",", header=False, by_extension=False)
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("cells")) for c in df.columns])).alias("r")).select("r.*").where("cells > 0")
+
+
+@query("sch02_csv_schema", """SELECT name, 'string' AS type, CAST((SELECT count(*) FROM customer) AS BIGINT) AS rows
+FROM (SELECT DISTINCT 'segment ' || c_mktsegment AS name FROM customer)""")
 def _sch02(spark, sf):
-    s = FL.csv_schema(spark, _ragged_csv(spark, sf), ",", by_extension=False)
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s.fields], "name string, type string")
+    """The header holds the segments of the table; every row has one cell per segment."""
+    c = load(spark, sf, "customer")
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    cells = c.select(*[(F.col("c_mktsegment") == s).cast("string").alias(f" segment {s} ") for s in segments])
+    d = _dir(spark, "csv-schema")
+    cells.write.option("header", "true").csv(d)
+    schema = FL.csv_schema(spark, d, ",", by_extension=False)
+    names = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema.fields], "name string, type string")
+    rows = FL.read_csv(spark, d, ",", by_extension=False).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    return names.join(F.broadcast(rows))
 
 
 @query("src03_parquet_read", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -99,11 +164,13 @@ def _src03(spark, sf):
     return FL.read_parquet(spark, d)
 
 
-@query("src03_file_inventory")
+@query("src03_file_inventory", "SELECT o_orderpriority AS folder, 'parquet' AS format, true AS non_empty, CAST(ceil(count(*) / 2000.0) AS BIGINT) AS least_files FROM orders GROUP BY 1")
 def _src03b(spark, sf):
     d = _dir(spark, "inventory")
-    load(spark, sf, "orders").write.option("maxRecordsPerFile", 2000).parquet(d)
-    return FL.file_inventory(spark, d, "parquet").select("format", (F.col("size") > 0).alias("non_empty"))
+    load(spark, sf, "orders").repartition("o_orderpriority").write.option("maxRecordsPerFile", 2000).partitionBy("o_orderpriority").parquet(d)
+    inv = FL.file_inventory(spark, d, "parquet")
+    folder = F.url_decode(F.regexp_extract("key", "o_orderpriority=([^/]+)/", 1))
+    return inv.groupBy(folder.alias("folder"), "format").agg(F.min(F.col("size") > 0).alias("non_empty"), F.count(F.lit(1)).cast("bigint").alias("least_files"))
 
 
 @query("src04_lineage", f"SELECT event_id, true AS from_file FROM events WHERE {BAD_EVENTS_SQL}")
@@ -114,13 +181,21 @@ def _src04(spark, sf):
     return df.select("event_id", (F.col("_source_file").contains(d.split("/")[-1]) & F.col("_source_modified").isNotNull()).alias("from_file"))
 
 
-@query("src05_stream_files")
+@query("src05_stream_files", "SELECT event_type AS stream, 'json' AS format, CAST(ceil(count(*) / 500.0) AS BIGINT) AS files FROM events GROUP BY 1")
 def _src05(spark, sf):
+    """Every event type is a stream with its own folder."""
     root = _dir(spark, "streams")
     ev = load(spark, sf, "events").select("event_id", "event_type", "value")
-    for stream in ("click", "purchase"):
-        ev.filter(F.col("event_type") == stream).write.json(f"{root}/{stream}")
-    return FL.list_stream_files(spark, root, "click", "json").select("format", F.col("key").contains("/click/").alias("in_stream"))
+    streams = [r[0] for r in ev.select("event_type").distinct().collect()]
+    for stream in streams:
+        ev.filter(F.col("event_type") == stream).coalesce(1).write.option("maxRecordsPerFile", 500).json(f"{root}/{stream}")
+        ev.filter(F.col("event_type") == stream).limit(1).write.mode("append").csv(f"{root}/{stream}")  # another format beside
+    found = [FL.list_stream_files(spark, root, s, "json").withColumn("stream", F.lit(s)) for s in streams]
+    files = found[0]
+    for f in found[1:]:
+        files = files.unionByName(f)
+    in_stream = files.where(F.col("key").contains(F.concat(F.lit("/"), "stream", F.lit("/"))))
+    return in_stream.groupBy("stream", "format").agg(F.count(F.lit(1)).cast("bigint").alias("files"))
 
 
 @query("src06_incremental_files", "SELECT event_id FROM events WHERE event_type = 'purchase'")

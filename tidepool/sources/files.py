@@ -22,40 +22,76 @@ FORMAT_EXTENSIONS = {
     "parquet": ("parquet",),
 }
 
-_CSV_SPLIT = '{d}(?=(?:[^"]*"[^"]*")*[^"]*$)'  # delimiter outside double quotes
-
-
 def _glob(fmt: str) -> str:
     exts = FORMAT_EXTENSIONS[fmt]
     return "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
 
 
+def _typed(values: DataFrame, fields: list[T.StructField], keep: list[str]) -> DataFrame:
+    """Columns of a variant column ``_v`` that holds objects; a value that is not
+    of its column's type is null there, the record stays."""
+    cols = [F.try_variant_get("_v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in fields]
+    return values.where(F.schema_of_variant("_v").startswith("OBJECT")).select(*cols, *keep)
+
+
+def _elements(values: DataFrame, keep: list[str]) -> DataFrame:
+    """Objects of ``_v``: itself, or the elements of an array."""
+    is_array = F.schema_of_variant("_v").startswith("ARRAY")
+    items = F.when(is_array, F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
+    return values.select(*keep, F.explode(items).alias("_v"))
+
+
 def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.StructType | str | None = None,
               recursive: bool = False, by_extension: bool = True) -> DataFrame:
-    """SRC-1: JSON Lines (``layout="lines"``; a line may also hold an array of
-    records) or one top-level array per file (``layout="array"``).
-
-    Malformed lines are dropped (``DROPMALFORMED``); in the array layout a
-    bad element makes the whole file unreadable, so the file is dropped.
+    """SRC-1: records of JSON files.
+
+    ``layout="lines"``: one object per line (or an array of objects);
+    ``"array"``: one top-level array per file; ``"auto"``: each file by its
+    first character that is not white space. Lines that are no JSON are passed
+    over, as is an array file that is not; every object is kept, whatever the
+    types of its values (see :func:`_typed`). Without a ``schema`` Spark
+    infers one from all records.
     """
-    r = spark.read.option("mode", "DROPMALFORMED")
+    read = spark.read
     if by_extension:
-        r = r.option("pathGlobFilter", _glob("json"))
+        read = read.option("pathGlobFilter", _glob("json"))
     if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    if layout == "array":
-        r = r.option("multiLine", "true")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+        read = read.option("recursiveFileLookup", "true")
+    if schema is None:
+        return read.option("mode", "DROPMALFORMED").option("multiLine", str(layout == "array").lower()).json(path)
+    fields = (spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema).fields
+
+    def parse(texts: DataFrame) -> DataFrame:
+        # as the only element of an array, so that anything behind the value makes it invalid
+        one = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>")
+        return texts.withColumn("_one", one).where(F.size("_one") == 1).withColumn("_v", F.col("_one")[0]).drop("_one")
+
+    lineage = ["_source_file", "_source_modified"]
+    lines = with_lineage(read.text(path))
+    whole = with_lineage(read.text(path, wholetext=True))
+    if layout == "lines":
+        found = parse(lines)
+    elif layout == "array":
+        found = parse(whole)
+    else:
+        marks = lines.where(F.trim("value") != "").select("_source_file", F.substring(F.ltrim("value"), 1, 1).alias("c"), F.monotonically_increasing_id().alias("_at"))
+        first = marks.groupBy("_source_file").agg(F.min_by("c", "_at").alias("c"))
+        arrays = [r[0] for r in first.where("c = '['").select("_source_file").toLocalIterator()]  # file names, which the driver lists anyway
+        is_array = F.col("_source_file").isin(arrays) if arrays else F.lit(False)
+        found = parse(lines.where(~is_array))
+        if arrays:
+            found = found.unionByName(parse(with_lineage(spark.read.text(arrays, wholetext=True))))
+    return _typed(_elements(found, lineage), fields, lineage)
+
+
+def _csv(spark: SparkSession, delimiter: str, by_extension: bool, multi_line: bool):
+    r = spark.read.option("delimiter", delimiter).option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower())
+    return r.option("inferSchema", "false").option("mode", "PERMISSIVE").option("pathGlobFilter", _glob("csv") if by_extension else "*")
 
 
 def csv_header(spark: SparkSession, path: str, delimiter: str = ",", by_extension: bool = True) -> list[str]:
-    """SCH-2: header names of a CSV stream (first line), trimmed; every column is text."""
-    r = spark.read.option("header", "true").option("delimiter", delimiter).option("inferSchema", "false")
-    if by_extension:
-        r = r.option("pathGlobFilter", _glob("csv"))
-    cols = r.csv(path).columns
+    """SCH-2: header names of a CSV stream (first record), trimmed; every column is text."""
+    cols = _csv(spark, delimiter, by_extension, False).option("header", "true").csv(path).columns
     return [c.strip() for c in cols]
 
 
@@ -64,29 +100,35 @@ def csv_schema(spark: SparkSession, path: str, delimiter: str = ",", by_extensio
     return T.StructType([T.StructField(c, T.StringType(), True) for c in csv_header(spark, path, delimiter, by_extension)])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, by_extension: bool = True) -> DataFrame:
-    """SRC-2: CSV with ragged rows, all cells text.
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, by_extension: bool = True, multi_line: bool = True) -> DataFrame:
+    """SRC-2: CSV with ragged rows, all cells text; quotes inside quotes are
+    doubled, quoted cells may hold delimiters and line ends.
 
     With a header, cell ``i`` is named by the trimmed header name, cells past
-    the header width ``_col{i}``; without one, ``col_{i}``. The widest row is
-    found with one aggregate over the lines; the file is then read once with
-    a schema that wide (short rows get nulls).
+    the header width ``_col{i}``; without one, ``col_{i}``. One aggregate over
+    the records finds the widest; where one may have more cells than the schema
+    they were read with, they are read again with a schema that wide. Missing and
+    empty cells are null. Files that are known to have no line ends in cells
+    can be split over tasks with ``multi_line=False``.
     """
-    glob = _glob("csv") if by_extension else "*"
-    lines = spark.read.option("pathGlobFilter", glob).text(path)
-    width = lines.select(F.size(F.split("value", _CSV_SPLIT.format(d=delimiter), -1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reader = _csv(spark, delimiter, by_extension, multi_line).option("header", str(header).lower()).option("enforceSchema", "true")
     names = csv_header(spark, path, delimiter, by_extension) if header else []
+    size = max(32, 2 * len(names))
+    while True:
+        raw = [f"_c{i}" for i in range(size)]
+        text = [T.StructField(c, T.StringType(), True) for c in raw]
+        whole = reader.option("columnNameOfCorruptRecord", "_record").schema(T.StructType([*text, T.StructField("_record", T.StringType(), True)])).csv(path)
+        last = F.array_max(F.array(*[F.when(F.col(c).isNotNull(), F.lit(i + 1)) for i, c in enumerate(raw)]))
+        # a record of another width comes whole as well; its delimiters bound its cells
+        cells = F.length("_record") - F.length(F.replace("_record", F.lit(delimiter), F.lit(""))) + 1
+        width, most = whole.agg(F.max(last), F.max(cells)).first()
+        if (most or 0) <= size:
+            break
+        size = most
+    df = reader.schema(T.StructType(text)).csv(path)
+    width = width or 0
     width = max(width, len(names))
-    cols = []
-    for i in range(width):
-        if header:
-            cols.append(names[i] if i < len(names) else f"_col{i}")
-        else:
-            cols.append(f"col_{i}")
-    raw = [f"_c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in raw])
-    df = (spark.read.option("header", str(header).lower()).option("enforceSchema", "true").option("delimiter", delimiter)
-          .option("mode", "PERMISSIVE").option("pathGlobFilter", glob).schema(schema).csv(path))
+    cols = [(names[i] if i < len(names) else f"_col{i}") if header else f"col_{i}" for i in range(width)]
     return df.select(*[F.col(r).alias(c) for r, c in zip(raw, cols)])
 
 
@@ -114,6 +156,8 @@ def file_inventory(spark: SparkSession, path: str, fmt: str | None = None, recur
 
 def with_lineage(df: DataFrame) -> DataFrame:
     """SRC-4: source file path and modification time of every row (file sources only)."""
+    if "_source_file" in df.columns:
+        return df
     return df.select("*", F.col("_metadata.file_path").alias("_source_file"),
                      F.col("_metadata.file_modification_time").alias("_source_modified"))
 
@@ -137,9 +181,10 @@ def read_files_incremental(spark: SparkSession, path: str, fmt: str, state: _dt.
     df = with_lineage(r.load(path))
     if state is not None:
         df = df.filter(F.col("_source_modified") > F.lit(state))
-    new_state = df.agg(F.max("_source_modified").alias("cursor_state"))
+    # the checkpoint comes from the listing, so files without rows count and no data is read
+    new_state = file_inventory(spark, path, fmt).agg(F.max("modified").alias("cursor_state"))
     if state is not None:
-        new_state = new_state.select(F.coalesce("cursor_state", F.lit(state).cast("timestamp")).alias("cursor_state"))
+        new_state = new_state.select(F.greatest("cursor_state", F.lit(state).cast("timestamp")).alias("cursor_state"))
     return df, new_state
 
 

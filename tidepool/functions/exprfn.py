@@ -59,6 +59,7 @@ def to_int(c, on_error: str = "raise") -> Column:
         F.when(c.isNull(), F.lit(0).cast("bigint"))
         .when(t == "boolean", F.when(c.cast("boolean"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
         .when(t.isin("string", "varchar", "char"), text_branch)
+        .when(t.isin("tinyint", "smallint", "int", "bigint"), s.try_cast("bigint"))  # exact beyond 2**53
         .otherwise(c.cast("double").try_cast("bigint"))
     )
 

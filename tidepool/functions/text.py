@@ -27,6 +27,16 @@ def _strip_fraction_zeros(t: Column) -> Column:
     return F.regexp_replace(t, r"\.?0+$", "")
 
 
+def _from_exponent(t: Column) -> Column:
+    """Plain digits of a JVM double text with exponent (``-1.25E40``, ``1.0E-30``)."""
+    sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    power = F.substring_index(t, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(t, "E", 1), r"[-.]", ""), r"0+$", "")
+    big = F.rpad(digits, power + 1, "0")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.concat(sign, F.when(power >= 0, big).otherwise(small))
+
+
 def plain_number(x: Column) -> Column:
     """Shortest digits of a double without exponent (the source system's float text).
 
@@ -36,8 +46,8 @@ def plain_number(x: Column) -> Column:
     ``bigint``, ``[1e-3, 1e7)`` through the JVM text (never an exponent
     there), larger and smaller values through a decimal cast (which keeps
     the shortest digits and prints plainly) -- so no regex runs except one
-    trailing-zero strip. Magnitudes outside ``[1e-20, 1e38)`` keep the JVM
-    exponent text (documented difference).
+    trailing-zero strip; beyond ``[1e-20, 1e38)``, where decimals end, the JVM's
+    exponent text is written out.
     """
     ax = F.abs(x)
     integral = F.rint(x) == x
@@ -51,7 +61,7 @@ def plain_number(x: Column) -> Column:
         .when((ax >= 1e7) & (ax < 1e18), _strip_fraction_zeros(x.try_cast("decimal(38,10)").cast("string")))
         .when((ax >= 1e18) & (ax < 1e38), x.try_cast("decimal(38,0)").cast("string"))
         .when((ax >= 1e-20) & (ax < 1e-3), _strip_fraction_zeros(x.try_cast("decimal(38,37)").cast("string")))
-        .otherwise(x.cast("string"))
+        .otherwise(_from_exponent(x.cast("string")))
     )
 
 
@@ -89,8 +99,9 @@ def is_float_text(s: Column) -> Column:
 def parse_float_text(s: Column) -> Column:
     """Double from text accepted by the source parser, else null."""
     lo = F.lower(s)
+    value = s.try_cast("double")
     return (
-        F.when(s.rlike(FLOAT_TEXT_RE), s.try_cast("double"))
+        F.when(s.rlike(FLOAT_TEXT_RE), F.when(F.abs(value) < F.lit(float("inf")), value))  # out of range is an error
         .when(lo.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
         .when(lo.isin("-inf", "-infinity"), F.lit(float("-inf")))
         .when(lo.isin("nan", "+nan", "-nan"), F.lit(float("nan")))

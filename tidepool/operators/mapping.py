@@ -90,43 +90,54 @@ def map_strict(df: DataFrame, mappings: list[FieldMapping], keep: list[str] | No
     return df.select(*cols, *build_nested(assigns))
 
 
-def map_lenient(df: DataFrame, mappings: list[FieldMapping]) -> DataFrame:
-    """MAP-2: rename top-level fields; unmapped fields stay unless their name is a destination.
-
-    Sources absent from the schema are skipped; no mappings -> unchanged.
-    """
-    if not mappings:
-        return df
+def _lenient_columns(df: DataFrame, mappings: list[FieldMapping]) -> dict[str, Column]:
     present = set(df.columns)
-    dest: dict[str, Column] = {}
+    out: dict[str, Column] = {}
     for m in mappings:
         if m.source_field in present:
-            dest[m.dest_field] = F.col(f"`{m.source_field}`")
+            out[m.dest_field] = F.col(f"`{m.source_field}`")
     mapped_sources = {m.source_field for m in mappings}
-    out = dict(dest)
     for c in df.columns:
         if c not in mapped_sources and c not in out:
             out[c] = F.col(f"`{c}`")
-    return df.select(*[v.alias(k) for k, v in out.items()])
+    return out
+
+
+def map_lenient(df: DataFrame, mappings: list[FieldMapping]) -> DataFrame:
+    """MAP-2: rename top-level fields; unmapped fields stay unless their name is a destination.
+
+    Sources absent from the schema are skipped; no mappings -> unchanged.
+    """
+    if not mappings:
+        return df
+    return df.select(*[v.alias(k) for k, v in _lenient_columns(df, mappings).items()])
 
 
 def map_by_stream(df: DataFrame, stream_col: str, per_stream: dict[str, list[FieldMapping]], mode: str = "lenient") -> DataFrame:
     """MAP-3: a different mapping per stream of a mixed record table.
 
-    One filtered branch per configured stream plus one for the rest; branches
-    are unioned by name (missing columns null). The branches share one scan.
+    One ``select`` over one scan: every destination is a ``when`` over the
+    streams that have it, else null. Rows of other streams keep their columns.
     """
-    fn = map_lenient if mode == "lenient" else (lambda d, ms: map_strict(d, ms, keep=[stream_col]))
-    branches = []
+    is_stream = {s: F.col(f"`{stream_col}`") == F.lit(s) for s in per_stream}
+    branch: dict[str, dict[str, Column]] = {}
     for s, ms in per_stream.items():
-        part = df.filter(F.col(stream_col) == F.lit(s))
-        out = fn(part, ms)
-        if stream_col not in out.columns:
-            out = out.withColumn(stream_col, F.lit(s))
-        branches.append(out)
-    rest = df.filter(~F.col(stream_col).isin(list(per_stream)) | F.col(stream_col).isNull())
-    branches.append(rest)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+        if mode == "lenient":
+            branch[s] = _lenient_columns(df, ms)
+        else:
+            cols = build_nested([(m.dest_field, mapping_column(df, m)) for m in ms])
+            branch[s] = dict(zip(df.select(*cols).columns, cols))
+        branch[s][stream_col] = F.col(f"`{stream_col}`")
+    names = list(dict.fromkeys([stream_col, *df.columns, *(c for b in branch.values() for c in b)]))
+    listed = F.coalesce(F.col(f"`{stream_col}`").isin(list(per_stream)), F.lit(False))
+    out = []
+    for name in names:
+        value = F.when(~listed, F.col(f"`{name}`")) if name in df.columns else F.when(F.lit(False), F.lit(None))
+        for s, cols in branch.items():
+            if name in cols:
+                value = value.when(is_stream[s], cols[name])
+        out.append(value.alias(name))
+    return df.select(*out)
 
 
 # ------------------------------------------------------------- templates
@@ -223,41 +234,31 @@ def validate_mappings(src_fields: DataFrame, dst_fields: DataFrame, connections:
     required_unmapped, unknown_source, unknown_dest, duplicate_dest,
     type_mismatch. All joins are equi-joins on (key, path).
     """
-    s = src_fields.select(F.col(key), F.col("path").alias("_sp"), F.col("type").alias("_st"))
-    d = dst_fields.select(F.col(key), F.col("path").alias("_dp"), F.col("type").alias("_dt"), F.col("required").alias("_req"))
-    c = connections
-    req = (
-        d.filter(F.col("_req"))
-        .join(c.select(key, F.col("dest_field").alias("_dp")).distinct(), [key, "_dp"], "left_anti")
-        .select(key, F.lit(None).cast("string").alias("conn_id"), F.col("_dp").alias("field"),
-                F.lit("required_unmapped").alias("kind"),
-                F.format_string('required destination field "%s" has no mapping', F.col("_dp")).alias("message"))
-    )
-    cj = (
-        c.join(s, (c[key] == s[key]) & (c["source_field"] == s["_sp"]), "left").drop(s[key])
-        .join(d, (c[key] == d[key]) & (c["dest_field"] == d["_dp"]), "left").drop(d[key])
-    )
-    from pyspark.sql import Window as W
-
-    first_use = F.row_number().over(W.partitionBy(key, "dest_field").orderBy("seq"))
-    cj = cj.withColumn("_dup", first_use > 1).withColumn(
-        "_valid", F.col("_sp").isNotNull() & F.col("_dp").isNotNull()
-    )
-    unknown_src = cj.filter(F.col("_sp").isNull()).select(
-        key, "conn_id", F.col("source_field").alias("field"), F.lit("unknown_source").alias("kind"),
-        F.format_string('source field "%s" does not exist', F.col("source_field")).alias("message"))
-    unknown_dst = cj.filter(F.col("_dp").isNull()).select(
-        key, "conn_id", F.col("dest_field").alias("field"), F.lit("unknown_dest").alias("kind"),
-        F.format_string('destination field "%s" does not exist', F.col("dest_field")).alias("message"))
-    dup = cj.filter(F.col("_dup")).select(
-        key, "conn_id", F.col("dest_field").alias("field"), F.lit("duplicate_dest").alias("kind"),
-        F.format_string('destination field "%s" has multiple source mappings', F.col("dest_field")).alias("message"))
-    mism = cj.filter(
-        F.col("_valid") & (F.col("_st") != "") & (F.col("_dt") != "") & (F.col("_st") != F.col("_dt"))
-        & (F.coalesce(F.col("transform"), F.lit("")) == "")
-    ).select(key, "conn_id", F.col("source_field").alias("field"), F.lit("type_mismatch").alias("kind"),
-             F.format_string('type mismatch "%s" -> "%s" without transform', F.col("_st"), F.col("_dt")).alias("message"))
-    return req.unionByName(unknown_src).unionByName(unknown_dst).unionByName(dup).unionByName(mism)
+    # fixed values: the messages
+    text = lambda message, *cols: F.format_string(message, *[F.col(c) for c in cols])
+    s = src_fields.select(F.col(key), F.col("path").alias("source_field"), F.col("type").alias("_st"), F.lit(True).alias("_s"))
+    d = dst_fields.select(F.col(key), F.col("path").alias("dest_field"), F.col("type").alias("_dt"), F.col("required").alias("_req"), F.lit(True).alias("_d"))
+    # the first use of a destination is a min aggregate, combined map-side
+    first = connections.groupBy(key, "dest_field").agg(F.min(F.struct("seq", "conn_id")).alias("_first"))
+    used = d.join(first, [key, "dest_field"], "full_outer")
+    req = used.filter(F.col("_req") & F.col("_first").isNull()).select(
+        key, F.lit(None).cast("string").alias("conn_id"), F.col("dest_field").alias("field"), F.lit("required_unmapped").alias("kind"),
+        text('required destination field "%s" has no mapping', "dest_field").alias("message"))
+    cj = connections.join(used, [key, "dest_field"], "left").join(s, [key, "source_field"], "left")
+
+    def error(kind, field, message, *cols):
+        return F.struct(F.col(field).alias("field"), F.lit(kind).alias("kind"), text(message, *cols).alias("message"))
+
+    no_source, no_dest = F.col("_s").isNull(), F.col("_d").isNull()
+    mismatch = ~no_source & ~no_dest & (F.col("_st") != "") & (F.col("_dt") != "") & (F.col("_st") != F.col("_dt")) & (F.coalesce("transform", F.lit("")) == "")
+    errors = F.array_compact(F.array(
+        F.when(no_source, error("unknown_source", "source_field", 'source field "%s" does not exist', "source_field")),
+        F.when(no_dest, error("unknown_dest", "dest_field", 'destination field "%s" does not exist', "dest_field")),
+        F.when(F.col("_first") < F.struct("seq", "conn_id"), error("duplicate_dest", "dest_field", 'destination field "%s" has multiple source mappings', "dest_field")),
+        F.when(mismatch, error("type_mismatch", "source_field", 'type mismatch "%s" -> "%s" without transform', "_st", "_dt")),
+    ))
+    found = cj.select(key, "conn_id", F.explode(errors).alias("_e")).select(key, "conn_id", "_e.*")
+    return req.unionByName(found)
 
 
 def unmapped_fields(fields: DataFrame, connections: DataFrame, side: str, key: str = "mapping_id") -> DataFrame:

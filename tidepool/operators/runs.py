@@ -113,6 +113,17 @@ def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias(name))
 
 
+def active_by(df: DataFrame, keys: list[str], started: str, ended: str, at) -> DataFrame:
+    """AGG-10: connections (runs) that are active at a time, per key."""
+    t = F.lit(at)
+    return df.where((F.col(started) <= t) & (F.col(ended).isNull() | (F.col(ended) > t))).groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("active"))
+
+
+def call_rates(df: DataFrame, ts: str, keys: list[str], duration: str = "5 minutes", seconds: int = 300) -> DataFrame:
+    """AGG-10: calls per second in tumbling windows by status, connector, ..."""
+    return df.groupBy(window_start(ts, duration).alias("window_start"), *keys).agg((F.count(F.lit(1)) / F.lit(float(seconds))).alias("calls_per_sec"))
+
+
 def totals_by(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """AGG-2: sums of record counters by dimension."""
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
@@ -149,6 +160,7 @@ def error_rates(df: DataFrame, ts: str, type_col: str, connector_col: str, durat
 # Histogram bounds of the metric families.
 SYNC_DURATION_BOUNDS = [1, 5, 15, 30, 60, 120, 300, 600, 1800, 3600]
 API_LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5]
+BATCH_SIZE_BOUNDS = [1, 10, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 CONNECTOR_OP_BOUNDS = [0.01, 0.05, 0.1, 0.5, 1, 5, 15, 30, 60, 300]
 
 
@@ -185,8 +197,6 @@ def histogram_quantile(hist: DataFrame, q: float, bounds: list[float], keys: lis
     """
     keys = keys or []
     name = name or f"p{int(round(q * 100))}"
-    lower = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(
-        F.element_at(F.array(*[F.lit(float(x)) for x in bounds]), F.col("bucket")))
     totals = hist.groupBy(*keys).agg(F.max("cumulative").alias("_total"))
     h = hist.join(totals, keys, "inner") if keys else hist.withColumn("_total", F.max("cumulative").over(Window.partitionBy()))
     h = h.withColumn("_rank", F.lit(q) * F.col("_total"))
@@ -198,7 +208,6 @@ def histogram_quantile(hist: DataFrame, q: float, bounds: list[float], keys: lis
     prev = F.col("_p.cumulative") - F.col("_p.count")
     interp = lo + (F.col("_p.le") - lo) * (F.col("_p._rank") - prev) / F.col("_p.count")
     val = F.when(F.col("_p.le").isNull(), F.lit(float(bounds[-1]))).otherwise(interp)
-    del lower
     return pick.select(*keys, val.alias(name))
 
 
@@ -255,7 +264,9 @@ def quota_status(usage: DataFrame, quotas: DataFrame, tenant: str, month_col: st
     """AGG-13: usage vs quota per tenant, resource and month; at or over the limit
     is blocked, an inactive tenant is blocked whatever the usage.
 
-    ``usage(tenant, month, resource, used)``, ``quotas(tenant, resource, quota_limit, status)``.
+    ``usage(tenant, month, resource, used)`` (resource: records of the month, or
+    connectors, syncs and storage bytes, whose month is null),
+    ``quotas(tenant, resource, quota_limit, status)``.
     """
     j = usage.join(quotas, [tenant, "resource"], "inner")
     blocked = (F.col("status") != F.lit("active")) | (F.col("used") >= F.col("quota_limit"))

@@ -7,6 +7,7 @@ dynamic JSON fields of synced records (FIXTURES §3).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from ..functions.paths import get_path, set_path
 from ..model import FieldMapping, StreamConfig, SyncConfig
 from ..operators import dedup as D
 from ..operators import mapping as M
+from ..session import scratch_path
 from ..sources.tables import load
 from .registry import query
-from .sync import run_sync
+from .sync import execute_sync, read_runs, read_table, run_sync
 
 # ------------------------------------------------------------------ inputs
 
@@ -109,6 +111,73 @@ def _sync_dedup_first(spark, sf):
     return run_sync(ev, cfg).records
 
 
+def _two_runs(spark, sf, mode, key, maps, mid=dt.datetime(2024, 1, 15)):
+    """A first sync of the events before ``mid`` and a second one of them all,
+    which goes on from the first one's checkpoint; the home folder."""
+    home = scratch_path(spark, f"sync-{mode}-{uuid.uuid4().hex[:12]}")
+    stream = StreamConfig("events", primary_key=key, cursor_field="ts", sync_mode="incremental", destination_mode=mode, mappings=maps)
+    cfg = SyncConfig(f"events-{mode}", stream, dedup_order_by=["ts", "event_id"])
+    ev = load(spark, sf, "events")
+    execute_sync(ev.where(F.col("ts") < mid), cfg, home)
+    execute_sync(ev, cfg, home)
+    return home
+
+
+_PLAIN = [FieldMapping("event_id", "event_id"), FieldMapping("user_id", "user_ref"), FieldMapping("ts", "ts"), FieldMapping("value", "amount")]
+HALVES_SQL = """WITH e AS (SELECT *, ts >= TIMESTAMP '2024-01-15' AS late FROM events),
+picked AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY late, user_id ORDER BY ts, event_id) = 1)
+"""
+
+
+@query("snk15_append", "SELECT event_id, user_id AS user_ref, ts, value AS amount FROM events")
+def _snk15_append(spark, sf):
+    return read_table(spark, _two_runs(spark, sf, "append", ["event_id"], _PLAIN))
+
+
+@query("snk15_append_runs", """SELECT 'events-append' AS sync_id, CAST(row_number() OVER (ORDER BY late) AS INTEGER) AS run, 'completed' AS status, CAST(n AS BIGINT) AS records_extracted,
+  CAST(n AS BIGINT) AS records_transformed, CAST(n AS BIGINT) AS records_loaded, CAST(0 AS BIGINT) AS errors, CAST(NULL AS VARCHAR) AS discrepancy
+FROM (SELECT ts >= TIMESTAMP '2024-01-15' AS late, count(*) AS n FROM events GROUP BY 1)""")
+def _snk15_append_runs(spark, sf):
+    return read_runs(spark, _two_runs(spark, sf, "append", ["event_id"], _PLAIN)).drop("checkpoint")
+
+
+@query("snk15_upsert", HALVES_SQL + "SELECT event_id, user_id AS user_ref, ts, value AS amount FROM picked QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY late DESC) = 1")
+def _snk15_upsert(spark, sf):
+    return read_table(spark, _two_runs(spark, sf, "upsert", ["user_ref"], _PLAIN))
+
+
+@query("snk15_upsert_runs", HALVES_SQL + """SELECT CAST(row_number() OVER (ORDER BY late) AS INTEGER) AS run, 'completed' AS status, CAST(n AS BIGINT) AS records_extracted,
+  CAST(u AS BIGINT) AS records_transformed, CAST(u AS BIGINT) AS records_loaded, CAST(c AS VARCHAR) AS checkpoint
+FROM (SELECT late, count(*) AS n, count(DISTINCT user_id) AS u, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS c FROM e GROUP BY late)""")
+def _snk15_upsert_runs(spark, sf):
+    runs = read_runs(spark, _two_runs(spark, sf, "upsert", ["user_ref"], _PLAIN))
+    return runs.select("run", "status", "records_extracted", "records_transformed", "records_loaded", F.substring("checkpoint", 1, 19).alias("checkpoint"))
+
+
+@query("snk15_merge", HALVES_SQL + """SELECT user_id AS user_ref, arg_max(event_id, late) AS event_id, arg_max(CASE WHEN event_type <> 'view' THEN value END, late) FILTER (WHERE event_type <> 'view') AS amount
+FROM picked GROUP BY user_id""")
+def _snk15_merge(spark, sf):
+    """An amount that is null in the second run leaves the first one's in place."""
+    home = scratch_path(spark, f"sync-merge-{uuid.uuid4().hex[:12]}")
+    maps = [FieldMapping("user_id", "user_ref"), FieldMapping("event_id", "event_id"), FieldMapping("amount", "amount"), FieldMapping("ts", "ts")]
+    cfg = SyncConfig("events-merge", StreamConfig("events", ["user_ref"], "ts", "incremental", "merge", maps), dedup_order_by=["ts", "event_id"])
+    ev = load(spark, sf, "events").withColumn("amount", F.when(F.col("event_type") != "view", F.col("value")))
+    execute_sync(ev.where(F.col("ts") < dt.datetime(2024, 1, 15)), cfg, home)
+    execute_sync(ev, cfg, home)
+    return read_table(spark, home).select("user_ref", "event_id", "amount")
+
+
+@query("snk15_soft_delete", "SELECT c_custkey AS id, c_name AS name, c_custkey % 7 = 0 AS _deleted FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 7 <> 0")
+def _snk15_soft_delete(spark, sf):
+    home = scratch_path(spark, f"sync-soft-{uuid.uuid4().hex[:12]}")
+    maps = [FieldMapping("c_custkey", "id"), FieldMapping("c_name", "name")]
+    cfg = SyncConfig("customers", StreamConfig("customers", ["id"], destination_mode="soft_delete", mappings=maps))
+    c = load(spark, sf, "customer")
+    execute_sync(c.where(F.col("c_custkey") % 5 != 0), cfg, home)
+    execute_sync(c.where(F.col("c_custkey") % 7 != 0), cfg, home, deleted_at=dt.datetime(2024, 2, 1))
+    return read_table(spark, home).select("id", "name", "_deleted")
+
+
 # --------------------------------------------------------------------- COE
 
 def _coe(name, spark_fn, sql_expr):
@@ -254,6 +323,32 @@ _fn("fn14_to_int", "CAST(trunc(c_acctbal) AS BIGINT) AS a, CAST(c_nationkey AS B
 _fn("fn15_to_float", "CAST(c_custkey AS DOUBLE) AS a, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS b",
     lambda: [X.to_float(F.col("c_custkey").cast("string")).alias("a"),
              X.to_float(F.col("c_mktsegment") == "BUILDING").alias("b")])
+
+
+@query("fn13_extreme_numbers", """SELECT l_orderkey, l_linenumber, l_linenumber || repeat('0', 45) AS big, '-0.' || repeat('0', 29) || l_linenumber AS small,
+  l_linenumber || '.5' AS plain FROM lineitem""")
+def _fn13b(spark, sf):
+    n = F.col("l_linenumber").cast("string")
+    number = lambda suffix, sign="": F.concat(F.lit(sign), n, F.lit(suffix)).cast("double")
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.to_string(number("e45")).alias("big"), X.to_string(number("e-30", "-")).alias("small"),
+                                              X.to_string(number(".5")).alias("plain"))
+
+
+@query("fn14_big_integers", "SELECT l_orderkey, l_linenumber, 9007199254740992 + l_orderkey * 8 + l_linenumber AS v FROM lineitem")
+def _fn14b(spark, sf):
+    v = F.lit(9007199254740992) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.to_int(v).alias("v"))
+
+
+@query("fn15_out_of_range", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 4 THEN CAST(l_linenumber || 'e300' AS DOUBLE) END AS v,
+  CASE WHEN l_linenumber < 4 THEN CAST('-' || l_linenumber || 'e300' AS DOUBLE) END AS w FROM lineitem""")
+def _fn15b(spark, sf):
+    """Text beyond the range of doubles is an error, not infinity."""
+    n = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") < 4, "e300").otherwise("e400"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.to_float(n, on_error="null").alias("v"),
+                                              C.coerce(F.concat(F.lit("-"), n), "string", "float", on_error="null").alias("w"))
+
+
 _fn("fn16_to_bool", "c_nationkey % 2 = 1 AS a, c_acctbal <> 0 AS b",
     lambda: [X.to_bool((F.col("c_nationkey") % 2).cast("string")).alias("a"), X.to_bool("c_acctbal").alias("b")])
 _fn("fn20_substring", "substr(c_name, 3, 5) AS a, c_name AS b, '' AS c",

@@ -9,6 +9,8 @@ shipped lines, errors = returned lines).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
@@ -141,6 +143,32 @@ def _agg08(spark, sf):
     return R.histogram(load(spark, sf, "events").withColumn("_d", F.col("value") * 10), "_d", R.SYNC_DURATION_BOUNDS)
 
 
+@query("agg08_batch_sizes", f"""WITH n AS (SELECT event_type, count(*) AS v FROM events GROUP BY event_type, CAST(ts AS DATE)),
+b AS (SELECT event_type, {_bucket_sql('v', R.BATCH_SIZE_BOUNDS)} AS bucket FROM n),
+c AS (SELECT event_type, bucket, CAST(count(*) AS BIGINT) AS count FROM b GROUP BY ALL)
+SELECT event_type, bucket, CASE WHEN bucket < {len(R.BATCH_SIZE_BOUNDS)} THEN {[float(x) for x in R.BATCH_SIZE_BOUNDS]}[bucket + 1] END AS le, count,
+  CAST(sum(count) OVER (PARTITION BY event_type ORDER BY bucket) AS BIGINT) AS cumulative FROM c""")
+def _agg08b(spark, sf):
+    """A batch is what one event type brings in a day."""
+    n = load(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("v"))
+    return R.histogram(n, "v", R.BATCH_SIZE_BOUNDS, ["event_type"])
+
+
+@query("agg08_run_durations", RUNS_SQL + f""", b AS (SELECT status, {_bucket_sql('epoch(completed_at - started_at) / 86400 * 30', R.SYNC_DURATION_BOUNDS)} AS bucket FROM runs)
+SELECT status, bucket, CAST(count(*) AS BIGINT) AS count FROM b GROUP BY ALL""")
+def _agg08c(spark, sf):
+    """Run durations (a day in the tables stands for thirty seconds)."""
+    seconds = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    return R.histogram(runs(spark, sf).withColumn("_d", seconds / 86400 * 30), "_d", R.SYNC_DURATION_BOUNDS, ["status"]).select("status", "bucket", "count")
+
+
+@query("agg06_api_latency", f"""WITH b AS (SELECT event_type, {_bucket_sql('value / 100', R.API_LATENCY_BOUNDS)} AS bucket FROM events)
+SELECT event_type, bucket, CAST(count(*) AS BIGINT) AS count FROM b GROUP BY ALL""")
+def _agg06b(spark, sf):
+    ev = load(spark, sf, "events").withColumn("_s", F.col("value") / 100)
+    return R.histogram(ev, "_s", R.API_LATENCY_BOUNDS, ["event_type"]).select("event_type", "bucket", "count")
+
+
 @query("agg09_utilisation", RUNS_SQL + """SELECT connector, round(count(*) FILTER (WHERE status = 'failed') * 100.0
   / greatest(count(*) FILTER (WHERE status = 'completed'), 1), 9) AS utilisation FROM runs GROUP BY connector""")
 def _agg09(spark, sf):
@@ -154,6 +182,18 @@ def _agg10(spark, sf):
     return R.count_by(runs(spark, sf), ["connector", "status"])
 
 
+@query("agg10_active_connections", RUNS_SQL + """SELECT connector, CAST(count(*) AS BIGINT) AS active FROM runs
+WHERE started_at <= TIMESTAMP '1997-06-01' AND (completed_at IS NULL OR completed_at > TIMESTAMP '1997-06-01') GROUP BY connector""")
+def _agg10b(spark, sf):
+    return R.active_by(runs(spark, sf), ["connector"], "started_at", "completed_at", dt.datetime(1997, 6, 1))
+
+
+@query("agg10_call_rates", """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, round(count(*) / 300.0, 9) AS calls_per_sec FROM events GROUP BY ALL""")
+def _agg10c(spark, sf):
+    out = R.call_rates(load(spark, sf, "events"), "ts", ["event_type"])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.round("calls_per_sec", 9).alias("calls_per_sec"))
+
+
 @query("agg11_alert_windows", """WITH p AS (SELECT date_trunc('hour', ts) AS period,
     count(*) FILTER (WHERE event_type = 'error') / count(*) AS failure_rate FROM events GROUP BY 1),
 hot AS (SELECT *, CAST(epoch(period) / 3600 AS BIGINT) - row_number() OVER (ORDER BY period) AS island FROM p WHERE failure_rate > 0.25)
@@ -195,6 +235,29 @@ def _agg13(spark, sf):
     return R.quota_status(usage, quotas, "tenant")
 
 
+@query("agg13_four_resources", RUNS_SQL + """, usage AS (
+  SELECT tenant, date_trunc('month', started_at) AS month, 'records' AS resource, CAST(sum(records_extracted) AS BIGINT) AS used FROM runs GROUP BY ALL
+  UNION ALL SELECT tenant, NULL, 'connectors', CAST(count(DISTINCT connector) AS BIGINT) FROM runs GROUP BY tenant
+  UNION ALL SELECT tenant, NULL, 'syncs', CAST(count(DISTINCT sync_id) AS BIGINT) FROM runs GROUP BY tenant
+  UNION ALL SELECT tenant, NULL, 'storage', CAST(sum(records_loaded) * 100 AS BIGINT) FROM runs GROUP BY tenant),
+quotas AS (SELECT n_nationkey AS tenant, r AS resource, CAST(l * (n_regionkey + 1) AS BIGINT) AS quota_limit, CASE WHEN n_regionkey = 4 THEN 'suspended' ELSE 'active' END AS status
+  FROM nation, (VALUES ('records', 50), ('connectors', 2), ('syncs', 20), ('storage', 30000)) q(r, l))
+SELECT u.tenant, month, u.resource, used, quota_limit, status <> 'active' OR used >= quota_limit AS blocked,
+  CASE WHEN status <> 'active' THEN 'inactive' WHEN used >= quota_limit THEN 'limit_reached' END AS reason
+FROM usage u JOIN quotas q ON u.tenant = q.tenant AND u.resource = q.resource""")
+def _agg13b(spark, sf):
+    r = runs(spark, sf).withColumn("tenant", F.col("tenant").cast("bigint"))
+    monthly = r.groupBy("tenant", F.date_trunc("month", F.col("started_at")).cast("timestamp_ntz").alias("month")).agg(
+        F.lit("records").alias("resource"), F.sum("records_extracted").cast("bigint").alias("used"))
+    now = r.groupBy("tenant").agg(F.count_distinct("connector").alias("connectors"), F.count_distinct("sync_id").alias("syncs"), (F.sum("records_loaded") * 100).cast("bigint").alias("storage"))
+    rest = now.select("tenant", F.lit(None).cast("timestamp_ntz").alias("month"), F.explode(F.create_map(*[x for k in ("connectors", "syncs", "storage") for x in (F.lit(k), F.col(k))])).alias("resource", "used"))
+    limits = F.create_map(*[x for k, v in (("records", 50), ("connectors", 2), ("syncs", 20), ("storage", 30000)) for x in (F.lit(k), F.lit(v))])
+    quotas = load(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("tenant"), F.explode(limits).alias("resource", "_l"), "n_regionkey",
+        F.when(F.col("n_regionkey") == 4, "suspended").otherwise("active").alias("status")).withColumn("quota_limit", (F.col("_l") * (F.col("n_regionkey") + 1)).cast("bigint"))
+    return R.quota_status(monthly.unionByName(rest), quotas.select("tenant", "resource", "quota_limit", "status"), "tenant")
+
+
 @query("agg14_phase_progress", RUNS_SQL + """, p AS (SELECT run_id, CASE status WHEN 'completed' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END AS idx,
     records_extracted AS e, records_loaded AS l, records_extracted + errors AS t FROM runs)
 SELECT run_id,

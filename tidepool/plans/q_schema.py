@@ -125,6 +125,19 @@ def _sch04(spark, sf):
                     S.json_type_of("bigquery", bqt, mode).alias("bigquery_json"))
 
 
+@query("sch04_crm_types", CAT_SQL + """SELECT stream, path,
+  CASE t WHEN 'int' THEN 'integer' WHEN 'double' THEN 'number' WHEN 'currency' THEN 'number' WHEN 'percent' THEN 'number' WHEN 'boolean' THEN 'boolean' ELSE 'string' END AS salesforce_json,
+  CASE h WHEN 'number' THEN 'number' WHEN 'bool' THEN 'boolean' ELSE 'string' END AS hubspot_json
+FROM (SELECT stream, path, CASE type WHEN 'integer' THEN 'int' WHEN 'number' THEN ['double', 'currency', 'percent'][1 + ordinal % 3] WHEN 'boolean' THEN 'boolean' ELSE 'picklist' END AS t,
+  CASE type WHEN 'integer' THEN 'number' WHEN 'number' THEN 'number' WHEN 'boolean' THEN 'bool' ELSE 'enumeration' END AS h FROM v1)""")
+def _sch04b(spark, sf):
+    """CRM column types that stand for each field's type."""
+    t, number = F.col("type"), F.element_at(F.array(*[F.lit(x) for x in ("double", "currency", "percent")]), (1 + F.col("ordinal") % 3).cast("int"))
+    salesforce = F.when(t == "integer", "int").when(t == "number", number).when(t == "boolean", "boolean").otherwise("picklist")
+    hubspot = F.when(t.isin("integer", "number"), "number").when(t == "boolean", "bool").otherwise("enumeration")
+    return catalog_v1(spark, sf).select("stream", "path", S.json_type_of("salesforce", salesforce).alias("salesforce_json"), S.json_type_of("hubspot", hubspot).alias("hubspot_json"))
+
+
 def schema_docs(spark, sf):
     """JSON-Schema text per stream built from the v1 field table: a path ``head_tail``
     becomes property ``tail`` of object ``head``; nullable types are ``["T","null"]``."""

@@ -1,23 +1,29 @@
-"""End-to-end sync job (SNK-15): extract -> map -> coerce -> dedup -> write -> reconcile.
+"""End-to-end sync job (SNK-15): extract -> map -> coerce -> dedup -> write -> confirm -> record.
 
-One lazy Spark plan from read to write; the only actions are the write and
-the reconciliation counts. Step order is configurable: ``map_first`` (the
-workflow order: map, coerce, key dedup) or ``dedup_first`` (the transform
-worker order: whole-payload dedup, then map).
+``run_sync`` plans the first half lazily. ``execute_sync`` runs a whole sync
+against a home folder (table, states, runs) on any file system Spark reaches:
+it reads from the last checkpoint, writes by the stream's destination mode,
+compares counts, saves the checkpoint after the data, and adds the run's row.
+Step order is configurable: ``map_first`` (the workflow order: map, coerce, key
+dedup) or ``dedup_first`` (the transform worker order: whole-payload dedup,
+then map).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce_lenient
 from ..model import SyncConfig
 from ..operators.dedup import dedup_by_key, dedup_payload
+from ..operators.conflict import null_safe_join
 from ..operators.mapping import map_lenient, map_strict
-from ..sources.tables import read_incremental
+from ..operators.writes import merge, reconcile, upsert
+from ..session import discard, fs_exists, fs_list, materialize
+from ..sources.tables import next_state, read_incremental
 
 
 @dataclass
@@ -56,13 +62,95 @@ def run_sync(df: DataFrame, cfg: SyncConfig, on_error: str = "raise") -> SyncRes
     return transform(src, cfg, on_error)
 
 
-def run_row(extracted: DataFrame, loaded: DataFrame, sync_id: str) -> DataFrame:
-    """Run record of one sync: counts extracted / loaded and the reconciliation flag."""
-    tagged = extracted.select(F.lit(True).alias("_e")).unionByName(loaded.select(F.lit(False).alias("_e")))
-    return tagged.agg(
-        F.count_if(F.col("_e")).cast("bigint").alias("records_extracted"),
-        F.count_if(~F.col("_e")).cast("bigint").alias("records_loaded"),
-    ).select(
-        F.lit(sync_id).alias("sync_id"), "records_extracted", "records_loaded",
-        (F.col("records_extracted") == F.col("records_loaded")).alias("confirmed"),
-    )
+RUN_DDL = ("sync_id string, run int, status string, records_extracted bigint, records_transformed bigint, records_loaded bigint, "
+           "errors bigint, discrepancy string, checkpoint string")
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the committed ``name=<n>`` folders under ``path``."""
+    found = [int(f.split("=")[1]) for f, is_dir in fs_list(spark, path) if is_dir and f.startswith(f"{name}=")]
+    return sorted(n for n in found if fs_exists(spark, f"{path}/{name}={n}/_SUCCESS"))
+
+
+def read_table(spark: SparkSession, home: str) -> DataFrame | None:
+    """The destination table of a sync, or None before its first run: all
+    appended batches, or the newest version."""
+    if batches := _folders(spark, f"{home}/table", "batch"):
+        return spark.read.parquet(*[f"{home}/table/batch={n}" for n in batches])
+    if versions := _folders(spark, f"{home}/table", "v"):
+        return spark.read.parquet(f"{home}/table/v={versions[-1]}")
+    return None
+
+
+def read_runs(spark: SparkSession, home: str) -> DataFrame:
+    return spark.read.schema(RUN_DDL).json([f"{home}/runs/run={n}" for n in _folders(spark, f"{home}/runs", "run")])
+
+
+def _load(records: DataFrame, cfg: SyncConfig, home: str, run: int, deleted_at) -> int:
+    """Write one run's rows by destination mode; how many of them the table holds afterwards."""
+    spark, keys = records.sparkSession, cfg.stream.primary_key
+    mode = cfg.stream.destination_mode
+    if mode == "append":
+        path = f"{home}/table/batch={run}"
+        records.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path).count()
+    if not keys:
+        raise ValueError(f"destination mode {mode} needs a primary key")
+    path, before = f"{home}/table/v={run}", [v for v in _folders(spark, f"{home}/table", "v") if v < run]
+    current = spark.read.parquet(f"{home}/table/v={before[-1]}") if before else records.limit(0)
+    if mode == "upsert":
+        out = upsert(current, records, keys, keys)  # one row per key after dedup
+    elif mode == "merge":
+        out = merge(current, records, keys, keys)
+    elif mode == "soft_delete":
+        if cfg.stream.sync_mode == "incremental":
+            raise ValueError("soft delete needs a full snapshot, not an incremental read")
+        live = records.withColumns({"_deleted": F.lit(False), "_deleted_at": F.lit(None).cast("timestamp")})
+        gone = null_safe_join(current, records.select(*keys), keys, "left_anti")
+        if before:
+            at = F.coalesce("_deleted_at", F.lit(deleted_at).cast("timestamp")) if deleted_at is not None else F.coalesce("_deleted_at", F.current_timestamp())
+            live = live.unionByName(gone.withColumns({"_deleted": F.lit(True), "_deleted_at": at}), allowMissingColumns=True)
+        out = live
+    else:
+        raise ValueError(f"unknown destination mode {mode!r}")
+    out.write.mode("overwrite").parquet(path)
+    return null_safe_join(spark.read.parquet(path), records.select(*keys), keys, "left_semi").count()
+
+
+def execute_sync(source: DataFrame, cfg: SyncConfig, home: str, on_error: str = "raise", deleted_at=None) -> DataFrame:
+    """SNK-15: run one sync of ``source`` into ``home``; the run's row.
+
+    The rows read are fixed by the checkpoint of the last confirmed run. They are
+    transformed once into a written table, from which they are loaded and
+    counted. The table holds all of them or the run is ``failed`` and its
+    checkpoint is not saved, so that the next run reads them again; with
+    coercion errors it is ``partial``. Folders are named by run, so a repeated
+    attempt writes over what it left.
+    """
+    spark, s = source.sparkSession, cfg.stream
+    home = home.rstrip("/")
+    run = max([0, *_folders(spark, f"{home}/runs", "run")]) + 1
+    incremental = s.sync_mode == "incremental" and s.cursor_field
+    cursor = cfg.cursor_value
+    if incremental and (states := _folders(spark, f"{home}/state", "run")):
+        cursor = spark.read.parquet(f"{home}/state/run={states[-1]}").first()["cursor_state"]
+    extracted = read_incremental(source, s.cursor_field, cursor, cfg.cursor_op) if incremental else source
+    extracted = materialize(extracted, "sync-extracted")
+    result = transform(extracted, cfg, on_error)
+    records = materialize(result.records, "sync-records")
+    n_extracted, n_records = extracted.count(), records.count()
+    errors = 0 if result.errors is None else result.errors.count()
+    loaded = _load(records, cfg, home, run, deleted_at)
+    tally = [F.lit(s.name).alias("stream")]
+    check = reconcile(records.select(*tally), spark.range(loaded).select(*tally), "stream").first()
+    confirmed = check is None or check["discrepancy"] is None
+    state = None
+    if confirmed and incremental:
+        new = next_state(extracted, s.cursor_field, cursor)
+        new.write.mode("overwrite").parquet(f"{home}/state/run={run}")  # after the data
+        state = str(spark.read.parquet(f"{home}/state/run={run}").first()["cursor_state"])
+    status = "failed" if not confirmed else "partial" if errors else "completed"
+    row = spark.createDataFrame([(cfg.sync_id, run, status, n_extracted, n_records, loaded, errors, None if check is None else check["discrepancy"], state)], RUN_DDL)
+    row.coalesce(1).write.mode("overwrite").json(f"{home}/runs/run={run}")
+    discard(extracted, records)
+    return row

@@ -36,7 +36,14 @@ def contextual_pii(spark, sf_dir):
 def minhash_near_dedup(spark, sf_dir):
     from .minhash import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_hash")
+
+
+@query("op3_licence_scan")
+def licence_scan(spark, sf_dir):
+    from .licences import scan_licences
+
+    return scan_licences(read_table(spark, sf_dir, "documents"))
 
 
 @query("op4_quality_classifier")

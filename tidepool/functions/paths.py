@@ -45,24 +45,6 @@ def json_path(c: Column, path: str) -> Column:
     return F.get_json_object(c, p)
 
 
-def path_exists(df: DataFrame, path: str) -> bool:
-    """Plan-time check that a struct path resolves in the schema."""
-    dt: T.DataType = df.schema
-    for s in parse_path(path):
-        if isinstance(s, int):
-            if not isinstance(dt, T.ArrayType):
-                return False
-            dt = dt.elementType
-        else:
-            if isinstance(dt, T.MapType):
-                dt = dt.valueType
-                continue
-            if not isinstance(dt, T.StructType) or s not in dt.fieldNames():
-                return False
-            dt = dt[s].dataType
-    return True
-
-
 def build_nested(assignments: list[tuple[str, Column]]) -> list[Column]:
     """MAP-10 for a whole output record: ``[("a.b.c", col), ...]`` -> top-level Columns.
 

@@ -77,8 +77,3 @@ def message_stats(msgs: DataFrame) -> DataFrame:
 def records_of(msgs: DataFrame) -> DataFrame:
     """Record messages as rows ``(stream, namespace, data, emitted_at)``."""
     return msgs.filter((F.col("type") == "RECORD") & F.col("record").isNotNull()).select("record.*")
-
-
-def states_of(msgs: DataFrame) -> DataFrame:
-    """State messages as rows ``(type, stream, data)``."""
-    return msgs.filter((F.col("type") == "STATE") & F.col("state").isNotNull()).select("state.*")

@@ -15,7 +15,7 @@ def shingles(t, k):
     return frozenset([tuple(w[i:i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else ([tuple(w)] if w else []))
 
 
-def brute(rows, k, percent):
+def brute(rows, k, percent, ordered=False):
     sets = [shingles(t, k) for _, t in rows]
     group = list(range(len(rows)))
 
@@ -35,7 +35,7 @@ def brute(rows, k, percent):
         ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None] if sets[i] else [d]
         c = min(ids, default=None) if sets[i] else d
         out.append((d, len(sets[i]), c, d == c))
-    return sorted(out, key=str)
+    return out if ordered else sorted(out, key=str)
 
 
 def edited(rng, text, rate):
@@ -58,7 +58,7 @@ def test_against_brute_force(spark, odd_rows, monkeypatch, seed, shingle, percen
     monkeypatch.setattr(minhash, "BLOCK", 4)
     rows = family(seed) + [(None if i is None else i + 5000, t) for i, t in odd_rows]
     got = near_duplicates(corpus(spark, rows).repartition(4), shingle=shingle, percent=percent).collect()
-    assert sorted([tuple(r) for r in got], key=str) == brute(rows, shingle, percent)
+    assert sorted([tuple(r)[:4] for r in got], key=str) == brute(rows, shingle, percent)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -72,7 +72,7 @@ def test_components_of_chains_and_stars(spark):
 def test_empty_table_and_rows_without_words(spark):
     assert near_duplicates(corpus(spark, [(1, "a")]).limit(0)).count() == 0
     got = near_duplicates(corpus(spark, [(5, None), (4, ""), (3, "  ")])).orderBy("doc_id").collect()
-    assert [tuple(r) for r in got] == [(3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert [tuple(r)[:4] for r in got] == [(3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
 
 
 def test_one_row_for_one_id_with_other_texts(spark):

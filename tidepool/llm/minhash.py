@@ -6,43 +6,67 @@
    with one representative; copies go no further.
 2. *Inverted lists.* A retained value's list holds the representatives that
    retain it. Two sets with similarity t share, among the least ``SKETCH``
-   values of their union, about ``t * SKETCH``; fewer than ``OVERLAP`` are
-   as good as impossible (below 1e-12 at t = 0.8), so any link shows among the
-   ``SKETCH - OVERLAP + 1`` rarest retained values of both, and only these are
+   values of their union, about ``t * SKETCH``; fewer than ``overlap`` (30 at
+   t = 0.8) are as good as impossible, so any link shows among the
+   ``SKETCH - overlap + 1`` rarest retained values of both, and only these are
    listed. Text that very many documents share stays out that way.
 3. *Candidates without all pairs.* Each list compares its members with one
    pivot, the member whose values are the most common, so the centre of a
-   group of copies. Jaccard distance is a metric: a member x linked with the pivot p needs
-   no further comparison in the list unless some member y that is not linked
-   has d(y, p) - d(x, p) <= 1 - t. Members that are left go into another round.
-   When rounds stop paying, the remaining members are compared in blocks
-   against blocks, on sketches, each member of a list with each other one.
-4. *Estimate and verify.* Sizes and the union sketch's estimate drop hopeless
-   pairs; the others are confirmed on their full sets.
+   group of copies. Members linked with it are together; what is left to
+   compare is ruled out by bounds. Beside the pivot's shingles, of which it lacks m, a
+   member has q that no other listed text holds and s more; so two members x, y
+   differ in at least q(x) + q(y) + |s(x) - s(y)| + |m(x) - m(y)| shingles,
+   while a link allows (1 - t) / (1 + t) of the sizes' sum. These whole numbers have few values
+   however large the list, and it is their distinct combinations that are held against
+   one another. Members without a possible partner go; the others get another
+   pivot. After some rounds the rest are compared in blocks against blocks, on
+   these bounds and the sketches, each member of a list with each other one, each
+   pair in one of its lists.
+4. *Estimate and verify.* The union sketch's estimate drops hopeless pairs; the others
+   are confirmed on their full sets.
 5. *Groups.* Links are contracted to stars (large-star, small-star) by Spark.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, chunks, cut, mix, partitions, record, text_of, word_runs
+from .common import Words, chunks, cut, ints, mix, partitions, record, squeezed, text_of, unsqueezed, word_runs
 
-SKETCH = 32
-OVERLAP = 9
-#: Shared values below which even a common neighbour is ruled out (similarity 0.6: below 1e-8).
-FAR = 5
+SKETCH = 64
 #: Rounds of pivots before lists are compared block by block.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 6
 BLOCK = 512
 #: A null doc_id: after all others, so that no component is called after it.
 LAST_ID = (1 << 63) - 1
 
 
+def least_shared(similarity: float, chance: float) -> int:
+    """The most values that two sets of this similarity share, but for ``chance``, among the
+    ``SKETCH`` least of their union (each of which both hold with the similarity's chance)."""
+    total = 0.0
+    for c in range(SKETCH + 1):
+        total += math.comb(SKETCH, c) * similarity**c * (1 - similarity) ** (SKETCH - c)
+        if total > chance:
+            return c
+    return SKETCH
+
+
+def overlap(percent: int) -> int:
+    """Shared values that a link has (but for a chance of 1e-9)."""
+    return least_shared(percent / 100, 1e-9)
+
+
+def far(percent: int) -> int:
+    """Shared values below which even a common neighbour is ruled out (but for 1e-8)."""
+    return least_shared(2 * percent / 100 - 1, 1e-8)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (non-negative int64) of each text, A-Z lowered."""
     words = Words(data, offsets, lower=True)
@@ -63,18 +87,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(doc, n, s1, s2, sketch) of every row; n = 0 without words."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """(doc, tag, n, s1, s2, sketch) of every row; n = 0 without words, tag is a hash of the text."""
+    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch, data, offsets in chunks(batches):
             sets = shingle_sets(data, offsets, shingle)
             wide = [s.view(np.uint64) for s in sets]
             yield record(
-                schema, batch.column("doc"), [len(s) for s in sets], [int(mix(s).sum().view(np.int64)) for s in wide],
+                schema, batch.column("doc"), batch.column("tag"), [len(s) for s in sets], [int(mix(s).sum().view(np.int64)) for s in wide],
                 [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) for s in wide], [s[:SKETCH] for s in sets])
 
-    return _documents(docs, key, text).mapInArrow(run, "doc long, n long, s1 long, s2 long, sketch array<long>")
+    rows = _documents(docs, key, text).select("doc", F.xxhash64("text").alias("tag"), "text")
+    return rows.mapInArrow(run, "doc long, tag long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,7 +113,7 @@ def inverted_lists(reps: DataFrame, percent: int) -> DataFrame:
     common = values.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
     held = values.join(common, "value").groupBy("doc", "n", "k").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("held"), F.sum(F.log("freq")).alias("weight"))
     # of k retained values the first are those that no other document retains
-    need = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * percent / 100)).cast("int")
+    need = F.least(F.lit(overlap(percent)), F.ceil(F.col("n") * percent / 100)).cast("int")
     places = F.col("k") - need + 1 - (F.col("k") - F.size("held"))
     return held.where(places > 0).select("doc", "n", "weight", F.explode(F.slice("held", F.lit(1), F.greatest(places, F.lit(0)))).alias("h")).select("h.value", "doc", "n", "weight")
 
@@ -102,13 +127,16 @@ def estimate_filter(pairs: DataFrame, reps: DataFrame, least: int, percent: int
     if percent is not None:
         both = both.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
 
-    @F.pandas_udf("boolean")
-    def likely(sa, sb):
-        import pandas as pd
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        return pd.Series([possible(x, y, least) for x, y in zip(sa, sb)], dtype=bool)
+    def run(batches):
+        for batch in batches:
+            one, two = ((c.flatten().to_numpy(), c.offsets.to_numpy()) for c in (batch.column("sa"), batch.column("sb")))
+            base, other = one[1][0], two[1][0]
+            keep = [possible(one[0][i - base:j - base], two[0][k - other:m - other], least) for i, j, k, m in zip(one[1], one[1][1:], two[1], two[1][1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return both.where(likely("sa", "sb")).select("a", "b").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def possible(x: np.ndarray, y: np.ndarray, least: int) -> bool:
@@ -125,7 +153,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("union", pa.int64())])
 
     def sets(blobs: list[bytes]) -> list[np.ndarray]:
-        raw = [zstandard.ZstdDecompressor().decompress(x) for x in blobs]
+        raw = unsqueezed(blobs)
         return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), shingle)
 
     def run(batches):
@@ -146,79 +174,137 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 def packed_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """(doc, blob): compressed texts of the wanted documents, one row for each text of an id."""
-    schema = pa.schema([("doc", pa.int64()), ("blob", pa.binary())])
-
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            cuts = offsets.tolist()
-            yield record(schema, batch.column("doc"), [pack.compress(data[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])])
-
-    rows = _documents(docs, key, text).join(wanted, "doc", "left_semi")
-    return rows.mapInArrow(run, "doc long, blob binary").distinct()
+    rows = squeezed(_documents(docs, key, text)).withColumnRenamed("text", "blob")
+    return rows.join(wanted, "doc", "left_semi").distinct()
 
 
 def _pivot_round(lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Links found, and the members of lists that need more comparisons."""
-    best = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("doc"), "doc")).alias("top"), F.count("*").alias("m")).where("m > 1").select("value", F.col("top.doc").alias("p"))
-    placed = lists.join(best, "value")
-    pairs = cut(placed.where("doc <> p").select(F.col("doc").alias("a"), F.col("p").alias("b")).distinct(), f"pairs-{name}")
-    checked = cut(verify(cut(estimate_filter(pairs, reps, FAR), f"likely-{name}"), texts, shingle).groupBy("a", "b").agg(F.max(F.col("inter") / F.col("union")).alias("j"), F.max(100 * F.col("inter") >= percent * F.col("union")).alias("linked")), f"checked-{name}")
-    links = checked.where("linked").select("a", "b")
-    # a pair with fewer than FAR shared values is farther apart than two links reach
-    room = 1 - percent / 100
-    d = placed.where("doc <> p").join(checked.withColumnsRenamed({"a": "doc", "b": "p"}), ["doc", "p"], "left").withColumns({"linked": F.coalesce("linked", F.lit(False)), "d": F.coalesce(1 - F.col("j"), F.lit(1.0))})
-    nearest = d.where("not linked").groupBy("value").agg(F.min("d").alias("near"))
-    left = d.join(nearest, "value", "left").where(~F.col("linked") | (F.col("d") >= F.col("near") - room - 1e-9)).select("value", "doc", "n", "weight")
-    # a list of one member, or with linked members only, is done
-    open_lists = left.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    return links, cut(left.join(open_lists, "value", "left_semi"), f"left-{name}")
-
-
-def block_pairs(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one list whose sketches allow a link; every
-    two members of a list meet, in blocks of ``BLOCK`` against blocks."""
-    spark = lists.sparkSession
+    """Links found, and the members of lists with more to compare, each with the
+    shingles ``inter`` it shares with the list's pivot (null where the estimate has ruled
+    out even a common neighbour), those ``m`` of the pivot that it lacks, and whether it is linked."""
+    lists = lists.select([c for c in lists.columns if c in ("value", "doc", "n", "weight", "q", "path")])
+    best = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("doc"), "doc", "n")).alias("top"), F.count("*").alias("c")).where("c > 1").select("value", F.col("top.doc").alias("p"), F.col("top.n").alias("pn"))
+    placed = lists.join(best, "value").where("doc <> p")
+    pairs = cut(placed.select(F.col("doc").alias("a"), F.col("p").alias("b")).distinct(), f"pairs-{name}")
+    likely = cut(estimate_filter(pairs, reps, far(percent)), f"likely-{name}")
+    checked = verify(likely, texts, shingle).groupBy("a", "b").agg(F.max("inter").alias("inter"), F.max(100 * F.col("inter") >= percent * F.col("union")).alias("linked"))
+    checked = cut(checked, f"checked-{name}")
+    reach = placed.join(checked.withColumnsRenamed({"a": "doc", "b": "p"}), ["doc", "p"], "left")
+    seen = reach.select(*lists.columns, "inter", (F.col("pn") - F.col("inter")).alias("m"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    unlinked = seen.where("not linked").select("value").distinct()  # a list of linked members only is done
+    return checked.where("linked").select("a", "b"), cut(seen.join(unlinked, "value", "left_semi"), f"seen-{name}")
+
+
+def unshared(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(doc, q): how many shingles no other wanted document has."""
+    schema = pa.schema([("doc", pa.int64()), ("s", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            raw = unsqueezed(batch.column("blob").to_pylist())
+            doc = ints(batch, "doc")
+            for i in range(0, len(raw), 200):
+                part = raw[i:i + 200]
+                sets = shingle_sets(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64), shingle)
+                yield record(schema, np.repeat(doc[i:i + 200], [len(x) for x in sets]), np.concatenate(sets))
+
+    each = texts.join(wanted, "doc", "left_semi").select("doc", "blob").mapInArrow(run, "doc long, s long")
+    return each.groupBy("s").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("doc").agg(F.count("*").alias("q"))
+
+
+_PLACE = ("linked", "q", "s", "m", "n")
+
+
+def _fits(percent: int) -> F.Column:
+    """Whether the bounds let a member be linked with one whose place is in the columns
+    with an underscore (m < 0: too far from the pivot for its share to be known)."""
+    x, y = (lambda c: F.col(c)), (lambda c: F.col(f"_{c}"))
+    known = (x("m") >= 0) & (y("m") >= 0)
+    least = x("q") + y("q") + F.when(known, F.abs(x("s") - y("s")) + F.abs(x("m") - y("m"))).otherwise(0)
+    together = x("linked") & y("linked")  # both linked with the pivot: nothing left to find
+    apart = (x("linked") & (y("m") < 0)) | (y("linked") & (x("m") < 0))
+    sizes = (100 * x("n") >= percent * y("n")) & (100 * y("n") >= percent * x("n"))
+    return ~together & ~apart & sizes & ((100 + percent) * least <= (100 - percent) * (x("n") + y("n")))
+
+
+def _possible(seen: DataFrame, percent: int, name: str) -> DataFrame:
+    """Members of lists that may have a link which no pivot has shown; ``path``
+    keeps their places (linked, s, m) with regard to each round's pivot."""
+    rows = seen.withColumn("s", F.when(F.col("m").isNull(), -1).otherwise(F.greatest(F.col("n") - F.col("inter") - F.col("q"), F.lit(0)))).withColumn("m", F.coalesce("m", F.lit(-1)))
+    path = F.array(F.struct("linked", F.col("s").cast("long").alias("s"), F.col("m").cast("long").alias("m")))
+    rows = rows.select("value", "doc", "weight", *_PLACE, (F.concat("path", path) if "path" in rows.columns else path).alias("path"))
+    places = cut(rows.groupBy("value", *_PLACE).agg(F.count("*").alias("c")), f"places-{name}")
+    other = places.select(*[F.col(c).alias(f"_{c}") for c in ("value", *_PLACE)])
+    same = F.lit(True)
+    for c in _PLACE:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    found = places.join(other, (F.col("value") == F.col("_value")) & _fits(percent) & (~same | (F.col("c") > 1)), "left_semi").drop("c")
+    return cut(rows.join(found, ["value", *_PLACE], "left_semi"), f"left-{name}")
+
+
+def block_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among members of one list. Every two members of a list meet,
+    in blocks of ``BLOCK`` against blocks, in the least of the lists they share; the bounds
+    of all rounds and the sketches choose pairs, which are confirmed on the full sets there
+    and then. Only links leave the task."""
     sizes = lists.groupBy("value").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    mine = lists.groupBy("doc").agg(F.sort_array(F.collect_set("value")).alias("values"))
     dealt = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # member of block i meets blocks 0 .. blocks - 1: cells (lesser, greater)
-    cells = dealt.select("value", "doc", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "block")
-    sized = cells.join(reps.select("doc", F.col("n").alias("_n"), "sketch"), "doc").where("n = _n").drop("_n")
+    # a member of a block meets all blocks: cells (lesser, greater)
+    cells = dealt.select("value", "doc", "n", "q", "path", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    sized = cells.join(mine, "doc").join(reps.select("doc", F.col("n").alias("_n"), "sketch"), "doc").where("n = _n").drop("_n").join(texts, "doc")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(doc, n, block, sketch, i, j):
-        order = np.argsort(n, kind="stable")
-        doc, n, block, sketch = doc[order], n[order], block[order], [sketch[k] for k in order]
-        out = []
-        for k in range(len(doc)):
-            # sizes ascend: partners are within the size bound
-            stop = int(np.searchsorted(n, 100 * n[k] // percent, side="right"))
-            for q in range(k + 1, stop):
-                if (i == j or block[k] != block[q]) and doc[k] != doc[q] and possible(sketch[k], sketch[q], OVERLAP):
-                    out.append((max(doc[k], doc[q]), min(doc[k], doc[q])))
-        return out
+    least = overlap(percent)
+
+    def links(rows: list[dict], value: int, i: int, j: int):
+        rows.sort(key=lambda r: r["n"])
+        doc, q, n, block = (np.array([r[c] for r in rows]) for c in ("doc", "q", "n", "block"))
+        linked, s, m = (np.array([[p[c] for p in r["path"]] for r in rows]).T for c in ("linked", "s", "m"))  # one row per round
+        values, sketch = [np.array(r["values"], np.int64) for r in rows], [np.array(r["sketch"], np.int64) for r in rows]
+        sets: dict[int, np.ndarray] = {}
+
+        def whole(k: int) -> np.ndarray:
+            if k not in sets:
+                raw = np.frombuffer(unsqueezed([rows[k]["blob"]])[0], np.uint8)
+                sets[k] = shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+            return sets[k]
+
+        for k in range(len(rows)):
+            rest = slice(k + 1, int(np.searchsorted(n, 100 * n[k] // percent, side="right")))  # sizes ascend
+            fits = doc[rest] != doc[k]
+            if i != j:
+                fits &= block[rest] != block[k]
+            room = (100 - percent) * (n[rest] + n[k]) / (100 + percent) + 1e-9 - q[rest] - q[k]
+            for one, two, three in zip(linked, s, m):
+                apart = np.where((three[rest] >= 0) & (three[k] >= 0), np.abs(two[rest] - two[k]) + np.abs(three[rest] - three[k]), 0)
+                fits &= ~(one[rest] & one[k]) & (apart <= room)
+            for x in (np.flatnonzero(fits) + k + 1).tolist():
+                if possible(sketch[k], sketch[x], least) and np.intersect1d(values[k], values[x], assume_unique=True)[0] == value:
+                    shared = len(np.intersect1d(whole(k), whole(x), assume_unique=True))
+                    if 100 * shared >= percent * (len(whole(k)) + len(whole(x)) - shared):
+                        yield max(doc[k], doc[x]), min(doc[k], doc[x])
 
     def run(batches):
         held, key = [], None
+
+        def found():
+            pairs = list(links(held, *key))
+            return record(schema, [int(x) for x, _ in pairs], [int(x) for _, x in pairs])
+
         for batch in batches:
             for r in batch.to_pylist():
                 k = (r["value"], r["i"], r["j"])
                 if k != key and held:
-                    yield emit(held, key)
+                    yield found()
                     held = []
                 key = k
                 held.append(r)
         if held:
-            yield emit(held, key)
+            yield found()
 
-    def emit(held, key):
-        columns = [np.array([r[c] for r in held]) for c in ("doc", "n", "block")]
-        pairs = compare(*columns, [np.array(r["sketch"], np.int64) for r in held], key[1], key[2])
-        return record(schema, [int(x[0]) for x in pairs], [int(x[1]) for x in pairs])
-
-    return sized.repartition(partitions(spark), "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    n = partitions(lists.sparkSession)
+    return sized.repartition(n, "value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -240,7 +326,8 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``docs``;
+    ``text_hash`` (xxhash64, of the empty text for null) tells apart rows that share an id.
 
     Texts are linked whose shingle sets have an intersection of at least
     ``percent`` of their union. ``component_id`` is the smallest doc_id that links lead
@@ -259,26 +346,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     several = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
     lists = cut(lists.join(several, "value", "left_semi"), "lists")
     texts = cut(packed_texts(docs, key, text, lists.select("doc").distinct()), "candidates")
-    links, rounds, before = [], 0, lists.count()
-    while before and rounds < PIVOT_ROUNDS:
-        rounds += 1
-        found, lists = _pivot_round(lists, reps, texts, shingle, percent, f"round{rounds}")
+    links, alone, before = [], None, None
+    for k in range(max(PIVOT_ROUNDS, 1)):
+        if lists.isEmpty():
+            break
+        found, seen = _pivot_round(lists, reps, texts, shingle, percent, f"round{k}")
         links.append(found)
-        now = lists.count()
-        if 10 * now > 9 * before:
-            before = now
+        if alone is None:
+            open_docs = lists.join(seen.select("value").distinct(), "value", "left_semi").select("doc").distinct()  # pivots too
+            alone = cut(unshared(texts, open_docs, shingle), "unshared")
+            seen = seen.join(alone, "doc", "left").withColumn("q", F.coalesce("q", F.lit(0)))
+        lists = _possible(seen, percent, f"round{k}")
+        left = lists.count()
+        if before is not None and 10 * left > 8 * before:  # another round would not pay
             break
-        before = now
-    if before:
-        pairs = cut(block_pairs(lists, reps, percent), "pairs-blocks")
-        checked = verify(pairs, texts, shingle).where(100 * F.col("inter") >= percent * F.col("union")).select("a", "b")
-        links.append(cut(checked, "links-blocks"))
-    joined = all_sketches.select("doc", *own).join(classes.select(*own, "rep"), own, "left").withColumn("rep", F.coalesce("rep", "doc"))
+        before = left
+    if not lists.isEmpty():
+        links.append(cut(block_links(lists, reps, texts, shingle, percent), "links-blocks"))
+    joined = all_sketches.select("doc", "tag", *own).join(classes.select(*own, "rep"), own, "left").withColumn("rep", F.coalesce("rep", "doc"))
     # rows of one id with different sets belong together
     edges = joined.where("doc <> rep and n > 0").join(joined.groupBy("doc").agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).where("_low < _high").select("doc"), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     for found in links:
         edges = edges.unionByName(found)
     root = components(edges)
-    out = joined.join(root, F.col("rep") == F.col("node"), "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc")).alias("component"))
+    out = joined.join(root, F.col("rep") == F.col("node"), "left").select("doc", "tag", "n", F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc")).alias("component"))
     shown = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
-    return out.select(shown("doc").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return out.select(shown("doc").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"), F.col("tag").alias("text_hash"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, spare
+from .common import NULL_ID, prepare, read_table, spare, text_of
 
 
 def default_tokenizer() -> str:
@@ -16,23 +16,24 @@ def default_tokenizer() -> str:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier doesn't reject; the model is fitted on labelled rows of ``docs``."""
-    from .quality import fit, score_column
+    from .quality import fit, with_scores
 
     prepare(spark)
     model = fit(docs, read_table(spark, sf_dir, "labels"))
-    return docs.where(score_column(model, "text") >= model.threshold)
+    return with_scores(docs, model, name=spare(docs, "_score"), least=model.threshold).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies: five words, similarity 0.8."""
+    """One document (the smallest doc_id) of each group of near copies: five
+    words, similarity 0.8. Rows that repeat an id and its text become one."""
     from .minhash import near_duplicates
 
     prepare(spark)
-    # a null id is the greatest long here, so that both steps below are dealt by one plain key
-    name = spare(docs, "_number")
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(name)
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(number)
-    return docs.select("*", number).join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    # one plain key, so that both steps below are dealt by it; a null id is the least long here
+    name = spare(docs, "_place")
+    place = lambda i, tag: F.struct(F.coalesce(F.col(i).cast("long"), F.lit(NULL_ID)).alias("i"), tag.alias("t")).alias(name)
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(place("doc_id", F.col("text_hash")))
+    return docs.select("*", place("doc_id", F.xxhash64(text_of()))).join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

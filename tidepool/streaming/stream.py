@@ -322,7 +322,8 @@ def admit_stream(df: DataFrame, key: str, ts: str, limit: int, window_seconds: f
     """STR-5 (streaming): the same rule with per-key state ``(window_start, used)``
     kept by ``applyInPandasWithState``; events of a key must arrive in time
     order from batch to batch (inside a batch any order will do). The state of
-    a key that has been idle for ``idle_seconds`` (processing time) is dropped.
+    a key that has been idle for ``idle_seconds`` (processing time) is dropped;
+    that is for queries that run on, as an available-now run would wait for its timers.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 

@@ -249,11 +249,11 @@ def block_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: in
     and then. Only links leave the task."""
     sizes = lists.groupBy("value").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
     mine = lists.groupBy("doc").agg(F.sort_array(F.collect_set("value")).alias("values"))
-    dealt = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    members = mine.join(reps.select("doc", "n", "sketch"), "doc").join(texts, "doc")
+    dealt = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(members, ["doc", "n"])
     # a member of a block meets all blocks: cells (lesser, greater)
-    cells = dealt.select("value", "doc", "n", "q", "path", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    sized = cells.join(mine, "doc").join(reps.select("doc", F.col("n").alias("_n"), "sketch"), "doc").where("n = _n").drop("_n").join(texts, "doc")
+    cells = dealt.select("value", "doc", "n", "q", "path", "values", "sketch", "blob", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sized = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = overlap(percent)
 

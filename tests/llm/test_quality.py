@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidepool.llm.quality import FEATURES, classify, features, fit, moments, score_column
+from tidepool.llm.quality import FEATURES, classify, features, fit, moments, with_scores
 
 from .conftest import corpus, prose
 
@@ -26,8 +26,10 @@ def test_held_out_accuracy_and_odd_rows(spark, odd_rows):
     wrong = [i for i, q, _ in labels if got[i].held_out and got[i].predicted != q]
     assert len(wrong) <= 1
     assert classify(docs, marks).count() == docs.count()
-    # the column form scores alike
-    one = docs.select("doc_id", score_column(fit(docs, marks)).alias("s")).where("doc_id < 300").collect()
+    # scores beside all columns are alike
+    model = fit(docs, marks)
+    one = with_scores(docs, model, name="s").where("doc_id < 300").collect()
+    assert with_scores(docs, model, name="s", least=0.3).count() == sum(r.predicted for r in classify(docs, marks).collect())
     assert all(abs(r.s - got[r.doc_id].score) < 1e-6 for r in one)
 
 

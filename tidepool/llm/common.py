@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tidepool.session import materialize
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows of one Arrow batch; texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Stands for a null document id inside an operator: it sorts before all others.
 NULL_ID = -(1 << 63)
 

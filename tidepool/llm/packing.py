@@ -21,7 +21,6 @@ from __future__ import annotations
 import bisect
 import itertools
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ END_ID = 1
 #: A sequence with at most this many free tokens is emitted at once.
 NEARLY_FULL = 8
 _CACHE_WORDS = 1 << 20
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 _BREAK = "\x00"
 _TOKENIZERS: dict[str, "WordIds"] = {}
 

@@ -205,11 +205,12 @@ def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     more = _added(found, discover(found, **options), "doc_id", "tag").select(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "tag").alias(place := spare(docs, "_place")), F.col("added").alias(added := spare(docs, "_added")))
     joined = docs.withColumn(place, F.struct(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), F.xxhash64(text_of(text)))).join(more, place, "left")
 
-    @F.pandas_udf("string")
-    def clean(texts, added):
-        import pandas as pd
+    names, at, schema = docs.columns, docs.columns.index(text), docs.schema
 
-        return pd.Series([None if t is None else redact(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in (() if a is None else a)]) for t, a in zip(texts, added)], dtype=object)
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else redact(t, base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in a or ()]) for t, a in zip(batch.column(text).to_pylist(), batch.column(added).to_pylist())]
+            yield batch.select(names).set_column(at, pa.field(text, pa.string()), pa.array(texts, pa.string()))
 
-    out = joined.withColumn(text, clean(F.col(text), F.col(added))).select(docs.columns)
+    out = joined.select(*[F.col(f"`{c}`") for c in names], F.col(added)).mapInArrow(run, schema)
     return out.withColumn(length, F.coalesce(F.length(text), F.lit(0)).cast("long")) if length in docs.columns else out

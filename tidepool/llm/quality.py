@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Runs, Words, buffers, chunks, cut, mix, record, text_of, word_runs
+from .common import Runs, Words, chunks, cut, mix, record, spare, text_of, word_runs
 
 FEATURES = (
     "log_words", "log_word_length", "upper", "digit", "symbol", "shout", "sentence_marks", "bars", "other_marks",
@@ -178,20 +179,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(training_rows(featurise(docs), labels))
 
 
-def score_column(model: Model, text: str = "text") -> F.Column:
-    """Score of a text as a column."""
+def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score", least: float | None = None) -> DataFrame:
+    """``docs``, all columns, with each row's score as ``name`` (a new column); with
+    ``least`` only rows that reach it. Decided where a row is read, without a shuffle."""
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name}")
+    names, plain = docs.columns, spare(docs, "_plain")
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        out = []
-        arr = pa.array(texts, pa.string())
-        for _, data, offsets in chunks([pa.RecordBatch.from_arrays([arr], ["text"])]):
-            out.append(model.score(features(data, offsets)))
-        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+    def run(batches):
+        for batch, data, offsets in chunks(batches, plain):
+            score = model.score(features(data, offsets))
+            out = batch.select(names).append_column(name, pa.array(score, pa.float64()))
+            yield out if least is None else out.filter(pa.array(score >= least))
 
-    return score(text_of(text))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.withColumn(plain, text_of(text)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ HEAVY_SHARE = 1e-5
 #: Longest super-k-mer, in windows; longer runs (periodic text) are cut.
 RUN_WINDOWS = 512
 BUCKETS_PER_PARTITION = 8
-_SEND_BYTES = 6 << 20
+_SEND_BYTES = 4 << 20
 _SEEN = 1 << 20
 _HIGH = np.uint64(1 << 63)
 

@@ -38,3 +38,26 @@ def test_table_of_odd_rows(spark):
     got = {(r.page_id, r.url, r.text, r.n_chars) for r in extract(df).collect()}
     assert (1, "u", "", 0) in got and (None, None, WANT, len(WANT)) in got and (2, "v", "é, é.", 5) in got and (2, "v", "\n".join([WANT] * 2000), 2000 * (len(WANT) + 1) - 1) in got
     assert extract(df.limit(0)).count() == 0
+
+
+def test_weak_names_only_weigh():
+    other = "<p>An unnamed block, which is as long as the others, and has marks. It goes on, too.</p>" * 2
+    for cls in ("text-center", "story-card", "main-col"):  # one such block does not drop the rest of the page
+        got = main_text(page(f'<div class="{cls}"><p>Sign up, now.</p></div><div>{ARTICLE}</div>'))
+        assert WANT in got
+        assert main_text(page(f'<div class="{cls}">{ARTICLE}</div><div>{other}</div>')).startswith(WANT + "\nAn unnamed block")
+    assert WANT in main_text(page(f"<article>{ARTICLE}</article><div>{other}</div>")) and "unnamed" in main_text(page(f"<article>{ARTICLE}</article><div>{other}</div>"))
+    for around in ('<div class="social">{}</div>', '<form id="search">{}</form>'):  # names that speak against do not drop a whole page
+        assert main_text(page("<nav><a>Home</a></nav>" + around.format(ARTICLE))) == WANT
+
+
+def test_ratios_decide_inside_an_article_too():
+    menu = "<div><i>Ab</i></div>" * 40
+    long = ARTICLE.replace("things", "things, of which there are a great many, and of which more is said") * 20
+    got = main_text(page(f"<article><h1>Title</h1>{long}<ul><li>Point one</li><li>Point two</li></ul><section>{menu}</section></article>"))
+    assert got.startswith("Title\nFirst paragraph") and got.endswith("Point one\nPoint two")
+
+
+def test_frame_without_article():
+    assert main_text(page("<nav><a>Home</a></nav><footer><p>Some address, with marks. And more.</p></footer>")) == ""
+    assert main_text(page(f'<p style="display:none">{WANT}</p><div hidden>{WANT}</div>')) == ""

@@ -2,10 +2,10 @@
 
 A page is read into text nodes, each with its path of open tags from the root.
 Per path, text length, punctuation and occurrences are summed; their ratios (characters
-and marks per occurrence) are smoothed over paths that share a container, and fused with
-the mass of the container and with what the path's tags and class names say. Paths
-over the threshold are content; all their nodes are kept, short ones included,
-block by block in page order.
+and marks per occurrence) are smoothed over paths that share a container and fused with
+the mass of the container. What tags and class names say only weighs the ratios: no visible
+path is left out, and none is taken, for its names alone. Paths over the threshold are
+content; all their nodes are kept, short ones included, block by block in page order.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import html
 import math
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,11 @@ from .common import chunks, record
 
 #: Share of the best path's fused ratio that a path needs.
 THRESHOLD = 0.1
-#: How far a path inside an article element is trusted: its ratio counts with the power 1 - TRUST.
-TRUST = 0.95
+#: Weights of names, by tag and by words of class, id and role: an article's ratio is multiplied by the first,
+#: and what is around or between articles by the second, once for each such element around it.
+BY_TAG, BY_WORD = (8.0, 1 / 32), (3.0, 1 / 16)
+#: Inside an article, a ratio relative to the best counts with this power, as titles and list items are short.
+EVEN = {8.0: 0.5, 3.0: 0.75}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -39,8 +43,10 @@ _RAW = frozenset("script style template noscript textarea title iframe svg math
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ENDS_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-# Tags and words of class, id and role that tell apart what is not the article.
+# Tags and words of class, id and role that speak against or for the article.
 _NOT_CONTENT = frozenset("nav header footer aside form button menu dialog fieldset noscript head".split())
+#: Of these, what frames a page: it never sets the measure for the rest.
+_FRAME = frozenset("nav header footer aside menu button head".split())
 _NOT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments respond disqus reply replies related recommended recommendations share sharing social toolbar widget pagination pager search contentinfo complementary sr only skip tags meta copyright legal disclaimer".split())
 _BUT = frozenset("has with no without".split())  # as in "has-sidebar"
 _CONTENT = frozenset("article main".split())
@@ -48,16 +54,26 @@ _CONTENT_WORDS = frozenset("article content post entry story main body text".spl
 
 
 class _Open:
-    """An open element: name, path, block number and whether it is outside the article."""
+    """An open element: name, path, block number, whether it is hidden, and its weights (see ``Signs``)."""
 
-    __slots__ = ("name", "path", "block", "out", "home")
+    __slots__ = ("name", "path", "block", "hidden", "signs")
 
-    def __init__(self, name, path, block, out, home):
-        self.name, self.path, self.block, self.out, self.home = name, path, block, out, home
+    def __init__(self, name, path, block, hidden, signs):
+        self.name, self.path, self.block, self.hidden, self.signs = name, path, block, hidden, signs
 
 
-def _signals(name: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
-    """Path label of a tag, whether it rules its content out, and whether it is the article."""
+class Signs(NamedTuple):
+    """What the names on a path say: weight as an article (1 if none), weight as something else, and
+    whether a tag for the frame of a page is on the path."""
+
+    home: float = 1.0
+    out: float = 1.0
+    frame: bool = False
+
+
+def _signals(name: str, tag: str, above: Signs) -> tuple[str, bool, Signs]:
+    """Path label of a tag, whether it is hidden, and the weights below it."""
+    inside = above.home > 1
     words: set[str] = set()
     label, hidden = name, False
     if "=" in tag or " hidden" in tag:
@@ -76,20 +92,25 @@ def _signals(name: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
     if inside or home:  # an article's own header (title, byline) is part of it; a page's is not
         words.discard("header")
     named = name not in ("html", "body", "article", "main") and not _NOT_WORDS.isdisjoint(words)
-    out = hidden or named or name in _NOT_CONTENT and not (inside and name == "header")
-    return label, out, home and not out
-
-
-def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
-    """(text, path, block, outside, in the article) of the text nodes in page order; raw elements are skipped."""
-    nodes: list[tuple[str, str, int, bool, bool]] = []
-    root = _Open("", "", 0, False, False)
+    tagged = name in _NOT_CONTENT and not (inside and name == "header")
+    if named or tagged:
+        signs = Signs(above.home, above.out * min(BY_TAG[1] if tagged else 1.0, BY_WORD[1] if named else 1.0), above.frame or name in _FRAME and tagged)
+        return f"{label}!" if named else label, hidden, signs
+    if home:
+        return label if name in _CONTENT else f"{label}+", hidden, above._replace(home=max(above.home, BY_TAG[0] if name in _CONTENT else BY_WORD[0]))
+    return label, hidden, above
+
+
+def text_nodes(page: str) -> list[tuple[str, str, int, bool, Signs]]:
+    """(text, path, block, hidden, weights) of the text nodes in page order; raw elements are skipped."""
+    nodes: list[tuple[str, str, int, bool, Signs]] = []
+    root = _Open("", "", 0, False, Signs())
     stack, block, at, n = [root], 0, 0, len(page)
 
     def add(a: int, b: int) -> None:
         if a < b:
             top = stack[-1]
-            nodes.append((html.unescape(page[a:b]), top.path, block, top.out, top.home))
+            nodes.append((html.unescape(page[a:b]), top.path, block, top.hidden, top.signs))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -116,10 +137,10 @@ def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at) if name not in _CLOSERS else _CLOSERS[name].search(page, at)
             if not tag.endswith("/>") or name not in ("svg", "math", "object"):
                 at = n if end is None else end.end()
-            nodes.append((" ", stack[-1].path, block, stack[-1].out, stack[-1].home))
+            nodes.append((" ", stack[-1].path, block, stack[-1].hidden, stack[-1].signs))
             continue
         if name == "br":
-            nodes.append((" ", stack[-1].path, block, stack[-1].out, stack[-1].home))
+            nodes.append((" ", stack[-1].path, block, stack[-1].hidden, stack[-1].signs))
             continue
         if name not in _INLINE:
             block += 1
@@ -140,27 +161,25 @@ def text_nodes(page: str) -> list[tuple[str, str, int, bool, bool]]:
         if name in _VOID or tag.endswith("/>") and name in _INLINE:
             continue
         top = stack[-1]
-        label, out, home = _signals(name, tag, top.home)
+        label, hidden, signs = _signals(name, tag, top.signs)
         path = top.path if name in _INLINE else f"{top.path}/{label}"
-        stack.append(_Open(name, path, block, top.out or out, top.home or home))
+        stack.append(_Open(name, path, block, top.hidden or hidden, signs))
     return nodes
 
 
 _CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 
 
-def path_scores(nodes: list[tuple[str, str, int, bool, bool]]) -> dict[str, float]:
-    """Fused tag-path ratios, relative to the page's best path; paths of which nothing counts have none.
-
-    Where a page has an article element, only what is inside counts."""
-    length, marks, blocks, trust = defaultdict(int), defaultdict(int), defaultdict(set), {}
-    only = any(home and not out and not text.isspace() for text, _, _, out, home in nodes)
-    for text, path, block, out, home in nodes:
-        if not out and (home or not only) and not text.isspace():
+def path_scores(nodes: list[tuple[str, str, int, bool, Signs]]) -> dict[str, float]:
+    """Fused tag-path ratios of all visible paths, relative to the page's best path outside the frame
+    (navigation, page header, footer, ...); none if all text is in the frame."""
+    length, marks, blocks, signs = defaultdict(int), defaultdict(int), defaultdict(set), {}
+    for text, path, block, hidden, sign in nodes:
+        if not hidden and not text.isspace():
             length[path] += len(_SPACE.sub(" ", text).strip())
             marks[path] += len(_MARKS.findall(text))
             blocks[path].add(block)
-            trust[path] = TRUST if home else 0.0
+            signs[path] = sign
     # smoothing: a path shares what its siblings in the container have
     whole: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for path in length:
@@ -175,9 +194,11 @@ def path_scores(nodes: list[tuple[str, str, int, bool, bool]]) -> dict[str, floa
         ratio = 0.5 * length[path] / n + 0.5 * c[0] / c[2]
         mark_ratio = 0.5 * (marks[path] + 1) / n + 0.5 * (c[1] + 1) / c[2]
         # the container's mass tells a page's body from single blocks
-        fused[path] = math.sqrt(ratio * mark_ratio) * math.log1p(c[0])
-    best = max(fused.values(), default=1.0)
-    return {path: (v / best) ** (1 - trust[path]) for path, v in fused.items()}
+        fused[path] = math.sqrt(ratio * mark_ratio) * math.log1p(c[0]) * signs[path].home * signs[path].out
+    best = max((v for path, v in fused.items() if not signs[path].frame), default=0.0)
+    if not best:
+        return {}
+    return {path: (v / best) ** (EVEN.get(signs[path].home, 1.0) if signs[path].out == 1 else 1.0) for path, v in fused.items()}
 
 
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
@@ -185,8 +206,8 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     nodes = text_nodes(page)
     content = {path for path, score in path_scores(nodes).items() if score >= threshold}
     blocks: dict[int, list[str]] = {}
-    for text, path, block, out, _ in nodes:
-        if not out and (path in content or text.isspace() and block in blocks):
+    for text, path, block, hidden, _ in nodes:
+        if not hidden and (path in content or text.isspace() and block in blocks):
             blocks.setdefault(block, []).append(text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)

@@ -2,11 +2,13 @@
 
 Texts are normalised to words of letters and digits (A-Z lowered, all other
 ASCII characters separate) and compared as sets of word bigrams:
-``2 |A & T| / (|A| + |T|)``. For a template of n distinct bigrams the regions are
-windows of as many bigrams as the template's text, that begin with one it holds (or
-shorter ones at a text's end). A coefficient of t needs regions of between
-t / (2 - t) and (2 - t) / t times n bigrams, and at least t / (2 - t) times n shared ones:
-these bounds leave few windows and templates, which are then compared exactly.
+``2 |A & T| / (|A| + |T|)``. For a template of n distinct bigrams a coefficient of t needs
+regions of between t / (2 - t) and (2 - t) / t times n distinct bigrams, and at least
+t / (2 - t) times n shared ones: these bounds leave few templates and places. There, the regions
+are all windows (``any_length``) or only those of as many bigrams as the template's text, that begin
+with one it holds (or shorter ones at a text's end). Of all windows from a start, the best ends where
+a bigram of the template comes for the first time, and before the start's own bigram comes again
+(else the window from there is as good and shorter); all these are compared exactly.
 
 One table of the templates' bigrams, whose size the template list bounds, goes to
 the tasks; documents are read once and never shuffled.
@@ -14,6 +16,10 @@ the tasks; documents are read once and never shuffled.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from functools import cache
+from importlib.resources import files
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +61,37 @@ this permission notice appear in all copies.""",
     "all-rights-reserved": "All rights reserved.",
 }
 
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivs", "BY-NC": "Attribution-NonCommercial",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivs"}
+_GNU = {"GPL": ("GNU General Public License", ("1", "2", "3")), "LGPL": ("GNU Lesser General Public License", ("2.1", "3")), "AGPL": ("GNU Affero General Public License", ("3",))}
+
+
+@cache
+def all_templates() -> dict[str, str]:
+    """TEMPLATES, the same statements for other versions, and the whole texts in ``licence_texts`` (``<name>-full``)."""
+    more = {}
+    for kind, (name, versions) in _GNU.items():
+        for v in versions:
+            v0 = v if "." in v else f"{v}.0"
+            more[f"{kind}-{v0}"] = f"This {'library' if kind == 'LGPL' else 'work'} is licensed under the {name}, version {v}."
+            notice = TEMPLATES["GPL-3.0-notice"].replace("GNU General Public License", name).replace("version 3", f"version {v}")
+            more[f"{kind}-{v0}-notice"] = notice
+            if kind == "LGPL":
+                more[f"{kind}-{v0}-library-notice"] = notice.replace("This program", "This library")
+    for v, where in {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}.items():
+        for code, name in _CC.items():
+            words = name.replace("NoDerivs", "NoDerivatives") if v == "4.0" else name
+            more[f"CC-{code}-{v}-statement"] = f"This work is licensed under a Creative Commons {words} {v} {where} License."
+            more[f"CC-{code}-{v}"] = f"Licensed under CC {code} {v}."
+    for name, v in {"Apache-1.1": "Apache License, Version 1.1", "MPL-1.1": "Mozilla Public License, v. 1.1", "EPL-1.0": "Eclipse Public License, Version 1.0", "EPL-2.0": "Eclipse Public License, Version 2.0"}.items():
+        more[name] = f"Licensed under the {v}."
+    have = set(TEMPLATES.values())
+    out = TEMPLATES | {name: text for name, text in more.items() if name not in TEMPLATES and text not in have}
+    for f in sorted(files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        out[f"{f.name.removesuffix('.txt')}-full"] = f.read_text(encoding="utf-8")
+    return out
+
+
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
 _NORMAL[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -114,11 +151,107 @@ def scan(table: _Table, words: Words, threshold: float) -> list[tuple[int, int,
     return out
 
 
-def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _windows(grams: np.ndarray, hits: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, threshold: float) -> list[tuple[float, int, int, int]]:
+    """(coefficient, first bigram, end, shared) of the best window from each hit of one template in one
+    document; ``before`` and ``after`` are where each bigram stands next on either side."""
+    need = max(1, int(np.ceil(threshold / (2 - threshold) * size - 1e-9)))
+    most = int((2 - threshold) / threshold * size + 1e-9)
+    out = []
+    upto = np.searchsorted(hits, after[hits])
+    for x in np.flatnonzero(upto - np.arange(len(hits)) >= need).tolist():
+        i = int(hits[x])
+        ends = hits[x:upto[x]]
+        ends = ends[before[ends] < i]  # where a shared bigram comes for the first time
+        if len(ends) < need:
+            continue
+        span = 2 * most + 2
+        while True:  # distinct bigrams from i on, until there are too many
+            distinct = np.cumsum(before[i:i + span] < i)
+            if distinct[-1] > most or i + span > ends[-1]:
+                break
+            span *= 2
+        shared = np.arange(need, len(ends) + 1)
+        ends = ends[need - 1:]
+        ends = ends[:np.searchsorted(ends, i + len(distinct))]
+        if not len(ends):
+            continue
+        sizes = distinct[ends - i]
+        dice = np.where(sizes <= most, 2 * shared[:len(ends)] / (sizes + size), 0.0)
+        j = int(np.argmax(dice))
+        if dice[j] >= threshold - 1e-12:
+            out.append((float(dice[j]), i, int(ends[j]) + 1, int(shared[j])))
+    return out
+
+
+class _Apart:
+    """Windows of which none covers another by half of the shorter one, by first bigram."""
+
+    def __init__(self):
+        self.kept, self.longest = [], 0
+
+    def add(self, i: int, j: int) -> bool:
+        """Keeps the window and says so, if that holds for it too."""
+        near = self.kept[bisect_left(self.kept, (i - self.longest, 0)):bisect_left(self.kept, (j, 0))]
+        if any(2 * (min(j, b) - max(i, a)) >= min(j - i, b - a) for a, b in near):
+            return False
+        insort(self.kept, (i, j))
+        self.longest = max(self.longest, j - i)
+        return True
+
+
+def scan_any_length(table: _Table, words: Words, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """As ``scan``, over windows of all lengths. Where templates find the same region (windows that
+    cover half of the shorter), it is that of the template that shares most bigrams with it, then of the
+    best coefficient, then of the first template."""
+    grams, doc = _bigrams(words)
+    if not len(grams) or not len(table.keys):
+        return []
+    ends = np.searchsorted(doc, np.arange(doc[-1] + 2))
+    place = np.minimum(np.searchsorted(table.keys, grams), len(table.keys) - 1)
+    known = table.keys[place] == grams
+    sizes = np.array([len(x) for x in table.sets])
+    need = np.maximum(1, np.ceil(threshold / (2 - threshold) * sizes - 1e-9))
+    out = []
+    for d in range(len(ends) - 1):
+        a, b = int(ends[d]), int(ends[d + 1])
+        keys, counts = np.unique(place[a:b][known[a:b]], return_counts=True)
+        if not len(keys):
+            continue
+        owners = np.concatenate([table.owner[table.first[k]:table.first[k + 1]] for k in keys.tolist()])
+        able = np.flatnonzero((np.bincount(owners, minlength=len(sizes)) >= need) & (sizes > 0))
+        if not len(able):
+            continue
+        local = grams[a:b]
+        by = np.argsort(local, kind="stable")
+        same = local[by][1:] == local[by][:-1]
+        before, after = np.full(b - a, -1), np.full(b - a, b - a)
+        before[by[1:][same]] = by[:-1][same]
+        after[by[:-1][same]] = by[1:][same]
+        regions = []
+        for k in able.tolist():
+            hits = np.flatnonzero(known[a:b] & np.isin(local, table.sets[k]))
+            kept = _Apart()
+            for dice, i, j, shared in sorted(_windows(local, hits, before, after, len(table.sets[k]), threshold), key=lambda w: (-w[0], w[2] - w[1], w[1])):
+                if kept.add(i, j):
+                    regions.append((-shared, -dice, k, i, j))
+        kept, best = _Apart(), {}
+        for _, dice, k, i, j in sorted(regions):
+            if kept.add(i, j):
+                best[k] = min(best.get(k, (1.0, 0, 0)), (dice, i, j))
+        out += [(d, k, -dice, i, j - i + 1) for k, (dice, i, j) in sorted(best.items())]
+    return out
+
+
+def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, any_length: bool = False) -> DataFrame:
     """(doc_id, licence, dice, start, n_words): the templates found in each
     document, with the best region (first word and words, in normalised words; the first
     of equally good ones).
 
+    With ``any_length``, regions have any length that the coefficient admits (of equally good
+    ones the shortest, then the first), and where templates find the same region only
+    the one that shares most with it is given. Else they are as long as the template, and each template
+    is looked for on its own.
+
     Null and empty texts, and templates of fewer than two words, match nothing; a null
     doc_id stays null; rows that repeat a doc_id count as one document with the best
     region of any; an empty table gives no rows.
@@ -129,7 +262,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, key:
     def run(batches):
         table = shared.value
         for batch, data, offsets in chunks(batches):
-            found = scan(table, Words(_NORMAL[data], offsets), threshold)
+            found = (scan_any_length if any_length else scan)(table, Words(_NORMAL[data], offsets), threshold)
             ids = batch.column("doc_id").to_pylist()
             yield record(schema, *(list(zip(*[(ids[d], table.names[k], *v) for d, k, *v in found])) or [[]] * 5))
 

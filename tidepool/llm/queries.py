@@ -49,9 +49,9 @@ def minhash_near_dedup(spark, sf_dir):
 
 @query("op3_licence_scan")
 def licence_scan(spark, sf_dir):
-    from .licences import scan_licences
+    from .licences import all_templates, scan_licences
 
-    return scan_licences(read_table(spark, sf_dir, "documents"))
+    return scan_licences(read_table(spark, sf_dir, "documents"), all_templates(), any_length=True)
 
 
 @query("op4_quality_classifier")

@@ -41,3 +41,32 @@ def test_python_connector_round_trip(spark, tmpdir_path):
     assert back.count() == 500
     src = spark.read.format("tidepool_parquet").option("path", os.path.join(sink, "_data")).load()
     assert src.filter("id >= 400").count() == 100
+
+
+def _written(monkeypatch, spark, query, sf="/root/testdata/sf0.01"):
+    """Rows of a file query, and the data files it wrote."""
+    from tidepool.plans import q_files as Q
+
+    dirs, new = [], Q._dir
+    monkeypatch.setattr(Q, "_dir", lambda *a: dirs.append(new(*a)) or dirs[-1])
+    rows = getattr(Q, query)(spark, sf).collect()
+    return rows, [os.path.join(at, f) for d in dirs for at, _, names in os.walk(d.removeprefix("file:")) for f in names if f.startswith("part-")]
+
+
+def test_array_files_are_bounded(spark, monkeypatch):
+    from tidepool.plans import q_files as Q
+
+    monkeypatch.setattr(Q, "ARRAY_RECORDS", 100, raising=False)
+    rows, files = _written(monkeypatch, spark, "_src01d")
+    arrays = [t for f in files if (t := open(f).read()).lstrip().startswith("[")]
+    assert len(arrays) > 20 and max(t.count('"event_id"') for t in arrays) <= 100
+    want = {r.event_type: (r.n, r.ids) for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").groupBy("event_type").agg({"event_id": "sum", "*": "count"}).toDF("event_type", "ids", "n").collect()}
+    assert {r.event_type: (r.n, r.ids) for r in rows} == want
+
+
+def test_a_stream_is_written_by_many_tasks(spark, monkeypatch):
+    rows, files = _written(monkeypatch, spark, "_src05")
+    for r in rows:
+        mine = [f for f in files if f"/{r.stream}/" in f and f.endswith(".json")]
+        assert len(mine) == r.files and len({os.path.basename(f).split("-")[1] for f in mine}) > 1
+        assert max(len(open(f).readlines()) for f in mine) <= 500

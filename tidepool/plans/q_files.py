@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.partitions import assign_batches
 from ..session import scratch_path
 from ..sources import files as FL
 from ..sources.tables import load
@@ -67,16 +68,22 @@ def _src01c(spark, sf):
     return FL.read_json(spark, d, schema="event_id BIGINT, value DOUBLE", by_extension=False).select("event_id", "value")
 
 
+#: Records of one written array file.
+ARRAY_RECORDS = 2000
+
+
 @query("src01_auto_layout", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
 def _src01d(spark, sf):
-    """A folder with one array over many lines, an array file that is cut short, and JSON lines."""
+    """A folder with files of one array over many lines, array files that are cut short, and JSON lines.
+    An array file holds at most ARRAY_RECORDS records, so files grow in number, not in size."""
     ev = load(spark, sf, "events").select("event_id", "event_type")
     d = _dir(spark, "json-auto")
     ev.filter(F.col("event_type") != "click").write.mode("append").json(d)
     one = ev.filter(F.col("event_type") == "click").select(F.to_json(F.struct("event_id", "event_type")).alias("j"))
-    packed = one.groupBy(F.lit(0).alias("g")).agg(F.array_join(F.collect_list("j"), ",\n  ").alias("j"))
-    packed.select(F.concat(F.lit("\n [\n  "), "j", F.lit("\n]")).alias("value")).coalesce(1).write.mode("append").text(d)
-    packed.select(F.concat(F.lit("[ "), "j").alias("value")).coalesce(1).write.mode("append").text(d)
+    part = F.expr(f"monotonically_increasing_id() div {ARRAY_RECORDS}")
+    packed = one.groupBy(part.alias("g")).agg(F.array_join(F.collect_list("j"), ",\n  ").alias("j"))
+    for line in (F.concat(F.lit("\n [\n  "), "j", F.lit("\n]")), F.concat(F.lit("[ "), "j")):
+        packed.select(line.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(d)
     df = FL.read_json(spark, d, layout="auto", schema="event_id BIGINT, event_type STRING", by_extension=False)
     return df.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("event_id").cast("bigint").alias("ids"))
 
@@ -183,12 +190,14 @@ def _src04(spark, sf):
 
 @query("src05_stream_files", "SELECT event_type AS stream, 'json' AS format, CAST(ceil(count(*) / 500.0) AS BIGINT) AS files FROM events GROUP BY 1")
 def _src05(spark, sf):
-    """Every event type is a stream with its own folder."""
+    """Every event type is a stream with its own folder, written by many tasks: 500 rows in a file, the rest in the last."""
     root = _dir(spark, "streams")
     ev = load(spark, sf, "events").select("event_id", "event_type", "value")
     streams = [r[0] for r in ev.select("event_type").distinct().collect()]
     for stream in streams:
-        ev.filter(F.col("event_type") == stream).coalesce(1).write.option("maxRecordsPerFile", 500).json(f"{root}/{stream}")
+        files = assign_batches(ev.filter(F.col("event_type") == stream), ["event_id"], 500, "file")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        files.repartition(tasks, "file").write.option("maxRecordsPerFile", 500).partitionBy("file").json(f"{root}/{stream}")
         ev.filter(F.col("event_type") == stream).limit(1).write.mode("append").csv(f"{root}/{stream}")  # another format beside
     found = [FL.list_stream_files(spark, root, s, "json").withColumn("stream", F.lit(s)) for s in streams]
     files = found[0]

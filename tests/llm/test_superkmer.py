@@ -60,3 +60,17 @@ def test_hot_grams_are_found(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(corpus(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [1e-5, 0.01])
+def test_texts_that_share_an_id_and_a_place(spark, share):
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    near = [(5, f"{passage} {prose(rng, 30)}") for _ in range(3)]
+    near += [near[1], (6, f"{passage} {prose(rng, 5)}")]
+    far = [(1, f"{prose(rng, 25)} {passage} {prose(rng, 25)}"), (7, prose(rng, 30))]
+    parts = corpus(spark, near).coalesce(1).union(corpus(spark, far).repartition(2))  # near rows in one chunk, far ones in others
+    got = remove_repeats(parts, heavy_share=share).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(near + far, 20)
+    spread = remove_repeats(corpus(spark, near + far).repartition(7), heavy_share=share).collect()
+    assert sorted(spread, key=str) == sorted(got, key=str)

@@ -122,13 +122,15 @@ def _send(docs: DataFrame, heavy: np.ndarray, k: int, m: int, buckets: int) -> D
             minimiser = mix(least[heads])
             send = np.ones(len(heads), bool)
             # equal strings of this chunk: the first place stands for all
-            by = np.lexsort((start, doc, key2, key))
+            by = np.lexsort((tag, start, doc, key2, key))
             same = np.zeros(len(by), bool)
             same[1:] = (key[by][1:] == key[by][:-1]) & (key2[by][1:] == key2[by][:-1])
             # ... if its place is before theirs, not the same place of a repeated row
             first = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
             later = same & ((doc[by] != doc[first]) | (start[by] != start[first]))
-            send[by[same]] = False
+            # ... and of another text with that id and place, which is not later but must be judged too
+            other = same & ~later & np.append(False, tag[by][1:] != tag[by][:-1])
+            send[by[same & ~other]] = False
             sure = by[later]
             for i in np.flatnonzero(send & (least[heads] >= _HIGH)).tolist():
                 place, at = (int(key[i]), int(key2[i])), (int(doc[i]), int(start[i]))

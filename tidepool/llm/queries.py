@@ -139,3 +139,29 @@ def best_fit_packing(spark, sf_dir):
     from .stages import default_tokenizer
 
     return pack_documents(read_table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+@query("op13_url_filter", r"""
+WITH u AS (SELECT page_id, url, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                  CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT *, translate(regexp_extract(coalesce(rest, ''), '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '\A[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(v, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+places AS (SELECT page_id, url, max({'n': length(h || s), 'r': h || s, 'v': v}) AS r
+           FROM (SELECT DISTINCT page_id, url, host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id, url),
+labels(v, w) AS (SELECT 'block', unnest(['adult', 'betting', 'bingo', 'casino', 'casinos', 'escort', 'escorts', 'gambling', 'jackpot', 'poker', 'porn', 'porno', 'roulette', 'sex', 'slots',
+    'viagra', 'cialis', 'xxx', 'buy-followers', 'cheap-meds', 'cheap-pills', 'cheap-viagra', 'essay-writing', 'free-casino', 'free-porn', 'link-farm', 'online-casino', 'payday-loan',
+    'payday-loans', 'replica-watches', 'spam-farm']) UNION ALL SELECT 'allow', unnest(['sex-education', 'responsible-gambling'])),
+patterns AS (SELECT v, '||' || w || '^' AS p, '(?s)\A[^:/?#]*://(?:[^/?#]*\.)?' || w || '(?:[^a-z0-9%]|\z)' AS x FROM labels
+    UNION ALL SELECT 'block', '||' || w || '.', '(?s)\A[^:/?#]*://(?:[^/?#]*\.)?' || w || '\.' FROM (SELECT unnest(['ads', 'adserver', 'tracker', 'tracking', 'doubleclick']) AS w)
+    UNION ALL SELECT 'block', '/' || w || '^', '(?s)/' || replace(w, '.', '\.') || '(?:[^a-z0-9%]|\z)' FROM (SELECT unnest(['wp-login.php', 'cgi-bin', 'checkout', 'add-to-cart', 'unsubscribe']) AS w)
+    UNION ALL SELECT 'block', '.' || w || '|', '(?s)\.' || w || '\z' FROM (SELECT unnest(['exe', 'zip', 'iso', 'apk', 'dmg', 'css', 'js']) AS w)
+    UNION ALL SELECT 'block', '/[?&](?:sessionid|phpsessid|jsessionid)=[0-9a-z]{16,}/', '(?s)[?&](?:sessionid|phpsessid|jsessionid)=[0-9a-z]{16,}'),
+fits AS (SELECT url, min({'v': v, 'p': p}) AS f FROM (SELECT DISTINCT url, low FROM p) JOIN patterns ON regexp_matches(low, x) GROUP BY url)
+SELECT p.page_id, host, path, r.r AS rule, coalesce(r.v, f.v, 'allow') AS verdict, CASE WHEN r IS NULL THEN f.p END AS pattern
+FROM p LEFT JOIN places ON p.page_id IS NOT DISTINCT FROM places.page_id AND p.url = places.url LEFT JOIN fits ON p.url = fits.url
+""")
+def url_filter(spark, sf_dir):
+    from .urls import judge_urls, pattern_table, rule_table
+
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark), pattern_table(spark))

@@ -141,6 +141,37 @@ def best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+@query("op11_phrase_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, phrase, k, count(*) AS n FROM (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM spots JOIN (VALUES (1), (2), (3), (4)) AS t(k) ON i + k - 1 <= len(ws))
+      GROUP BY lang, phrase, k HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT c.*, j, l.n AS l, r.n AS r, (2000000::HUGEINT * a) // (l.n + r.n) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[j+1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(ws[s:s+m-1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, k, a, m, unnest(range(1, k - m + 2)) AS s FROM c JOIN (VALUES (2), (3)) AS t(m) ON m < k) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+""")
+def phrase_collocations(spark, sf_dir):
+    from .phrases import mine_phrases
+
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from .tokenmap import align_tokenizers
+
+    return align_tokenizers(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_url_filter", r"""
 WITH u AS (SELECT page_id, url, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
                   CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -129,7 +129,8 @@ def index_patterns(patterns: DataFrame, urls: DataFrame) -> DataFrame:
     rules = patterns.select("verdict", lower(F.col("pattern")).alias("_low"), "pattern").where(F.col("pattern").isNotNull() & F.col("verdict").isin("allow", "block")).distinct()
     # a regular expression keeps its letters, as classes such as \S have a meaning
     rules = rules.select("verdict", F.when(_is_regex(F.col("pattern")), F.col("pattern")).otherwise(F.col("_low")).alias("pattern")).distinct()
-    tokens = rules.select("verdict", "pattern", F.explode_outer(_sure_tokens(F.col("pattern"))).alias("key"))
+    # written, so that Spark knows its size where it joins the tokens of all urls with it
+    tokens = cut(rules.select("verdict", "pattern", F.explode_outer(_sure_tokens(F.col("pattern"))).alias("key")), "url-rule-tokens")
     known = tokens.where(F.col("key").isNotNull()).select("key").distinct()
     counts = urls.select(F.explode(url_tokens(F.col("url"))).alias("key")).join(known, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     by = F.struct(F.coalesce("_n", F.lit(0)), -F.length("key"), "key")

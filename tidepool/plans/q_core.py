@@ -134,6 +134,38 @@ def _snk15_append(spark, sf):
     return read_table(spark, _two_runs(spark, sf, "append", ["event_id"], _PLAIN))
 
 
+def _stopped_sync(spark, sf, mode, key):
+    """The sync of :func:`_two_runs`, where every run is first stopped once after each of its steps, up to the last one before its commit."""
+    class Stop(Exception):
+        pass
+
+    home = scratch_path(spark, f"sync-stops-{uuid.uuid4().hex[:12]}")
+    cfg = SyncConfig(f"events-{mode}", StreamConfig("events", key, "ts", "incremental", mode, _PLAIN), dedup_order_by=["ts", "event_id"])
+    ev = load(spark, sf, "events")
+    for part, steps in ((ev.where(F.col("ts") < dt.datetime(2024, 1, 15)), ("written", "state")), (ev, ("counted", "state"))):
+        for last in steps:
+            def stop(step, folder, last=last):
+                if step == last:
+                    raise Stop
+
+            try:
+                execute_sync(part, cfg, home, on_step=stop)
+            except Stop:
+                pass
+        execute_sync(part, cfg, home)
+    return home
+
+
+@query("snk15_append_after_stops", "SELECT event_id, user_id AS user_ref, ts, value AS amount FROM events")
+def _snk15_append_after_stops(spark, sf):
+    return read_table(spark, _stopped_sync(spark, sf, "append", ["event_id"]))
+
+
+@query("snk15_upsert_after_stops", HALVES_SQL + "SELECT event_id, user_id AS user_ref, ts, value AS amount FROM picked QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY late DESC) = 1")
+def _snk15_upsert_after_stops(spark, sf):
+    return read_table(spark, _stopped_sync(spark, sf, "upsert", ["user_ref"]))
+
+
 @query("snk15_append_runs", """SELECT 'events-append' AS sync_id, CAST(row_number() OVER (ORDER BY late) AS INTEGER) AS run, 'completed' AS status, CAST(n AS BIGINT) AS records_extracted,
   CAST(n AS BIGINT) AS records_transformed, CAST(n AS BIGINT) AS records_loaded, CAST(0 AS BIGINT) AS errors, CAST(NULL AS VARCHAR) AS discrepancy
 FROM (SELECT ts >= TIMESTAMP '2024-01-15' AS late, count(*) AS n FROM events GROUP BY 1)""")

@@ -196,6 +196,20 @@ def _str05b(spark, sf):
     return ST.admission_rejects(_timed_events(spark, sf), "ts").select("event_id", "error")
 
 
+@query("str05_stream_any_order", ADMIT_SQL + """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) <= 3 AS admitted, s AS window_start FROM w""")
+def _str05c(spark, sf):
+    """Events arrive in files dealt by their id, one per trigger, so any batch holds any time;
+    one more event, ten years later, ends the feed."""
+    d = _dir(spark, "str05-in")
+    ev = _timed_events(spark, sf)
+    ev.repartition(FILES, F.xxhash64("event_id")).write.parquet(d)
+    last = ev.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 10 YEARS")).alias("ts"))
+    last.coalesce(1).write.mode("append").parquet(d)
+    src = ST.event_time(ST.read_stream(spark, d, "parquet", "event_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ", max_files_per_trigger=2), "ts")
+    out = _drain(spark, ST.admit_ordered(src, "user_id", "ts", 3, 86_400, "event_id", "60 days"), "str05")
+    return out.where("event_id IS NOT NULL").select("event_id", "user_id", "admitted", F.col("window_start").cast("timestamp_ntz").alias("window_start"))
+
+
 @query("str06_window_metrics", """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n,
   round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def _str06(spark, sf):

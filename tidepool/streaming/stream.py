@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .admission import admission_rejects, admit, admit_ordered  # noqa: F401  (STR-5)
+
 # Micro-batch size and interval of the loader.
 DEFAULT_MAX_ROWS = 1000  # of one load batch, see batch_parquet_sink
 DEFAULT_INTERVAL = "5 seconds"
@@ -249,80 +251,11 @@ def parse_webhooks(df: DataFrame, source_col: str = "source", body_col: str = "b
 
 # ------------------------------------------------------------ admission
 
-def admission_rejects(df: DataFrame, ts: str) -> DataFrame:
-    """STR-5: events without a time; they belong to no window and are not admitted."""
-    return df.where(F.col(ts).isNull()).withColumn("error", F.lit("event has no time"))
-
-
-def admit(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float) -> DataFrame:
-    """STR-5 (batch): fixed-window admission per key -- a window opens at the
-    first event of a key, lasts ``window_seconds``, and admits the first
-    ``limit`` events; the next event after it opens a new window. Ties in
-    time are broken by the remaining columns. Null keys are one key; events
-    without a time are left to :func:`admission_rejects`. For the streaming
-    form see :func:`admit_stream`.
-
-    Window starts depend on the previous window, yet no key is given to one
-    task: every join below is on a unique row index, so a key holding a third
-    of all rows spreads evenly.
-
-    1. ``_i``: rank of each event in (key, time, tie) order (range partitioned).
-    2. ``next(i)``: the first event of the same key at or after ``t_i + W`` --
-       the number of events ordered before the probe row ``(key, t_i + W)``
-       in the union of events and probes is its rank minus ``i`` (probes keep
-       the event order), so ``next = rank - i + 1``; kept when the key matches.
-    3. Window starts are the orbit of each key's first event under ``next``,
-       found by pointer doubling: ``R <- R + J(R)``, ``J <- J o J``, which
-       covers chain positions ``[0, 2^k)`` after ``k`` rounds; each round is
-       written as a table (``session.materialize``), and rounds stop when ``J(R)`` is empty (log2 of the
-       longest chain).
-    4. An event's window is the number of starts at or before it (a rank in
-       the union of starts and events); its position in the window decides
-       admission.
-    """
-    from ..operators.partitions import global_rank
-    from ..session import discard, materialize
-
-    d = df.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull())
-    tie = [c for c in d.columns if c not in (key, ts)]
-    w_us = int(window_seconds * 1_000_000)
-    ev = global_rank(d.withColumn("_t", F.unix_micros(F.col(ts))), [key, "_t", *tie], "_i")
-    kcol = F.col(key).alias("_k")
-    union = ev.select(kcol, "_t", F.lit(1).alias("_kind"), F.col("_i").alias("_j")).unionByName(
-        ev.select(kcol, (F.col("_t") + F.lit(w_us)).alias("_t"), F.lit(0).alias("_kind"), F.col("_i").alias("_j")))
-    u = global_rank(union, ["_k", "_t", "_kind", "_j"], "_u")
-    probe = u.filter(F.col("_kind") == 0).select(F.col("_j").alias("_i"), "_k", (F.col("_u") - F.col("_j") + 1).alias("_n"))
-    owner = ev.select(F.col("_i").alias("_n"), F.col(key).alias("_nk"))
-    jump = materialize(probe.join(owner, "_n").filter(F.col("_k").eqNullSafe(F.col("_nk"))).select("_i", "_n"), "admit-jump")
-    reach = materialize(ev.groupBy(key).agg(F.min("_i").alias("_i")).select("_i"), "admit-reach")
-    while True:
-        step = materialize(reach.join(jump, "_i").select(F.col("_n").alias("_i")), "admit-step")
-        if step.isEmpty():
-            break
-        longer = materialize(reach.unionByName(step), "admit-reach")  # positions [0, 2^k) and [2^k, 2^(k+1)) are disjoint
-        a, b = jump.alias("a"), jump.alias("b")
-        jump2 = materialize(a.join(b, F.col("a._n") == F.col("b._i")).select(F.col("a._i").alias("_i"), F.col("b._n").alias("_n")), "admit-jump")
-        discard(reach, step, jump)
-        reach, jump = longer, jump2
-    discard(step, jump)
-    starts = reach.join(ev.select("_i", "_t"), "_i")
-    marks = starts.select("_i", F.lit(0).alias("_kind"), "_t").unionByName(
-        ev.select("_i", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_t")))
-    v = global_rank(marks, ["_i", "_kind"], "_v")
-    s_rank = v.filter(F.col("_kind") == 0).select((F.col("_v") - F.col("_i") + 1).alias("_c"), F.col("_i").alias("_s"),
-                                                  F.col("_t").alias("_st"))
-    e_win = v.filter(F.col("_kind") == 1).select("_i", (F.col("_v") - F.col("_i")).alias("_c"))
-    win = e_win.join(s_rank, "_c").select("_i", "_s", "_st")
-    out = ev.join(win, "_i")
-    return out.select(*d.columns, ((F.col("_i") - F.col("_s") + 1) <= F.lit(limit)).alias("admitted"),
-                      F.timestamp_micros("_st").alias("window_start"))
-
-
 def admit_stream(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float, id_col: str, idle_seconds: float | None = None) -> DataFrame:
     """STR-5 (streaming): the same rule with per-key state ``(window_start, used)``
     kept by ``applyInPandasWithState``; events of a key must arrive in time
-    order from batch to batch (inside a batch any order will do). The state of
-    a key that has been idle for ``idle_seconds`` (processing time) is dropped;
+    order from batch to batch (inside a batch any order will do; for others see
+    :func:`admit_ordered`). The state of a key that has been idle for ``idle_seconds`` (processing time) is dropped;
     that is for queries that run on, as an available-now run would wait for its timers.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout

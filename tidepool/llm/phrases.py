@@ -64,10 +64,10 @@ COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa
 class Sizes(NamedTuple):
     """What tasks hold at once; results don't depend on it."""
 
-    run_chars: int = 12 << 20  # text of one sorted run
-    part: int = 3_000_000  # windows of a part, about
+    run_chars: int = 4 << 20  # text of one sorted run
+    part: int = 1_500_000  # windows of a part, about
     block: int = 1 << 16  # windows of a block
-    section: int = 3_000_000  # windows merged at once (twice what the last merge left over, if that is more)
+    section: int = 1_500_000  # windows merged at once (twice what the last merge left over, if that is more)
 
 
 def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -282,7 +282,7 @@ def merge_runs(blocks: DataFrame, longest: int, least: int, sizes: Sizes = Sizes
             """Merge the pool; its rows before ``key`` (all, if None) come out, the others stay."""
             nonlocal pool, held
             sizes = np.cumsum([0] + [len(v) for v, _, _ in pool])
-            cols = [np.concatenate([np.where(p[1][i] > 0, p[1][i].astype(np.int64) + s, 0) for p, s in zip(pool, sizes)]) for i in range(longest)]
+            cols = [np.concatenate([np.where(p[1][i] > 0, p[1][i] + np.uint32(s), np.uint32(0)) for p, s in zip(pool, sizes)]) for i in range(longest)]
             n = np.concatenate([p[2] for p in pool])
             words = pa.concat_arrays([p[0] for p in pool])
             pool = []

@@ -64,10 +64,10 @@ COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa
 class Sizes(NamedTuple):
     """What tasks hold at once; results don't depend on it."""
 
-    run_chars: int = 4 << 20  # text of one sorted run
-    part: int = 1_500_000  # windows of a part, about
+    run_chars: int = 3 << 20  # text of one sorted run
+    part: int = 1_000_000  # windows of a part, about
     block: int = 1 << 16  # windows of a block
-    section: int = 1_500_000  # windows merged at once (twice what the last merge left over, if that is more)
+    section: int = 1_000_000  # windows merged at once (twice what the last merge left over, if that is more)
 
 
 def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -338,7 +338,7 @@ def _first(phrase, k):
 
 
 def score_phrases(stream: DataFrame, contained: int = CONTAINED) -> DataFrame:
-    """Candidates of a count stream with their lowest-scoring cut: (lang, phrase, a, l, r, n, score).
+    """Candidates of a count stream with their lowest-scoring cut: (lang, phrase, a, l, r, score).
 
     A cut into the first words (l times) and the rest (r times) scores
     ``floor(2000000 a / (l + r))``; the lowest counts, of equals the first.
@@ -359,8 +359,7 @@ def score_phrases(stream: DataFrame, contained: int = CONTAINED) -> DataFrame:
     longer = cands.where("words > 2").select("lang", "a", F.explode(F.array(_first(key, F.col("words") - 1), _first(key, 1 - F.col("words")))).alias("phrase"))
     longest = longer.groupBy("lang", "phrase").agg(F.max("a").alias("_longer")).hint("merge")
     kept = best.join(longest, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (wide("_longer") * 100 < wide("a") * F.lit(contained)))
-    total = stream.where("words = 0").select("lang", "n").hint("merge")
-    return kept.join(total, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    return kept.select("lang", "phrase", "a", "l", "r", "score")
 
 
 def top_phrases(scored: DataFrame, top: int = TOP) -> DataFrame:
@@ -370,7 +369,7 @@ def top_phrases(scored: DataFrame, top: int = TOP) -> DataFrame:
     slices = Window.partitionBy("lang", "_slice").orderBy(*order)
     some = scored.withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(partitions(scored.sparkSession)))).withColumn("_r", F.row_number().over(slices)).where(F.col("_r") <= top)
     ranked_ = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked_.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked_.select("lang", "rank", "phrase", "a", "l", "r", "score")
 
 
 def mine_phrases(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least: int = LEAST, contained: int = CONTAINED, sizes: Sizes = Sizes()) -> DataFrame:
@@ -380,4 +379,6 @@ def mine_phrases(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least:
     for what counts, the score and ties. Empty tables and texts give no rows;
     columns other than ``lang`` and ``text`` are not read.
     """
-    return top_phrases(score_phrases(count_phrases(docs, longest, least, sizes), contained), top)
+    stream = count_phrases(docs, longest, least, sizes)
+    found = top_phrases(score_phrases(stream, contained), top)
+    return found.join(stream.where("words = 0").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -8,13 +8,18 @@ streams or records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import key_changes, key_texts
 from ..session import discard, materialize
+from .conflict import null_safe_join
 from .partitions import rank_in_group
 from ..functions.names import (
-    name_similarity,
     normalize_field_name,
     normalize_name,
     similarity_of_normalized,
@@ -43,34 +48,99 @@ def score_pairs(src: DataFrame, dst: DataFrame, key: str = "stream", w_name: flo
         .filter(F.col("score") >= F.lit(min_score))
 
 
-def assign_greedy(pairs: DataFrame, key: str = "stream") -> DataFrame:
+PREFIX_PAIRS = 20_000  # pairs of a stream that one round solves in order
+
+
+def assign_greedy(pairs: DataFrame, key: str = "stream", prefix: int = PREFIX_PAIRS) -> DataFrame:
     """FUZ-5: greedy one-to-one assignment per stream by descending score
-    (ties by source then destination path).
-
-    A pair that is the best left of both its source and its destination is
-    one the sequential greedy pass takes, so each round takes all of these in
-    all streams at once and drops their sources and destinations, until no
-    pair is left. A round is two ``min`` aggregates (combined map-side) and
-    equi-joins on (stream, path); no stream is gathered in one task. Rounds
-    are cut by written tables, deleted when the next one stands.
+    (ties by source then destination path). Null streams and paths are values
+    like others; pairs without a score come last.
+
+    A round takes the first ``prefix`` pairs of each stream and walks them in
+    order, which is what the greedy pass does with them; only the taken ends
+    are held. Every pair of the prefix touches a taken end then, so dropping the
+    pairs that touch one leaves what the next round starts with. Streams of at most
+    ``prefix`` pairs, as nearly all are, end in the first round. The prefix is picked
+    where the pairs lie (as many from each partition at most) before it is shuffled, so no task
+    sorts a whole large stream.
     """
-    order = F.struct((-F.col("score")).alias("s"), "src_path", "dst_path")
-    left = materialize(pairs.select(key, "src_path", "dst_path", "src_type", "dst_type", F.col("score").cast("double").alias("score")), "greedy")
-    picked = None
-    while not left.isEmpty():
-        ranked = left.withColumn("_o", order)
-        by_src = ranked.groupBy(key, "src_path").agg(F.min("_o").alias("_o"))
-        by_dst = ranked.groupBy(key, "dst_path").agg(F.min("_o").alias("_o"))
-        best = by_src.join(by_dst, [key, "_o"], "left_semi").select(key, F.col("_o.src_path").alias("src_path"), F.col("_o.dst_path").alias("dst_path"))
-        take = materialize(left.join(best, [key, "src_path", "dst_path"], "left_semi"), "greedy-pick")
-        rest = materialize(left.join(take.select(key, "src_path"), [key, "src_path"], "left_anti").join(take.select(key, "dst_path"), [key, "dst_path"], "left_anti"), "greedy")
-        discard(left)
-        left = rest
-        picked = take if picked is None else picked.unionByName(take)
-    out = left if picked is None else picked
+    cols = [key, "src_path", "dst_path", "src_type", "dst_type", "score"]
+    left = pairs.select(*cols[:-1], F.col("score").cast("double").alias("score"))
+    picked, written, last = [], None, None
+    while True:
+        solved = materialize(_solve_prefix(left, key, prefix), "greedy-pick")
+        picked.append(solved.where(~F.col("_more")).drop("_more"))
+        more = solved.where("_more").select(key)
+        if more.isEmpty():
+            break
+        taken = picked[-1].select(key, "src_path", "dst_path")
+        rest = null_safe_join(left, more, [key], "left_semi")
+        rest = null_safe_join(rest, taken.select(key, "src_path"), [key, "src_path"], "left_anti")
+        rest = null_safe_join(rest, taken.select(key, "dst_path"), [key, "dst_path"], "left_anti")
+        left = materialize(rest, "greedy-left")
+        size = left.count()
+        if size == last:
+            raise RuntimeError("a round of the assignment took no pair")
+        last = size
+        if written is not None:
+            discard(written)
+        written = left
+    out = reduce(DataFrame.unionByName, picked)
     return out.withColumn("confidence", F.round("score", 2)).withColumn("transform", suggested_transform("src_type", "dst_type"))
 
 
+def _solve_prefix(left: DataFrame, key: str, prefix: int) -> DataFrame:
+    """Pairs that the greedy pass takes among the first ``prefix`` of each stream, and for a
+    stream with more pairs one row with ``_more``."""
+    ddl = ", ".join(f"`{n}` {t}" for n, t in left.dtypes)
+    order = [F.col("_stream"), F.desc_nulls_last("score"), F.col("src_path"), F.col("dst_path")]
+    tagged = left.withColumn("_stream", key_texts(key))
+    ends = [left.columns.index(c) for c in ("src_path", "dst_path")]
+
+    def walk(batches, take):
+        """Batches with ``take(place, source, destination)`` as mask, by place in the stream."""
+        stream, place = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            streams = batch.column(batch.num_columns - 1)
+            change = key_changes(streams)
+            change[0] = streams[0].as_py() != stream
+            stream = streams[batch.num_rows - 1].as_py()
+            starts = np.maximum.accumulate(np.where(change, np.arange(batch.num_rows), -1))
+            places = np.where(starts < 0, place + np.arange(batch.num_rows), np.arange(batch.num_rows) - starts)
+            place = int(places[-1]) + 1
+            yield batch, places, take(places, *(batch.column(i) for i in ends))
+
+    def first(batches):
+        for batch, _, mask in walk(batches, lambda places, *_: places <= prefix):  # one more, to know of it
+            yield batch.filter(pa.array(mask))
+
+    def solve(batches):
+        sources, targets = set(), set()
+
+        def take(places, src, dst):
+            mask = np.zeros(len(places), bool)
+            for i, (p, a, b) in enumerate(zip(places.tolist(), src.to_pylist(), dst.to_pylist())):
+                if p == 0:
+                    sources.clear()
+                    targets.clear()
+                if p < prefix and a not in sources and b not in targets:
+                    sources.add(a)
+                    targets.add(b)
+                    mask[i] = True
+            return mask
+
+        for batch, places, mask in walk(batches, take):
+            more = places == prefix
+            keep = mask | more
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(more[keep])], names=[*kept.schema.names[:-1], "_more"])
+
+    some = tagged.sortWithinPartitions(*order).mapInArrow(first, f"{ddl}, _stream string")
+    return some.repartition("_stream").sortWithinPartitions(*order).mapInArrow(solve, f"{ddl}, _more boolean")
+
+
 def overall_confidence(assigned: DataFrame, key: str | None = None) -> DataFrame:
     """FUZ-8: mean pair confidence (per stream or overall)."""
     agg = F.avg("confidence").alias("overall_confidence")
@@ -78,7 +148,61 @@ def overall_confidence(assigned: DataFrame, key: str | None = None) -> DataFrame
         assigned.agg(agg, F.count(F.lit(1)).cast("bigint").alias("mappings"))
 
 
-CATALOG_BLOCK = 1000  # destination names that one source row is scored against at a time
+CATALOG_BLOCK = 1000  # destination names that one unresolved name is scored against at a time
+SEED_GRAMS, SEED_NAMES = 8, 1024  # rarest grams of a name and names per gram that give its first bound
+
+
+def _names(df: DataFrame, col: str) -> DataFrame:
+    """Distinct normalised names (null left out): (name, chars, bytes)."""
+    out = df.select(normalize_name(col).alias("name")).where(F.col("name").isNotNull()).distinct()
+    return out.withColumns({"chars": F.length("name"), "bytes": F.octet_length("name")})
+
+
+def _grams(names: DataFrame) -> DataFrame:
+    """(name, chars, bytes, gram): pairs of neighbouring characters of each name with a
+    mark at both ends; a pair that stands there k times is k grams."""
+    pad = F.concat(F.lit("\u0002"), F.col("name"), F.lit("\u0003"))
+    at = names.withColumn("_gram", F.explode(F.transform(F.sequence(F.lit(1), F.col("chars") + 1), lambda i: F.substring(pad, i, F.lit(2)))))
+    counted = at.groupBy("name", "chars", "bytes", "_gram").agg(F.count(F.lit(1)).alias("_k"))
+    return counted.select("name", "chars", "bytes", F.explode(F.transform(F.sequence(F.lit(1), F.col("_k").cast("int")), lambda k: F.concat(F.col("_gram"), k.cast("string")))).alias("gram"))
+
+
+def name_candidates(src_names: DataFrame, dst_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """FUZ-7's pairs to score: (name, other) and the names that the index can't help, both
+    from tables of distinct names (name, chars, bytes).
+
+    An edit changes at most two grams of a name, so names at similarity s share at least
+    ``max(chars) + 1 - 2 (1 - s) max(bytes)`` of them. Every name first gets a
+    similarity that some destination reaches: the one met most often in short samples of
+    the lists of its rarest grams. What reaches that too must share a gram out of the name's rarest
+    ``grams - least + 1`` ones, and have a length within the edits allowed: only these
+    lists are read. Where the bound asks for no shared gram the name is
+    returned in the second table. Samples change the bound only, never the result.
+    """
+    index = materialize(_grams(dst_names), "match-index")
+    lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = _grams(src_names).join(lists, "gram", "left")
+    rare = Window.partitionBy("name").orderBy(F.coalesce("_n", F.lit(0)), "gram")  # the grams of one name
+    mine = materialize(ranked.withColumn("_place", F.row_number().over(rare)).withColumn("_seed", F.row_number().over(Window.partitionBy("name").orderBy(F.asc_nulls_last("_n"), "gram"))), "match-grams")
+    # an array of a few names per gram; partial aggregates keep it short
+    samples = index.groupBy("gram", F.pmod(F.xxhash64("name"), F.lit(SEED_NAMES)).alias("_slot")).agg(F.min_by("name", F.xxhash64("name", "gram")).alias("other"))
+    seeds = mine.where((F.col("_seed") <= SEED_GRAMS) & F.col("_n").isNotNull()).select("name", "gram").join(samples, "gram").groupBy("name", "other").agg(F.count(F.lit(1)).alias("_n"))
+    closest = seeds.groupBy("name").agg(F.max_by("other", F.struct("_n", "other")).alias("other"))
+    bound = closest.select("name", similarity_of_normalized("name", "other").alias("_s"))
+    widest = dst_names.agg(F.max(F.col("bytes") / F.greatest("chars", F.lit(1))).alias("_wide")).first()["_wide"] or 1.0
+    bounded = src_names.join(bound, "name", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    off = F.lit(2.0) * (F.lit(1.0) - F.col("_s")) + F.lit(1e-9)
+    # the bound's least value over all lengths: the longer name is this one, or another as wide as any
+    longer_self = F.col("chars") + 1 - off * F.col("bytes")
+    longer_other = F.when(off * F.lit(widest) < 1, F.col("chars") * (1 - off * F.lit(widest)) + 1).otherwise(F.lit(0.0))
+    bounded = bounded.withColumn("_least", F.ceil(F.least(longer_self, longer_other) - F.lit(1e-6)).cast("int"))
+    bounded = materialize(bounded, "match-bounds")
+    helped = bounded.where("_least >= 1").select("name", "_s", "_least")
+    probes = mine.join(helped, "name").where((F.col("_place") <= F.col("chars") + 1 - F.col("_least") + 1) & F.col("_n").isNotNull())
+    there = index.select("gram", F.col("name").alias("other"), F.col("chars").alias("_chars"), F.col("bytes").alias("_bytes"))
+    near = F.abs(F.col("chars") - F.col("_chars")) <= (F.lit(1.0) - F.col("_s")) * F.greatest("bytes", "_bytes") + F.lit(1e-6)
+    pairs = probes.join(there, "gram").where(near).select("name", "other").distinct()
+    return pairs, bounded.where("_least < 1").select("name")
 
 
 def best_dest_stream(src: DataFrame, src_name: str, dst: DataFrame, dst_name: str, dst_order: str, block: int = CATALOG_BLOCK) -> DataFrame:
@@ -86,23 +210,28 @@ def best_dest_stream(src: DataFrame, src_name: str, dst: DataFrame, dst_name: st
     destination by ``dst_order`` (unique) wins ties; a source with no positive
     similarity gets none.
 
-    The destination catalog is dealt into blocks of about ``block`` names
-    (an array per block); every source row meets every block in an equi-join
-    on the block number, scores its names with a higher-order ``transform``
-    and keeps one best name per block; the best over blocks is a ``max``
-    aggregate. No pair rows appear, and the catalog may have any length.
+    Work is done once per distinct normalised name on both sides. Candidates come from
+    an inverted index of q-grams (:func:`name_candidates`). Names it can't
+    help, as nothing like them is there (similarity below about a half), are
+    scored against all destination names, dealt into blocks of about ``block`` (an
+    array per block), by an equi-join on the block number; one best name per block
+    is kept. No task holds more than a block; the catalog may have any length.
     """
-    blocks = max(-(-dst.count() // block), 1)
-    dealt = dst.select(F.pmod(F.xxhash64(dst_order), F.lit(blocks)).alias("_block"), F.struct(F.col(dst_order).alias("o"), F.col(dst_name).alias("name")).alias("d"))
-    catalog = dealt.groupBy("_block").agg(F.collect_list("d").alias("_names"))
-    rows = src.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("bigint"))
-    scored = F.transform("_names", lambda d: F.struct(name_similarity(F.col(src_name), d["name"]).alias("sim"), (-d["o"]).alias("neg"), d["name"].alias("name")))
-    best = rows.join(catalog, "_block", "left").withColumn("_best", F.array_max(scored))
-    out = best.groupBy("_row", *src.columns).agg(F.max("_best").alias("_best"))
-    return out.select(
-        *src.columns,
-        F.when(F.col("_best.sim") > 0, F.col("_best.name")).alias("best_stream"),
-        F.when(F.col("_best.sim") > 0, F.col("_best.sim")).alias("best_score"))
+    firsts = dst.select(normalize_name(dst_name).alias("name"), F.col(dst_order).alias("_o"), F.col(dst_name).alias("_label")).where(F.col("name").isNotNull())
+    firsts = materialize(firsts.groupBy("name").agg(F.min(F.struct("_o", "_label")).alias("_first")).select("name", "_first.*"), "match-names")
+    sized = firsts.select("name", F.length("name").alias("chars"), F.octet_length("name").alias("bytes"))
+    names = materialize(_names(src, src_name), "match-sources")
+    pairs, unhelped = name_candidates(names, sized)
+    rank = F.struct("sim", (-F.col("_o")).alias("neg"), "_label")
+    by_index = pairs.join(firsts.withColumnRenamed("name", "other"), "other").withColumn("sim", similarity_of_normalized("name", "other")).select("name", rank.alias("_best"))
+    blocks = max(-(-firsts.count() // block), 1)
+    dealt = firsts.groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("name", "_o", "_label")).alias("_names"))
+    spread = unhelped.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("bigint"))
+    scored = F.transform("_names", lambda d: F.struct(similarity_of_normalized(F.col("name"), d["name"]).alias("sim"), (-d["_o"]).alias("neg"), d["_label"].alias("_label")))
+    by_block = spread.join(dealt, "_block").select("name", F.array_max(scored).alias("_best"))
+    best = by_index.unionByName(by_block).groupBy("name").agg(F.max("_best").alias("_best"))
+    found = best.where("_best.sim > 0").select(F.col("name").alias("_name"), F.col("_best._label").alias("best_stream"), F.col("_best.sim").alias("best_score"))
+    return src.withColumn("_name", normalize_name(src_name)).join(found, "_name", "left").select(*[F.col(f"`{c}`") for c in src.columns], "best_stream", "best_score")
 
 
 def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> DataFrame:

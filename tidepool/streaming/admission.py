@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..arrow import key_changes
 from ..session import materialize
 
 #: Ranges whose step functions one task composes.
@@ -95,12 +96,6 @@ class Walk:
         return starts, places
 
 
-def key_changes(keys: pa.Array) -> np.ndarray:
-    """Whether a key differs from the one before (null equals null); true at first."""
-    coded = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    return np.concatenate([[True], coded[1:] != coded[:-1]])
-
-
 @dataclass
 class Steps:
     """What a stretch of the sorted events does to the window that is open when it begins.

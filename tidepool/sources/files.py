@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+from .json_arrays import array_elements
+
 # File extensions per stream format.
 FORMAT_EXTENSIONS = {
     "json": ("json", "jsonl", "ndjson"),
@@ -46,11 +49,12 @@ def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.S
     """SRC-1: records of JSON files.
 
     ``layout="lines"``: one object per line (or an array of objects);
-    ``"array"``: one top-level array per file; ``"auto"``: each file by its
+    ``"array"``: one top-level array per file, cut into elements by many tasks
+    (see :mod:`.json_arrays`); ``"auto"``: each file by its
     first character that is not white space. Lines that are no JSON are passed
     over, as is an array file that is not; every object is kept, whatever the
     types of its values (see :func:`_typed`). Without a ``schema`` Spark
-    infers one from all records.
+    infers one from all records (an array file is one value then).
     """
     read = spark.read
     if by_extension:
@@ -67,21 +71,21 @@ def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.S
         return texts.withColumn("_one", one).where(F.size("_one") == 1).withColumn("_v", F.col("_one")[0]).drop("_one")
 
     lineage = ["_source_file", "_source_modified"]
-    lines = with_lineage(read.text(path))
-    whole = with_lineage(read.text(path, wholetext=True))
+    text = lambda **options: read.options(**options).text(path)
     if layout == "lines":
-        found = parse(lines)
-    elif layout == "array":
-        found = parse(whole)
-    else:
-        marks = lines.where(F.trim("value") != "").select("_source_file", F.substring(F.ltrim("value"), 1, 1).alias("c"), F.monotonically_increasing_id().alias("_at"))
-        first = marks.groupBy("_source_file").agg(F.min_by("c", "_at").alias("c"))
-        arrays = [r[0] for r in first.where("c = '['").select("_source_file").toLocalIterator()]  # file names, which the driver lists anyway
-        is_array = F.col("_source_file").isin(arrays) if arrays else F.lit(False)
-        found = parse(lines.where(~is_array))
-        if arrays:
-            found = found.unionByName(parse(with_lineage(spark.read.text(arrays, wholetext=True))))
-    return _typed(_elements(found, lineage), fields, lineage)
+        return _typed(_elements(parse(with_lineage(text())), lineage), fields, lineage)
+    if layout == "array":
+        return _typed(array_elements(text), fields, lineage)
+    # each file's first fragment up to a comma shows what it is, however long its lines are
+    marks = with_lineage(text(lineSep=",")).where(F.col("value").rlike(r"\S")).select(*lineage, F.col("_metadata.file_block_start").alias("_start"), F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c"), F.monotonically_increasing_id().alias("_at"))
+    kinds = materialize(marks.groupBy("_source_file").agg(F.min_by("c", F.struct("_start", "_at")).alias("c")), "json-kinds")
+    arrays = kinds.where("c = '['").select("_source_file")
+    if arrays.isEmpty():
+        return _typed(_elements(parse(with_lineage(text())), lineage), fields, lineage)
+    found = _typed(array_elements(text, only=arrays), fields, lineage)
+    # files with lines are named to the reader (the driver lists all files anyway), so that no line of another is read
+    others = [r[0] for r in kinds.where("c <> '['").select("_source_file").toLocalIterator()]
+    return found.unionByName(_typed(_elements(parse(with_lineage(spark.read.text(others))), lineage), fields, lineage)) if others else found
 
 
 def _csv(spark: SparkSession, delimiter: str, by_extension: bool, multi_line: bool):

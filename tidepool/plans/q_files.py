@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.partitions import assign_batches
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files as FL
+from ..sources.ledger import FileLedger
 from ..sources.tables import load
 from .registry import query
 
@@ -220,6 +221,26 @@ def _src06(spark, sf):
     return new.select("event_id")
 
 
+@query("src06_file_ledger", "SELECT event_id, CAST(event_id % 3 AS INTEGER) AS round FROM events")
+def _src06b(spark, sf):
+    """Three drops of files; the second and third land between a listing and its read, all within
+    one second. Every file is read once, in the round after the listing that shows it."""
+    d = _dir(spark, "ledger-files")
+    ledger = FileLedger(spark, _dir(spark, "ledger"), d, "parquet")
+    ev = load(spark, sf, "events").select("event_id")
+    drop = lambda i: ev.where(F.col("event_id") % 3 == i).write.mode("append").parquet(d)
+    out = None
+    drop(0)
+    for i in range(3):
+        new = ledger.list_new()
+        if i < 2:
+            drop(i + 1)
+        rows = materialize(ledger.read(new).select("event_id", F.lit(i).alias("round")), "ledger-rows")
+        ledger.commit(new)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("snk01_write_files", "SELECT event_type, CAST(count(*) AS BIGINT) AS rows, true AS files_within_limit FROM events GROUP BY event_type")
 def _snk01(spark, sf):
     d = _dir(spark, "sink")

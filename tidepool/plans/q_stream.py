@@ -23,6 +23,7 @@ from ..session import local_path, scratch_path
 from ..sources import messages as MSG
 from ..sources import pysource as PS
 from ..sources.tables import load
+from ..streaming import batches as LB
 from ..streaming import stream as ST
 from .registry import query
 
@@ -92,6 +93,32 @@ def _str01b(spark, sf):
     return per.agg(F.sum("n").cast("bigint").alias("rows"), (F.max("n") <= ST.DEFAULT_MAX_ROWS).alias("within_bound"))
 
 
+@query("str01_load_batches", f"""SELECT CAST(k AS BIGINT) AS load_batch, CAST(count(*) AS BIGINT) AS rows, min(event_id) AS first_id, max(event_id) AS last_id
+FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // {ST.DEFAULT_MAX_ROWS} AS k FROM events) GROUP BY 1""")
+def _str01c(spark, sf):
+    """One micro-batch of all files; the load of its third load batch (or the last one) fails once, and
+    the stream is started again."""
+    d, state, out, ckpt = _event_files(spark, sf), _dir(spark, "str01c-state"), _dir(spark, "str01c-out"), _dir(spark, "str01c-ckpt")
+    write, failed = LB.parquet_loader(out), []
+
+    def load_once_failing(rows, batch_id, number):
+        write(rows, batch_id, number)
+        if number == 2 and not failed:
+            failed.append(number)
+            raise RuntimeError("the destination went away")
+
+    for _ in range(2):
+        src = ST.read_stream(spark, d, "parquet", EVENTS_DDL).select("event_id")
+        try:
+            ST.run_stream(src, LB.load_batches_sink(state, load_once_failing, ["event_id"]), ckpt)
+        except Exception as e:  # noqa: BLE001 - the planned failure only
+            if "the destination went away" not in str(e):
+                raise
+    done = spark.createDataFrame(LB.confirmed(spark, state), "batch_id int, load_batch int")
+    loaded = spark.read.schema("event_id long, batch_id int, load_batch int").parquet(out).join(done, ["batch_id", "load_batch"], "left_semi")
+    return loaded.groupBy(F.col("load_batch").cast("long").alias("load_batch")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
 @query("ded07_stream_dedup", "SELECT event_id FROM events")
 def _ded07(spark, sf):
     src = ST.event_time(ST.read_stream(spark, _event_files(spark, sf, True), "parquet", EVENTS_DDL, max_files_per_trigger=1), "ts")
@@ -240,6 +267,19 @@ def _str07(spark, sf):
     return ST.latest_version(spark, target)
 
 
+@query("str07_bucket_count", """SELECT o_custkey, o_orderkey, o_orderdate FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def _str07c(spark, sf):
+    """The job is started again with another number of buckets; the table keeps its own."""
+    inp, ckpt, target = (_dir(spark, f"str07c-{x}") for x in ("in", "ckpt", "table"))
+    o = load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    for part, buckets in ((0, 16), (1, 4)):
+        o.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == part).repartition(2).write.mode("append").parquet(inp)
+        src = ST.read_stream(spark, inp, "parquet", "o_custkey BIGINT, o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ", max_files_per_trigger=1)
+        ST.run_stream(src, ST.upsert_sink(target, ["o_custkey"], ["o_orderdate", "o_orderkey"], buckets=buckets), ckpt)
+    return ST.latest_version(spark, target)
+
+
 # --------------------------------------------------------------- quality
 
 @query("dq01_source_report", """SELECT CAST(count(DISTINCT event_type) FILTER (WHERE event_type IN ('click', 'view')) AS BIGINT) AS streams,

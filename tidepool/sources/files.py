@@ -25,7 +25,8 @@ FORMAT_EXTENSIONS = {
     "parquet": ("parquet",),
 }
 
-def _glob(fmt: str) -> str:
+def file_glob(fmt: str) -> str:
+    """File name pattern of a format."""
     exts = FORMAT_EXTENSIONS[fmt]
     return "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
 
@@ -58,7 +59,7 @@ def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.S
     """
     read = spark.read
     if by_extension:
-        read = read.option("pathGlobFilter", _glob("json"))
+        read = read.option("pathGlobFilter", file_glob("json"))
     if recursive:
         read = read.option("recursiveFileLookup", "true")
     if schema is None:
@@ -90,7 +91,7 @@ def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.S
 
 def _csv(spark: SparkSession, delimiter: str, by_extension: bool, multi_line: bool):
     r = spark.read.option("delimiter", delimiter).option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower())
-    return r.option("inferSchema", "false").option("mode", "PERMISSIVE").option("pathGlobFilter", _glob("csv") if by_extension else "*")
+    return r.option("inferSchema", "false").option("mode", "PERMISSIVE").option("pathGlobFilter", file_glob("csv") if by_extension else "*")
 
 
 def csv_header(spark: SparkSession, path: str, delimiter: str = ",", by_extension: bool = True) -> list[str]:
@@ -138,7 +139,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3: parquet data (the source system only listed the files)."""
-    return spark.read.option("pathGlobFilter", _glob("parquet")).parquet(path)
+    return spark.read.option("pathGlobFilter", file_glob("parquet")).parquet(path)
 
 
 def file_inventory(spark: SparkSession, path: str, fmt: str | None = None, recursive: bool = True) -> DataFrame:
@@ -146,7 +147,7 @@ def file_inventory(spark: SparkSession, path: str, fmt: str | None = None, recur
     without reading file contents (the ``content`` column is pruned)."""
     r = spark.read.format("binaryFile")
     if fmt:
-        r = r.option("pathGlobFilter", _glob(fmt))
+        r = r.option("pathGlobFilter", file_glob(fmt))
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     df = r.load(path)
@@ -174,22 +175,26 @@ def list_stream_files(spark: SparkSession, root: str, stream: str, fmt: str) ->
 def read_files_incremental(spark: SparkSession, path: str, fmt: str, state: _dt.datetime | None = None,
                            **options) -> tuple[DataFrame, DataFrame]:
     """SRC-6: files modified strictly after the checkpoint, and the new checkpoint
-    (max modification time seen; the old one when nothing is new).
+    (max modification time listed; the old one when nothing is new).
 
-    ``modifiedAfter`` prunes files at listing time; the strict ``>`` filter on
-    ``_metadata`` makes the boundary exact.
+    ``modifiedAfter`` prunes files at listing time; filters on ``_metadata`` make
+    both boundaries exact: the listing is made once, before the read, and files
+    later than its newest are left for the next run. A file that lands afterwards with a time
+    at or before the checkpoint is not found this way; see :class:`.ledger.FileLedger`.
     """
-    r = spark.read.format(fmt).option("pathGlobFilter", _glob(fmt)).options(**options)
+    # the checkpoint comes from the listing, so files without rows count and no data is read
+    new_state = file_inventory(spark, path, fmt).agg(F.max("modified").alias("cursor_state"))
+    if state is not None:
+        new_state = new_state.select(F.greatest("cursor_state", F.lit(state).cast("timestamp")).alias("cursor_state"))
+    new_state = materialize(new_state, "file-checkpoint")
+    listed = F.lit(new_state.select(F.unix_micros("cursor_state")).first()[0]).cast("long")
+    r = spark.read.format(fmt).option("pathGlobFilter", file_glob(fmt)).options(**options)
     if state is not None:
         r = r.option("modifiedAfter", state.strftime("%Y-%m-%dT%H:%M:%S"))
     df = with_lineage(r.load(path))
     if state is not None:
         df = df.filter(F.col("_source_modified") > F.lit(state))
-    # the checkpoint comes from the listing, so files without rows count and no data is read
-    new_state = file_inventory(spark, path, fmt).agg(F.max("modified").alias("cursor_state"))
-    if state is not None:
-        new_state = new_state.select(F.greatest("cursor_state", F.lit(state).cast("timestamp")).alias("cursor_state"))
-    return df, new_state
+    return df.filter(F.unix_micros("_source_modified") <= listed), new_state
 
 
 def write_files(df: DataFrame, path: str, fmt: str = "json", stream_col: str | None = None,

@@ -122,10 +122,20 @@ def _bucket_paths(spark: SparkSession, target: str, before: int | None = None) -
     return out
 
 
+def _bucket_count(spark: SparkSession, target: str, buckets: int) -> int:
+    """The number of key buckets that the table was made with; ``buckets`` for a new one."""
+    from ..session import write_once
+
+    path = f"{target.rstrip('/')}/buckets.json"
+    write_once(spark, path, f'{{"buckets": {buckets}}}')
+    return spark.read.schema("buckets int").json(path).first()["buckets"]
+
+
 def upsert_sink(target: str, keys: list[str], order_by: list[str], buckets: int = 16):
     """STR-7: upsert each micro-batch into a parquet table of key buckets.
 
-    Target and changes compete by ``order_by`` (columns of the table), so an
+    The table keeps the number of its buckets from its first batch on, whatever
+    ``buckets`` says later. Target and changes compete by ``order_by`` (columns of the table), so an
     older change that arrives later never replaces a newer row; on a tie the
     change wins. Only buckets with changed keys are written, as version
     ``v=<batch>``; the folders they replace are deleted once the version is
@@ -137,7 +147,7 @@ def upsert_sink(target: str, keys: list[str], order_by: list[str], buckets: int
         spark = batch.sparkSession
         if batch_id in _versions(spark, target):
             return
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(_bucket_count(spark, target, buckets))).cast("int")
         changes = batch.withColumn("_bucket", bucket)
         touched = [r[0] for r in changes.select("_bucket").distinct().collect()]  # at most `buckets`
         held = _bucket_paths(spark, target, batch_id)
@@ -169,13 +179,15 @@ def soft_delete_sink(target: str, keys: list[str], deleted_at, snapshot_col: str
     """STR-7: full snapshots, each possibly spread over many micro-batches.
 
     Every row names its snapshot (an ascending number) and how many rows that
-    has. Batches are staged; once all rows of a snapshot are there it is
+    has. Batches are staged by snapshot; only open snapshots are read, and what an applied one
+    left is deleted. Once all rows of a snapshot are there it is
     applied as version ``v=<snapshot>``: its rows are inserted or replace
     the target's, keys missing from it are flagged deleted (keeping an
     earlier time), keys that come back are live again. A snapshot that never
     completes changes nothing.
     """
     from ..operators.conflict import null_safe_join
+    from ..session import fs_delete, fs_list
 
     staging = f"{target.rstrip('/')}/_staging"
 
@@ -189,16 +201,30 @@ def soft_delete_sink(target: str, keys: list[str], deleted_at, snapshot_col: str
             live = live.unionByName(gone, allowMissingColumns=True)
         live.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={version}")
 
+    def open_snapshots(spark, applied: int | None) -> dict[int, list[str]]:
+        """Staged folders by snapshot; those of applied snapshots are deleted."""
+        out: dict[int, list[str]] = {}
+        for part, _ in fs_list(spark, staging):
+            for name, is_dir in fs_list(spark, f"{staging}/{part}"):
+                if is_dir and name.startswith(f"{snapshot_col}=") and name.split("=")[1].lstrip("-").isdigit():
+                    number = int(name.split("=")[1])
+                    if applied is not None and number <= applied:
+                        fs_delete(spark, f"{staging}/{part}/{name}")
+                    else:
+                        out.setdefault(number, []).append(f"{staging}/{part}/{name}")
+        return dict(sorted(out.items()))
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
-        staged = spark.read.parquet(staging)
+        batch.write.mode("overwrite").partitionBy(snapshot_col).parquet(f"{staging}/batch_id={batch_id}")
         last = max(_versions(spark, target), default=None)
-        counts = staged.groupBy(snapshot_col).agg(F.count(F.lit(1)).alias("n"), F.max(size_col).alias("size")).where("n = size")
-        if last is not None:
-            counts = counts.where(F.col(snapshot_col) > last)
-        for (version,) in sorted(tuple(r) for r in counts.select(snapshot_col).collect()):  # complete and not applied yet
-            apply(spark, staged.where(F.col(snapshot_col) == version), version)
+        for number, paths in open_snapshots(spark, last).items():  # open ones only
+            rows = spark.read.parquet(*paths).withColumn(snapshot_col, F.lit(number))
+            n, size = rows.agg(F.count(F.lit(1)), F.max(size_col)).first()
+            if n == size:
+                apply(spark, rows, number)
+                last = number
+        open_snapshots(spark, last)
 
     return sink
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .conflict import null_safe_join
+
 # ------------------------------------------------------------- inference
 
 def infer_fields(df: DataFrame, json_col: str, stream_col: str | None = None) -> DataFrame:
@@ -198,11 +200,11 @@ def schema_diff(old: DataFrame, new: DataFrame, keys: list[str], field: str = "p
     ``(keys, field, change, old_value, new_value, is_breaking)``: removed
     (breaking), added, type change (breaking), nullable change (breaking
     only when a nullable field becomes non-nullable). One full outer join on
-    (keys, field), then an ``explode`` of the change array.
+    (keys, field), where null equals null, then an ``explode`` of the change array.
     """
     o = old.select(*keys, field, F.col("type").alias("_ot"), F.col("nullable").alias("_on"), F.lit(True).alias("_io"))
     n = new.select(*keys, field, F.col("type").alias("_nt"), F.col("nullable").alias("_nn"), F.lit(True).alias("_in"))
-    j = o.join(n, keys + [field], "full_outer")
+    j = null_safe_join(o, n, keys + [field], "full_outer")
     io, inn = F.col("_io").isNotNull(), F.col("_in").isNotNull()
 
     def ch(kind, ov, nv, br):
@@ -223,7 +225,7 @@ def schema_diff(old: DataFrame, new: DataFrame, keys: list[str], field: str = "p
 def compatibility(diff: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
     """SCH-9: a stream is compatible when none of its changes breaks (no change = compatible)."""
     br = diff.groupBy(*keys).agg(F.bool_or("is_breaking").alias("_b"), F.count(F.lit(1)).cast("bigint").alias("changes"))
-    return streams.select(*keys).distinct().join(br, keys, "left").select(
+    return null_safe_join(streams.select(*keys).distinct(), br, keys, "left").select(
         *keys, F.coalesce(F.col("changes"), F.lit(0).cast("bigint")).alias("changes"),
         (~F.coalesce(F.col("_b"), F.lit(False))).alias("is_compatible"))
 
@@ -251,18 +253,18 @@ def append_versions(versions: DataFrame, fields: DataFrame, discovered: DataFram
     (a first version has no changes).
     """
     last = versions.groupBy(*keys).agg(F.max("version").alias("version"))
-    latest = fields.join(last, keys + ["version"], "left_semi")
+    latest = null_safe_join(fields, last, keys + ["version"], "left_semi")
     seen = streams.select(*keys).distinct()
-    diff = schema_diff(latest.join(seen, keys, "left_semi"), discovered, keys, field)
+    diff = schema_diff(null_safe_join(latest, seen, keys, "left_semi"), discovered, keys, field)
     changed = diff.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_changes"))
     width = discovered.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_fields"))
-    j = seen.join(last, keys, "left").join(changed, keys, "left").join(width, keys, "left")
+    j = null_safe_join(null_safe_join(null_safe_join(seen, last, keys, "left"), changed, keys, "left"), width, keys, "left")
     new = j.where(F.col("version").isNull() | F.col("n_changes").isNotNull()).select(
         *keys, (F.coalesce("version", F.lit(0)) + 1).alias("version"), F.coalesce("n_fields", F.lit(0).cast("bigint")).alias("n_fields"),
         F.when(F.col("version").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_changes")).alias("n_changes"))
     numbered = new.select(*keys, "version")
-    changes = diff.join(numbered.where("version > 1"), keys)
-    return new, discovered.join(numbered, keys), changes
+    changes = null_safe_join(diff, numbered.where("version > 1"), keys)
+    return new, null_safe_join(discovered, numbered, keys), changes
 
 
 def version_at(versions: DataFrame, keys: list[str], version: int) -> DataFrame:

@@ -496,6 +496,23 @@ def _fuz05(spark, sf):
     return MT.assign_greedy(_pairs(spark, sf)).select("stream", "src_path", "dst_path", "confidence", "transform")
 
 
+NULL_PATHS_SQL = """WITH RECURSIVE pairs AS (
+  SELECT a.l_orderkey AS stream, CASE WHEN a.l_linenumber = 1 THEN '' ELSE 's' || a.l_linenumber END AS src_path, CASE WHEN b.l_linenumber = 2 THEN '' ELSE 'd' || b.l_linenumber END AS dst_path,
+    'string' AS src_type, 'integer' AS dst_type, ((a.l_partkey * 7 + b.l_suppkey) % 10) / 10.0 AS score
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey), o AS (""" + GREEDY_SQL.split(", o AS (", 1)[1]
+
+
+@query("fuz05_null_paths", NULL_PATHS_SQL + "SELECT stream, nullif(src_path, '') AS src_path, nullif(dst_path, '') AS dst_path, confidence FROM picked")
+def _fuz05b(spark, sf):
+    """Fields without a path are fields like others; the lines of an order are its source and destination fields."""
+    li = load(spark, sf, "lineitem")
+    side = lambda p, none, by: li.select(F.col("l_orderkey").alias("stream"), F.when(F.col("l_linenumber") != none, F.concat(F.lit(p[0]), "l_linenumber")).alias(f"{p}_path"), F.col(by).alias(f"_{p}"))
+    pairs = side("src", 1, "l_partkey").join(side("dst", 2, "l_suppkey"), "stream")
+    score = ((F.col("_src") * 7 + F.col("_dst")) % 10) / 10.0
+    pairs = pairs.select("stream", "src_path", "dst_path", F.lit("string").alias("src_type"), F.lit("integer").alias("dst_type"), score.alias("score")).where("score >= 0.3")
+    return MT.assign_greedy(pairs).select("stream", "src_path", "dst_path", "confidence")
+
+
 @query("fuz06_suggest_transform", SIDES_SQL + """SELECT stream, src_path, dst_path,
   CASE WHEN src_type <> dst_type AND src_type <> '' AND dst_type <> '' THEN
     CASE WHEN dst_type = 'string' THEN 'to_string' WHEN dst_type IN ('integer', 'number') AND src_type = 'string' THEN 'to_float'
@@ -552,3 +569,38 @@ SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""")
 def _fuz09(spark, sf):
     src, dst = match_sides(spark, sf)
     return MT.match_three_pass(src.drop("path"), dst.drop("path"), "stream")
+
+
+NULL_KEYS_SQL = """WITH f AS (SELECT DISTINCT nullif(o_orderpriority, '1-URGENT') AS namespace, o_custkey AS c, 'field ' || o_custkey AS path FROM orders),
+old AS (SELECT namespace, path, 'string' AS type FROM f WHERE c % 7 <> 1), new AS (SELECT namespace, path, CASE WHEN c % 5 = 0 THEN 'integer' ELSE 'string' END AS type FROM f WHERE c % 7 <> 2),
+diff AS (SELECT coalesce(o.namespace, n.namespace) AS namespace, coalesce(o.path, n.path) AS path,
+    CASE WHEN n.path IS NULL THEN 'removed_field' WHEN o.path IS NULL THEN 'added_field' ELSE 'type_change' END AS change
+  FROM old o FULL JOIN new n ON o.namespace IS NOT DISTINCT FROM n.namespace AND o.path = n.path WHERE o.type IS DISTINCT FROM n.type)
+"""
+
+
+def _null_key_fields(spark, sf):
+    """Two field tables keyed by a namespace that is null for one order priority."""
+    o = load(spark, sf, "orders").select(F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("namespace"), F.col("o_custkey").alias("c")).distinct()
+    f = o.withColumns({"path": F.concat(F.lit("field "), "c"), "nullable": F.lit(False)})
+    old = f.where("c % 7 <> 1").select("namespace", "path", F.lit("string").alias("type"), "nullable")
+    new = f.where("c % 7 <> 2").select("namespace", "path", F.when(F.col("c") % 5 == 0, "integer").otherwise("string").alias("type"), "nullable")
+    return old, new
+
+
+@query("sch08_null_keys", NULL_KEYS_SQL + "SELECT namespace, path, change FROM diff")
+def _sch08_null(spark, sf):
+    return S.schema_diff(*_null_key_fields(spark, sf), ["namespace"]).select("namespace", "path", "change")
+
+
+@query("sch11_null_keys", NULL_KEYS_SQL + """SELECT coalesce(namespace, 'none') AS namespace, CAST(2 AS INTEGER) AS version, count(*)::BIGINT AS n_changes FROM diff GROUP BY namespace""")
+def _sch11_null(spark, sf):
+    """A second discovery of every namespace, the null one included, appends version 2; a third one nothing."""
+    old, new = _null_key_fields(spark, sf)
+    streams = new.select("namespace").distinct()
+    empty = old.limit(0).withColumn("version", F.lit(1))
+    first, rows, _ = S.append_versions(empty.select("namespace", "version"), empty, old, streams, ["namespace"])
+    versions, fields = first.select("namespace", "version"), rows.select("namespace", "path", "type", "nullable", "version")
+    second, more, _ = S.append_versions(versions, fields, new, streams, ["namespace"])
+    third, _, _ = S.append_versions(versions.unionByName(second.select("namespace", "version")), fields.unionByName(more.select(*fields.columns)), new, streams, ["namespace"])
+    return second.unionByName(third).select(F.coalesce("namespace", F.lit("none")).alias("namespace"), F.col("version").cast("int").alias("version"), "n_changes")

@@ -22,6 +22,7 @@ before need no work. Units are compared byte by byte, not by hash.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 
@@ -36,7 +37,7 @@ from .common import cut, squeezed, unsqueezed
 #: Text of one chunk, and of the slices whose group texts are written at once.
 CHUNK_BYTES, SLICE_UNITS = 6 << 20, 1 << 17
 #: A worker forgets its units beyond so many, or so many bytes of them.
-KEPT_UNITS, KEPT_BYTES = 400_000, 32 << 20
+KEPT_UNITS, KEPT_BYTES = 600_000, 32 << 20
 _LEARN = 4096
 
 ROWS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("place", pa.int32()), ("key", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -113,18 +114,20 @@ class Units:
         if len(self.index) > KEPT_UNITS or self.held > KEPT_BYTES:
             self.clear()
         new = [u for u in units if u not in self.index]
-        for i in range(0, len(new), _LEARN):
-            self._learn(new[i:i + _LEARN])
+        if new:
+            self._learn(new)
         return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
     def _learn(self, units: list[bytes]) -> None:
-        texts = [u.decode() for u in units]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        facts, text, text_size, pairs, pair_size = self.align(units, ids_a, ids_b)
-        for u in units:
-            self.index[u] = len(self.index)
-            self.held += len(u)
+        found = []
+        for i in range(0, len(units), _LEARN):
+            some = units[i:i + _LEARN]
+            texts = [u.decode() for u in some]
+            ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            found.append(self.align(some, ids_a, self.b.encode([t[1:] for t in texts], num_threads=1)))
+        facts, text, text_size, pairs, pair_size = (np.concatenate(x) for x in zip(*found))
+        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
+        self.held += sum(map(len, units))
         self.facts = np.concatenate([self.facts, facts])
         self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.cumsum(text_size)])
         self.pair_at = np.concatenate([self.pair_at, self.pair_at[-1] + np.cumsum(pair_size)])
@@ -133,8 +136,8 @@ class Units:
     def align(self, units: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]):
         """Facts, group texts (closed by ``;``) and pairs (B id * 2**32 + A id) of all links of each unit."""
         n = len(units)
-        count_a, count_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in ids]]) for ids in (ids_a, ids_b))
+        count_a, count_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(count.sum())) for ids, count in ((ids_a, count_a), (ids_b, count_b)))
         of_a, of_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
         own = Pieces(units)
         good = np.ones(n, bool)
@@ -147,7 +150,8 @@ class Units:
         a, of_a, b, of_b = a[good[of_a]], of_a[good[of_a]], b[good[of_b]], of_b[good[of_b]]
         # byte offsets over the good units one after another
         ends_a, ends_b = np.cumsum(self.bytes_a.size[a]), np.cumsum(self.bytes_b.size[b])
-        cuts, shared = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
+        shared = ends_a[np.isin(ends_a, ends_b, assume_unique=True, kind="table")] if len(ends_a) else ends_a
+        cuts = np.sort(np.concatenate([ends_a, ends_b[~np.isin(ends_b, shared, assume_unique=True, kind="table")]])) if len(ends_a) else ends_a
         link_a, link_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         group_of = of_a[np.searchsorted(ends_a, shared)]

@@ -61,3 +61,68 @@ def test_ratios_decide_inside_an_article_too():
 def test_frame_without_article():
     assert main_text(page("<nav><a>Home</a></nav><footer><p>Some address, with marks. And more.</p></footer>")) == ""
     assert main_text(page(f'<p style="display:none">{WANT}</p><div hidden>{WANT}</div>')) == ""
+
+
+def test_attributes_are_read_one_by_one():
+    """Names count, not what stands in other attributes' values."""
+    menu = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+    assert main_text(page(f'{menu}<article data-title="The hidden valley">{ARTICLE}</article>')) == WANT
+    assert main_text("<article><p data-id='ad-7'>One, two. Three, four.</p><p>a <b title='hidden gem'>bold, word</b></p></article>") == "One, two. Three, four.\na bold, word"
+    assert main_text(f"<p class=it's>{WANT}</p>") == WANT.replace("\n", " ")
+    assert main_text(f"<article title=\"a > b\" data-x='c > \"d\"' >{ARTICLE}</article >") == WANT
+    assert main_text('<p title="never closed>Text, one. Two.</p>') == "Text, one. Two."
+    assert main_text(f"<div aria-hidden=true>{ARTICLE}</div><p>Seen, this one. Yes.</p><p STYLE='Display : None'>no</p>") == "Seen, this one. Yes."
+    assert main_text(f"<div data-hidden id=x class>{ARTICLE}</div>") == WANT
+
+
+def test_readers_comments_go():
+    said = "".join(f"<p>Reader {i} says, at some length, what was wrong; and more, of course. Really.</p>" for i in range(40))
+    for named in ("class='comments'", 'id="comments"', "class='post-comments'", "id=disqus_thread"):
+        assert main_text(page(f"<div>{ARTICLE}</div><div {named}>{said}</div>")) == WANT
+    assert main_text(page(f"<div class='comments-open'>{ARTICLE}</div><div class=x><p>Imprint</p></div>")).startswith(WANT)
+    assert main_text(page(f"<div class='comments'>{ARTICLE}</div>")) == WANT  # all there is
+
+
+def test_time_is_linear():
+    import time
+
+    for piece in ("<a '", "<a b=\"", "<a b='x>", "<", "</", "<!--", "<p title=x", "<script", "&", "<div><a", "<div>", "<b><p>", "<div></p>", "<li></ul>"):
+        start = time.time()
+        main_text(piece * 40_000)
+        assert time.time() - start < 4, piece
+
+
+def naive_scores(blocks):
+    """Ratios by the description, from (path, block, text, weight) of blocks of one text each."""
+    import math
+
+    by = {}
+    for path, block, text, weight in blocks:
+        by.setdefault(path, []).append((block, text, weight))
+    count = lambda ps: (sum(len(t) for p in ps for _, t, _ in by[p]), sum(sum(c in ".,;:!?" for c in t) for p in ps for _, t, _ in by[p]), sum(len({b for b, _, _ in by[p]}) for p in ps))
+    fused = {}
+    for path, rows in by.items():
+        chars, marks, n = count([path])
+        all_chars, all_marks, all_n = count([p for p in by if p.rsplit("/", 1)[0] == path.rsplit("/", 1)[0]])
+        ratio, mark_ratio = (chars / n + all_chars / all_n) / 2, ((marks + 1) / n + (all_marks + 1) / all_n) / 2
+        fused[path] = (ratio * mark_ratio) ** 0.5 * math.log(1 + all_chars) * rows[0][2]
+    best = max(fused.values())
+    return {p: v / best for p, v in fused.items()}
+
+
+def test_scores_against_the_description():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(50):
+        body, blocks, n = "", [], 0
+        for cls in ("x", "y", "ad", "z"):
+            inner = ""
+            for _ in range(rng.randint(1, 4)):
+                tag, text = rng.choice(["p", "h2", "li"]), " ".join(rng.choice(["word", "so,", "end.", "why?", "é"]) for _ in range(rng.randint(1, 30)))
+                inner += f"<{tag}>{text}</{tag}>"
+                blocks.append((f"/html/body/div.{cls}{'!' if cls == 'ad' else ''}/{tag}", n, text, 1 / 16 if cls == "ad" else 1.0))
+                n += 1
+            body += f"<div class={cls}>{inner}</div>"
+        got, want = path_scores(text_nodes(page(body))), naive_scores(blocks)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)

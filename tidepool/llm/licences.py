@@ -5,8 +5,7 @@ ASCII characters separate) and compared as sets of word bigrams:
 ``2 |A & T| / (|A| + |T|)``. For a template of n distinct bigrams a coefficient of t needs
 regions of between t / (2 - t) and (2 - t) / t times n distinct bigrams, and at least
 t / (2 - t) times n shared ones: these bounds leave few templates and places. There, the regions
-are all windows (``any_length``) or only those of as many bigrams as the template's text, that begin
-with one it holds (or shorter ones at a text's end). Of all windows from a start, the best ends where
+are all windows that begin with a bigram of the template. Of all windows from a start, the best ends where
 a bigram of the template comes for the first time, and before the start's own bigram comes again
 (else the window from there is as good and shorter); all these are compared exactly.
 
@@ -123,34 +122,6 @@ def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(word_runs(words.hashes()).each(2))[inside], words.doc[:-1][inside]
 
 
-def scan(table: _Table, words: Words, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """(document, template, coefficient, first word, words) of the best window per document and template."""
-    grams, doc = _bigrams(words)
-    if not len(grams) or not len(table.keys):
-        return []
-    ends = np.searchsorted(doc, np.arange(doc[-1] + 2))  # bigrams of document d are ends[d] .. ends[d + 1] - 1
-    place = np.minimum(np.searchsorted(table.keys, grams), len(table.keys) - 1)
-    at = np.flatnonzero(table.keys[place] == grams)
-    many = table.first[place[at] + 1] - table.first[place[at]]
-    pos = np.repeat(at, many)
-    owner = table.owner[np.repeat(table.first[place[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    out = []
-    for k in np.unique(owner).tolist():
-        hits, size = pos[owner == k], len(table.sets[k])
-        stop = np.minimum(hits + table.length[k], ends[doc[hits] + 1])  # a window ends with its document
-        shared = np.searchsorted(hits, stop) - np.arange(len(hits))  # at least as many as distinct ones
-        good = np.flatnonzero((2 - threshold) * shared >= threshold * size - 1e-9)
-        best: dict[int, tuple[float, int, int]] = {}
-        for i in good.tolist():
-            window = np.unique(grams[hits[i]:stop[i]])
-            dice = 2 * len(np.intersect1d(window, table.sets[k], assume_unique=True)) / (len(window) + size)
-            d = int(doc[hits[i]])
-            if dice >= threshold - 1e-12 and dice > best.get(d, (0.0,))[0]:
-                best[d] = (dice, int(hits[i] - ends[d]), int(stop[i] - hits[i] + 1))
-        out += [(d, k, *v) for d, v in best.items()]
-    return out
-
-
 def _windows(grams: np.ndarray, hits: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, threshold: float) -> list[tuple[float, int, int, int]]:
     """(coefficient, first bigram, end, shared) of the best window from each hit of one template in one
     document; ``before`` and ``after`` are where each bigram stands next on either side."""
@@ -199,8 +170,9 @@ class _Apart:
         return True
 
 
-def scan_any_length(table: _Table, words: Words, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """As ``scan``, over windows of all lengths. Where templates find the same region (windows that
+def scan(table: _Table, words: Words, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """(document, template, coefficient, first word, words) of the best region per document and
+    template, over windows of all lengths. Where templates find the same region (windows that
     cover half of the shorter), it is that of the template that shares most bigrams with it, then of the
     best coefficient, then of the first template."""
     grams, doc = _bigrams(words)
@@ -242,15 +214,14 @@ def scan_any_length(table: _Table, words: Words, threshold: float) -> list[tuple
     return out
 
 
-def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, any_length: bool = False) -> DataFrame:
+def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, licence, dice, start, n_words): the templates found in each
     document, with the best region (first word and words, in normalised words; the first
     of equally good ones).
 
-    With ``any_length``, regions have any length that the coefficient admits (of equally good
-    ones the shortest, then the first), and where templates find the same region only
-    the one that shares most with it is given. Else they are as long as the template, and each template
-    is looked for on its own.
+    Regions have any length that the coefficient admits (of equally good ones the
+    shortest, then the first), and where templates find the same region only the one that
+    shares most with it is given.
 
     Null and empty texts, and templates of fewer than two words, match nothing; a null
     doc_id stays null; rows that repeat a doc_id count as one document with the best
@@ -262,7 +233,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, key:
     def run(batches):
         table = shared.value
         for batch, data, offsets in chunks(batches):
-            found = (scan_any_length if any_length else scan)(table, Words(_NORMAL[data], offsets), threshold)
+            found = scan(table, Words(_NORMAL[data], offsets), threshold)
             ids = batch.column("doc_id").to_pylist()
             yield record(schema, *(list(zip(*[(ids[d], table.names[k], *v) for d, k, *v in found])) or [[]] * 5))
 

@@ -8,8 +8,8 @@ Spark scores the graph of patterns and instances in rounds: a pattern's
 confidence for a kind is the share of its distinct instances that are of the
 kind, once ``MIN_SUPPORT`` are; an instance's is that at least one of its
 confident patterns is right. Instances over ``ACCEPT`` join the seeds of the next
-round, and their places are added to the result; what the fixed patterns found
-always stays.
+round, and their places are added to the result, until a round adds none; what the fixed
+patterns found always stays.
 
 Each round groups distinct (pattern, instance) edges, so neither a frequent pattern
 nor a copied text piles up rows, and no list of instances leaves the executors.
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, record, spare, text_of
+from .common import NULL_ID, chunks, cut, record, spare, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 MIN_SUPPORT = 3
 TRUST = 0.8  # least confidence of a pattern that counts
 ACCEPT = 0.9
@@ -42,8 +43,10 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Where identifier-like tokens can be: runs without white space, quotes or brackets, with a digit or an @.
 _TOKEN = re.compile(r"[^\s\"'<>{}\[\]|,;]+")
 _TRIM = "().:!?#*$%&-_=~`"
-_WORD_BEFORE = re.compile(r"[^\s]+")
-_CONTEXT = 80  # characters in which the words around a token are looked for
+_WORD = re.compile(r"[^\s]+")
+_IDENTIFIER = re.compile(r"[0-9@]")
+#: Instances and context words longer than this are known by their hash.
+_KNOWN_CHARS = 100
 
 
 def luhn(digits: str) -> bool:
@@ -71,11 +74,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a place, from the words before and after it."""
-    before = [w.lower() for w in _WORD_BEFORE.findall(text[max(0, start - _CONTEXT):start])[-2:]]
-    after = _WORD_BEFORE.search(text, end, min(len(text), end + _CONTEXT))
-    after = after.group().lower() if after else ""
+def _short(text: str) -> str:
+    return text if len(text) <= _KNOWN_CHARS else hashlib.sha256(text.encode()).hexdigest()
+
+
+def _patterns(text: str, starts: list[int], ends: list[int], start: int, end: int) -> list[str]:
+    """The lexical patterns of a place, from the whole words before and after it (a word that the
+    place is part of counts with what is left of it); ``starts``, ``ends``: all words of the text."""
+    word = lambda a, b: _short(text[a:b].lower())
+    k = bisect_left(starts, start)  # words that begin before the place
+    before = [word(starts[i], min(ends[i], start)) for i in range(max(0, k - 2), k)]
+    j = bisect_right(ends, end)  # the first word that ends behind it
+    after = word(max(starts[j], end), ends[j]) if j < len(ends) else ""
     last = before[-1] if before else ""
     out = [f"{last}_"] if last else []
     if len(before) == 2:
@@ -88,26 +98,16 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens that touch no base span."""
+    """Identifier-like tokens, whole, that touch no base span."""
     if not spans and not _DIGIT.search(text) and "@" not in text:
         return []
-    out, taken = [], sorted((s, e) for _, s, e in spans)
-    places = [m.start() for m in re.finditer(r"[0-9@]", text)]
-    done, k = -1, 0
-    for at in places:
-        if at < done:
-            continue
-        a = at
-        while a > 0 and at - a < 200 and _TOKEN.match(text, a - 1):
-            a -= 1
-        m = _TOKEN.match(text, a)
-        if m is None:
-            continue
-        done = m.end()
+    out, taken, k = [], sorted((s, e) for _, s, e in spans), 0
+    for m in _TOKEN.finditer(text):
         token = m.group()
-        start = a + len(token) - len(token.lstrip(_TRIM))
-        end = a + len(token.rstrip(_TRIM))
-        if end - start < 4 or ("@" not in text[start:end] and sum(c.isdigit() and c.isascii() for c in text[start:end]) < 3):
+        if not _IDENTIFIER.search(token):
+            continue
+        start, end = m.start() + len(token) - len(token.lstrip(_TRIM)), m.start() + len(token.rstrip(_TRIM))
+        if end - start < 4 or ("@" not in text[start:end] and len(_NOT_DIGIT.sub("", text[start:end])) < 3):
             continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
@@ -129,10 +129,13 @@ def facts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def of(t: str):
         spans = base_spans(t)
         found = [(k, s, e) for k, s, e in spans] + [(None, s, e) for s, e in _candidates(t, spans)]
-        return [{"kind": k, "start": s, "end": e, "instance": t[s:e].lower() if e - s <= 100 else hashlib.sha256(t[s:e].encode()).hexdigest(), "patterns": _patterns(t, s, e)} for k, s, e in found]
+        if not found:
+            return []
+        starts, ends = zip(*(m.span() for m in _WORD.finditer(t)))
+        return [{"kind": k, "start": s, "end": e, "instance": _short(t[s:e].lower()), "patterns": _patterns(t, starts, ends, s, e)} for k, s, e in found]
 
     def run(batches):
-        for batch in batches:
+        for batch, _, _ in chunks(batches):
             texts = batch.column("text")
             yield record(schema, batch.column("doc_id"), batch.column("tag"), [of(t.as_py()) for t in texts])
 
@@ -140,25 +143,31 @@ def facts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.mapInArrow(run, f"doc_id long, tag long, places array<{_PLACE}>")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
-    """(instance, kind, score) of instances beyond the seeds, from ``facts``."""
+def discover(found: DataFrame, support: int = MIN_SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
+    """(instance, kind, score) of instances beyond the seeds, from ``facts``.
+
+    An accepted instance keeps its kind and score; rounds go on until one accepts no more, so
+    there are at most as many as instances.
+    """
     places = found.select(F.explode("places").alias("p")).select("p.*")
     edges = cut(places.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "pii-edges")
     seeds = places.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    seeds = cut(seeds, "pii-seeds")
-    known, fresh = seeds, None
+    known = cut(seeds, "pii-seeds")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     sizes = cut(sizes, "pii-patterns")
-    for k in range(rounds):
+    rounds: list[DataFrame] = []
+    while True:
         scored = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("c"))
         trusted = scored.where(F.col("c") >= support).join(sizes, "pattern").withColumn("trust", F.col("s") / F.col("n")).where(F.col("trust") >= trust)
         # at least one of the trusted patterns is right
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.01))))
         held = edges.join(trusted.select("pattern", "kind", "trust"), "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
         best = held.where(F.col("score") >= accept).groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"), "kind")).alias("m")).select("instance", "m.kind", "m.score")
-        fresh = cut(best.join(seeds.select("instance"), "instance", "left_anti"), f"pii-round{k}")
-        known = seeds.unionByName(fresh.select(*seeds.columns))
-    return fresh
+        fresh = cut(best.join(known.select("instance"), "instance", "left_anti"), f"pii-round{len(rounds)}")
+        rounds.append(fresh)
+        if fresh.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        known = cut(known.unionByName(fresh.select(*known.columns)), "pii-known")
 
 
 def _added(found: DataFrame, fresh: DataFrame, *keys: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (A-Z lowered, white space collapsed and trimmed) and
-hashed to 128 bits; for each host Spark counts the distinct documents (distinct
-texts, so that copies of one text count once) that hold a line. Lines over a
+hashed to 128 bits; for each host Spark counts the distinct documents (rows
+that repeat an id and its text are one) that hold a line. Lines over a
 host's limit are boilerplate and are taken out; a document of which too much
 is gone is depleted and rejected. Base rules per text come along: length,
 symbols, repeated lines and repeated 8-word windows.
 
-The first count is keyed by host, line and text, so a host with a third of
+The first count is keyed by host, line and document, so a host with a third of
 all rows is spread; the second combines on the map side.
 """
 
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, Words, chunks, cut, mix, record, spare, text_of, word_runs
+from .common import NULL_ID, Runs, Words, chunks, cut, mix, record, spare, text_of, word_runs
 
-#: A line is boilerplate when more than this share of its host's texts, and more than this many, hold it.
+#: A line is boilerplate when more than this share of its host's documents, and more than this many, hold it.
 LINE_SHARE, LINE_TEXTS = 0.01, 20
+#: Documents of a host that the share is taken of at most, so that the limit does not loosen as a host grows.
+HOST_DOCUMENTS = 10_000
 #: A document is depleted when at least this share of its words is in boilerplate lines.
 DEPLETED = 0.8
 MIN_WORDS = 20
@@ -71,20 +73,24 @@ def text_facts(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
         np.add.at(cover, first[twin], 1)
         np.add.at(cover, first[twin] + WINDOW, -1)
         repeated = _per_doc(words.doc[np.cumsum(cover)[:-1] > 0], n)
-    # lines: cut at \n and at documents' ends; those with a word
+    heads, stops, doc, size, keys = line_keys(data, offsets, words)
+    raw = data.astype(np.uint64) + np.uint64(1)
+    later, _ = _later_twins(doc, *[mix(Runs(raw, base).of(heads, stops)) for base in (_BASE, 0xA0761D6478BD642F)])
+    dup_lines = _per_doc(doc[later], n)
+    return [count.astype(np.int64), word_chars, symbols, dup_lines, repeated], [doc, *keys, size]
+
+
+def line_keys(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The lines that have a word: first byte, end, document, words, and two hashes of the normalised line."""
+    # cut at \n and at documents' ends
     heads = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     heads = heads[heads < len(data)]
     stops = np.append(heads[1:], len(data))[: len(heads)]
     stops = stops - (data[stops - 1] == 10)
     a, b = np.searchsorted(words.start, heads), np.searchsorted(words.start, stops)
     heads, stops, a, b = (x[some] for x in (heads, stops, a, b)) if (some := b > a).any() else (heads[:0],) * 4
-    doc = words.doc[a]
-    raw = data.astype(np.uint64) + np.uint64(1)
-    later, _ = _later_twins(doc, *[mix(Runs(raw, base).of(heads, stops)) for base in (_BASE, 0xA0761D6478BD642F)])
-    dup_lines = _per_doc(doc[later], n)
     low = Words(data, offsets, lower=True).hashes()
-    keys = [mix(word_runs(low, k).of(a, b)) for k in (0, 1)]
-    return [count.astype(np.int64), word_chars, symbols, dup_lines, repeated], [doc, *keys, (b - a).astype(np.int64)]
+    return heads, stops, words.doc[a], (b - a).astype(np.int64), [mix(word_runs(low, k).of(a, b)) for k in (0, 1)]
 
 
 _BASE_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -113,13 +119,13 @@ def line_facts(docs: DataFrame, key: str = "doc_id", host: str = "source", text:
     return rows.mapInArrow(run, f"doc_id long, host string, text_hash long, {_BASE_DDL}, lines array<{_LINE}>")
 
 
-def boilerplate(facts: DataFrame, share: float = LINE_SHARE, texts: int = LINE_TEXTS) -> DataFrame:
-    """(host, h1, h2) of lines that too many of a host's texts hold."""
+def boilerplate(facts: DataFrame, share: float = LINE_SHARE, texts: int = LINE_TEXTS, host_documents: int = HOST_DOCUMENTS) -> DataFrame:
+    """(host, h1, h2) of lines that too many of a host's documents hold."""
     host = F.coalesce("host", F.lit("")).alias("host")  # rows without a host are one host
-    held = facts.select(host, "text_hash", F.explode("lines").alias("line")).select("host", "text_hash", "line.h1", "line.h2").distinct()
+    held = facts.select(host, "doc_id", "text_hash", F.explode("lines").alias("line")).select("host", "doc_id", "text_hash", "line.h1", "line.h2").distinct()
     counts = held.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > texts)
-    sizes = facts.select(host, "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all"))
-    return counts.join(sizes, "host").where(F.col("n") > F.col("all") * share).select("host", "h1", "h2")
+    sizes = facts.select(host, "doc_id", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    return counts.join(sizes, "host").where(F.col("n") > F.least("all", F.lit(host_documents)) * share).select("host", "h1", "h2")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", share: float = LINE_SHARE, texts: int = LINE_TEXTS, depleted: float = DEPLETED) -> DataFrame:
@@ -128,7 +134,8 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
     A null text has no words (and so fails the base rules); a null host is the
     host of all rows without one; repeated rows are judged alike, and count
-    once as they are one text; an empty table gives no rows.
+    once as they are one document, copies under other ids count each; a line that exactly as many
+    hold as the limit says stays; an empty table gives no rows. ``boilerplate_words`` are the words of the lines that go.
     """
     facts = cut(line_facts(docs, key, host, text).withColumn("_row", F.monotonically_increasing_id()), "line-facts")
     lines = facts.select("_row", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line")).select("_row", "host", "line.h1", "line.h2", "line.words")
@@ -140,30 +147,28 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
 
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", share: float = LINE_SHARE, texts: int = LINE_TEXTS) -> DataFrame:
-    """All rows, with ``text`` rid of boilerplate lines (hashed again in the
-    scan; the host's line list joins as an array, as long as ``1 / share`` lines of average length times the words of a text)."""
-    found = boilerplate(cut(line_facts(docs, key, host, text), "line-facts"), share, texts).groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias(gone := spare(docs, "_gone"))).withColumnRenamed("host", name := spare(docs, "_host"))
-    joined = docs.join(found, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col(name), "left")
-
-    @F.pandas_udf("string")
-    def strip(texts, gone):
-        import pandas as pd
-
-        out = []
-        for t, g in zip(texts, gone):
-            if t is None or g is None or not len(g):
-                out.append(t)
-                continue
-            drop = {(x["h1"], x["h2"]) for x in g}
-            keep = []
-            for line in t.split("\n"):
-                raw = np.frombuffer(line.encode(), np.uint8)
-                words = Words(raw, np.array([0, len(raw)]), lower=True)
-                low = words.hashes()
-                ends = np.array([0]), np.array([len(low)])
-                if not len(low) or tuple(int(mix(word_runs(low, k).of(*ends)).view(np.int64)[0]) for k in (0, 1)) not in drop:
-                    keep.append(line)
-            out.append("\n".join(keep))
-        return pd.Series(out, dtype=object)
-
-    return joined.withColumn(text, strip(F.col(text), F.col(gone))).select(docs.columns)
+    """All rows and columns, with ``text`` rid of boilerplate lines. Each document gets the hashes of
+    its own lines that go (host, id and text hash join them), never a host's whole list. A null text stays
+    null, repeated rows lose the same lines, an empty table gives no rows."""
+    place, gone = spare(docs, "_place"), spare(docs, "_gone")
+    where = lambda i, h, t: F.struct(F.coalesce(i, F.lit(NULL_ID)).alias("i"), F.coalesce(h, F.lit("")).alias("h"), t.alias("t")).alias(place)
+    facts = cut(line_facts(docs, key, host, text), "line-facts")
+    lines = facts.select(where(F.col("doc_id"), F.col("host"), F.col("text_hash")), F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line")).select(place, "host", "line.h1", "line.h2")
+    own = lines.join(boilerplate(facts, share, texts), ["host", "h1", "h2"], "left_semi").groupBy(place).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+    joined = docs.withColumn(place, where(F.col(key).cast("long"), F.col(host).cast("string"), F.xxhash64(text_of(text)))).join(own, place, "left")
+    names, at, schema = docs.columns, docs.columns.index(text), docs.schema
+
+    def strip(value: str, drop: set[tuple[int, int]]) -> str:
+        raw = np.frombuffer(value.encode(), np.uint8)
+        offsets = np.array([0, len(raw)])
+        heads, _, _, _, keys = line_keys(raw, offsets, Words(raw, offsets))
+        number = np.append(0, np.cumsum(raw == 10))[heads]
+        out = {n for n, *k in zip(number.tolist(), *(x.view(np.int64).tolist() for x in keys)) if tuple(k) in drop}
+        return "\n".join(line for n, line in enumerate(value.split("\n")) if n not in out)
+
+    def run(batches):
+        for batch in batches:
+            found = [t if t is None or not g else strip(t, {(x["h1"], x["h2"]) for x in g}) for t, g in zip(batch.column(text).to_pylist(), batch.column(gone).to_pylist())]
+            yield batch.select(names).set_column(at, pa.field(text, pa.string()), pa.array(found, pa.string()))
+
+    return joined.select(*[F.col(f"`{c}`") for c in names], F.col(gone)).mapInArrow(run, schema)

@@ -68,3 +68,31 @@ def test_empty_table_and_wrong_lengths(spark):
     assert pack_documents(corpus(spark, [(1, "a")]).limit(0), default_tokenizer()).count() == 0
     with pytest.raises(Exception, match="capacity"):
         pack(spark.createDataFrame([(1, 0)], "item long, length long"), 100).count()
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """Whatever the hashes, ids are the tokenizer's: with a few bits of the first one, words clash in a
+    chunk, and with words kept from earlier ones."""
+    from tidepool.llm.packing import WordIds
+
+    words = WordIds(default_tokenizer())
+    real = WordIds.hashes
+    monkeypatch.setattr(WordIds, "hashes", staticmethod(lambda w: (real(w)[0] & np.uint64(0x3F), real(w)[1])))
+    rng = random.Random(3)
+    plainly = []
+    monkeypatch.setattr(WordIds, "_encode_plainly", lambda self, *a, run=WordIds._encode_plainly: plainly.append(1) or run(self, *a))
+    for n in (1, 3, 3, 40, 2, 400):
+        texts = [prose(rng, n), "", prose(rng, 2)]
+        raw = "".join(texts).encode()
+        offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+        ids, at = words.encode(np.frombuffer(raw, np.uint8), offsets)
+        for t, a, b in zip(texts, at, at[1:]):
+            assert ids[a:b].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+    assert 0 < len(plainly) < 6
+
+
+def test_pairs_are_found_in_a_later_round(spark):
+    """Many groups of one sequence each join nothing in the first merged round; the tree goes on."""
+    items = spark.createDataFrame([(i, 40) for i in range(64)], "item long, length long").repartition(64)
+    placed = pack(items, capacity=100, group_items=1000, fan_in=2).collect()
+    assert check_layout([(40, r.sequence_id, r.offset) for r in placed], 100) == 32

@@ -91,25 +91,36 @@ class WordIds:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.keys) > _CACHE_WORDS:
             self.clear()
-        one, two = words.hashes(), words.hashes(1)
+        one, two = self.hashes(words)
         keys, first, back = np.unique(one, return_index=True, return_inverse=True)
         checks = two[first]
-        if (checks[back] != two).any():
-            raise ValueError("two words of a chunk share a 64-bit hash")
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = (self.keys[place] == keys) & (self.checks[place] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if (checks[back] != two).any() or (self.checks[place[known]] != checks[known]).any():
+            return self._encode_plainly(data, words)  # two words share the first hash
         if not known.all():
             fresh = np.flatnonzero(~known)
             spans = zip(words.start[first[fresh]].tolist(), words.end[first[fresh]].tolist())
             self.learn(keys[fresh], checks[fresh], [data[a:b].tobytes().decode() for a, b in spans])
             place = np.searchsorted(self.keys, keys)
-            if (self.checks[place] != checks).any():
-                raise ValueError("two words share a 64-bit hash")
         size = self.size[place][back]
         ends = np.cumsum(size)
         at = self.at[place][back] - (ends - size)
         return self.ids[np.repeat(at, size) + np.arange(ends[-1])], np.append(0, ends)[words.first]
 
+    @staticmethod
+    def hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        return words.hashes(), words.hashes(1)
+
+    def _encode_plainly(self, data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, with the words themselves as keys and nothing kept."""
+        spans = [data[a:b].tobytes() for a, b in zip(words.start.tolist(), words.end.tolist())]
+        place = {w: i for i, w in enumerate(dict.fromkeys(spans))}
+        ids, size = self.ids_of([w.decode() for w in place])
+        which = np.fromiter(map(place.__getitem__, spans), np.int64, len(spans))
+        at, ends = (np.cumsum(size) - size)[which], np.cumsum(size[which])
+        return ids[np.repeat(at - (ends - size[which]), size[which]) + np.arange(ends[-1])], np.append(0, ends)[words.first]
+
 
 def tokenizer_of(path: str) -> WordIds:
     if path not in _TOKENIZERS:
@@ -217,7 +228,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, item: str = "item", length:
         bins = cut(_level(open_bins.repartition(groups, F.xxhash64("_item", F.lit(level))), capacity, level, nearly_full), f"pack{level}")
         step = bins.select(F.col("item").alias("_from"), F.col("bin").alias("_to"), F.col("shift").alias("_shift"))
         moved = step if moved is None else cut(_compose(moved, step), f"pack-moved{level}")
-        if groups == 1 or bins.select("bin").distinct().count() == n:
+        # a round that joins nothing may only have dealt unluckily, as long as there were more groups than needed
+        if groups == 1 or groups == -(-n // group_items) and bins.select("bin").distinct().count() == n:
             break
     if moved is None:
         return where

@@ -70,3 +70,52 @@ def test_odd_rows_and_empty_tables(spark, odd_rows):
     assert without_leaks(docs, bench).count() == len(odd_rows)
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
     assert without_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
+def brute_passages(rows, items):
+    """Documents and items of which the document holds the whole or a passage, by the description."""
+    out = set()
+    for d, t in rows:
+        t = normal(t)
+        for i, p in items:
+            p = normal(p)
+            size = max(80, min(len(p) // 2, 200))
+            starts = {*range(0, len(p) - size, size // 4), len(p) - size} if len(p) > size else set()
+            parts = [p[a:a + size] for a in starts] + ([p] if len(p) <= 2000 else [])
+            if any(len(x) >= Q and least_edits(x, t) <= edit_budget(len(x)) for x in parts):
+                out.add((d, i))
+    return out
+
+
+def test_parts_of_items(spark):
+    from tidepool.llm.decontam import PASSAGE
+
+    rng = random.Random(21)
+    items = [(i, prose(rng, n)) for i, n in enumerate((12, 20, 30, 60, 90))]
+    rows = []
+    for i, p in items:
+        n = len(p)
+        for k, (a, b) in enumerate(((0, 0.9), (0.1, 1), (0.3, 0.75), (0.45, 0.6), (0, 1))):
+            part = list(p[int(a * n):int(b * n)])
+            if k % 2:
+                part[len(part) // 2] = "#"
+            rows.append((10 * i + k, f"{prose(rng, 6)} {''.join(part)} {prose(rng, 6)}"))
+    rows.append((900, prose(rng, 100)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_passages(rows, items)
+    for size in (1 << 20, 100):
+        assert {(r.doc_id, r.item_id) for r in find_leaks(corpus(spark, rows), bench, passage=PASSAGE, block_bytes=size).collect()} == want
+    assert {(10 * i, i) for i in (1, 2, 3, 4)} <= want and len(want) < len(rows)  # nine tenths of an item, word for word
+    left = {r.doc_id for r in without_leaks(corpus(spark, rows), bench, passage=PASSAGE).collect()}
+    assert left == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_a_long_item_is_bounded(spark):
+    from tidepool.llm.decontam import PASSAGE
+
+    rng = random.Random(22)
+    item = prose(rng, 60_000)  # some hundred KB
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, prose(rng, 50) + item[100_000:101_000] + prose(rng, 50)), (2, item), (3, prose(rng, 200))]
+    got = {(r.doc_id, r.edits, r.n_bytes) for r in find_leaks(corpus(spark, rows), bench, passage=PASSAGE).collect()}
+    assert got == {(1, 0, 200), (2, 0, 200)}

@@ -51,7 +51,7 @@ def minhash_near_dedup(spark, sf_dir):
 def licence_scan(spark, sf_dir):
     from .licences import all_templates, scan_licences
 
-    return scan_licences(read_table(spark, sf_dir, "documents"), all_templates(), any_length=True)
+    return scan_licences(read_table(spark, sf_dir, "documents"), all_templates())
 
 
 @query("op4_quality_classifier")
@@ -89,11 +89,11 @@ w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, t FROM d)
 grams AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
-raw AS (SELECT doc_id, host, hash(t) AS th, unnest(string_split(t, chr(10))) AS l FROM d),
+raw AS (SELECT doc_id, host, {'d': doc_id, 't': hash(t)} AS th, unnest(string_split(t, chr(10))) AS l FROM d),
 lines AS (SELECT * FROM (SELECT *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM raw) WHERE len(lw) > 0),
 dups AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, l, count(*) AS c FROM lines GROUP BY doc_id, l) GROUP BY doc_id),
 norm AS (SELECT doc_id, host, th, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS nl, len(lw) AS c FROM lines),
-sizes AS (SELECT host, count(DISTINCT hash(t)) AS a FROM d GROUP BY host),
+sizes AS (SELECT host, least(count(DISTINCT {'d': doc_id, 't': hash(t)}), 10000) AS a FROM d GROUP BY host),
 boiler AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT th) AS n FROM norm GROUP BY host, nl) JOIN sizes USING (host) WHERE n > 20 AND n > a * 0.01),
 gone AS (SELECT doc_id, sum(c) AS n FROM norm SEMI JOIN boiler USING (host, nl) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -128,9 +128,9 @@ def substring_dedup(spark, sf_dir):
 
 @query("op9_benchmark_decontamination")
 def benchmark_decontamination(spark, sf_dir):
-    from .decontam import find_leaks
+    from .decontam import PASSAGE, find_leaks
 
-    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), passage=PASSAGE)
 
 
 @query("op10_best_fit_packing")

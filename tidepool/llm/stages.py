@@ -15,7 +15,11 @@ def default_tokenizer() -> str:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier doesn't reject; the model is fitted on labelled rows of ``docs``."""
+    """Documents the classifier doesn't reject; the model is fitted on labelled rows of ``docs``.
+
+    A null text is scored as an empty one, a null doc_id has no label but a score; repeated rows score
+    alike and go or stay together; a score equal to the threshold stays; without
+    labels nothing is rejected; an empty table gives no rows."""
     from .quality import fit, with_scores
 
     prepare(spark)
@@ -25,7 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near copies: five
-    words, similarity 0.8. Rows that repeat an id and its text become one."""
+    words, similarity 0.8. Rows that repeat an id and its text become one; a null doc_id is
+    the smallest. Null and empty texts are near nothing and stay; an empty table gives no rows."""
     from .minhash import near_duplicates
 
     prepare(spark)
@@ -37,15 +42,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    from .decontam import without_leaks
+    """Documents without a benchmark item or a passage of one. Rows with a null or empty text
+    stay; repeated rows are decided alike; without benchmark rows all stay; an empty table gives no rows; columns
+    may have any names."""
+    from .decontam import PASSAGE, without_leaks
 
     prepare(spark)
-    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"), passage=PASSAGE)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with ``[KIND]`` in place of personal data; n_chars follows the text."""
+    """All documents, with ``[KIND]`` in place of personal data; n_chars follows the text. A null
+    text stays null (n_chars 0); repeated rows stay and are redacted alike; of overlapping spans the first names the
+    kind; an empty table gives no rows."""
     from .pii import redact_documents
 
     prepare(spark)
@@ -53,7 +62,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents: one row per piece with its sequence and place."""
+    """Token sequences of the documents: one row per piece with its sequence and place. A null
+    or empty text is the end id alone, a null doc_id stays null, repeated rows are packed each; an empty table gives no rows."""
     from .packing import pack_documents
 
     prepare(spark)

@@ -27,6 +27,63 @@ def test_schemas_of_any_depth(spark):
     assert tree["u"].nullable and tree["u"].type == "string" and tree["x"].type == "any" and tree["list.y"].type == "number"
 
 
+def test_documents_are_walked_without_python(spark):
+    """Odd documents against a plain walk; the plan holds no Python."""
+    import random
+
+    rng = random.Random(2)
+
+    def node(depth):
+        out = {}
+        kind = rng.choice(["object", "array", "string", "integer", ["string", "null"], ["null", "object", "integer"], None])
+        if kind is not None or rng.random() < 0.5:
+            out["type"] = kind
+        if depth < 9 and rng.random() < 0.75:
+            below = {"properties": {n: node(depth + 1) for n in rng.sample(["a", "b", "c.d", "x y"], rng.randint(0, 2))}, "required": rng.choice([["a"], [], ["b", 3, None], "a"])}
+            out |= {"items": {"type": "object", **below}} if kind == "array" else below
+        if rng.random() < 0.3:
+            out |= {"nullable": rng.choice([True, False, "true", 1]), "description": rng.choice(["text", "", None])}
+        return rng.choice([out] * 12 + [3, None, "text", []])
+
+    docs = [{"type": "object", "properties": {n: node(0) for n in "pqr"}, "required": ["p"]} for _ in range(40)] + [{}, {"properties": 3}, {"type": "array", "items": {"properties": {"i": {"type": "integer"}}}}]
+    deepest = {"properties": {"l0": {"type": "object"}}}
+    for i in range(1, 13):
+        deepest = {"properties": {f"l{i}": {"type": "object", **deepest}}}
+    docs.append(deepest)
+
+    def below(n):
+        props = n.get("properties")
+        if not (isinstance(props, dict) and props) and n.get("type") == "array" and isinstance(n.get("items"), dict):
+            n = n["items"]
+            props = n.get("properties")
+        needed = n.get("required")
+        return (props if isinstance(props, dict) else {}), (needed if isinstance(needed, list) else [])
+
+    def tree(n, prefix="", depth=0):
+        props, needed = below(n)
+        for name, sub in props.items():
+            sub = sub if isinstance(sub, dict) else {}
+            t = sub.get("type")
+            kinds = [k for k in t if k != "null"] if isinstance(t, list) else None
+            yield prefix + name, name, depth, " | ".join(kinds) if kinds is not None else t or "any", name in needed, isinstance(t, list) and "null" in t or sub.get("nullable") is True, sub.get("description") or ""
+            yield from tree(sub, f"{prefix}{name}.", depth + 1)
+
+    def leaves(n, prefix=""):
+        for name, sub in (n.get("properties") if isinstance(n.get("properties"), dict) else {}).items():
+            sub = sub if isinstance(sub, dict) else {}
+            t = sub.get("type") if isinstance(sub.get("type"), str) else "string"
+            if t == "object" and isinstance(sub.get("properties"), dict) and sub["properties"]:
+                yield from leaves(sub, f"{prefix}{name}.")
+            else:
+                yield prefix + name, t
+
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(900, "[1]"), (901, None), (902, "{")], "i int, doc string").repartition(3)
+    found = S.field_tree(df, "doc", ["i"])
+    assert sorted(map(tuple, found.collect())) == sorted((i, *r) for i, d in enumerate(docs) for r in tree(d))
+    assert sorted(map(tuple, S.flatten_fields(df, "doc", ["i"]).collect())) == sorted((i, *r) for i, d in enumerate(docs) for r in leaves(d))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and max(r.depth for r in found.collect()) >= 12
+
+
 def test_emptied_and_undiscovered_streams(spark):
     fields = spark.createDataFrame([("a", 1, "x", "int", False), ("b", 1, "x", "int", False), ("c", 1, "x", "int", False)], "stream string, version int, path string, type string, nullable boolean")
     versions = fields.select("stream", "version")

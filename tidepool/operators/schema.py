@@ -3,15 +3,18 @@
 A schema is a set of rows ``(stream, path, type, nullable, required,
 ordinal)`` -- a *field table* -- so thousands of catalogs are compared,
 versioned and flattened with joins and aggregates instead of a driver loop
-per schema. JSON-Schema documents enter as text and are flattened, one pass
-over the documents, into that table.
+per schema. JSON-Schema documents enter as text and are flattened into that
+table, some levels at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .conflict import null_safe_join
 
 # ------------------------------------------------------------- inference
@@ -96,83 +99,83 @@ def json_type_of(system: str, source_type: Column, mode: Column | None = None) -
 
 # ----------------------------------------------------------- flattening
 
-def _names(node: dict) -> tuple[dict, list]:
-    """Properties and required names of a node, or of the items of an array node."""
-    props = node.get("properties")
-    if not (isinstance(props, dict) and props) and node.get("type") == "array" and isinstance(node.get("items"), dict):
-        node = node["items"]
-        props = node.get("properties")
-    required = node.get("required")
-    return (props if isinstance(props, dict) else {}), (required if isinstance(required, list) else [])
-
-
-def _tree_rows(doc: dict):
-    """Every field of one schema document, parents before children (a stack, so no depth limit)."""
-    props, required = _names(doc) if isinstance(doc, dict) else ({}, [])
-    stack = [("", 0, name, sub, name in required) for name, sub in reversed(props.items())]
-    while stack:
-        prefix, depth, name, node, needed = stack.pop()
-        node = node if isinstance(node, dict) else {}
-        declared, path = node.get("type"), f"{prefix}{name}"
-        union = isinstance(declared, list)
-        kinds = [str(k) for k in declared if k != "null"] if union else []
-        yield path, name, depth, " | ".join(kinds) if union else str(declared) if declared is not None else "any", needed, (union and "null" in declared) or node.get("nullable") is True, str(node.get("description") or "")
-        below, required = _names(node)
-        stack += [(f"{path}.", depth + 1, k, sub, k in required) for k, sub in reversed(below.items())]
-
-
-def _leaf_rows(doc: dict):
-    """Leaf paths by the mapping rule: a type that is no plain string is ``string``,
-    and only nodes of type object with properties are descended."""
-    props = doc.get("properties") if isinstance(doc, dict) else None
-    stack = [("", name, sub) for name, sub in reversed(props.items())] if isinstance(props, dict) else []
-    while stack:
-        prefix, name, node = stack.pop()
-        kind = node.get("type") if isinstance(node, dict) else None
-        kind = kind if isinstance(kind, str) else "string"
-        below = node.get("properties") if kind == "object" else None
-        if isinstance(below, dict) and below:
-            stack += [(f"{prefix}{name}.", k, sub) for k, sub in reversed(below.items())]
-        else:
-            yield f"{prefix}{name}", kind
-
-
-def _walk(schemas: DataFrame, schema_col: str, keys: list[str], rows, ddl: str) -> DataFrame:
-    """One row per field that ``rows`` finds in each document, in one pass over
-    the documents and without a shuffle. A text that is no JSON object has no fields."""
-    names = [f.split()[0] for f in ddl.split(", ")]
-
-    def run(batches):
-        import json
-
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for record in pdf.itertuples(index=False, name=None):
-                try:
-                    doc = json.loads(record[-1]) if record[-1] is not None else {}
-                except ValueError:
-                    doc = {}
-                out += [(*record[:-1], *r) for r in rows(doc)]
-            yield pd.DataFrame(out, columns=[*keys, *names])
-
-    types = dict(schemas.dtypes)
-    return schemas.select(*keys, schema_col).mapInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in keys] + [ddl]))
+#: Levels of a document that one job walks.
+LEVELS_PER_JOB = 4
+
+
+def _part(node, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(node, f"$.{path}", kind)
+
+
+def _kind(node) -> Column:
+    """STRING, BOOLEAN, OBJECT<...>, ARRAY<...>, VOID, ...; null where there is nothing."""
+    return F.schema_of_variant(node)
+
+
+def _properties(node) -> Column:
+    """Properties of a node by name; null if it has none."""
+    found = F.when(_kind(_part(node, "properties")).startswith("OBJECT"), _part(node, "properties", "map<string,variant>"))
+    return F.when(F.size(found) > 0, found)
+
+
+def _walk(schemas: DataFrame, schema_col: str, keys: list[str], children) -> DataFrame:
+    """Every field of the documents: (*keys, _prefix, name, _depth, _node, _needed), level by level.
+
+    ``children(nodes)`` gives the fields below the ``_node`` of each row. A job walks some levels and
+    writes them as a table; the deepest ones are what the next job starts from, until there are none. A text
+    that is no JSON object has no fields.
+    """
+    last = schemas.select(*keys, F.try_parse_json(schema_col).alias("_node"), F.lit("").alias("_prefix"), F.lit(0).alias("_depth"))
+    last, depth, tables = last.where(_kind("_node").startswith("OBJECT")), 0, []
+    while True:
+        levels = []
+        for _ in range(LEVELS_PER_JOB):
+            levels.append(children(last))
+            last = levels[-1].select(*keys, "_node", F.concat("_prefix", "name", F.lit(".")).alias("_prefix"), (F.col("_depth") + 1).alias("_depth"))
+        depth += LEVELS_PER_JOB
+        tables.append(materialize(reduce(DataFrame.unionByName, levels), "schema-levels"))
+        deepest = tables[-1].where(F.col("_depth") == depth - 1)
+        if deepest.isEmpty():
+            return reduce(DataFrame.unionByName, tables)
+        last = deepest.select(*keys, "_node", F.concat("_prefix", "name", F.lit(".")).alias("_prefix"), F.lit(depth).alias("_depth"))
 
 
 def field_tree(schemas: DataFrame, schema_col: str, keys: list[str]) -> DataFrame:
     """SCH-6: every field of JSON-Schema documents with ``path, name, depth, type,
     required, nullable, description``; union types are joined by `` | ``; objects with
     properties and arrays of objects are descended, however deep."""
-    return _walk(schemas, schema_col, keys, _tree_rows, "path string, name string, depth int, type string, required boolean, nullable boolean, description string")
+    def children(nodes: DataFrame) -> DataFrame:
+        node, items = F.col("_node"), _part("_node", "items")
+        of_items = _properties(node).isNull() & (_part(node, "type", "string") == "array") & _kind(items).startswith("OBJECT")
+        home = nodes.withColumn("_node", F.when(of_items, items).otherwise(node))
+        required = F.when(_kind(_part("_node", "required")).startswith("ARRAY"), _part("_node", "required", "array<variant>"))
+        below = home.select(*keys, "_prefix", "_depth", required.alias("_required"), F.explode(_properties("_node")).alias("name", "_node"))
+        needed = F.exists("_required", lambda r: (_kind(r) == "STRING") & (F.try_variant_get(r, "$", "string") == F.col("name")))
+        return below.select(*keys, "_prefix", "name", "_depth", "_node", F.coalesce(needed, F.lit(False)).alias("_needed"))
+
+    declared, nullable = _part("_node", "type"), _part("_node", "nullable")
+    kinds = F.when(_kind(declared).startswith("ARRAY"), _part("_node", "type", "array<string>"))
+    is_null = F.coalesce((_kind(nullable) == "BOOLEAN") & _part("_node", "nullable", "boolean"), F.lit(False))
+    return _walk(schemas, schema_col, keys, children).select(
+        *keys, F.concat("_prefix", "name").alias("path"), "name", F.col("_depth").alias("depth"),
+        F.when(kinds.isNotNull(), F.array_join(F.filter(kinds, lambda k: k != "null"), " | ")).otherwise(F.coalesce(_part("_node", "type", "string"), F.lit("any"))).alias("type"),
+        F.col("_needed").alias("required"), (F.coalesce(F.array_contains(kinds, "null"), F.lit(False)) | is_null).alias("nullable"),
+        F.coalesce(_part("_node", "description", "string"), F.lit("")).alias("description"))
 
 
 def flatten_fields(schemas: DataFrame, schema_col: str, keys: list[str]) -> DataFrame:
     """SCH-5: leaf paths of JSON-Schema documents; objects with properties are
     descended, however deep, an object without and an array are leaves; a missing or
     union type is ``string``."""
-    return _walk(schemas, schema_col, keys, _leaf_rows, "path string, type string")
+    kind = F.when(_kind(_part("_node", "type")) == "STRING", _part("_node", "type", "string")).otherwise("string")
+
+    def children(nodes: DataFrame) -> DataFrame:
+        # the document itself is descended whatever its type
+        open_ones = nodes.where((F.col("_prefix") == "") | (kind == "object"))
+        return open_ones.select(*keys, "_prefix", "_depth", F.explode(_properties("_node")).alias("name", "_node")).select(*keys, "_prefix", "name", "_depth", "_node", F.lit(False).alias("_needed"))
+
+    leaf = (kind != "object") | _properties("_node").isNull()
+    return _walk(schemas, schema_col, keys, children).where(leaf).select(*keys, F.concat("_prefix", "name").alias("path"), kind.alias("type"))
 
 
 def field_count(tree: DataFrame, keys: list[str]) -> DataFrame:

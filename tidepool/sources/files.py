@@ -57,13 +57,9 @@ def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.S
     types of its values (see :func:`_typed`). Without a ``schema`` Spark
     infers one from all records (an array file is one value then).
     """
-    read = spark.read
-    if by_extension:
-        read = read.option("pathGlobFilter", file_glob("json"))
-    if recursive:
-        read = read.option("recursiveFileLookup", "true")
+    options = {"pathGlobFilter": file_glob("json") if by_extension else "*", "recursiveFileLookup": str(recursive).lower()}
     if schema is None:
-        return read.option("mode", "DROPMALFORMED").option("multiLine", str(layout == "array").lower()).json(path)
+        return spark.read.options(**options).option("mode", "DROPMALFORMED").option("multiLine", str(layout == "array").lower()).json(path)
     fields = (spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema).fields
 
     def parse(texts: DataFrame) -> DataFrame:
@@ -72,7 +68,7 @@ def read_json(spark: SparkSession, path: str, layout: str = "lines", schema: T.S
         return texts.withColumn("_one", one).where(F.size("_one") == 1).withColumn("_v", F.col("_one")[0]).drop("_one")
 
     lineage = ["_source_file", "_source_modified"]
-    text = lambda **options: read.options(**options).text(path)
+    text = lambda **more: spark.read.options(**options, **more).text(path)
     if layout == "lines":
         return _typed(_elements(parse(with_lineage(text())), lineage), fields, lineage)
     if layout == "array":

@@ -100,7 +100,7 @@ def json_type_of(system: str, source_type: Column, mode: Column | None = None) -
 # ----------------------------------------------------------- flattening
 
 #: Levels of a document that one job walks.
-LEVELS_PER_JOB = 4
+LEVELS_PER_JOB = 3
 
 
 def _part(node, path: str, kind: str = "variant") -> Column:
@@ -108,13 +108,13 @@ def _part(node, path: str, kind: str = "variant") -> Column:
 
 
 def _kind(node) -> Column:
-    """STRING, BOOLEAN, OBJECT<...>, ARRAY<...>, VOID, ...; null where there is nothing."""
+    """STRING, BOOLEAN, ARRAY<...>, VOID, ...; null where there is nothing. For small values: it reads all of them."""
     return F.schema_of_variant(node)
 
 
 def _properties(node) -> Column:
     """Properties of a node by name; null if it has none."""
-    found = F.when(_kind(_part(node, "properties")).startswith("OBJECT"), _part(node, "properties", "map<string,variant>"))
+    found = _part(node, "properties", "map<string,variant>")  # null for anything but an object
     return F.when(F.size(found) > 0, found)
 
 
@@ -126,7 +126,7 @@ def _walk(schemas: DataFrame, schema_col: str, keys: list[str], children) -> Dat
     that is no JSON object has no fields.
     """
     last = schemas.select(*keys, F.try_parse_json(schema_col).alias("_node"), F.lit("").alias("_prefix"), F.lit(0).alias("_depth"))
-    last, depth, tables = last.where(_kind("_node").startswith("OBJECT")), 0, []
+    depth, tables = 0, []
     while True:
         levels = []
         for _ in range(LEVELS_PER_JOB):
@@ -146,7 +146,7 @@ def field_tree(schemas: DataFrame, schema_col: str, keys: list[str]) -> DataFram
     properties and arrays of objects are descended, however deep."""
     def children(nodes: DataFrame) -> DataFrame:
         node, items = F.col("_node"), _part("_node", "items")
-        of_items = _properties(node).isNull() & (_part(node, "type", "string") == "array") & _kind(items).startswith("OBJECT")
+        of_items = (_part(node, "type", "string") == "array") & _properties(node).isNull() & F.try_variant_get(items, "$", "map<string,variant>").isNotNull()
         home = nodes.withColumn("_node", F.when(of_items, items).otherwise(node))
         required = F.when(_kind(_part("_node", "required")).startswith("ARRAY"), _part("_node", "required", "array<variant>"))
         below = home.select(*keys, "_prefix", "_depth", required.alias("_required"), F.explode(_properties("_node")).alias("name", "_node"))

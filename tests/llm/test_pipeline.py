@@ -97,4 +97,4 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names and default_tokenizer()
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names and default_tokenizer()

@@ -328,7 +328,7 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, s
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), text_of().alias("text"))
     cuts = splitters(texts, longest, sizes.part)
-    blocks = sorted_runs(texts, cuts, longest, sizes).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "lang", "first")
+    blocks = sorted_runs(texts, cuts, longest, sizes).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "lang", "first")
     sums = merge_runs(blocks, longest, least, sizes).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return cut(sums.where((F.col("words") == 0) | (F.col("n") >= least)), "phrases")
 

@@ -43,7 +43,7 @@ BAD = {"open": "[1, 2", "tail": "[1] x", "two": "[1][2]", "comma": "[1,]", "lead
 GOOD = {"none": "[]", "spaced": " [\n ] \n", "one": "[{}]", "strings": '["a,b", "]", "[", "\\"", "\\\\", "\\\\\\",", ""]', "nested": '[[1, [2, {"a": [3, 4]}]], {"b": ",]}"}, null]', "numbers": "[1,2,3]"}
 
 
-@pytest.mark.parametrize("block,split", [(1, 64), (40, 4096), (1 << 18, 1 << 20)])
+@pytest.mark.parametrize("block,split", [(1, 700), (40, 4096), (1 << 18, 1 << 20)])
 def test_elements_of_any_block_and_split(spark, tmpdir_path, block, split):
     rng = random.Random(block)
     files = {f"{n}.json": t for n, t in (BAD | GOOD).items()}

@@ -8,8 +8,8 @@ have equal minimisers, so they meet in one bucket, where sorting brings them
 together; all but the first (smallest doc_id, then start) are repeats.
 
 Skew: a gram with more than ``heavy_share`` of all grams would make a hot
-bucket. A first pass counts grams in all texts and finds these (at most
-``2 / heavy_share``, which bounds the broadcast list); in the order of grams
+bucket. A first pass counts grams in all texts and finds these (see
+``heavy_grams``; at most ``2 / heavy_share``, which bounds the broadcast list); in the order of grams
 they come last, so a window is known by one of its rarer grams if it has
 any. Windows of heavy grams alone lie inside text that is repeated over and
 over: of those a task sends each distinct string once, for the first place
@@ -50,12 +50,17 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def heavy_grams(docs: DataFrame, text: str = "text", m: int = GRAM, share: float = HEAVY_SHARE) -> DataFrame:
-    """Hashes of word grams with at least ``share`` of all gram occurrences.
-
-    Each chunk reports its grams with at least ``share / 2`` of the chunk's
-    grams (twice at least). A gram with ``share`` of the whole loses less than
-    half of it, so a total of ``share / 2`` finds it; no more than
-    ``2 / share`` grams can have so much.
+    """Hashes of word grams that make a hot bucket: those with about ``share`` of all
+    gram occurrences or more.
+
+    Each chunk reports its grams that stand there twice at least and have
+    ``share / 2`` of the chunk's grams. What a gram loses that way in a chunk is one occurrence,
+    or less than ``share / 2`` of the chunk. So a gram is found if it has ``share`` of the whole and more than twice
+    as many occurrences as there are chunks that hold it; one that stands once in each of
+    many chunks is not, however many they are. It has one occurrence in some 45,000 grams then (a
+    chunk of 256 KiB), which is less than a bucket's even share as long as there are fewer buckets than
+    that; only with chunks of few grams (very small partitions) can it be more. At most
+    ``2 / share`` grams are found. Results don't depend on which.
     """
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 

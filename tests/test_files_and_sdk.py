@@ -70,3 +70,22 @@ def test_a_stream_is_written_by_many_tasks(spark, monkeypatch):
         mine = [f for f in files if f"/{r.stream}/" in f and f.endswith(".json")]
         assert len(mine) == r.files and len({os.path.basename(f).split("-")[1] for f in mine}) > 1
         assert max(len(open(f).readlines()) for f in mine) <= 500
+
+
+def test_csv_is_split_where_no_cell_holds_a_line_end(spark, tmpdir_path):
+    import os
+
+    plain, quoted = tmpdir_path + "/plain", tmpdir_path + "/quoted"
+    for folder, note in ((plain, '"a ""b"", c"'), (quoted, '"two\nlines"')):
+        os.makedirs(folder)
+        with open(folder + "/x.csv", "w") as f:
+            f.write("id,note\n" + "".join(f"{i},{note if i % 50 == 0 else 'x'}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        frames = [FL.read_csv(spark, p) for p in (plain, quoted)]
+        assert [f.count() for f in frames] == [20_000, 20_000]
+        assert [f.where("id = '50'").first()["note"] for f in frames] == ['a "b", c', "two\nlines"]
+        tasks = [f.rdd.getNumPartitions() for f in frames]
+        assert tasks[0] > 4 and tasks[1] == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

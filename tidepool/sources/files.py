@@ -101,7 +101,7 @@ def csv_schema(spark: SparkSession, path: str, delimiter: str = ",", by_extensio
     return T.StructType([T.StructField(c, T.StringType(), True) for c in csv_header(spark, path, delimiter, by_extension)])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, by_extension: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, by_extension: bool = True, multi_line: bool | None = None) -> DataFrame:
     """SRC-2: CSV with ragged rows, all cells text; quotes inside quotes are
     doubled, quoted cells may hold delimiters and line ends.
 
@@ -109,9 +109,14 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool
     the header width ``_col{i}``; without one, ``col_{i}``. One aggregate over
     the records finds the widest; where one may have more cells than the schema
     they were read with, they are read again with a schema that wide. Missing and
-    empty cells are null. Files that are known to have no line ends in cells
-    can be split over tasks with ``multi_line=False``.
+    empty cells are null. A file is one task's only where a cell may hold a line end: if
+    every line has an even number of quotes, none does and files are split over tasks (``multi_line``
+    says so without a look).
     """
+    if multi_line is None:
+        lines = spark.read.option("pathGlobFilter", file_glob("csv") if by_extension else "*").text(path)
+        odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not lines.where(odd % 2 == 1).isEmpty()
     reader = _csv(spark, delimiter, by_extension, multi_line).option("header", str(header).lower()).option("enforceSchema", "true")
     names = csv_header(spark, path, delimiter, by_extension) if header else []
     size = max(32, 2 * len(names))

@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from tidepool.operators import match as MT
 
 
@@ -101,4 +99,3 @@ def test_candidates_are_far_fewer_than_pairs(spark):
     pairs, unhelped = MT.name_candidates(sized(src), sized(dst))
     n, left = pairs.count(), unhelped.count()
     assert left < 10 and n < len(src) * len(dst) / 50, (n, left)
-    assert F is not None

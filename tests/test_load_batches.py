@@ -115,3 +115,27 @@ def test_null_keys_in_schema_versions(spark):
     assert new.isEmpty()
     gone = S.schema_diff(fields, fields.where("ns IS NOT NULL"), ["ns"])
     assert {(r.ns, r.is_compatible) for r in S.compatibility(gone, fields, ["ns"]).collect()} == {(None, False), ("n", True)}
+
+
+def test_one_load_takes_many_load_batches(spark, tmpdir_path):
+    inp, out, state, ck = (f"{tmpdir_path}/{x}" for x in ("in", "out", "state", "ck"))
+    spark.range(205).repartition(3).write.parquet(inp)
+    calls, write = [], LB.parquet_loader_of_many(out)
+
+    def load(rows, batch_id, numbers):
+        calls.append((numbers[0], numbers[-1]))
+        write(rows, batch_id, numbers)
+        if 5 in numbers and calls.count(calls[-1]) == 1:
+            raise RuntimeError("away")
+
+    run = lambda: ST.run_stream(ST.read_stream(spark, inp, "parquet", "id long"), LB.load_batches_sink(state, load, ["id"], 10, most=4), ck)
+    with pytest.raises(Exception, match="away"):
+        run()
+    assert LB.confirmed(spark, state) == [(0, n) for n in range(3)]
+    run()
+    # 21 load batches in loads of 1, 2, 4, 4, 4, 4 and what is left
+    assert calls == [(0, 0), (1, 2), (3, 6), (3, 6), (7, 10), (11, 14), (15, 18), (19, 20)]
+    assert LB.confirmed(spark, state) == [(0, n) for n in range(21)]
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.id for r in rows) == list(range(205)) and all(r.load_batch == r.id // 10 for r in rows)
+    assert not os.path.exists(state + "/pending/0")

@@ -96,21 +96,21 @@ def _str01b(spark, sf):
 @query("str01_load_batches", f"""SELECT CAST(k AS BIGINT) AS load_batch, CAST(count(*) AS BIGINT) AS rows, min(event_id) AS first_id, max(event_id) AS last_id
 FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // {ST.DEFAULT_MAX_ROWS} AS k FROM events) GROUP BY 1""")
 def _str01c(spark, sf):
-    """One micro-batch of all files; the load of its third load batch (or the last one) fails once, and
-    the stream is started again."""
+    """One micro-batch of all files; the load that holds its third load batch fails once, and the stream is
+    started again."""
     d, state, out, ckpt = _event_files(spark, sf), _dir(spark, "str01c-state"), _dir(spark, "str01c-out"), _dir(spark, "str01c-ckpt")
-    write, failed = LB.parquet_loader(out), []
+    write, failed = LB.parquet_loader_of_many(out), []
 
-    def load_once_failing(rows, batch_id, number):
-        write(rows, batch_id, number)
-        if number == 2 and not failed:
-            failed.append(number)
+    def load_once_failing(rows, batch_id, numbers):
+        write(rows, batch_id, numbers)
+        if 2 in numbers and not failed:
+            failed.append(numbers)
             raise RuntimeError("the destination went away")
 
     for _ in range(2):
         src = ST.read_stream(spark, d, "parquet", EVENTS_DDL).select("event_id")
         try:
-            ST.run_stream(src, LB.load_batches_sink(state, load_once_failing, ["event_id"]), ckpt)
+            ST.run_stream(src, LB.load_batches_sink(state, load_once_failing, ["event_id"], most=LB.MOST_AT_ONCE), ckpt)
         except Exception as e:  # noqa: BLE001 - the planned failure only
             if "the destination went away" not in str(e):
                 raise

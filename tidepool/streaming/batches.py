@@ -4,7 +4,8 @@ The loader of the source system sends a batch when it holds ``max_rows`` records
 its clock ticks, whichever comes first. Here the rows of a micro-batch are cut the
 same way by their order: contiguous load batches, each loaded and confirmed by a
 mark of its own. The cut is written once before the first load, so that a micro-batch that comes
-again after a stop is the same, and goes on at the first load batch without a mark.
+again after a stop is the same, and goes on at the first load batch without a mark. With many load batches
+a load takes several at once, one job and one mark for all of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.partitions import global_rank
@@ -45,17 +46,42 @@ def assign_load_batches(df: DataFrame, order_by: list[str], max_rows: int = DEFA
 
 
 def _marks(spark: SparkSession, folder: str) -> set[int]:
-    return {int(f[:-5]) for f, is_dir in fs_list(spark, folder) if not is_dir and f.endswith(".json") and f[:-5].isdigit()}
+    """Load batches with a mark: ``n.json`` is that of one, ``a-b.json`` that of a to b."""
+    found = set()
+    for f, is_dir in fs_list(spark, folder):
+        ends = f[:-5].split("-")
+        if not is_dir and f.endswith(".json") and len(ends) <= 2 and all(e.isdigit() for e in ends):
+            found.update(range(int(ends[0]), int(ends[-1]) + 1))
+    return found
 
 
-def load_batches_sink(state: str, load: Callable[[DataFrame, int, int], None], order_by: list[str], max_rows: int = DEFAULT_MAX_ROWS, arrival: str | None = None, seconds: float = DEFAULT_SECONDS):
+def _wave(number: Column, most: int) -> Column:
+    """The load that a load batch is part of: loads take 1, 2, 4, ... load batches until they take ``most`` (a power of two)."""
+    doubling = F.length(F.bin(number + 1)) - 1
+    return F.when(number < most - 1, doubling).otherwise(F.lit(most.bit_length() - 1) + F.floor((number - (most - 1)) / most)).cast("long")
+
+
+def _wave_range(wave: int, most: int) -> tuple[int, int]:
+    """First load batch of a load, and the one after its last."""
+    grown = most.bit_length() - 1
+    first = (1 << wave) - 1 if wave <= grown else most - 1 + (wave - grown) * most
+    return first, first + min(1 << min(wave, grown), most)
+
+
+def load_batches_sink(state: str, load: Callable, order_by: list[str], max_rows: int = DEFAULT_MAX_ROWS, arrival: str | None = None, seconds: float = DEFAULT_SECONDS, most: int = 1):
     """STR-1: a ``foreachBatch`` sink that calls ``load(rows, batch_id, load_batch)`` for one load batch after another.
 
-    ``state`` holds the cut of the micro-batch at work (``pending``) and a mark per confirmed load
-    batch. If ``load`` fails, or the job stops, the micro-batch comes again with the same id: its cut
+    ``state`` holds the cut of the micro-batch at work (``pending``) and a mark per confirmed
+    load. If ``load`` fails, or the job stops, the micro-batch comes again with the same id: its cut
     is read, not made anew, and marked load batches are passed over. A load that had been made but not
     marked is made again, so ``load`` should write over what it wrote under the same two numbers.
+
+    With ``most`` (a power of two) over 1 one load takes several load batches, 1, 2, 4, ... up to
+    ``most``: ``load(rows, batch_id, load_batches)`` gets a range of numbers and rows with their
+    ``load_batch``, and its load batches are confirmed together.
     """
+    if most < 1 or most & (most - 1):
+        raise ValueError("most has to be a power of two")
     state = state.rstrip("/")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -64,15 +90,23 @@ def load_batches_sink(state: str, load: Callable[[DataFrame, int, int], None], o
         if fs_exists(spark, f"{marks}/whole.json"):
             return
         if not fs_exists(spark, f"{pending}/_SUCCESS"):
-            assign_load_batches(batch, order_by, max_rows, arrival, seconds, "_load_batch").write.mode("overwrite").partitionBy("_load_batch").parquet(pending)
+            cut = assign_load_batches(batch, order_by, max_rows, arrival, seconds, "load_batch").withColumn("_wave", _wave(F.col("load_batch"), most))
+            cut.write.mode("overwrite").partitionBy("_wave").parquet(pending)
+        # a folder per load
+        waves = sorted(int(f.split("=")[1]) for f, is_dir in fs_list(spark, pending) if is_dir and f.startswith("_wave="))
         rows = spark.read.parquet(pending)
-        total = max((int(f.split("=")[1]) + 1 for f, is_dir in fs_list(spark, pending) if is_dir and f.startswith("_load_batch=")), default=0)
-        done = _marks(spark, marks)
-        for number in range(total):
-            if number not in done:
+        done, total = _marks(spark, marks), 0
+        for wave in waves:
+            mine = rows.where(F.col("_wave") == wave).drop("_wave")
+            first, end = _wave_range(wave, most)
+            if wave == waves[-1] and most > 1:
+                end = mine.agg(F.max("load_batch")).first()[0] + 1
+            total = end
+            if first not in done:
                 # its folder alone, also where the source's schema has no rows
-                load(rows.where(F.col("_load_batch") == number).drop("_load_batch"), batch_id, number)
-                write_once(spark, f"{marks}/{number}.json", json.dumps({"batch_id": batch_id, "load_batch": number}))
+                load(mine.drop("load_batch") if most == 1 else mine, batch_id, first if most == 1 else range(first, end))
+                name = str(first) if end == first + 1 else f"{first}-{end - 1}"
+                write_once(spark, f"{marks}/{name}.json", json.dumps({"batch_id": batch_id, "load_batch": first, "load_batches": end - first}))
         write_once(spark, f"{marks}/whole.json", json.dumps({"batch_id": batch_id, "load_batches": total}))
         fs_delete(spark, pending)
 
@@ -91,3 +125,16 @@ def parquet_loader(target: str) -> Callable[[DataFrame, int, int], None]:
         rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}/load_batch={number}")
 
     return load
+
+
+#: Load batches of one load that Spark writes as one job.
+MOST_AT_ONCE = 1024
+
+
+def parquet_loader_of_many(target: str) -> Callable[[DataFrame, int, range], None]:
+    """Loads several load batches at once into the folders of :func:`parquet_loader`; a repeated load writes
+    over the first."""
+    def load(rows: DataFrame, batch_id: int, numbers: range) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_batch").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
+
+    return load

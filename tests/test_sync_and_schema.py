@@ -142,3 +142,19 @@ def test_csv_and_json_corner_cases(spark, tmpdir_path):
         f.write('{"a": 1}\n{"a": "x", "b": 2}\n\nnot json\n{"a": 3} x\n[1]\n[{"a": 4}, 5]\n')
     out = FL.read_json(spark, tmpdir_path + "/j", layout="auto", schema="a long, b long")
     assert sorted(((r.a, r.b) for r in out.collect()), key=str) == sorted([(1, None), (None, 2), (4, None)], key=str)
+
+
+def test_levels_of_a_document_are_read_once(spark):
+    """A job of the walk reads its input once, however many levels it walks."""
+    from tidepool.operators.schema import field_tree
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    doc = '{"properties":{"a":{"properties":{"b":{"properties":{"c":{"type":"integer"}}}}}}}'
+    docs = spark.range(7).selectExpr("id", f"'{doc}' AS doc").mapInArrow(count, "id long, doc string")
+    assert field_tree(docs, "doc", ["id"]).count() == 21 and seen.value == 7

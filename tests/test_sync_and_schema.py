@@ -158,3 +158,13 @@ def test_levels_of_a_document_are_read_once(spark):
     doc = '{"properties":{"a":{"properties":{"b":{"properties":{"c":{"type":"integer"}}}}}}}'
     docs = spark.range(7).selectExpr("id", f"'{doc}' AS doc").mapInArrow(count, "id long, doc string")
     assert field_tree(docs, "doc", ["id"]).count() == 21 and seen.value == 7
+
+
+def test_catalogs_are_worked_out_once(spark):
+    """Queries that read a field table in several places read it as written, not the line items again."""
+    import __spark_entry__ as entry
+
+    from .conftest import SF0001
+
+    for name in ("sch11_append_versions", "sch11_stored_rows", "sch12_list_versions"):
+        assert not [f for f in entry.queries()[name](spark, SF0001).inputFiles() if "lineitem" in f], name

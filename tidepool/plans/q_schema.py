@@ -18,6 +18,7 @@ from ..operators import runs as R
 from ..operators import schema as S
 from ..operators import writes as W
 from ..operators.dedup import dedup_by_key
+from ..session import materialize
 from ..sources.tables import load
 from .registry import query
 
@@ -248,7 +249,8 @@ versions AS (SELECT stream, 1 AS version, CAST(count(*) AS BIGINT) AS n_fields F
 
 def _history(spark, sf):
     """(versions, fields) before the second discovery, what it found and in which streams."""
-    v1, v2 = catalog_v1(spark, sf), catalog_v2(spark, sf)
+    # both are read in several places
+    v1, v2 = materialize(catalog_v1(spark, sf), "catalog-v1"), materialize(catalog_v2(spark, sf), "catalog-v2")
     k = F.substring("stream", 7, 20).cast("bigint")
     held = v1.where(k % 5 != 0)
     streams = v1.select("stream").union(v2.select("stream")).distinct().where(k % 11 != 0)

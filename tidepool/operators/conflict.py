@@ -10,11 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import KEY_HASH, text_hash
+
+
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where null equals null; one column per key in the result."""
+    """Join on ``keys`` where null equals null; one column per key in the result. A hash of the
+    text keys is compared first (:mod:`.keys`); a null leaves it as it is."""
+    mark = text_hash(a, keys, b)
+    if mark:
+        j = _null_safe_join(a.withColumn(KEY_HASH, mark[0]), b.withColumn(KEY_HASH, mark[0]), [KEY_HASH, *keys], how)
+        return j.drop(KEY_HASH)
+    return _null_safe_join(a, b, keys, how)
+
+
+def _null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
     other = {k: f"_other_{k}" for k in keys}
     b = b.select(*[F.col(f"`{k}`").alias(other[k]) for k in keys], *[F.col(f"`{c}`") for c in b.columns if c not in keys])
-    cond = [a[f"`{k}`"].eqNullSafe(b[f"`{other[k]}`"]) for k in keys]
+    # the hash is never null
+    cond = [a[k] == b[other[k]] if k == KEY_HASH else a[f"`{k}`"].eqNullSafe(b[f"`{other[k]}`"]) for k in keys]
     j = a.join(b, cond, how)
     if how in ("left_semi", "left_anti"):
         return j

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import text_hash
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -43,7 +45,7 @@ def dedup_by_key(
     row = F.struct(*[F.col(f"`{c}`") for c in cols])
     order = F.struct(*_cols(order_by))
     out = (
-        body.groupBy(*[F.col(f"`{k}`") for k in keys])
+        body.groupBy(*text_hash(body, keys), *[F.col(f"`{k}`") for k in keys])
         .agg(F.min_by(row, order).alias("_first"))
         .select("_first.*")
     )

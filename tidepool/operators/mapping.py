@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from ..functions.coerce import coerce, kind_of
 from ..functions.paths import build_nested, get_path, parse_path
 from ..model import FieldMapping
+from ..session import materialize
+from .keys import key_join, text_hash
 
 
 def type_at(df: DataFrame, path: str) -> T.DataType | None:
@@ -239,12 +241,13 @@ def validate_mappings(src_fields: DataFrame, dst_fields: DataFrame, connections:
     s = src_fields.select(F.col(key), F.col("path").alias("source_field"), F.col("type").alias("_st"), F.lit(True).alias("_s"))
     d = dst_fields.select(F.col(key), F.col("path").alias("dest_field"), F.col("type").alias("_dt"), F.col("required").alias("_req"), F.lit(True).alias("_d"))
     # the first use of a destination is a min aggregate, combined map-side
-    first = connections.groupBy(key, "dest_field").agg(F.min(F.struct("seq", "conn_id")).alias("_first"))
-    used = d.join(first, [key, "dest_field"], "full_outer")
+    marked = connections.groupBy(*text_hash(connections, [key, "dest_field"]), key, "dest_field")
+    first = marked.agg(F.min(F.struct("seq", "conn_id")).alias("_first"))
+    used = materialize(key_join(d, first, [key, "dest_field"], "full_outer"), "mapping-used")  # read twice
     req = used.filter(F.col("_req") & F.col("_first").isNull()).select(
         key, F.lit(None).cast("string").alias("conn_id"), F.col("dest_field").alias("field"), F.lit("required_unmapped").alias("kind"),
         text('required destination field "%s" has no mapping', "dest_field").alias("message"))
-    cj = connections.join(used, [key, "dest_field"], "left").join(s, [key, "source_field"], "left")
+    cj = key_join(key_join(connections, used, [key, "dest_field"], "left"), s, [key, "source_field"], "left")
 
     def error(kind, field, message, *cols):
         return F.struct(F.col(field).alias("field"), F.lit(kind).alias("kind"), text(message, *cols).alias("message"))
@@ -265,7 +268,7 @@ def unmapped_fields(fields: DataFrame, connections: DataFrame, side: str, key: s
     """MAP-13 / CON-8: fields of one side with no connection (``side`` = source or dest)."""
     col = "source_field" if side == "source" else "dest_field"
     used = connections.select(key, F.col(col).alias("path"))
-    return fields.join(used, [key, "path"], "left_anti")
+    return key_join(fields, used, [key, "path"], "left_anti")
 
 
 def connections_from_mappings(mappings: DataFrame, src_fields: DataFrame, dst_fields: DataFrame, key: str = "mapping_id") -> DataFrame:
@@ -273,7 +276,7 @@ def connections_from_mappings(mappings: DataFrame, src_fields: DataFrame, dst_fi
     s = src_fields.select(key, F.col("path").alias("source_field"), F.lit(True).alias("_s")).distinct()
     d = dst_fields.select(key, F.col("path").alias("dest_field"), F.lit(True).alias("_d")).distinct()
     return (
-        mappings.join(s, [key, "source_field"], "left").join(d, [key, "dest_field"], "left")
+        key_join(key_join(mappings, s, [key, "source_field"], "left"), d, [key, "dest_field"], "left")
         .select(
             key,
             F.concat_ws("->", "source_field", "dest_field").alias("conn_id"),

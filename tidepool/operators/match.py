@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..arrow import key_changes, key_texts
 from ..session import discard, materialize
 from .conflict import null_safe_join
-from .partitions import rank_in_group
+from .keys import KEY_HASH, key_join
 from ..functions.names import (
     normalize_field_name,
     normalize_name,
@@ -41,7 +41,7 @@ def score_pairs(src: DataFrame, dst: DataFrame, key: str = "stream", w_name: flo
                         normalize_name(F.col("name")).alias(f"_{p}n"))
         return out.withColumn(f"_{p}l", F.octet_length(f"_{p}n"))
 
-    j = side(src, "src").join(side(dst, "dst"), key, "inner")
+    j = key_join(side(src, "src"), side(dst, "dst"), [key])
     score = F.lit(w_name) * similarity_of_normalized("_srcn", "_dstn", "_srcl", "_dstl") + \
         F.lit(w_type) * type_compat("src_type", "dst_type")
     return j.select(key, "src_path", "dst_path", "src_type", "dst_type", score.alias("score")) \
@@ -240,33 +240,55 @@ def match_three_pass(src: DataFrame, dst: DataFrame, key: str = "stream") -> Dat
 
     Sources are visited in name order and each takes the first free
     destination (name order) of its group, which is the same as pairing the
-    i-th source with the i-th destination inside a group -- ``row_number``
-    on both sides and an equi-join on (stream, group, rank). A group is one
-    stream's fields with one name or type, so it is small by nature.
+    i-th source with the i-th destination inside a group. A group is one
+    stream's fields with one name or type, so it is small by nature. What a pass
+    leaves is written once and is all that the next one reads.
     """
     # fixed values: the reasons
-    s0 = src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type"))
-    d0 = dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type"))
-    # pass 1: exact names (unique per schema, so a plain equi-join)
-    p1 = s0.join(d0, (s0[key] == d0[key]) & (s0["s_name"] == d0["d_name"]), "inner").select(
-        s0[key], "s_name", "d_name", F.when(F.col("s_type") == F.col("d_type"), 1.0).otherwise(0.9).alias("confidence"),
-        F.when(F.col("s_type") == F.col("d_type"), "exact name and type match").otherwise("exact name match").alias("reason"))
-    s1 = s0.join(p1.select(key, "s_name"), [key, "s_name"], "left_anti")
-    d1 = d0.join(p1.select(key, "d_name"), [key, "d_name"], "left_anti")
+    s0 = src.select(key, F.col("name").alias("s_name"), F.col("type").alias("s_type"), F.col("name").alias("_n"), F.lit(True).alias("_s"))
+    d0 = dst.select(key, F.col("name").alias("d_name"), F.col("type").alias("d_type"), F.col("name").alias("_n"), F.lit(True).alias("_d"))
+    both, same = F.col("_s") & F.col("_d"), F.col("s_type") == F.col("d_type")
 
-    def zip_by(s, d, s_group, d_group):
-        sr = rank_in_group(s.withColumn("_g", s_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["s_name"], "_r")
-        dr = rank_in_group(d.withColumn("_g", d_group).filter(F.col("_g").isNotNull()), [key, "_g"], ["d_name"], "_r")
-        return sr.join(dr, [key, "_g", "_r"], "inner")
+    def pairs(rows, confidence, reason):
+        return rows.where(both).select(key, F.col("s_name").alias("source_field"), F.col("d_name").alias("dest_field"), confidence.alias("confidence"), reason.alias("reason"))
 
+    # pass 1: exact names (unique per schema, so a plain equi-join)
+    named = materialize(key_join(s0, d0, [key, "_n"], "full_outer").drop("_n"), "match-named")
+    p1 = pairs(named, F.when(same, 1.0).otherwise(0.9), F.when(same, "exact name and type match").otherwise("exact name match"))
     # pass 2: normalised names
-    j2 = zip_by(s1, d1, normalize_field_name("s_name"), normalize_field_name("d_name"))
-    p2 = j2.select(key, "s_name", "d_name", F.when(F.col("s_type") == F.col("d_type"), 0.8).otherwise(0.7).alias("confidence"),
-                   F.when(F.col("s_type") == F.col("d_type"), "normalized name and type match").otherwise("normalized name match").alias("reason"))
-    s2 = s1.join(p2.select(key, "s_name"), [key, "s_name"], "left_anti")
-    d2 = d1.join(p2.select(key, "d_name"), [key, "d_name"], "left_anti")
+    name = F.coalesce("s_name", "d_name")
+    zipped = materialize(_zip_groups(_alone(named), key, normalize_field_name(name), name), "match-zipped")
+    p2 = pairs(zipped, F.when(same, 0.8).otherwise(0.7), F.when(same, "normalized name and type match").otherwise("normalized name match"))
     # pass 3: same non-empty type
-    j3 = zip_by(s2, d2, F.when(F.col("s_type") != "", F.col("s_type")), F.when(F.col("d_type") != "", F.col("d_type")))
-    p3 = j3.select(key, "s_name", "d_name", F.lit(0.3).alias("confidence"), F.lit("type match only").alias("reason"))
-    out = p1.unionByName(p2).unionByName(p3)
-    return out.select(key, F.col("s_name").alias("source_field"), F.col("d_name").alias("dest_field"), "confidence", "reason")
+    kind = F.coalesce("s_type", "d_type")
+    p3 = pairs(_zip_groups(_alone(zipped), key, F.when(kind != "", kind), name), F.lit(0.3), F.lit("type match only"))
+    return p1.unionByName(p2).unionByName(p3)
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Fields that no pass has paired."""
+    return rows.where(F.col("_s").isNull() | F.col("_d").isNull())
+
+
+def _zip_groups(rows: DataFrame, key: str, group, order) -> DataFrame:
+    """Rows of sources (``_s``) and destinations (``_d``) with the i-th source and the i-th destination of each
+    (``key``, ``group``) as one row; null keys and groups are left alone. One shuffle: the places of each side and the
+    pairs of equal places are windows over the same group."""
+    grouped = rows.withColumns({"_g": group, "_o": order})
+    hashed = grouped.withColumn(KEY_HASH, F.xxhash64(key, "_g"))
+    # fields that are in no group differ in their hash, so that they don't come together
+    hashed = hashed.withColumn(KEY_HASH, F.when(F.col(key).isNull() | F.col("_g").isNull(), F.xxhash64(key, "_o")).otherwise(F.col(KEY_HASH)))
+    group_by = [KEY_HASH, key, "_g"]
+    sources_first = Window.partitionBy(*group_by).orderBy(F.col("_s").asc_nulls_last(), "_o")
+    place, sources = F.row_number().over(sources_first), F.count("_s").over(sources_first.rowsBetween(Window.unboundedPreceding, 0))
+    placed = hashed.withColumn("_r", F.when(F.col("_s"), place).otherwise(place - sources))
+    at = Window.partitionBy(*group_by).orderBy("_r", F.col("_s").asc_nulls_last())  # a source, then the destination of its place
+    other = F.struct("d_name", "d_type", "_d", "_r")
+    after = F.when(F.col("_s"), F.lead(other).over(at))
+    before = F.lag(F.struct("_s", "_r")).over(at)
+    in_group = F.col(key).isNotNull() & F.col("_g").isNotNull()
+    paired = placed.withColumns({"_after": after, "_before": before})
+    takes = F.coalesce(in_group & F.col("_s") & F.col("_after._d") & (F.col("_after._r") == F.col("_r")), F.lit(False))
+    taken = F.coalesce(in_group & F.col("_d") & F.col("_before._s") & (F.col("_before._r") == F.col("_r")), F.lit(False))
+    mine = lambda c: F.when(takes, F.col(f"_after.{c}")).otherwise(F.col(c)).alias(c)
+    return paired.where(~taken).select(key, "s_name", "s_type", "_s", *[mine(c) for c in ("d_name", "d_type", "_d")])

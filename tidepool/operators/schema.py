@@ -275,9 +275,9 @@ def append_versions(versions: DataFrame, fields: DataFrame, discovered: DataFram
     (a first version has no changes).
     """
     last = versions.groupBy(*keys).agg(F.max("version").alias("version"))
-    latest = null_safe_join(fields, last, keys + ["version"], "left_semi")
     seen = streams.select(*keys).distinct()
-    diff = schema_diff(null_safe_join(latest, seen, keys, "left_semi"), discovered, keys, field)
+    latest = null_safe_join(fields, null_safe_join(last, seen, keys, "left_semi"), keys + ["version"], "left_semi")
+    diff = schema_diff(latest, discovered, keys, field)
     changed = diff.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_changes"))
     width = discovered.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_fields"))
     j = null_safe_join(null_safe_join(null_safe_join(seen, last, keys, "left"), changed, keys, "left"), width, keys, "left")

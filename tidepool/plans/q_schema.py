@@ -18,7 +18,7 @@ from ..operators import runs as R
 from ..operators import schema as S
 from ..operators import writes as W
 from ..operators.dedup import dedup_by_key
-from ..session import materialize
+from ..session import discard, materialize
 from ..sources.tables import load
 from .registry import query
 
@@ -30,13 +30,12 @@ PTYPE_JSON = {"ECONOMY": "string", "SMALL": "integer", "MEDIUM": "number", "LARG
 def field_rows(spark, sf):
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus",
                                             "l_discount", "l_tax", "l_quantity")
-    p = load(spark, sf, "part").select("p_partkey", "p_name", "p_type")
-    j = li.join(p, li.l_partkey == p.p_partkey)
     jt = F.when(F.lit(False), F.lit(None))
     for k, v in PTYPE_JSON.items():
         jt = jt.when(F.col("p_type") == k, F.lit(v))
-    return j.select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("stream"),
-                    F.regexp_replace("p_name", " ", "_").alias("path"), jt.otherwise(F.lit("array")).alias("type"),
+    p = load(spark, sf, "part").select("p_partkey", F.regexp_replace("p_name", " ", "_").alias("path"), jt.otherwise(F.lit("array")).alias("type"))
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    return j.select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("stream"), "path", "type",
                     (F.col("l_linestatus") == "O").alias("nullable"), (F.col("l_returnflag") == "N").alias("required"),
                     F.col("l_linenumber").alias("ordinal"), "l_discount", "l_tax", "l_quantity", "l_orderkey", "l_linenumber")
 
@@ -45,12 +44,21 @@ FIELD_COLS = ["stream", "path", "type", "nullable", "required", "ordinal"]
 TIE_ORDER = ["ordinal", "type", "nullable", "required"]  # line numbers repeat within an order
 
 
-def catalog_v1(spark, sf):
-    return dedup_by_key(field_rows(spark, sf).select(*FIELD_COLS), ["stream", "path"], TIE_ORDER)
+def catalog_v1(spark, sf, rows=None):
+    r = field_rows(spark, sf) if rows is None else rows
+    return dedup_by_key(r.select(*FIELD_COLS), ["stream", "path"], TIE_ORDER)
+
 
+def catalogs(spark, sf):
+    """Both catalogs as tables, for queries that read them in several places; the line items meet the parts once."""
+    rows = materialize(field_rows(spark, sf), "field-rows")
+    made = materialize(catalog_v1(spark, sf, rows), "catalog-v1"), materialize(catalog_v2(spark, sf, rows), "catalog-v2")
+    discard(rows)
+    return made
 
-def catalog_v2(spark, sf):
-    r = field_rows(spark, sf)
+
+def catalog_v2(spark, sf, rows=None):
+    r = field_rows(spark, sf) if rows is None else rows
     kept = r.filter(F.col("l_discount") < 0.085).select(
         "stream", "path",
         F.when(F.col("l_tax") >= 0.065, F.when(F.col("type") == "string", F.lit("number")).otherwise(F.lit("string")))
@@ -249,8 +257,7 @@ versions AS (SELECT stream, 1 AS version, CAST(count(*) AS BIGINT) AS n_fields F
 
 def _history(spark, sf):
     """(versions, fields) before the second discovery, what it found and in which streams."""
-    # both are read in several places
-    v1, v2 = materialize(catalog_v1(spark, sf), "catalog-v1"), materialize(catalog_v2(spark, sf), "catalog-v2")
+    v1, v2 = catalogs(spark, sf)
     k = F.substring("stream", 7, 20).cast("bigint")
     held = v1.where(k % 5 != 0)
     streams = v1.select("stream").union(v2.select("stream")).distinct().where(k % 11 != 0)
@@ -329,10 +336,9 @@ def _map11(spark, sf):
     return M.apply_type_template(v.withColumn("bq", bq), "bq", t).select("stream", "path", "dest_type", "type_transform")
 
 
-def connections(spark, sf):
-    """Identity connections for every v1 field plus a legacy source for second fields
+def connections(v):
+    """Identity connections for every field of the v1 catalog plus a legacy source for second fields
     (unknown source, duplicate destination)."""
-    v = catalog_v1(spark, sf)
     ident = v.select(F.col("stream").alias("mapping_id"), F.concat(F.col("path"), F.lit("->"), F.col("path")).alias("conn_id"),
                      F.col("ordinal").alias("seq"), F.col("path").alias("source_field"), F.col("path").alias("dest_field"),
                      F.lit("").alias("transform"))
@@ -363,16 +369,18 @@ UNION ALL SELECT mapping_id, conn_id, dest_field, 'duplicate_dest', printf('dest
 UNION ALL SELECT mapping_id, conn_id, source_field, 'type_mismatch', printf('type mismatch "%s" -> "%s" without transform', st, dt)
   FROM cj WHERE sp IS NOT NULL AND dp IS NOT NULL AND st <> '' AND dt <> '' AND st <> dt AND coalesce(transform, '') = ''""")
 def _map12(spark, sf):
-    src = catalog_v1(spark, sf).select(F.col("stream").alias("mapping_id"), "path", "type")
-    dst = catalog_v2(spark, sf).select(F.col("stream").alias("mapping_id"), "path", "type", "required")
-    return M.validate_mappings(src, dst, connections(spark, sf))
+    v1, v2 = catalogs(spark, sf)
+    src = v1.select(F.col("stream").alias("mapping_id"), "path", "type")
+    dst = v2.select(F.col("stream").alias("mapping_id"), "path", "type", "required")
+    return M.validate_mappings(src, dst, connections(v1))
 
 
 @query("map13_unmapped_dest", CONN_SQL + """SELECT stream AS mapping_id, path FROM v2
 WHERE NOT EXISTS (SELECT 1 FROM conn c WHERE c.mapping_id = v2.stream AND c.dest_field = v2.path)""")
 def _map13(spark, sf):
-    dst = catalog_v2(spark, sf).select(F.col("stream").alias("mapping_id"), "path")
-    return M.unmapped_fields(dst, connections(spark, sf), "dest")
+    v1, v2 = catalogs(spark, sf)
+    dst = v2.select(F.col("stream").alias("mapping_id"), "path")
+    return M.unmapped_fields(dst, connections(v1), "dest")
 
 
 @query("map14_connections", CONN_SQL + """SELECT c.mapping_id, c.source_field || '->' || c.dest_field AS conn_id, c.source_field, c.dest_field,
@@ -380,9 +388,10 @@ def _map13(spark, sf):
 FROM conn c LEFT JOIN v1 s ON c.mapping_id = s.stream AND c.source_field = s.path
 LEFT JOIN v2 d ON c.mapping_id = d.stream AND c.dest_field = d.path""")
 def _map14(spark, sf):
-    maps = connections(spark, sf).select("mapping_id", "source_field", "dest_field", "transform")
-    src = catalog_v1(spark, sf).select(F.col("stream").alias("mapping_id"), "path")
-    dst = catalog_v2(spark, sf).select(F.col("stream").alias("mapping_id"), "path")
+    v1, v2 = catalogs(spark, sf)
+    maps = connections(v1).select("mapping_id", "source_field", "dest_field", "transform")
+    src = v1.select(F.col("stream").alias("mapping_id"), "path")
+    dst = v2.select(F.col("stream").alias("mapping_id"), "path")
     return M.connections_from_mappings(maps, src, dst)
 
 
@@ -445,7 +454,7 @@ def _fuz03(spark, sf):
 
 def match_sides(spark, sf):
     """Source fields = v1; destination fields = v1 renamed (upper case, dashes, or kept) with looser types."""
-    v = catalog_v1(spark, sf)
+    v = materialize(catalog_v1(spark, sf), "catalog-v1")  # read as both sides
     src = v.select("stream", "path", F.col("path").alias("name"), "type")
     m3 = F.col("ordinal") % 3
     dname = F.when(m3 == 0, F.upper("path")).when(m3 == 1, F.regexp_replace("path", "_", "-")).otherwise(F.col("path"))

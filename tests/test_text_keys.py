@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import dedup as D
 from tidepool.operators import match as MT
 from tidepool.operators.conflict import null_safe_join
-from tidepool.operators.keys import KEY_HASH, key_join
+from tidepool.operators.keys import key_join
 
 
 def _plan(df):
@@ -28,10 +28,27 @@ def test_text_keys_are_compared_by_hash_first(spark):
     b = spark.createDataFrame([("k1", 1, "x"), (None, 1, "y"), ("", 2, "z")], "k string, n bigint, w string")
     first = D.dedup_by_key(a, ["k", "n"], ["v"])
     assert sorted((str(r["k"]), r["v"]) for r in first.collect()) == [("", 7), ("None", 6), ("k1", 4)]
-    assert KEY_HASH in _plan(first)
+    assert "xxhash64(k" in _plan(first)
     for join, n in ((key_join, 3), (null_safe_join, 4)):
         j = join(a, b, ["k", "n"])
         assert j.columns == ["k", "n", "v", "w"] and j.count() == n and "xxhash64(k" in _plan(j)
     # texts against numbers are compared as before: no hash is equal for both
     c = a.select(F.col("n").cast("string").alias("n"), "v")
     assert key_join(c, b.select("n", "w"), ["n"]).count() == a.select("n", "v").join(b.select("n", "w"), "n").count()
+
+
+def test_one_aggregate_finds_both_catalogs(spark):
+    from tidepool.plans import q_schema as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(repr, df.select(*Q.FIELD_COLS).collect()))
+    v1, v2 = Q.catalogs(spark, sf)
+    assert rows(v1) == rows(Q.catalog_v1(spark, sf)) and rows(v2) == rows(Q.catalog_v2(spark, sf))
+    assert "Join " not in _plan(v1.unionByName(v2.select(*v1.columns)))
+
+
+def test_first_rows_of_several_choices(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), (None, 9, "n")], "k string, v int, w string")
+    out = D.first_rows(df, ["k"], {"low": (F.struct("k", "w"), F.struct("v"), None), "odd": (F.struct("w"), F.struct("v"), F.col("v") > 2)})
+    got = {r["low"]["k"]: (r["low"]["w"], r["odd"] and r["odd"]["w"]) for r in out.collect()}
+    assert got == {"a": ("y", "x"), "b": ("z", None), None: ("n", "n")}

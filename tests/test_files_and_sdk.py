@@ -89,3 +89,23 @@ def test_csv_is_split_where_no_cell_holds_a_line_end(spark, tmpdir_path):
         assert tasks[0] > 4 and tasks[1] == 1
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_width_from_the_lines(spark, tmpdir_path, monkeypatch):
+    """Without a header and quotes the widest record is known from the lines: no pass over the records for it."""
+    cases = {"plain": ("a,b\n,,,\n\n \t \nx" + "," * 69 + "y\n1,,\n", 70, 4), "empty": ("", 0, 0), "quoted": ('"a,b",c\n"d,e,f,",,\n', 2, 2), "ends": ('"a\nb",c\nd,e,f\n', 3, 2)}
+    for name, (text, width, rows) in cases.items():
+        d = os.path.join(tmpdir_path, name)
+        os.makedirs(d)
+        with open(os.path.join(d, "f.csv"), "w", newline="") as f:
+            f.write(text)
+        asked = []
+        monkeypatch.setattr(FL.F, "array_max", lambda *a, real=FL.F.array_max: asked.append(1) or real(*a))
+        df = FL.read_csv(spark, d, ",", header=False)
+        monkeypatch.undo()
+        assert (len(df.columns), not asked) == (width, name in ("plain", "empty")), name
+        if width:
+            got = [tuple(r) for r in df.collect()]
+            assert len(got) == rows, (name, got)
+            if name == "plain":
+                assert sorted(r[0] or "" for r in got) == ["", "1", "a", "x"] and any(r[69] == "y" for r in got)

@@ -106,23 +106,34 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool
     doubled, quoted cells may hold delimiters and line ends.
 
     With a header, cell ``i`` is named by the trimmed header name, cells past
-    the header width ``_col{i}``; without one, ``col_{i}``. One aggregate over
-    the records finds the widest; where one may have more cells than the schema
+    the header width ``_col{i}``; without one, ``col_{i}``. One aggregate over the lines looks at
+    quotes and delimiters: without a header and quotes it gives the widest record, else
+    one over the records finds it; where one may have more cells than the schema
     they were read with, they are read again with a schema that wide. Missing and
     empty cells are null. A file is one task's only where a cell may hold a line end: if
     every line has an even number of quotes, none does and files are split over tasks (``multi_line``
     says so without a look).
     """
+    most = width = None
     if multi_line is None:
         lines = spark.read.option("pathGlobFilter", file_glob("csv") if by_extension else "*").text(path)
-        odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multi_line = not lines.where(odd % 2 == 1).isEmpty()
+        number = lambda text, part: (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+        quotes, value = number("value", '"'), F.col("value")
+        written = F.rtrim(value, F.lit(delimiter))  # up to the last cell that is not empty
+        used = F.when(value.rlike(r"[^\x00-\x20]"), F.when(written == "", 0).otherwise(number(written, delimiter) + 1))  # other lines are no records
+        seen = lines.agg(F.bool_or(quotes % 2 == 1), F.max(quotes), F.max(number("value", delimiter) + 1), F.max(used)).first()
+        multi_line = bool(seen[0])
+        if not multi_line:  # a record is a line, a delimiter inside quotes counts for nothing more than a bound
+            most = int(seen[2] or 0)
+            width = int(seen[3] or 0) if not header and not seen[1] and len(delimiter) == 1 else None
     reader = _csv(spark, delimiter, by_extension, multi_line).option("header", str(header).lower()).option("enforceSchema", "true")
     names = csv_header(spark, path, delimiter, by_extension) if header else []
-    size = max(32, 2 * len(names))
+    size = max(1, len(names), most) if most is not None else max(32, 2 * len(names))
     while True:
         raw = [f"_c{i}" for i in range(size)]
         text = [T.StructField(c, T.StringType(), True) for c in raw]
+        if width is not None:
+            break
         whole = reader.option("columnNameOfCorruptRecord", "_record").schema(T.StructType([*text, T.StructField("_record", T.StringType(), True)])).csv(path)
         last = F.array_max(F.array(*[F.when(F.col(c).isNotNull(), F.lit(i + 1)) for i, c in enumerate(raw)]))
         # a record of another width comes whole as well; its delimiters bound its cells

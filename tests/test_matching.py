@@ -99,3 +99,30 @@ def test_candidates_are_far_fewer_than_pairs(spark):
     pairs, unhelped = MT.name_candidates(sized(src), sized(dst))
     n, left = pairs.count(), unhelped.count()
     assert left < 10 and n < len(src) * len(dst) / 50, (n, left)
+
+
+def test_greedy_picks_the_prefix_without_a_sort_of_all_pairs(spark):
+    """One sort only; odd scores and paths in runs longer than the prefix, over several batches."""
+    from pyspark.sql import functions as F
+
+    odd = [None, float("nan"), 0.5, 0.5, 0.9, 0.1, -0.0, 0.0]
+    pairs = [(s, f"a{i}" if i else None, f"b{j}" if j else None, "string", "integer", odd[(3 * i + 5 * j) % 8]) for s in ("x", None, "y") for i in range(12) for j in range(9)]
+    df = spark.createDataFrame(pairs, "stream string, src_path string, dst_path string, src_type string, dst_type string, score double")
+    rank = lambda p: ((2, 0.0) if p[5] is None else (0, 0.0) if p[5] != p[5] else (1, -p[5] + 0.0), p[1] or "", p[2] or "")
+    want = set()
+    for s in ("x", None, "y"):
+        used, taken = set(), set()
+        for p in sorted((p for p in pairs if p[0] == s), key=rank):
+            if p[1] not in used and p[2] not in taken:
+                used.add(p[1])
+                taken.add(p[2])
+                want.add(p[:3])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(r[:3]) for r in MT.assign_greedy(df.coalesce(1), prefix=10).select("stream", "src_path", "dst_path").collect()}
+        plan = MT._solve_prefix(df, "stream", 10)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want
+    assert plan.count("Sort [") == 1

@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,8 @@ def assign_greedy(pairs: DataFrame, key: str = "stream", prefix: int = PREFIX_PA
     are held. Every pair of the prefix touches a taken end then, so dropping the
     pairs that touch one leaves what the next round starts with. Streams of at most
     ``prefix`` pairs, as nearly all are, end in the first round. The prefix is picked
-    where the pairs lie (as many from each partition at most) before it is shuffled, so no task
-    sorts a whole large stream.
+    where the pairs lie, from each run of one stream's pairs (a join on the stream gives one run), before
+    it is shuffled, so no task sorts a whole large stream and nothing is sorted twice.
     """
     cols = [key, "src_path", "dst_path", "src_type", "dst_type", "score"]
     left = pairs.select(*cols[:-1], F.col("score").cast("double").alias("score"))
@@ -93,8 +94,11 @@ def _solve_prefix(left: DataFrame, key: str, prefix: int) -> DataFrame:
     """Pairs that the greedy pass takes among the first ``prefix`` of each stream, and for a
     stream with more pairs one row with ``_more``."""
     ddl = ", ".join(f"`{n}` {t}" for n, t in left.dtypes)
-    order = [F.col("_stream"), F.desc_nulls_last("score"), F.col("src_path"), F.col("dst_path")]
-    tagged = left.withColumn("_stream", key_texts(key))
+    kind = dict(left.dtypes)[key]
+    plain = kind in ("string", "int", "bigint")
+    tagged = left.withColumn("_stream", F.col(f"`{key}`") if plain else key_texts(key))
+    spread = F.xxhash64("_stream")
+    order = [spread, F.col("_stream"), F.desc_nulls_last("score"), F.col("src_path"), F.col("dst_path")]
     ends = [left.columns.index(c) for c in ("src_path", "dst_path")]
 
     def walk(batches, take):
@@ -112,10 +116,41 @@ def _solve_prefix(left: DataFrame, key: str, prefix: int) -> DataFrame:
             place = int(places[-1]) + 1
             yield batch, places, take(places, *(batch.column(i) for i in ends))
 
-    def first(batches):
-        for batch, _, mask in walk(batches, lambda places, *_: places <= prefix):  # one more, to know of it
-            yield batch.filter(pa.array(mask))
+    def best(run):
+        """The first pairs of one stream's; one more than the prefix, to know of it."""
+        rows = pa.Table.from_batches(run)
+        if rows.num_rows <= prefix + 1:
+            return rows
+        score, src, dst = (rows.column(i).combine_chunks() for i in (left_names.index("score"), *ends))
+        # descending, not-a-number first and null last, as Spark sorts them; paths ascending, null first
+        kinds = pc.fill_null(pc.if_else(pc.is_nan(score), 0, 1), 2)
+        down = pc.negate(pc.fill_null(pc.if_else(pc.is_nan(score), 0.0, score), 0.0))
+        by = pa.table({"a": kinds, "b": down, "c": pc.is_valid(src), "d": src, "e": pc.is_valid(dst), "f": dst})
+        return rows.take(pc.sort_indices(by, sort_keys=[(c, "ascending") for c in by.column_names]).slice(0, prefix + 1))
 
+    def first(batches):
+        run, held, stream = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            streams = batch.column(batch.num_columns - 1)
+            change = key_changes(streams)
+            change[0] = bool(run) and streams[0].as_py() != stream
+            stream, at = streams[batch.num_rows - 1].as_py(), np.flatnonzero(change)
+            if len(at):
+                run.append(batch.slice(0, int(at[0])))
+                yield from best(run).to_batches()
+                yield batch.slice(int(at[0]), int(at[-1] - at[0]))  # whole runs, no longer than a batch
+                run, held, batch = [], 0, batch.slice(int(at[-1]))
+            run.append(batch)
+            held += batch.num_rows
+            if held > 2 * prefix + len(batch):
+                run = best(run).combine_chunks().to_batches()
+                held = prefix + 1
+        if run:
+            yield from best(run).to_batches()
+
+    left_names = left.columns
     def solve(batches):
         sources, targets = set(), set()
 
@@ -137,8 +172,10 @@ def _solve_prefix(left: DataFrame, key: str, prefix: int) -> DataFrame:
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(more[keep])], names=[*kept.schema.names[:-1], "_more"])
 
-    some = tagged.sortWithinPartitions(*order).mapInArrow(first, f"{ddl}, _stream string")
-    return some.repartition("_stream").sortWithinPartitions(*order).mapInArrow(solve, f"{ddl}, _more boolean")
+    some = tagged.mapInArrow(first, f"{ddl}, _stream {kind if plain else 'string'}")
+    # all partitions are kept, so that what a task sorts stays small
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return some.repartition(parts, spread).sortWithinPartitions(*order).mapInArrow(solve, f"{ddl}, _more boolean")
 
 
 def overall_confidence(assigned: DataFrame, key: str | None = None) -> DataFrame:

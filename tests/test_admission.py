@@ -111,3 +111,37 @@ def test_stream_in_any_order_between_batches(spark, tmpdir_path, seed):
     got = {r["i"]: (r["window_start"], r["admitted"]) for r in spark.read.parquet(out).collect() if r["i"] != 999}
     assert got == sequential(events, 3, 300)
     assert sorted(r["i"] for r in spark.read.parquet(late).collect()) == [900, 901]
+
+
+def test_stream_in_any_order_releases_as_the_watermark_moves(spark, tmpdir_path):
+    """Keys and ids beyond a double's digits, null ones beside them; windows stay open over batches and a restart."""
+    rng = random.Random(5)
+    at = sorted(rng.sample(range(10 * 3600), 600))
+    events = [(rng.choice([2**60 + 1, 2**60 + 3, 7, None]), BASE + dt.timedelta(seconds=s), None if n == 300 else 2**60 + n) for n, s in enumerate(at)]
+    files = [[] for _ in range(6)]
+    for e, s in zip(events, at):
+        files[min(5, (s + rng.randint(0, 3600)) // 7200)].append(e)
+    inp, out, ck = (os.path.join(tmpdir_path, x) for x in ("in", "out", "ck"))
+    files[5].append((7, BASE + dt.timedelta(days=9), 0))
+    seen = []
+    for part in (files[:3], files[3:]):
+        for rows in part:
+            spark.createDataFrame(rows, "k long, ts timestamp, i long").coalesce(1).write.mode("append").parquet(inp)
+        src = ST.read_stream(spark, inp, "parquet", "k long, ts timestamp, i long", max_files_per_trigger=1)
+        ST.run_stream(ST.admit_ordered(src, "k", "ts", 3, 900, "i", "2 hours"), ST.batch_parquet_sink(out), ck)
+        seen.append(spark.read.parquet(out).count())
+    assert 0 < seen[0] < 300
+    rows = [r for r in spark.read.parquet(out).collect() if r["i"] != 0]
+    keys = {i: k for k, _, i in events}
+    assert all(r["k"] == keys[r["i"]] for r in rows)
+    assert len(rows) == len(events) and {r["i"]: (r["window_start"], r["admitted"]) for r in rows} == sequential(events, 3, 900)
+
+
+def test_stream_in_any_order_keeps_no_state_row_per_key_or_event(spark, tmpdir_path):
+    inp, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    rows = spark.range(12_000).select(F.concat(F.lit("k"), F.col("id") % 3000).alias("k"), F.timestamp_seconds(1_700_000_000 + F.col("id") % 5000).alias("ts"), F.col("id").alias("i"))
+    rows.coalesce(1).write.parquet(inp)
+    src = ST.read_stream(spark, inp, "parquet", "k string, ts timestamp, i long")
+    q = ST.run_stream(ST.admit_ordered(src, "k", "ts", 3, 60, "i", "30 days"), ST.batch_parquet_sink(out), os.path.join(tmpdir_path, "ck"))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held and 0 < max(held) < 3000

@@ -20,8 +20,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..arrow import key_changes
@@ -344,60 +346,148 @@ def admit(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float) -
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that the keys of a stream are dealt to. Fixed: a stream that goes on finds its state by them.
+GROUPS = 256
+#: Stretches of time that the lateness of a stream is cut in.
+STRETCHES = 32
+
+
 class _Admission(StatefulProcessor):
-    """Events of a key wait in list state; a timer at the earliest one's time releases, in
-    order, what the watermark has passed. The open window is kept until the watermark ends it."""
+    """Events of a group of keys wait as Arrow batches, one for each input batch and stretch of time. A timer
+    at the earliest one's time releases, stretch by stretch and in order, what the watermark has
+    passed. Open windows are kept until the watermark ends them.
+
+    A task holds the events of one group and stretch, and the group's open windows.
+    """
 
-    def __init__(self, key: str, ts: str, id_col: str, key_type: str, id_type: str, limit: int, width: int):
-        self.names, self.id_type, self.limit, self.width = (key, ts, id_col), id_type, limit, width
+    def __init__(self, schema: pa.Schema, limit: int, width: int, stretch: int):
+        self.schema, self.limit, self.width, self.stretch = schema, limit, width, stretch
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"t long, id {self.id_type}")
-        self.window = handle.getValueState("window", "start long, used long")
+        self.events = handle.getMapState("events", "place long, number int", "batch binary")
+        #: the timer, and of each stretch its place, number of batches and first time
+        self.index = handle.getValueState("index", "stretch long, wake long, places array<long>, numbers array<int>, firsts array<long>")
+        self.windows = handle.getValueState("windows", "batch binary")
+
+    def _read_index(self) -> tuple[int, int | None, dict[int, tuple[int, int]]]:
+        if not self.index.exists():
+            return self.stretch, None, {}
+        stretch, wake, places, numbers, firsts = self.index.get()  # the stretch that the state was begun with
+        return stretch, wake, dict(zip(places, zip(numbers, firsts)))
+
+    def _write_index(self, stretch: int, wake: int, before: int | None, held: dict) -> None:
+        """``wake``: the time of the only timer, which is at the first millisecond not before it."""
+        wake = -(-wake // 1000)
+        if wake != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(wake)
+        numbers, firsts = zip(*held.values()) if held else ((), ())
+        self.index.update((stretch, wake, list(held), list(numbers), list(firsts)))
+
+    def _hold(self, held: dict, place: int, events: pa.RecordBatch) -> None:
+        number, first = held.get(place, (0, np.iinfo(np.int64).max))
+        self.events.updateValue((place, number), (events.serialize().to_pybytes(),))
+        held[place] = number + 1, min(first, int(events.column("t").to_numpy().min()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        _, ts, id_col = self.names
-        some = pd.concat(list(rows), ignore_index=True)
-        t = some[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
-        self.held.appendList([(int(a), b) for a, b in zip(t.tolist(), some[id_col].tolist())])
-        self._wake(int(t.min()))
+        stretch, wake, held = self._read_index()
+        for some in rows:
+            columns = [pa.array(some[f.name], f.type, mask=some[f"no_{f.name}"].to_numpy(), from_pandas=False) for f in (self.schema.field("key"), self.schema.field("id"))]
+            events = pa.RecordBatch.from_arrays([columns[0], pa.array(some["t"].to_numpy()), columns[1]], schema=self.schema)
+            place = some["t"].to_numpy() // stretch
+            order = np.argsort(place, kind="stable")
+            events, place = events.take(pa.array(order)), place[order]
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    self._hold(held, int(place[a]), events.slice(a, b - a))
+        if held:
+            first = min(first for _, first in held.values())
+            self._write_index(stretch, first if wake is None else min(first, wake * 1000), wake, held)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((int(t), i) for t, i in self.held.get())
-        n = sum(t <= passed for t, _ in held)
-        start, used = self.window.get() if self.window.exists() else (None, 0)
-        out = []
-        for t, i in held[:n]:
-            if start is None or t >= start + self.width:
-                start, used = t, 0
-            used += 1
-            out.append((i, used <= self.limit, start))
-        rest = held[n:]
-        if n:
-            self.held.put(rest) if rest else self.held.clear()
-        if start is not None and start + self.width <= passed and not rest:
-            self.window.clear()  # the next event opens a new window in any case
-        elif start is not None:
-            self.window.update((start, used))
-            self._wake(start + self.width)
-        if rest:
-            self._wake(rest[0][0])
-        if out:
-            key_col, _, id_col = self.names
-            ids, admitted, starts = zip(*out)
-            yield pd.DataFrame({key_col: [key[0]] * n, id_col: ids, "admitted": admitted, "window_start": np.array(starts, np.int64).astype("datetime64[us]")})
-
-    def _wake(self, t: int) -> None:
-        """A timer at the first millisecond not before ``t``."""
-        self.handle.registerTimer(-(-t // 1000))
+        stretch, wake, held = self._read_index()
+        opened = _Windows(self.schema.field("key").type)
+        if self.windows.exists():
+            opened = opened.read(self.windows.get()[0])
+        for place in sorted(p for p, (_, first) in held.items() if first <= passed):
+            number, _ = held.pop(place)
+            batches = [pa.ipc.read_record_batch(pa.py_buffer(self.events.getValue((place, i))[0]), self.schema) for i in range(number)]
+            for i in range(number):
+                self.events.removeKey((place, i))
+            events = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+            now = events.column("t").to_numpy() <= passed
+            if not now.all():
+                self._hold(held, place, events.filter(pa.array(~now)))
+                events = events.filter(pa.array(now))
+            events, starts, places = opened.admit(events, self.width)
+            opened = opened.without(min((place + 1) * stretch, passed) - self.width)  # no later event falls into these
+            keys, _, ids = (c.to_pandas(integer_object_nulls=True) for c in events.columns)
+            yield pd.DataFrame({"key": keys, "id": ids, "admitted": places <= self.limit, "window_start": starts})
+        opened = opened.without(passed - self.width)
+        if len(opened.keys):
+            self.windows.update((opened.bytes(),))
+        else:
+            self.windows.clear()
+        if held:
+            self._write_index(stretch, min(first for _, first in held.values()), None, held)
+        elif len(opened.keys):  # to clear them
+            self._write_index(stretch, int(opened.starts.max()) + self.width, None, held)
+        else:
+            self.index.clear()
 
     def close(self) -> None:
         pass
 
 
+class _Windows:
+    """The open windows of many keys, with the number of events in each."""
+
+    def __init__(self, key_type: pa.DataType, keys: pa.Array | None = None, starts=None, used=None):
+        self.type = key_type
+        self.keys = pa.array([], key_type) if keys is None else keys
+        self.starts, self.used = (np.zeros(0, np.int64) if c is None else c for c in (starts, used))
+
+    def read(self, data: bytes) -> "_Windows":
+        schema = pa.schema([("key", self.type), ("start", pa.int64()), ("used", pa.int64())])
+        keys, starts, used = pa.ipc.read_record_batch(pa.py_buffer(data), schema).columns
+        return _Windows(self.type, keys, starts.to_numpy(), used.to_numpy())
+
+    def bytes(self) -> bytes:
+        return pa.RecordBatch.from_arrays([self.keys, pa.array(self.starts), pa.array(self.used)], names=["key", "start", "used"]).serialize().to_pybytes()
+
+    def without(self, until: int) -> "_Windows":
+        """The windows that began after ``until``."""
+        keep = self.starts > until
+        return _Windows(self.type, self.keys.filter(pa.array(keep)), self.starts[keep], self.used[keep])
+
+    def admit(self, events: pa.RecordBatch, width: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        """The events (key, t, id), sorted, with the window start and the place (from 1) in the window of
+        each; the windows are then those after the last event of each key."""
+        m = len(self.keys)
+        coded = pa.concat_arrays([self.keys, events.column("key")]).dictionary_encode(null_encoding="encode")
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        start, used = np.zeros(len(coded.dictionary), np.int64), np.zeros(len(coded.dictionary), np.int64)
+        start[code[:m]], used[code[:m]] = self.starts, self.used
+        order = pc.sort_indices(pa.table({"code": code[m:], "t": events.column("t"), "id": events.column("id")}), sort_keys=[(c, "ascending") for c in ("code", "t", "id")])
+        events, code = events.take(order), code[m:][order.to_numpy()]
+        t = events.column("t").to_numpy()
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
+        starts, places = start[code], used[code] + np.arange(1, len(code) + 1) - first[run]
+        new = (used[code] == 0) | (t >= starts + width)  # else it falls into the window that is open
+        if new.any():
+            starts[new], places[new] = Walk(width).step(pa.array(code[new]), t[new])
+        last = np.append(first[1:], len(code)) - 1
+        start[code[last]], used[code[last]] = starts[last], places[last]
+        self.keys, self.starts, self.used = coded.dictionary, start, used
+        return events, starts, places
+
+
 def admit_ordered(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float, id_col: str, lateness: str) -> DataFrame:
     """STR-5 (streaming, any order): the rule of :func:`admit` on a stream whose events
     come at most ``lateness`` late: (key, id, admitted, window_start).
@@ -407,10 +497,28 @@ def admit_ordered(df: DataFrame, key: str, ts: str, limit: int, window_seconds:
     ``id_col``. Rows later than the watermark are dropped by Spark, as the windows they belong
     to have been given out; rows without a time go to :func:`admission_rejects`
     of the same stream. Needs the RocksDB state store, which is set on the session.
+
+    State is kept for ``GROUPS`` groups of keys, so calls to it grow with the input batches,
+    not with keys or events. A checkpoint of the form that kept it by key can't be continued.
     """
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    width = int(window_seconds * 1_000_000)
+    late = spark.sql("SELECT unix_micros(timestamp_seconds(0) + CAST(:late AS INTERVAL)) AS late", args={"late": lateness}).first()["late"]
+    fields = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("t", T.LongType()), T.StructField("id", df.schema[id_col].dataType)])
+    # pandas has times without a zone
+    schema = pa.schema([(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in spark.createDataFrame([], fields).toArrow().schema])
+
+    def filled(c: str):
+        # whole numbers and booleans with nulls would become floats and objects in pandas
+        kind = df.schema[c].dataType
+        return F.coalesce(F.col(c), F.lit(0).cast(kind)) if isinstance(kind, (T.IntegralType, T.BooleanType)) else F.col(c)
+
+    timed = df.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    dealt = timed.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int").alias("group"), F.col(ts).alias("at"), F.unix_micros(F.col(ts)).alias("t"),
+                         filled(key).alias("key"), F.col(key).isNull().alias("no_key"), filled(id_col).alias("id"), F.col(id_col).isNull().alias("no_id"))
     types = dict(df.dtypes)
-    ordered = df.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    processor = _Admission(key, ts, id_col, types[key], types[id_col], limit, int(window_seconds * 1_000_000))
-    return ordered.groupBy(key).transformWithStateInPandas(
-        processor, f"`{key}` {types[key]}, `{id_col}` {types[id_col]}, admitted boolean, window_start timestamp", "append", "eventtime")
+    found = dealt.groupBy("group").transformWithStateInPandas(
+        _Admission(schema, limit, width, max(width, late // STRETCHES, 1)),
+        f"key {types[key]}, id {types[id_col]}, admitted boolean, window_start long", "append", "eventtime")
+    return found.select(F.col("key").alias(key), F.col("id").alias(id_col), "admitted", F.timestamp_micros("window_start").alias("window_start"))

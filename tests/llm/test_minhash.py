@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,15 @@ def test_one_row_for_one_id_with_other_texts(spark):
     a, b = prose(rng, 60), prose(rng, 60)
     got = near_duplicates(corpus(spark, [(9, a), (9, b), (3, a), (4, b)])).agg(F.collect_set("component_id")).first()[0]
     assert got == [3]
+
+
+@pytest.mark.parametrize("common", [0, 3, 40])
+def test_overlaps_of_many_sets_at_once(common):
+    """The blocks count what one set shares with many others in one step, whether many or few sets hold a number."""
+    rng = random.Random(common)
+    sets = [frozenset(rng.sample(range(100), rng.randint(0, common))) | frozenset(rng.sample(range(1000, 3000), rng.randint(0, 60))) for _ in range(50)]
+    over = minhash._Overlaps([np.array(sorted(s), np.int64) for s in sets])
+    for k in range(50):
+        others = np.array(sorted(rng.sample(range(50), rng.randint(0, 20))), np.int64)
+        assert over.shared(k, others).tolist() == [len(sets[k] & sets[x]) for x in others]
+        assert over.apart(k, k + 1, 50).tolist() == [x for x in range(k + 1, 50) if not sets[k] & sets[x]]

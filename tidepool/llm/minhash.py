@@ -20,7 +20,7 @@
    however large the list, and it is their distinct combinations that are held against
    one another. Members without a possible partner go; the others get another
    pivot. After some rounds the rest are compared in blocks against blocks, on
-   these bounds and the sketches, each member of a list with each other one, each
+   these bounds, the sketches and the full sets, each member of a list with each other one, each
    pair in one of its lists.
 4. *Estimate and verify.* The union sketch's estimate drops hopeless pairs; the others
    are confirmed on their full sets.
@@ -30,6 +30,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ from .common import Words, chunks, cut, ints, mix, partitions, record, squeezed,
 SKETCH = 64
 #: Rounds of pivots before lists are compared block by block.
 PIVOT_ROUNDS = 6
-BLOCK = 512
+BLOCK = 2048
+#: Shingles of a block's members, in all.
+BLOCK_SHINGLES = 1 << 21
 #: A null doc_id: after all others, so that no component is called after it.
 LAST_ID = (1 << 63) - 1
 
@@ -242,12 +245,52 @@ def _possible(seen: DataFrame, percent: int, name: str) -> DataFrame:
     return cut(rows.join(found, ["value", *_PLACE], "left_semi"), f"left-{name}")
 
 
+class _Overlaps:
+    """Sets of numbers; how many numbers one of them shares with some others. Numbers that many sets hold are kept as bits."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        numbers, ids, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        common = 16 * held >= len(sets)
+        dense, rare = common[ids], ~common[ids] & (held[ids] > 1)
+        bits = np.zeros((len(sets), -(-int(common.sum()) // 64) * 64), bool)
+        bits[row[dense], (np.cumsum(common) - 1)[ids[dense]]] = True
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        self.columns = np.ascontiguousarray(self.bits.T)
+        self.ids, self.at = ids[rare], np.searchsorted(row[rare], np.arange(len(sets) + 1))
+        self.mark = np.zeros(len(numbers), bool)
+
+    def apart(self, k: int, start: int, stop: int) -> np.ndarray:
+        """Which sets of a range share nothing with the k-th."""
+        met = np.zeros(stop - start, np.uint64)
+        for column in self.columns:
+            met |= column[start:stop] & column[k]
+        others = np.flatnonzero(met == 0) + start
+        return others[self._rare(k, others) == 0]
+
+    def shared(self, k: int, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.bits[others] & self.bits[k]).sum(axis=1, dtype=np.int64) + self._rare(k, others)
+
+    def _rare(self, k: int, others: np.ndarray) -> np.ndarray:
+        own = self.ids[self.at[k]:self.at[k + 1]]
+        lens = self.at[others + 1] - self.at[others]
+        ends = np.cumsum(lens)
+        if not len(own) or not len(others) or not ends[-1]:
+            return np.zeros(len(others), np.int64)
+        self.mark[own] = True
+        which = np.repeat(self.at[others] - (ends - lens), lens) + np.arange(ends[-1])
+        hits = np.concatenate([[0], np.cumsum(self.mark[self.ids[which]])])
+        self.mark[own] = False
+        return hits[ends] - hits[ends - lens]
+
+
 def block_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) among members of one list. Every two members of a list meet,
-    in blocks of ``BLOCK`` against blocks, in the least of the lists they share; the bounds
-    of all rounds and the sketches choose pairs, which are confirmed on the full sets there
-    and then. Only links leave the task."""
-    sizes = lists.groupBy("value").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    in blocks of ``BLOCK`` (or ``BLOCK_SHINGLES`` in all) against blocks, in the least of the lists they
+    share; the bounds of all rounds and the sketches choose pairs, which are confirmed on the full
+    sets there and then, many at once. Only links leave the task."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = lists.groupBy("value").agg(blocks.cast("int").alias("blocks"))
     mine = lists.groupBy("doc").agg(F.sort_array(F.collect_set("value")).alias("values"))
     members = mine.join(reps.select("doc", "n", "sketch"), "doc").join(texts, "doc")
     dealt = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(members, ["doc", "n"])
@@ -257,21 +300,19 @@ def block_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: in
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = overlap(percent)
 
-    def links(rows: list[dict], value: int, i: int, j: int):
-        rows.sort(key=lambda r: r["n"])
-        doc, q, n, block = (np.array([r[c] for r in rows]) for c in ("doc", "q", "n", "block"))
-        linked, s, m = (np.array([[p[c] for p in r["path"]] for r in rows]).T for c in ("linked", "s", "m"))  # one row per round
-        values, sketch = [np.array(r["values"], np.int64) for r in rows], [np.array(r["sketch"], np.int64) for r in rows]
-        sets: dict[int, np.ndarray] = {}
-
-        def whole(k: int) -> np.ndarray:
-            if k not in sets:
-                raw = np.frombuffer(unsqueezed([rows[k]["blob"]])[0], np.uint8)
-                sets[k] = shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
-            return sets[k]
-
-        for k in range(len(rows)):
-            rest = slice(k + 1, int(np.searchsorted(n, 100 * n[k] // percent, side="right")))  # sizes ascend
+    def links(cell: pa.Table, value: int, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cell = cell.sort_by("n").combine_chunks()
+        column = lambda c: cell.column(c).combine_chunks()
+        doc, q, n, block = (column(c).to_numpy() for c in ("doc", "q", "n", "block"))
+        rounds = column("path").flatten()
+        linked, s, m = (rounds.field(c).to_numpy(zero_copy_only=False).reshape(len(doc), -1).T for c in ("linked", "s", "m"))  # one row per round
+        arrays = lambda c: np.split(column(c).flatten().to_numpy(), np.cumsum(column(c).value_lengths().to_numpy())[:-1])
+        before, sketch = _Overlaps([v[v < value] for v in arrays("values")]), arrays("sketch")
+        full, sketch = np.array([len(x) == SKETCH for x in sketch]), _Overlaps(sketch)
+        likely = {}
+        for k in range(len(doc)):
+            # sizes ascend; what shares a value before this one meets in another list
+            rest = before.apart(k, k + 1, int(np.searchsorted(n, 100 * n[k] // percent, side="right")))
             fits = doc[rest] != doc[k]
             if i != j:
                 fits &= block[rest] != block[k]
@@ -279,27 +320,41 @@ def block_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: in
             for one, two, three in zip(linked, s, m):
                 apart = np.where((three[rest] >= 0) & (three[k] >= 0), np.abs(two[rest] - two[k]) + np.abs(three[rest] - three[k]), 0)
                 fits &= ~(one[rest] & one[k]) & (apart <= room)
-            for x in (np.flatnonzero(fits) + k + 1).tolist():
-                if possible(sketch[k], sketch[x], least) and np.intersect1d(values[k], values[x], assume_unique=True)[0] == value:
-                    shared = len(np.intersect1d(whole(k), whole(x), assume_unique=True))
-                    if 100 * shared >= percent * (len(whole(k)) + len(whole(x)) - shared):
-                        yield max(doc[k], doc[x]), min(doc[k], doc[x])
+            others = rest[fits]
+            others = others[(sketch.shared(k, others) >= least) | ~(full[k] & full[others])]
+            if len(others):
+                likely[k] = others
+        if not likely:
+            return
+        used = np.unique(np.concatenate([[*likely], *likely.values()]))
+        raw = unsqueezed(column("blob").take(pa.array(used)).to_pylist())
+        sets = []
+        for at in range(0, len(raw), 200):
+            part = raw[at:at + 200]
+            sets += shingle_sets(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64), shingle)
+        whole, size = _Overlaps(sets), np.array([len(x) for x in sets])
+        for k, others in likely.items():
+            x, ys = int(np.searchsorted(used, k)), np.searchsorted(used, others)
+            shared = whole.shared(x, ys)
+            found = doc[others[100 * shared >= percent * (size[x] + size[ys] - shared)]]
+            yield np.maximum(found, doc[k]), np.minimum(found, doc[k])
 
     def run(batches):
         held, key = [], None
 
         def found():
-            pairs = list(links(held, *key))
-            return record(schema, [int(x) for x, _ in pairs], [int(x) for _, x in pairs])
+            pairs = [(np.zeros(0, np.int64),) * 2, *links(pa.Table.from_batches(held), *key)]
+            return record(schema, np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs]))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                k = (r["value"], r["i"], r["j"])
-                if k != key and held:
+            keys = list(zip(*[ints(batch, c).tolist() for c in ("value", "i", "j")]))
+            starts = [x for x in range(len(keys)) if x == 0 or keys[x] != keys[x - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if keys[a] != key and held:
                     yield found()
                     held = []
-                key = k
-                held.append(r)
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
         if held:
             yield found()
 

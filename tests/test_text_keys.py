@@ -52,3 +52,12 @@ def test_first_rows_of_several_choices(spark):
     out = D.first_rows(df, ["k"], {"low": (F.struct("k", "w"), F.struct("v"), None), "odd": (F.struct("w"), F.struct("v"), F.col("v") > 2)})
     got = {r["low"]["k"]: (r["low"]["w"], r["odd"] and r["odd"]["w"]) for r in out.collect()}
     assert got == {"a": ("y", "x"), "b": ("z", None), None: ("n", "n")}
+
+
+def test_first_order_without_a_row(spark):
+    """What orders the rows is the row itself; the keys come with it."""
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), (None, 9, "n")], "k string, v int, w string")
+    out = D.first_rows(df, ["k"], {"low": (None, F.struct("v", "w"), None), "odd": (None, F.struct("v", "w"), F.col("v") > 2)})
+    got = {r["k"]: (tuple(r["low"]), r["odd"] and tuple(r["odd"])) for r in out.collect()}
+    assert got == {"a": ((1, "y"), (3, "x")), "b": ((2, "z"), None), None: ((9, "n"), (9, "n"))}
+    assert "min_by" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -20,10 +20,13 @@ def _cols(xs) -> list[Column]:
 
 
 def first_rows(df: DataFrame, keys: list[str], picks: dict) -> DataFrame:
-    """Per key the first row of several choices, in one aggregate: a struct column for each of
-    ``picks`` (name: row struct, order struct, condition or None); null where no row meets the condition."""
-    firsts = [F.min_by(row, order if when is None else F.when(when, order)).alias(name) for name, (row, order, when) in picks.items()]
-    return df.groupBy(*text_hash(df, keys), *[F.col(f"`{k}`") for k in keys]).agg(*firsts).select(*picks)
+    """Per key the first row of several choices, in one aggregate: the keys and a struct column for each of
+    ``picks`` (name: row struct, order struct, condition or None); null where no row meets the condition.
+    A row None stands for the order struct itself, which then travels once."""
+    first = lambda row, order: F.min(order) if row is None else F.min_by(row, order)
+    firsts = [first(row, order if when is None else F.when(when, order)).alias(name) for name, (row, order, when) in picks.items()]
+    named = [F.col(f"`{k}`") for k in keys]
+    return df.groupBy(*text_hash(df, keys), *named).agg(*firsts).select(*named, *picks)
 
 
 def dedup_by_key(

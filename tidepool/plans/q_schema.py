@@ -48,7 +48,7 @@ def catalog_v1(spark, sf):
     return dedup_by_key(field_rows(spark, sf).select(*FIELD_COLS), ["stream", "path"], TIE_ORDER)
 
 
-KEPT = F.col("l_discount") < 0.085
+KEPT = "l_discount < 0.085"
 
 
 def _v2_field():
@@ -74,13 +74,11 @@ def catalogs(spark, sf):
     """Both catalogs as tables, for queries that read them in several places: one aggregate
     over the line items finds the fields of both."""
     r, v2 = field_rows(spark, sf), _v2_field()
-    row = lambda fields, names: F.struct(*[fields[n].alias(n) for n in names])
-    v1 = {n: F.col(n) for n in FIELD_COLS}
-    # the keys are in the first row already
-    both = first_rows(r, ["stream", "path"], {"v1": (row(v1, FIELD_COLS), row(v1, TIE_ORDER), None), "v2": (row(v2, TIE_ORDER), row(v2, TIE_ORDER), KEPT)})
+    # a field is its keys and what orders it
+    both = first_rows(r, ["stream", "path"], {"v1": (None, F.struct(*TIE_ORDER), None), "v2": (None, F.struct(*[v2[n].alias(n) for n in TIE_ORDER]), F.expr(KEPT))})
     both = materialize(both, "catalogs")
-    kept = both.where("v2 IS NOT NULL").select("v1.stream", "v1.path", *[f"v2.{c}" for c in FIELD_COLS if c in TIE_ORDER])
-    return both.select("v1.*"), kept.unionByName(materialize(_added(r), "catalog-added"))
+    fields = lambda v: both.where(f"{v} IS NOT NULL").select("stream", "path", *[f"{v}.{c}" for c in FIELD_COLS if c in TIE_ORDER])
+    return fields("v1"), fields("v2").unionByName(materialize(_added(r), "catalog-added"))
 
 
 CAT_SQL = """WITH fr AS (
